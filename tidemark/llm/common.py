@@ -7,7 +7,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,22 +51,41 @@ def binary_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered for up to `room` words."""
+class WordHasher:
+    """64-bit hashes of the words of many texts at once.
 
-    def __init__(self, room: int = 400_000):
-        super().__init__()
-        self.room = room
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) >= self.room:
-            self.clear()
-        self[word] = value
-        return value
+    A word's hash is a polynomial over random numbers that stand for its bytes; prefix sums of a whole buffer give
+    all of them without a step per word.
+    """
 
-    def of(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), dtype=np.uint64, count=len(found))
+    def __init__(self) -> None:
+        self.of_byte = np.random.default_rng(2024).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, size: int) -> None:
+        if len(self.up) < size:
+            base = 0xD1342543DE82EF95
+            size = max(size, 1 << 20)
+            for name, factor in (("up", base), ("down", pow(base, -1, 2**64))):
+                powers = np.full(size, factor, np.uint64)
+                powers[0] = 1
+                setattr(self, name, np.multiply.accumulate(powers))
+
+    def of(self, texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and where each text's begin (one more entry than texts)."""
+        whole = b"\n".join(texts) + b"\n"
+        a = np.frombuffer(whole.lower() if lower else whole, np.uint8)  # bytes.lower changes A-Z alone
+        self._powers(len(a) + 1)
+        space = self.space[a]
+        edges = np.flatnonzero(np.diff(space, prepend=True))
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(self.of_byte[a] * self.up[: len(a)], out=sums[1:])
+        hashes = mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        return hashes, np.searchsorted(starts, begins)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -100,3 +118,23 @@ def chunks(rows, weight, most: int):
             part, total = [], 0
     if part:
         yield part
+
+
+def pack_texts(docs: DataFrame) -> DataFrame:
+    """doc_id and the text's UTF-8, compressed for a shuffle (null as empty)."""
+
+    def run(batches):
+        import zstandard
+
+        small = zstandard.ZstdCompressor(level=3, write_checksum=False)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([small.compress(t) for t in binary_texts(batch.column(1))], pa.binary())], ["doc_id", "packed"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
+
+
+def unpack(column) -> list[bytes]:
+    import zstandard
+
+    large = zstandard.ZstdDecompressor()
+    return [large.decompress(x) for x in (column.to_pylist() if isinstance(column, pa.Array) else column)]

@@ -74,11 +74,11 @@ def oracle_sql() -> dict[str, str]:
         """,
         "op10_substring_dedup": r"""
             with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
-            win as (select doc_id, unnest(range(1, len(words) - 11)) as at, words from w where len(words) >= 13),
-            own as (select doc_id, at, min(doc_id) over (partition by array_to_string(words[at : at + 12], ' ')) as owner from win),
-            gone as (select distinct doc_id, unnest(range(at, at + 13)) as at from own where owner < doc_id),
-            each as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as at from w),
-            kept as (select e.doc_id, string_agg(word, ' ' order by e.at) as kept, count(*) as n from each e anti join gone g on e.doc_id = g.doc_id and e.at = g.at group by e.doc_id)
+            win as (select doc_id, unnest(range(1, len(words) - 11)) as pos, words from w where len(words) >= 13),
+            own as (select doc_id, pos, min(doc_id) over (partition by array_to_string(words[pos : pos + 12], ' ')) as owner from win),
+            gone as (select distinct doc_id, unnest(range(pos, pos + 13)) as pos from own where owner < doc_id),
+            each as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as pos from w),
+            kept as (select e.doc_id, string_agg(word, ' ' order by e.pos) as kept, count(*) as n from each e anti join gone g on e.doc_id = g.doc_id and e.pos = g.pos group by e.doc_id)
             select w.doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
             from w left join kept using (doc_id)
         """,

@@ -18,22 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_texts, chunks, materialize, rolled
+from .common import WordHasher, binary_texts, chunks, materialize, mix, pack_texts, rolled, unpack
 
 SIZE, ANCHOR = 13, 5
-_ROW = "h long, doc_id long, at int, off int, checks binary"
+_ROW = "h long, doc_id long, at int, off int, checks binary, more array<struct<doc_id:long,at:int>>"
 
 
-def anchor_rows(ids: list[int], texts: list[list[bytes]], hashes: WordHashes) -> pa.RecordBatch:
-    """Anchor rows of documents given as words."""
-    lengths = np.array([len(t) for t in texts])
-    ends = np.cumsum(lengths)
-    w = hashes.of([x for t in texts for x in t])
+def anchor_rows(ids: list[int], texts: list[bytes], hasher: WordHasher) -> tuple[np.ndarray, ...]:
+    """Of each anchor of the texts: hash, document, first window, place in it, number of windows; and all checks."""
+    w, begins = hasher.of(texts)
     count = max(0, len(w) - SIZE + 1)
     if not count:
-        return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())], ["h", "doc_id", "at", "off", "checks"])
-    doc = np.repeat(np.arange(len(ids)), lengths)
-    start = (ends - lengths)[doc]
+        return (*(np.empty(0, t) for t in (np.uint64, np.int64, np.int32, np.int32, np.int32)), np.empty(0, "<u4"))
+    doc = np.repeat(np.arange(len(ids)), np.diff(begins))
     inside = doc[:count] == doc[SIZE - 1 :]  # windows of one document
     grams = rolled(w, ANCHOR)
     place = np.lib.stride_tricks.sliding_window_view(grams, SIZE - ANCHOR + 1).argmin(axis=1) + np.arange(count)
@@ -41,25 +38,47 @@ def anchor_rows(ids: list[int], texts: list[list[bytes]], hashes: WordHashes) ->
     windows = np.flatnonzero(inside)
     first = np.ones(len(windows), bool)
     first[1:] = (place[windows[1:]] != place[windows[:-1]]) | (doc[windows[1:]] != doc[windows[:-1]])
-    begins = np.flatnonzero(first)
-    s = windows[begins]
-    offsets = np.append(begins, len(windows)).astype(np.int32) * 4
-    packed = pa.BinaryArray.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(offsets), pa.py_buffer(checks[windows].tobytes())])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(grams[place[s]].view(np.int64)), pa.array(np.asarray(ids, np.int64)[doc[s]]), pa.array((s - start[s]).astype(np.int32)), pa.array((place[s] - s).astype(np.int32)), packed],
-        ["h", "doc_id", "at", "off", "checks"],
-    )
+    begin = np.flatnonzero(first)
+    s = windows[begin]
+    return grams[place[s]], np.asarray(ids, np.int64)[doc[s]], (s - begins[doc[s]]).astype(np.int32), (place[s] - s).astype(np.int32), np.diff(np.append(begin, len(windows))).astype(np.int32), checks[windows]
+
+
+def combined(h, doc, at, off, size, checks) -> pa.RecordBatch:
+    """Anchor rows as a batch; rows that differ only in their document or window become one, the smallest first."""
+    ends = np.cumsum(size)
+    starts = ends - size
+    step = np.arange(len(checks)) - np.repeat(starts, size)
+    body = np.add.reduceat(mix(checks.astype(np.uint64) + (step.astype(np.uint64) << np.uint64(32))), starts) if len(h) else np.empty(0, np.uint64)
+    key = mix(h + mix(body + off.astype(np.uint64) * np.uint64(16) + size.astype(np.uint64)))
+    order = np.lexsort((at, doc, key))
+    head = np.ones(len(order), bool)
+    head[1:] = (key[order[1:]] != key[order[:-1]]) | (h[order[1:]] != h[order[:-1]]) | (off[order[1:]] != off[order[:-1]])
+    group = np.cumsum(head) - 1
+    rows = order[head]
+    page = np.argsort(rows, kind="stable")  # in the order of the documents, which packs better
+    rest = order[~head]
+    per = np.bincount(group[~head], minlength=len(rows))
+    by_page = np.argsort(np.argsort(page)[group[~head]], kind="stable")
+    rest, per, rows = rest[by_page], per[page], rows[page]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(doc[rest]), pa.array(at[rest].astype(np.int32))], ["doc_id", "at"]), mask=pa.array(per == 0))
+    index = np.repeat(starts[rows] - (np.cumsum(size[rows]) - size[rows]), size[rows]) + np.arange(size[rows].sum())
+    packed = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.append(0, np.cumsum(size[rows])) * 4).astype(np.int32)), pa.py_buffer(checks[index].tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(h[rows].view(np.int64)), pa.array(doc[rows]), pa.array(at[rows].astype(np.int32)), pa.array(off[rows].astype(np.int32)), packed, lists], ["h", "doc_id", "at", "off", "checks", "more"])
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """Anchor rows of each whole text: hash, doc_id, first window, place of the anchor in it, checks of the windows."""
+    """Anchor rows of each whole text: hash, doc_id, first window, place of the anchor in it, checks of the windows.
+
+    Rows of a batch with the same windows are one before they are shuffled; `more` has its other documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hasher = WordHasher()
         for batch in batches:
-            rows = ((i, t.split()) for i, t in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1)), strict=True))
-            for part in chunks(rows, lambda r: len(r[1]), 300_000):
-                yield anchor_rows([i for i, _ in part], [t for _, t in part], hashes)
+            rows = zip(batch.column(0).to_pylist(), binary_texts(batch.column(1)), strict=True)
+            for near in chunks(rows, lambda r: len(r[1]), 8 << 20):
+                parts = [anchor_rows([i for i, _ in part], [t for _, t in part], hasher) for part in chunks(near, lambda r: len(r[1]), 1 << 20)]
+                yield combined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return docs.select("doc_id", "text").mapInArrow(run, _ROW)
 
@@ -68,13 +87,17 @@ def repeated_windows(new: DataFrame, runs: list[DataFrame]) -> DataFrame:
     """doc_id and the starts of its windows that a smaller doc_id has, here or in a run; only such documents."""
     both = new
     for run in runs:
-        both = both.unionByName(run.withColumn("at", F.lit(-1)))
+        both = both.unionByName(run.withColumns({"at": F.lit(-1), "more": F.lit(None).cast(run.schema["more"].dataType)}))
     met = Window.partitionBy("h")
-    both = both.withColumns({"low": F.min("doc_id").over(met), "high": F.max("doc_id").over(met)}).where("low < high")
-    each = both.select("h", "doc_id", "at", "off", "checks", F.explode(F.sequence(F.lit(0), (F.length("checks") / 4).cast("int") - 1)).alias("j"))
-    each = each.select("h", "doc_id", F.when(F.col("at") >= 0, F.col("at") + F.col("j")).alias("place"), (F.col("off") - F.col("j")).alias("off"), F.expr("substring(checks, 4 * j + 1, 4)").alias("check"))
+    both = both.withColumn("top", F.coalesce(F.element_at("more", -1)["doc_id"], F.col("doc_id")))
+    both = both.withColumns({"low": F.min("doc_id").over(met), "high": F.max("top").over(met)}).where("low < high")
+    each = both.select("h", "doc_id", "top", "at", "more", "off", "checks", F.explode(F.sequence(F.lit(0), (F.length("checks") / 4).cast("int") - 1)).alias("j"))
+    each = each.select("h", "doc_id", "top", "at", "more", "j", (F.col("off") - F.col("j")).alias("off"), F.expr("substring(checks, 4 * j + 1, 4)").alias("check"))
     owner = F.first("doc_id").over(Window.partitionBy("h", "off", "check").orderBy("doc_id"))
-    return each.withColumn("owner", owner).where("owner < doc_id and place is not null").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    each = each.withColumn("owner", owner).where("owner < top and at >= 0")
+    own = F.array(F.struct("doc_id", "at"))
+    each = each.select("owner", "j", F.explode(F.when(F.col("more").isNull(), own).otherwise(F.concat(own, "more"))).alias("x")).where("x.doc_id > owner")
+    return each.select("x.doc_id", (F.col("x.at") + F.col("j")).alias("place")).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
 
 
 def remove(docs: DataFrame, repeated: DataFrame, with_text: bool = False) -> DataFrame:
@@ -83,7 +106,7 @@ def remove(docs: DataFrame, repeated: DataFrame, with_text: bool = False) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, places in zip(binary_texts(batch.column(1)), batch.column(2), strict=True):
+            for text, places in zip(unpack(batch.column(1)), batch.column(2), strict=True):
                 found = text.split()
                 gone = np.zeros(len(found) + SIZE, np.int32)
                 if places.is_valid:
@@ -97,7 +120,7 @@ def remove(docs: DataFrame, repeated: DataFrame, with_text: bool = False) -> Dat
             n, r, sha, out = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(sha, pa.string()), pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
 
-    joined = docs.join(repeated.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "places")
+    joined = pack_texts(docs).join(repeated.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "packed", "places")
     out = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
     return out if with_text else out.drop("text")
 
@@ -116,7 +139,7 @@ class FingerprintIndex:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         new = anchors(docs)
         if not last:
-            new = materialize(new.repartition("h").sortWithinPartitions("h"), "fingerprints")
+            new = materialize(new.sortWithinPartitions("h"), "fingerprints")  # each task writes a sorted segment
         out = remove(docs, repeated_windows(new, self.runs), with_text)
         if not last:
             self.runs = [*self.runs, new]
@@ -129,8 +152,9 @@ class FingerprintIndex:
         rows = self.runs[0]
         for run in self.runs[1:]:
             rows = rows.unionByName(run)
-        merged = rows.groupBy("h", "off", "checks").agg(F.min("doc_id").alias("doc_id")).withColumn("at", F.lit(-1))
-        self.runs = [materialize(merged.select("h", "doc_id", "at", "off", "checks").repartition("h").sortWithinPartitions("h"), "fingerprints")]
+        merged = rows.groupBy("h", "off", "checks").agg(F.min("doc_id").alias("doc_id"))
+        merged = merged.select("h", "doc_id", F.lit(-1).alias("at"), "off", "checks", F.lit(None).cast(rows.schema["more"].dataType).alias("more"))
+        self.runs = [materialize(merged.repartition("h").sortWithinPartitions("h"), "fingerprints")]
 
 
 def substring_dedup(docs: DataFrame, share: float = 0.125, with_text: bool = False) -> DataFrame:
