@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_texts, materialize, mix, rolled
+from .common import WordHasher, binary_texts, chunks, materialize, mix, pack_texts, rolled, unpack
 from .components import components
 
 SHINGLE, SHARE = 5, 75
@@ -31,14 +31,17 @@ COUNTERS = 2**18
 CHUNK = 1024
 
 
-def shingles(found: list[bytes], hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles (bytes.lower changes A-Z alone); fewer than five words are one shingle."""
-    if not found:
-        return np.empty(0, np.uint64)
-    w = hashes.of(found)
-    if len(w) < SHINGLE:
-        return mix(rolled(w, len(w)) + np.uint64(len(w)))
-    return np.unique(rolled(w, SHINGLE))
+def shingle_sets(texts: list[bytes], hasher: WordHasher) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles; fewer than five words are one shingle."""
+    for part in chunks(texts, len, 1 << 20):
+        w, begins = hasher.of(part, lower=True)
+        runs = rolled(w, SHINGLE)
+        for at, end in zip(begins.tolist(), begins.tolist()[1:]):
+            n = end - at
+            if n >= SHINGLE:
+                yield np.unique(runs[at : end - SHINGLE + 1])
+            else:
+                yield mix(rolled(w[at:end], n) + np.uint64(n)) if n else np.empty(0, np.uint64)
 
 
 def prefix_length(n: int) -> int:
@@ -102,43 +105,44 @@ class RTree:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: doc_id, n, key (of the set) for each document; bucket, hits for each counter of a task."""
+    """Rows of two kinds: doc_id, n, key (of the set), point for each document; bucket, hits for a task's counters."""
+    names = ["doc_id", "n", "key", "point", "bucket", "hits"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, hits = WordHashes(), np.zeros(COUNTERS, np.int64)
-        names = ["doc_id", "n", "key", "bucket", "hits"]
+        hasher, hits = WordHasher(), np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            sizes, keys = [], []
-            for text in binary_texts(batch.column(1)):
-                s = shingles(text.lower().split(), hashes)
-                sizes.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            rows = []
+            for s in shingle_sets(binary_texts(batch.column(1)), hasher):
+                rows.append((len(s), set_key(s), point(s).tobytes() if len(s) else None))
                 np.add.at(hits, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-            none = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int64())], names)
+            columns = [batch.column(0), *(zip(*rows, strict=True) if rows else ((), (), ())), pa.nulls(len(rows)), pa.nulls(len(rows))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, tuple) else c.cast(t) for c, t in zip(columns, kinds, strict=True)], names)
         at = np.flatnonzero(hits)
-        none = len(at)
-        yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.array(at.astype(np.int32)), pa.array(hits[at])], names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), t) for t in kinds[:4]), pa.array(at.astype(np.int32)), pa.array(hits[at])], names)
+
+    return docs.mapInArrow(run, "doc_id long, n long, key binary, point binary, bucket int, hits long")
+
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, bucket int, hits long")
+def set_key(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
 def _prefixes(docs: DataFrame, hits: np.ndarray) -> DataFrame:
-    """key and the prefix of each document that has shingles."""
+    """doc_id, key and the prefix of each document that has shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(hits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hasher = WordHasher()
         for batch in batches:
             ids, keys, flat, ends = [], [], [], [0]
-            for doc_id, text in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1)), strict=True):
-                s = shingles(text.lower().split(), hashes)
+            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(binary_texts(batch.column(1)), hasher), strict=True):
                 if len(s):
                     # s is sorted, so ties of the count keep the order of the hashes
                     rare = np.argsort(shared.value[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
                     first = s[rare[: prefix_length(len(s))]]
                     ids.append(doc_id)
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    keys.append(set_key(s))
                     flat.append(first.view(np.int64))
                     ends.append(ends[-1] + len(first))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
@@ -147,26 +151,11 @@ def _prefixes(docs: DataFrame, hits: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key binary, prefix array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """id, n, sorted shingle hashes and point."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            found = [shingles(t.lower().split(), hashes) for t in binary_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary()), pa.array([point(s).tobytes() for s in found], pa.binary())],
-                ["id", "n", "members", "point"],
-            )
-
-    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id long, n long, members binary, point binary")
-
-
 def _side(sets: DataFrame, end: str, *columns: str) -> DataFrame:
     return sets.select(F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns))
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs (u, v) whose sizes and points let them link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,74 +164,77 @@ def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = [fit(a, b, np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")) for a, b, x, y in zip(n, m, p, q, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(side, keep, strict=True) if k], pa.int64()) for side in (u, v)], ["u", "v"])
 
-    both = pairs.join(_side(sets, "u", "n", "point"), "u").join(_side(sets, "v", "n", "point"), "v")
+    both = pairs.join(_side(points, "u", "n", "point"), "u").join(_side(points, "v", "n", "point"), "v")
     sized = both.where(f"100 * least(n_u, n_v) >= {SHARE} * greatest(n_u, n_v)")
     return sized.select("u", "v", "n_u", "n_v", "point_u", "point_v").mapInArrow(run, "u long, v long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) that link, by their whole sets."""
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (u, v) that link, by the whole sets of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * shared >= SHARE * (len(a) + len(b) - shared))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for a, b in zip(shingle_sets(unpack(part.column(2)), hasher), shingle_sets(unpack(part.column(3)), hasher), strict=True):
+                    keep.append(linked(a, b))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(_side(sets, "u", "members"), "u").join(_side(sets, "v", "members"), "v")
-    return both.select("u", "v", "members_u", "members_v").mapInArrow(run, "u long, v long")
+    both = pairs.join(_side(texts, "u", "packed"), "u").join(_side(texts, "v", "packed"), "v")
+    return both.select("u", "v", "packed_u", "packed_v").mapInArrow(run, "u long, v long")
 
 
-def _blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different components that an R-tree of each block lets through."""
-    order = Window.partitionBy("h").orderBy("n", "id")
-    rows = mixed.join(sets.select("id", "n", "point"), "id")
-    rows = rows.withColumn("chunk", ((F.row_number().over(order) - 1) / CHUNK).cast("int")).withColumn("last", F.max("chunk").over(Window.partitionBy("h")))
+def _candidates(mixed: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different components that the bound lets through inside the blocks of `mixed` (pivot, id, component).
+
+    Each chunk's R-tree is asked for the partners of its own and of later chunks' members.
+    """
+    order = Window.partitionBy("pivot").orderBy("n", "id")
+    rows = mixed.join(points, "id")
+    rows = rows.withColumn("chunk", ((F.row_number().over(order) - 1) / CHUNK).cast("int")).withColumn("last", F.max("chunk").over(Window.partitionBy("pivot")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
-    rows = rows.select("h", "low", "high", "chunk", "id", "component", "n", "point").repartition("h", "low", "high").sortWithinPartitions("h", "low", "high")
+    rows = rows.select("pivot", "low", "high", "chunk", "id", "component", "n", "point").repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
 
     def search(part: list[tuple]) -> Iterator[tuple[int, int]]:
-        ids, labels, chunk = (np.array([r[k] for r in part]) for k in (4, 5, 3))
-        sizes = np.array([r[6] for r in part])
-        points = [np.frombuffer(r[7], "<u2") for r in part]
-        groups = min(map(len, points))
-        tree = RTree(sizes, np.array([folded(p, groups) for p in points], np.int32))
+        sizes, chunk = (np.array([r[k] for r in part]) for k in (6, 3))
+        raw = [np.frombuffer(r[7], "<u2") for r in part]
+        groups = min(map(len, raw))
+        tree = RTree(sizes, np.array([folded(p, groups) for p in raw], np.int32))
         same = part[0][1] == part[0][2]
         nodes = np.arange(len(part)) if same else np.flatnonzero(chunk == part[0][1])
         queries = np.arange(len(part)) if same else np.flatnonzero(chunk != part[0][1])
         for i, j in tree.pairs(nodes, queries):
-            keep = labels[i] != labels[j]
-            if same:
-                keep &= ids[i] > ids[j]
-            yield from zip(np.maximum(ids[i], ids[j])[keep].tolist(), np.minimum(ids[i], ids[j])[keep].tolist(), strict=True)
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                if not (same and x <= y) and part[x][5] != part[y][5] and fit(part[x][6], part[y][6], raw[x], raw[y]):
+                    yield max(part[x][4], part[y][4]), min(part[x][4], part[y][4])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: list[tuple] = []
-
-        def found(pairs) -> pa.RecordBatch:
-            u, v = zip(*pairs, strict=True) if pairs else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
         for batch in batches:
             out: list = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part and row[:3] != part[0][:3]:
                     out += search(part)
                     part = []
-                    if len(out) > 100_000:
-                        yield found(list(dict.fromkeys(out)))
-                        out = []
                 part.append(row)
-            yield found(list(dict.fromkeys(out)))
-        if part:
-            yield found(list(dict.fromkeys(search(part))))
+            yield as_pairs(out)
+        yield as_pairs(list(search(part)) if part else [])
 
     return rows.mapInArrow(run, "u long, v long").distinct()
 
 
+def as_pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= SHARE * (len(a) + len(b) - shared)
+
+
 def ngram_join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
@@ -256,6 +248,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     hits = np.zeros(COUNTERS, np.int64)
     for row in counted.where("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).collect():
         hits[row["bucket"]] = row["hits"]
+    points = materialize(counted.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "point")).alias("x")).select(F.col("x.doc_id").alias("id"), "x.n", "x.point"), "points")
     sets_of = members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"))
 
     # blocks: shingles of prefixes that two sets share, with the smallest document of each
@@ -263,19 +256,20 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     block = Window.partitionBy("h")
     entries = distinct.select("id", F.explode("prefix").alias("h")).withColumns({"pivot": F.min("id").over(block), "high": F.max("id").over(block)})
     entries = materialize(entries.where("pivot < high").select("h", "id", "pivot"), "blocks")
-    sets = materialize(_sets(docs.join(entries.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")), "sets")
+    # texts of the documents that share a block with another
+    texts = materialize(pack_texts(docs).join(entries.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "packed"), "texts")
 
     # each member against its block's smallest document
     stars = entries.where("id > pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
-    links = materialize(_verified(_bounded(stars, sets), sets), "links")
+    links = materialize(_verified(materialize(_bounded(stars, points), "pairs"), texts), "links")
     label = components(links)
 
-    # blocks that still hold several components; of blocks with the same members, one
-    labelled = entries.select("h", "id").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = labelled.withColumns({"low": F.min("component").over(block), "high": F.max("component").over(block), "count": F.count("*").over(block), "sum": F.sum(F.xxhash64("id").cast("decimal(38,0)")).over(block)})
-    mixed = materialize(labelled.where("low < high").select("h", "id", "component", "count", "sum"), "blocks")
-    chosen = mixed.groupBy("count", "sum").agg(F.min("h").alias("h")).select("h")
-    more = materialize(_verified(materialize(_blocks(mixed.join(chosen, "h", "left_semi"), sets), "pairs"), sets), "links")
+    # blocks that still hold several components; blocks with one smallest document are one
+    member = entries.select("pivot", "id").distinct()
+    labelled = member.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    whole = Window.partitionBy("pivot")
+    mixed = labelled.withColumns({"low": F.min("component").over(whole), "high": F.max("component").over(whole)}).where("low < high").select("pivot", "id", "component")
+    more = materialize(_verified(materialize(_candidates(mixed, points), "pairs"), texts), "links")
 
     final = components(links.unionByName(more))
     named = sets_of.join(final.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
