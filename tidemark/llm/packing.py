@@ -8,52 +8,76 @@ until the emptiest bins run empty. A group loses at most its last, partly filled
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, materialize
+from .common import binary_texts, chunks, materialize
 
 
-class WordIds(dict):
+#: Between a letter and punctuation the tokenizer cuts anyway, and it lower-cases anyway.
+CUT = re.compile(rb"(?<=[a-z])(?=[!-/:-@\\[-`{-~])")
+
+
+def split_runs(text: bytes) -> list[bytes]:
+    """Runs of text whose ids, one after another, are the text's ids."""
+    if b"<|" not in text:  # a special token must stay as it is
+        text = CUT.sub(b" ", text.lower())
+    return text.replace(b"\n", b" ").split(b" ")
+
+
+class WordIds:
     """Little-endian 32-bit ids of each space-free run of text, remembered for up to `room` of them.
 
-    The tokenizer never joins characters across a space or line feed, so a text's ids are those of its runs.
+    The tokenizer never joins characters across a space or line feed, so a text's ids are those of its runs. Runs
+    that are new are tokenised together.
     """
 
-    def __init__(self, tokenizer, room: int = 300_000):
-        super().__init__()
-        self.tokenizer, self.room = tokenizer, room
+    def __init__(self, path: str, room: int = 1_000_000):
+        from tokenizers import Tokenizer
 
-    def __missing__(self, run: bytes) -> bytes:
-        ids = self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids
-        value = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(run) < 100:
-            if len(self) >= self.room:
-                self.clear()
-            self[run] = value
-        return value
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {}
 
-    def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace(b"\n", b" ").split(b" ")))
+    def of(self, texts: list[bytes]) -> Iterator[bytes]:
+        for part in chunks(texts, len, 4 << 20):
+            runs = [split_runs(t) for t in part]
+            if len(self.known) >= self.room:
+                self.known.clear()
+            new = list(set().union(*runs) - self.known.keys())
+            own = self.known
+            found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)
+            fresh = {x: np.asarray(e.ids, "<u4").tobytes() for x, e in zip(new, found, strict=True)}
+            own.update((x, v) for x, v in fresh.items() if len(x) < 100)
+            long = {x: v for x, v in fresh.items() if len(x) >= 100}
+            for words in runs:
+                yield b"".join([own[x] if x in own else long[x] for x in words] if long else map(own.__getitem__, words))
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, which serves many tasks."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. Null text counts as empty: only the end id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        ids, end, step = WordIds(Tokenizer.from_file(tokenizer_path)), end_id.to_bytes(4, "little"), 4 * capacity
+        ids, end, step = word_ids(tokenizer_path), end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1)), strict=True):
-                whole = ids.of(text) + end
+            for doc_id, body in zip(batch.column(0).to_pylist(), ids.of(binary_texts(batch.column(1))), strict=True):
+                whole = body + end
                 for k, at in enumerate(range(0, len(whole), step)):
                     part = whole[at : at + step]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
