@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from tidemark.plans import features, filing, marts, quality, restated  # noqa: E402, F401
+from tidemark.plans import analyses, features, filing, marts, quality, restated  # noqa: E402, F401

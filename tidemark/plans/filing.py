@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT
@@ -37,9 +37,20 @@ def m25_lag_trend(spark, sf):
     return per.select(*keys, "quarter", "n", r("mean").alias("mean_lag"), r("p90").alias("p90_lag"), "idx", r(ops.trailing(F.col("mean"), keys, "quarter", DEFAULT.season)).alias("trailing_mean"), r(F.lag("mean", DEFAULT.season).over(line)).alias("year_before"), r(F.regr_slope("mean", "idx").over(all_)).alias("slope"), r(F.regr_r2("mean", "idx").over(all_)).alias("r2"))
 
 
-@query(f"""with {t.SUB}, d as (select *, case when form_type = '10-K' then case filer_status when '1-LAF' then 60 when '2-ACC' then 75 else 90 end else case when filer_status in ('1-LAF', '2-ACC') then 40 else 45 end end as days
+MARGINS = f"""
+{t.SUB}, d as (select *, case when form_type = '10-K' then case filer_status when '1-LAF' then 60 when '2-ACC' then 75 else 90 end else case when filer_status in ('1-LAF', '2-ACC') then 40 else 45 end end as days
         from sub where form_type in ('10-K', '10-Q')),
-    m as (select *, ((period_end_date + days::int) + case isodow(period_end_date + days::int) when 6 then 2 when 7 then 1 else 0 end - filed_date)::int as margin from d),
+    m as (select *, ((period_end_date + days::int) + case isodow(period_end_date + days::int) when 6 then 2 when 7 then 1 else 0 end - filed_date)::int as margin from d)"""
+
+
+def margins(spark, sf) -> DataFrame:
+    """Annual and quarterly reports with `margin`, the days from filing to the due date."""
+    k = F.col("form_type") == "10-K"
+    days = F.when(k, F.when(F.col("filer_status") == "1-LAF", 60).when(F.col("filer_status") == "2-ACC", 75).otherwise(90)).otherwise(F.when(F.col("filer_status").isin("1-LAF", "2-ACC"), 40).otherwise(45))
+    return t.submissions(spark, sf).where(F.col("form_type").isin("10-K", "10-Q")).withColumn("margin", F.datediff(next_weekday(F.date_add("period_end_date", days)), "filed_date"))
+
+
+@query(f"""with {MARGINS},
     f as (select *, margin <= 1 as at_deadline, row_number() over (partition by cik order by filed_date, adsh) as seq from m),
     i as (select *, seq - row_number() over (partition by cik order by seq) as island from f where at_deadline),
     r as (select cik, max(n) as longest_run, count(*) as n_runs from (select cik, island, count(*) as n from i group by 1, 2) group by 1)
@@ -47,10 +58,7 @@ def m25_lag_trend(spark, sf):
     case when coalesce(any_value(longest_run), 0) = 0 then 'never' when any_value(longest_run) >= 3 then 'habitual' when any_value(n_runs) >= 3 then 'episodic' when any_value(n_runs) = 1 and any_value(longest_run) = 1 then 'isolated' else 'intermittent' end as pattern
     from f left join r on r.cik = f.cik group by 1""")
 def m26_deadline_filers(spark, sf):
-    k = F.col("form_type") == "10-K"
-    days = F.when(k, F.when(F.col("filer_status") == "1-LAF", 60).when(F.col("filer_status") == "2-ACC", 75).otherwise(90)).otherwise(F.when(F.col("filer_status").isin("1-LAF", "2-ACC"), 40).otherwise(45))
-    rows = t.submissions(spark, sf).where(F.col("form_type").isin("10-K", "10-Q")).withColumn("margin", F.datediff(next_weekday(F.date_add("period_end_date", days)), "filed_date"))
-    rows = rows.withColumn("at_deadline", F.col("margin") <= DEFAULT.deadline_margin)
+    rows = margins(spark, sf).withColumn("at_deadline", F.col("margin") <= DEFAULT.deadline_margin)
     runs = ops.islands(rows, "cik", ["filed_date", "adsh"], "at_deadline", "filed_date").groupBy("cik").agg(F.max("run_length").alias("longest"), F.count("*").alias("n_runs"))
     per = rows.groupBy("cik").agg(F.count("*").alias("n_filings"), F.count_if("at_deadline").alias("n_at_deadline"), F.count_if(F.col("margin") < 0).alias("n_late"), F.round(F.percentile("margin", 0.5), 4).alias("median_margin"))
     longest = F.coalesce("longest", F.lit(0))
