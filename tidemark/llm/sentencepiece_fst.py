@@ -45,6 +45,8 @@ class Transducer:
         self.fallback, self.bytes = 10.0 - min(normal), vocabulary.byte_ids
         self.apart = all(SPACE not in p.lstrip(SPACE) for p, _, kind in vocabulary.pieces if kind == NORMAL)
         self.known: dict[str, tuple[int, ...]] = {}
+        # the inverse writes these bytes for each id
+        self.plain = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in vocabulary.pieces]
 
     def normalise(self, text: str) -> str:
         return text and (SPACE if self.vocabulary.dummy_prefix else "") + text.replace(" ", SPACE)
@@ -87,11 +89,7 @@ class Transducer:
 
     def decode(self, ids: list[int]) -> str:
         """The inverse: pieces, then bytes, joined; space marks become spaces and the dummy prefix goes."""
-        out = bytearray()
-        for i in ids:
-            piece, _, kind = self.vocabulary.pieces[i]
-            out += bytes([int(piece[3:5], 16)]) if kind == BYTE else piece.replace(SPACE, " ").encode()
-        text = out.decode("utf-8", "replace")
+        text = b"".join(map(self.plain.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.vocabulary.dummy_prefix and text.startswith(" ") else text
 
 
