@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,27 @@ from .pieces import BYTE, NORMAL, SPACE, USER_DEFINED, Vocabulary, load
 STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
+class Paths(dict):
+    """Shortest paths of stretches, found when first asked for; those of short stretches are kept, up to `room`."""
+
+    def __init__(self, find: Callable[[str], tuple[int, ...]], room: int):
+        super().__init__()
+        self.find, self.room = find, room
+
+    def __missing__(self, run: str) -> tuple[int, ...]:
+        ids = self.find(run)
+        if len(run) < 100:
+            if len(self) >= self.room:
+                self.clear()
+            self[run] = ids
+        return ids
+
+
 class Transducer:
     """Input characters to piece ids. `arcs[state]` maps a character to a state; `final[state]` is (id, cost)."""
 
     def __init__(self, vocabulary: Vocabulary, room: int = 300_000):
-        self.vocabulary, self.room = vocabulary, room
+        self.vocabulary = vocabulary
         self.arcs: list[dict[str, int]] = [{}]
         self.final: list[tuple[int, float] | None] = [None]
         for i, (piece, score, kind) in enumerate(vocabulary.pieces):
@@ -44,7 +61,7 @@ class Transducer:
         normal = [s for _, s, kind in vocabulary.pieces if kind == NORMAL]
         self.fallback, self.bytes = 10.0 - min(normal), vocabulary.byte_ids
         self.apart = all(SPACE not in p.lstrip(SPACE) for p, _, kind in vocabulary.pieces if kind == NORMAL)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Paths(self.shortest, room)
         # the inverse writes these bytes for each id
         self.plain = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in vocabulary.pieces]
 
@@ -75,17 +92,8 @@ class Transducer:
 
     def encode(self, text: str) -> list[int]:
         whole = self.normalise(text)
-        out: list[int] = []
-        for run in STRETCH.findall(whole) if self.apart else [whole]:
-            ids = self.known.get(run)
-            if ids is None:
-                ids = self.shortest(run)
-                if len(run) < 100:
-                    if len(self.known) >= self.room:
-                        self.known.clear()
-                    self.known[run] = ids
-            out += ids
-        return out
+        runs = STRETCH.findall(whole) if self.apart else [whole]
+        return list(chain.from_iterable(map(self.known.__getitem__, runs)))
 
     def decode(self, ids: list[int]) -> str:
         """The inverse: pieces, then bytes, joined; space marks become spaces and the dummy prefix goes."""
