@@ -8,8 +8,10 @@ average. Table and layer are trained together by stochastic gradient descent in
 from __future__ import annotations
 
 import operator
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,10 @@ from pyspark.sql import functions as F
 from .common import binary_texts
 
 
+#: Odd numbers that spread the hashes of n-grams.
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
 @dataclass(frozen=True)
 class Settings:
     buckets: int = 2**15
@@ -33,11 +39,27 @@ class Settings:
     train_docs: int = 2000
 
 
-def subwords(word: bytes, s: Settings) -> list[int]:
-    """Buckets of a word (UTF-8) and of the n-grams of `<word>`."""
-    marked = f"<{word.decode('utf-8', 'replace')}>"
-    grams = [marked[i : i + n] for n in range(s.shortest, s.longest + 1) for i in range(len(marked) - n + 1)]
-    return [xxhash.xxh64_intdigest(word, seed=1) % s.buckets, *(xxhash.xxh64_intdigest(g) % s.buckets for g in grams)]
+def subwords(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words (UTF-8) and of the n-grams of each `<word>`, and beside each the word's place in the list."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # no word holds a line feed, so one ends each of them
+    text = (b"<" + b">\n<".join(words) + b">\n").decode("utf-8", "replace")
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    ends = np.flatnonzero(points == 10)
+    owner = np.repeat(np.arange(len(words)), np.diff(ends, prepend=-1))
+    left = ends[owner] - np.arange(len(points))
+    buckets = [np.array([xxhash.xxh64_intdigest(w, seed=1) % s.buckets for w in words], np.int64)]
+    owners = [np.arange(len(words))]
+    rolled = points
+    for n in range(2, s.longest + 1):
+        rolled = rolled[: len(points) - n + 1] * _STEP + points[n - 1 :]
+        if n >= s.shortest:
+            at = np.flatnonzero(left[: len(rolled)] >= n)
+            mixed = (rolled[at] + np.uint64(n)) * _MIX
+            buckets.append(((mixed ^ (mixed >> np.uint64(31))) % np.uint64(s.buckets)).astype(np.int64))
+            owners.append(owner[at])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 def repeat_mark(s: Settings) -> int:
@@ -52,19 +74,14 @@ def _features(docs: DataFrame, s: Settings) -> DataFrame:
     """doc_id, label and the bucket counts of each document, as packed arrays."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, list[int]] = {}
         for batch in batches:
             ids, counts = [], []
             for text in binary_texts(batch.column(2)):
                 found = text.split()
-                own: list[int] = [repeat_mark(s)] * repeats(found)
-                for word in found:
-                    if word not in known:
-                        if len(known) >= 100_000:
-                            known.clear()
-                        known[word] = subwords(word, s)
-                    own += known[word]
-                total = np.bincount(np.array(own, np.int64), minlength=1)
+                times = Counter(found)
+                buckets, owner = subwords(list(times), s)
+                total = np.bincount(buckets, np.fromiter(times.values(), np.float64, len(times))[owner], minlength=s.buckets)
+                total[repeat_mark(s)] += repeats(found)
                 at = np.flatnonzero(total)
                 ids.append(at.astype("<i4").tobytes())
                 counts.append(total[at].astype("<f4").tobytes())
@@ -124,6 +141,19 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[np.ndarray,
     return np.frombuffer(model["adds"], "<f8"), model["constant"]
 
 
+def _groups(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """All texts in order, in lists of at most so many bytes; a longer text comes alone."""
+    group, held = [], 0
+    for text in texts:
+        if group and held + len(text) > most:
+            yield group
+            group, held = [], 0
+        group.append(text)
+        held += len(text)
+    if group:
+        yield group
+
+
 def score(docs: DataFrame, adds: np.ndarray, constant: float, s: Settings) -> DataFrame:
     """doc_id and score of each whole text: the softmax for label 1 of the average of its vectors."""
     mark = float(adds[repeat_mark(s)])
@@ -134,22 +164,27 @@ def score(docs: DataFrame, adds: np.ndarray, constant: float, s: Settings) -> Da
         sums, sizes = np.zeros(room), np.zeros(room)
         for batch in batches:
             scores = []
-            for text in binary_texts(batch.column(1)):
-                found = text.split()
-                total = size = 0.0
-                for at in range(0, len(found), 100_000):
-                    part = found[at : at + 100_000]
+            for group in _groups(binary_texts(batch.column(1)), 2**20):
+                found = [text.split() for text in group]
+                flat = list(chain.from_iterable(found))
+                index = np.repeat(np.arange(len(group)), [len(f) for f in found])
+                total, size = np.zeros(len(group)), np.zeros(len(group))
+                for at in range(0, len(flat), 100_000):
+                    part = flat[at : at + 100_000]
                     if len(known) + len(part) > room:
                         known.clear()
-                    for word in {w for w in part if w not in known}:  # not a set difference, which walks all of known
-                        buckets, k = subwords(word, s), len(known)
-                        known[word], sums[k], sizes[k] = k, adds[buckets].sum(), len(buckets)
-                    index = np.fromiter(map(known.__getitem__, part), np.int64, len(part))
-                    total += sums[index].sum()
-                    size += sizes[index].sum()
-                n = repeats(found)
-                average = (total + n * mark) / (size + n) if size else 0.0
-                scores.append(float(1 / (1 + np.exp(-np.clip(average + constant, -50, 50)))))
+                    new = list(set(part).difference(known))
+                    buckets, owner = subwords(new, s)
+                    k = slice(len(known), len(known) + len(new))
+                    sums[k], sizes[k] = np.bincount(owner, adds[buckets], minlength=len(new)), np.bincount(owner, minlength=len(new))
+                    known.update(zip(new, range(k.start, k.stop), strict=True))
+                    word, doc = np.fromiter(map(known.__getitem__, part), np.int64, len(part)), index[at : at + len(part)]
+                    total += np.bincount(doc, sums[word], minlength=len(group))
+                    size += np.bincount(doc, sizes[word], minlength=len(group))
+                n = np.array([repeats(f) for f in found])
+                average = np.where(size > 0, (total + n * mark) / np.maximum(size + n, 1), 0.0)
+                # rounded, so that how texts fall into groups doesn't show
+                scores += np.round(1 / (1 + np.exp(-np.clip(average + constant, -50, 50))), 12).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
