@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -101,11 +102,17 @@ class Transducer:
         return text[1:] if self.vocabulary.dummy_prefix and text.startswith(" ") else text
 
 
+@lru_cache(maxsize=1)
+def compiled(model_path: str) -> Transducer:
+    """The machine of a model file; a worker keeps it, with the paths that it knows, from task to task."""
+    return Transducer(load(model_path), room=600_000)
+
+
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id and ids (array of int) of each text; null or empty text has no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(load(model_path))
+        machine = compiled(model_path)
         for batch in batches:
             ids = [machine.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -117,7 +124,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id and text of each row of ids; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(load(model_path))
+        machine = compiled(model_path)
         for batch in batches:
             texts = [machine.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -132,7 +139,7 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(load(model_path))
+        machine = compiled(model_path)
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
