@@ -9,6 +9,7 @@ one piece for each UTF-8 byte.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -85,6 +86,12 @@ class Counter(dict):
         return total
 
 
+@lru_cache(maxsize=1)
+def compiled(model_path: str) -> Counter:
+    """The counter of a model file; a worker keeps it, with the runs that it knows, from task to task."""
+    return Counter(load(model_path), room=600_000)
+
+
 def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     """One row per document: doc_id, n_tokens (0 for null or empty text). Repeated rows are counted one by one.
 
@@ -93,7 +100,7 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(load(model_path))
+        counter = compiled(model_path)
         for batch in batches:
             n = [counter.of(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
