@@ -2,10 +2,11 @@
 
 Each batch's windows of 13 words are summed up by anchors: the 5-word run with the least hash among those inside a
 window. Equal windows have equal anchors at equal places, and neighbouring windows share theirs, so an anchor row
-(hash, document, place, a 32-bit check of each of its windows) stands for about five windows. Sorted immutable
+(hash, document, place, a 64-bit check of each of its windows) stands for about five windows. Sorted immutable
 runs hold the anchor rows of earlier batches. A new batch is merged with them by hash; windows that meet under one
-anchor are verified by place and check (96 bits with the anchor's hash), and the smallest doc_id owns each. Runs
-are compacted into one, keeping the smallest owner, when there are more than `fanout` of them.
+anchor are verified by place and check, and the smallest doc_id owns each. A check is of the whole window and
+doesn't depend on the anchor: all windows of a common anchor share its hash, so only the check tells them apart.
+Runs are compacted into one, keeping the smallest owner, when there are more than `fanout` of them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 from .common import WordHasher, binary_texts, chunks, materialize, mix, pack_texts, rolled, unpack
 
 SIZE, ANCHOR = 13, 5
-_ROW = "h long, doc_id long, at int, off int, checks binary, more array<struct<doc_id:long,at:int>>"
+#: `checks`: a byte with the anchor's place in the first window, 8 bytes for each window, and in rows of a batch (not
+#: of a run) 4 bytes with the first window's place in its document; packed, since columns of their own shuffle more.
+_ROW = "h long, doc_id long, checks binary, more array<struct<doc_id:long,at:int>>"
+_OFF, _AT = (f"cast(conv(hex(substring(checks, {at}, {n})), 16, 10) as int)" for at, n in ((1, 1), (-4, 4)))
 
 
 def anchor_rows(ids: list[int], texts: list[bytes], hasher: WordHasher) -> tuple[np.ndarray, ...]:
@@ -29,12 +33,12 @@ def anchor_rows(ids: list[int], texts: list[bytes], hasher: WordHasher) -> tuple
     w, begins = hasher.of(texts)
     count = max(0, len(w) - SIZE + 1)
     if not count:
-        return (*(np.empty(0, t) for t in (np.uint64, np.int64, np.int32, np.int32, np.int32)), np.empty(0, "<u4"))
+        return (*(np.empty(0, t) for t in (np.uint64, np.int64, np.int32, np.int32, np.int32)), np.empty(0, np.uint64))
     doc = np.repeat(np.arange(len(ids)), np.diff(begins))
     inside = doc[:count] == doc[SIZE - 1 :]  # windows of one document
     grams = rolled(w, ANCHOR)
     place = np.lib.stride_tricks.sliding_window_view(grams, SIZE - ANCHOR + 1).argmin(axis=1) + np.arange(count)
-    checks = (rolled(w, SIZE, 0xD6E8FEB86659FD93) >> np.uint64(32)).astype("<u4")
+    checks = rolled(w, SIZE, 0xD6E8FEB86659FD93)
     windows = np.flatnonzero(inside)
     first = np.ones(len(windows), bool)
     first[1:] = (place[windows[1:]] != place[windows[:-1]]) | (doc[windows[1:]] != doc[windows[:-1]])
@@ -48,7 +52,7 @@ def combined(h, doc, at, off, size, checks) -> pa.RecordBatch:
     ends = np.cumsum(size)
     starts = ends - size
     step = np.arange(len(checks)) - np.repeat(starts, size)
-    body = np.add.reduceat(mix(checks.astype(np.uint64) + (step.astype(np.uint64) << np.uint64(32))), starts) if len(h) else np.empty(0, np.uint64)
+    body = np.add.reduceat(mix(checks + mix(step.astype(np.uint64) + np.uint64(1))), starts) if len(h) else np.empty(0, np.uint64)
     key = mix(h + mix(body + off.astype(np.uint64) * np.uint64(16) + size.astype(np.uint64)))
     order = np.lexsort((at, doc, key))
     head = np.ones(len(order), bool)
@@ -62,12 +66,23 @@ def combined(h, doc, at, off, size, checks) -> pa.RecordBatch:
     rest, per, rows = rest[by_page], per[page], rows[page]
     lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(doc[rest]), pa.array(at[rest].astype(np.int32))], ["doc_id", "at"]), mask=pa.array(per == 0))
     index = np.repeat(starts[rows] - (np.cumsum(size[rows]) - size[rows]), size[rows]) + np.arange(size[rows].sum())
-    packed = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.append(0, np.cumsum(size[rows])) * 4).astype(np.int32)), pa.py_buffer(checks[index].tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(h[rows].view(np.int64)), pa.array(doc[rows]), pa.array(at[rows].astype(np.int32)), pa.array(off[rows].astype(np.int32)), packed, lists], ["h", "doc_id", "at", "off", "checks", "more"])
+    edges = np.append(0, np.cumsum(8 * size[rows] + 5)).astype(np.int32)
+    body, inner = np.empty(edges[-1], np.uint8), np.ones(edges[-1], bool)
+    body[edges[:-1]], inner[edges[:-1]] = off[rows], False
+    for k, byte in enumerate(at[rows].astype(">i4").view(np.uint8).reshape(-1, 4).T):
+        body[edges[1:] - 4 + k], inner[edges[1:] - 4 + k] = byte, False
+    body[inner] = checks[index].view(np.uint8)
+    packed = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(edges), pa.py_buffer(body)])
+    return pa.RecordBatch.from_arrays([pa.array(h[rows].view(np.int64)), pa.array(doc[rows]), packed, lists], ["h", "doc_id", "checks", "more"])
+
+
+def owners(run: DataFrame) -> DataFrame:
+    """Anchor rows of a run without the places and other documents, which only their own batch needs."""
+    return run.withColumns({"checks": F.expr("substring(checks, 1, 8 * (length(checks) div 8) + 1)"), "more": F.lit(None).cast(run.schema["more"].dataType)})
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """Anchor rows of each whole text: hash, doc_id, first window, place of the anchor in it, checks of the windows.
+    """Anchor rows of each whole text: hash, doc_id, and the places and checks of the windows.
 
     Rows of a batch with the same windows are one before they are shuffled; `more` has its other documents.
     """
@@ -87,12 +102,13 @@ def repeated_windows(new: DataFrame, runs: list[DataFrame]) -> DataFrame:
     """doc_id and the starts of its windows that a smaller doc_id has, here or in a run; only such documents."""
     both = new
     for run in runs:
-        both = both.unionByName(run.withColumns({"at": F.lit(-1), "more": F.lit(None).cast(run.schema["more"].dataType)}))
+        both = both.unionByName(owners(run))
     met = Window.partitionBy("h")
     both = both.withColumn("top", F.coalesce(F.element_at("more", -1)["doc_id"], F.col("doc_id")))
     both = both.withColumns({"low": F.min("doc_id").over(met), "high": F.max("top").over(met)}).where("low < high")
-    each = both.select("h", "doc_id", "top", "at", "more", "off", "checks", F.explode(F.sequence(F.lit(0), (F.length("checks") / 4).cast("int") - 1)).alias("j"))
-    each = each.select("h", "doc_id", "top", "at", "more", "j", (F.col("off") - F.col("j")).alias("off"), F.expr("substring(checks, 4 * j + 1, 4)").alias("check"))
+    both = both.withColumns({"off": F.expr(_OFF), "at": F.when(F.length("checks") % 8 == 5, F.expr(_AT)).otherwise(-1)})
+    each = both.select("h", "doc_id", "top", "at", "more", "off", "checks", F.explode(F.sequence(F.lit(0), (F.length("checks") / 8).cast("int") - 1)).alias("j"))
+    each = each.select("h", "doc_id", "top", "at", "more", "j", (F.col("off") - F.col("j")).alias("off"), F.expr("substring(checks, 8 * j + 2, 8)").alias("check"))
     owner = F.first("doc_id").over(Window.partitionBy("h", "off", "check").orderBy("doc_id"))
     each = each.withColumn("owner", owner).where("owner < top and at >= 0")
     own = F.array(F.struct("doc_id", "at"))
@@ -152,8 +168,8 @@ class FingerprintIndex:
         rows = self.runs[0]
         for run in self.runs[1:]:
             rows = rows.unionByName(run)
-        merged = rows.groupBy("h", "off", "checks").agg(F.min("doc_id").alias("doc_id"))
-        merged = merged.select("h", "doc_id", F.lit(-1).alias("at"), "off", "checks", F.lit(None).cast(rows.schema["more"].dataType).alias("more"))
+        merged = owners(rows).groupBy("h", "checks").agg(F.min("doc_id").alias("doc_id"))
+        merged = merged.select("h", "doc_id", "checks", F.lit(None).cast(rows.schema["more"].dataType).alias("more"))
         self.runs = [materialize(merged.repartition("h").sortWithinPartitions("h"), "fingerprints")]
 
 
