@@ -20,8 +20,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each kept text: of rows with its doc_id, the longest (then the greatest by its columns)."""
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest")).distinct()
+    row = F.struct(F.length(F.coalesce("text", F.lit(""))), F.struct(*docs.columns).alias("row"))
+    keys = F.col("doc_id").cast("long").alias("id"), exact_dedup.digest(F.col("text")).alias("digest")
+    # repeated rows are one within each task, before the shuffle that the join needs as well
+    rows = docs.select(*keys, row.alias("x")).groupBy("id", "digest").agg(F.max("x").alias("x"))
+    return rows.join(kept, ["id", "digest"], "left_semi").select("x.row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +35,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    changed = substring_dedup.substring_dedup(docs, with_text=True).where("n_removed > 0").select("doc_id", F.col("text").alias("rest"))
-    text = F.coalesce("rest", "text")
-    new = {"text": text, "n_chars": F.when(F.col("rest").isNotNull(), F.length("rest").cast("long")).otherwise(F.col("n_chars"))}
-    return docs.join(changed, "doc_id", "left").select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    carried = docs.withColumn("row", F.struct(*rest, F.col("text").isNull().alias("no text")))
+    done = substring_dedup.substring_dedup(carried, with_text=True, others=("row",))
+    new = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.when(~F.col("row.no text"), F.col("text"))}
+    new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return done.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

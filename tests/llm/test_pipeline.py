@@ -35,3 +35,21 @@ def test_stages_keep_the_columns(spark, small):
     out = corpus_pipeline.substrings(spark, docs, small)
     assert out.where("n_chars <> length(text)").count() == 0 and out.count() == docs.count()
     assert re.fullmatch(r"doc_id.*", docs.columns[0])
+
+
+def test_repeated_rows(spark, small):
+    """Rows of a document that was loaded twice or more become one; a doc_id with two texts keeps both, each cut alone."""
+    words = [f"w{i}" for i in range(200)]
+    passage = " ".join(words[:40])
+    first, second, other = passage + " one", " ".join(words[60:90]) + " " + passage, " ".join(words[100:160])
+    rows = [(1, first), (2, second), (2, second), (2, second), (3, other), (3, other), (4, first), (4, "new " + " ".join(words[160:])), (5, other + " "), (5, other)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.exact(spark, docs, small)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, first), (2, second), (4, rows[7][1]), (5, other + " ")]
+    got = corpus_pipeline.near(spark, got, small)
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 4, 5]
+    rest = " ".join(words[60:90])
+    again = docs.sparkSession.createDataFrame([(d, t, "en", None, 0) for d, t in [(1, first), (2, second), (2, second), (2, other), (6, None)]], docs.schema)
+    got = sorted((r.doc_id, r.text or "", r.n_chars) for r in corpus_pipeline.substrings(spark, again, small).collect())
+    assert got == [(1, first, 0), (2, other, 0), (2, rest, len(rest)), (2, rest, len(rest)), (6, "", 0)]
+    assert corpus_pipeline.substrings(spark, again, small).where("text is null").count() == 1

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of the word rule: space and U+0009 to U+000D.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -120,17 +121,19 @@ def chunks(rows, weight, most: int):
         yield part
 
 
-def pack_texts(docs: DataFrame) -> DataFrame:
-    """doc_id and the text's UTF-8, compressed for a shuffle (null as empty)."""
+def pack_texts(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id and the text's UTF-8, compressed for a shuffle (null as empty), and other columns as they are."""
 
     def run(batches):
         import zstandard
 
         small = zstandard.ZstdCompressor(level=3, write_checksum=False)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([small.compress(t) for t in binary_texts(batch.column(1))], pa.binary())], ["doc_id", "packed"])
+            packed = pa.array([small.compress(t) for t in binary_texts(batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, *batch.columns[2:]], ["doc_id", "packed", *others])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
+    schema = StructType([*StructType.fromDDL("doc_id long, packed binary"), *(docs.schema[n] for n in others)])
+    return docs.select("doc_id", "text", *others).mapInArrow(run, schema)
 
 
 def unpack(column) -> list[bytes]:

@@ -18,7 +18,8 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, "")
 
 
-def _digest(text: Column) -> Column:
+def digest(text: Column) -> Column:
+    """SHA-256 of the normalised text."""
     return F.unhex(F.sha2(normalised(text), 256))
 
 
@@ -46,7 +47,7 @@ def exact_dedup(docs: DataFrame, salts: int = 8) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     won = materialize(winners(docs, salts), "exact-winners")
-    rows = docs.select("doc_id", _digest(F.col("text")).alias("digest"))
+    rows = docs.select("doc_id", digest(F.col("text")).alias("digest"))
     clashes = won.groupBy("digest").count().where("count > 1").select("digest")
     if clashes.isEmpty():
         # One text under each digest, so all rows of a digest have met in a group with that whole text.
@@ -54,6 +55,6 @@ def exact_dedup(docs: DataFrame, salts: int = 8) -> DataFrame:
     else:
         # Different texts under one digest: its rows compare the texts themselves.
         kept = won.join(docs.select(F.col("doc_id").alias("keep_id"), normalised(F.col("text")).alias("body")).distinct(), "keep_id")
-        whole = docs.select("doc_id", _digest(F.col("text")).alias("digest"), normalised(F.col("text")).alias("body"))
+        whole = docs.select("doc_id", digest(F.col("text")).alias("digest"), normalised(F.col("text")).alias("body"))
         found = whole.join(kept, ["digest", "body"])
     return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

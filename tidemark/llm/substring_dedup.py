@@ -18,10 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import WordHasher, binary_texts, chunks, materialize, mix, pack_texts, rolled, unpack
 
 SIZE, ANCHOR = 13, 5
+CHECK = 0xD6E8FEB86659FD93
 #: `checks`: a byte with the anchor's place in the first window, 8 bytes for each window, and in rows of a batch (not
 #: of a run) 4 bytes with the first window's place in its document; packed, since columns of their own shuffle more.
 _ROW = "h long, doc_id long, checks binary, more array<struct<doc_id:long,at:int>>"
@@ -38,7 +40,7 @@ def anchor_rows(ids: list[int], texts: list[bytes], hasher: WordHasher) -> tuple
     inside = doc[:count] == doc[SIZE - 1 :]  # windows of one document
     grams = rolled(w, ANCHOR)
     place = np.lib.stride_tricks.sliding_window_view(grams, SIZE - ANCHOR + 1).argmin(axis=1) + np.arange(count)
-    checks = rolled(w, SIZE, 0xD6E8FEB86659FD93)
+    checks = rolled(w, SIZE, CHECK)
     windows = np.flatnonzero(inside)
     first = np.ones(len(windows), bool)
     first[1:] = (place[windows[1:]] != place[windows[:-1]]) | (doc[windows[1:]] != doc[windows[:-1]])
@@ -99,7 +101,7 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(new: DataFrame, runs: list[DataFrame]) -> DataFrame:
-    """doc_id and the starts of its windows that a smaller doc_id has, here or in a run; only such documents."""
+    """doc_id and the starts and checks of its windows that a smaller doc_id has, here or in a run; only such documents."""
     both = new
     for run in runs:
         both = both.unionByName(owners(run))
@@ -112,32 +114,49 @@ def repeated_windows(new: DataFrame, runs: list[DataFrame]) -> DataFrame:
     owner = F.first("doc_id").over(Window.partitionBy("h", "off", "check").orderBy("doc_id"))
     each = each.withColumn("owner", owner).where("owner < top and at >= 0")
     own = F.array(F.struct("doc_id", "at"))
-    each = each.select("owner", "j", F.explode(F.when(F.col("more").isNull(), own).otherwise(F.concat(own, "more"))).alias("x")).where("x.doc_id > owner")
-    return each.select("x.doc_id", (F.col("x.at") + F.col("j")).alias("place")).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    each = each.select("owner", "j", "check", F.explode(F.when(F.col("more").isNull(), own).otherwise(F.concat(own, "more"))).alias("x")).where("x.doc_id > owner")
+    return each.select("x.doc_id", (F.col("x.at") + F.col("j")).alias("place"), "check")
 
 
-def remove(docs: DataFrame, repeated: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and text, unless nothing goes: null) of each document."""
+def remove(docs: DataFrame, repeated: DataFrame, with_text: bool = False, several: bool = False, others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (and text, as it was where nothing goes) of each row, and its other columns.
+
+    `several`: some doc_id has more than one row; each row's text is held against the checks of the windows, so
+    that a row loses only what it has.
+    """
+    item = F.struct("place", "check") if several else F.struct("place")
+    repeated = repeated.groupBy("doc_id").agg((F.collect_set if several else F.collect_list)(item).alias("places"))
+
+    def own(text: bytes, places: pa.Array, hasher: WordHasher) -> np.ndarray:
+        at = places.field(0).to_numpy()
+        if several:
+            checks = rolled(hasher.of([text])[0], SIZE, CHECK)
+            want = np.frombuffer(b"".join(places.field(1).to_pylist()), np.uint64)
+            inside = at < len(checks)
+            at = at[inside][checks[at[inside]] == want[inside]]
+        return np.unique(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
         for batch in batches:
             rows = []
             for text, places in zip(unpack(batch.column(1)), batch.column(2), strict=True):
                 found = text.split()
                 gone = np.zeros(len(found) + SIZE, np.int32)
                 if places.is_valid:
-                    at = np.unique(places.values.to_numpy())
+                    at = own(text, places.values, hasher)
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + SIZE, -1)
                 stays = np.cumsum(gone)[: len(found)] == 0
                 kept = b" ".join(found if stays.all() else [x for x, s in zip(found, stays.tolist(), strict=True) if s])
                 removed = int(len(found) - stays.sum())
-                rows.append((len(found), removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text and removed else None))
+                rows.append((len(found), removed, hashlib.sha256(kept).hexdigest(), (kept if removed else text).decode("utf-8", "replace") if with_text else None))
             n, r, sha, out = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(sha, pa.string()), pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(sha, pa.string()), pa.array(out, pa.string()), *batch.columns[3:]], ["doc_id", "n_words", "n_removed", "kept_sha256", "text", *others])
 
-    joined = pack_texts(docs).join(repeated.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "packed", "places")
-    out = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
+    joined = pack_texts(docs, *others).join(repeated.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "packed", "places", *others)
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
+    out = joined.mapInArrow(run, StructType([*schema, *(docs.schema[n] for n in others)]))
     return out if with_text else out.drop("text")
 
 
@@ -147,16 +166,17 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, fanout: int = 4):
         self.spark, self.fanout, self.runs = spark, fanout, []
 
-    def add(self, docs: DataFrame, last: bool = False, with_text: bool = False) -> DataFrame:
+    def add(self, docs: DataFrame, last: bool = False, with_text: bool = False, others: tuple[str, ...] = ()) -> DataFrame:
         """Remove from a batch what it shares with smaller doc_ids, here or in earlier batches.
 
         Its fingerprints become a run, unless it is the last batch that is asked for.
         """
-        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
+        several = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
         new = anchors(docs)
         if not last:
             new = materialize(new.sortWithinPartitions("h"), "fingerprints")  # each task writes a sorted segment
-        out = remove(docs, repeated_windows(new, self.runs), with_text)
+        out = remove(docs, repeated_windows(new, self.runs), with_text, several, others)
         if not last:
             self.runs = [*self.runs, new]
             if len(self.runs) > self.fanout:
@@ -173,17 +193,18 @@ class FingerprintIndex:
         self.runs = [materialize(merged.repartition("h").sortWithinPartitions("h"), "fingerprints")]
 
 
-def substring_dedup(docs: DataFrame, share: float = 0.125, with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256.
+def substring_dedup(docs: DataFrame, share: float = 0.125, with_text: bool = False, others: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_words, n_removed, kept_sha256 (and text, as it was where nothing goes; and `others`).
 
     Each word goes that a window of 13 words covers which also starts in a document with a smaller doc_id, as the
     input has them. Documents come in two batches by doc_id: the first `share` of them is indexed as a run, the
     others are merged with it. Null text has no words. A document that repeats a window only within itself keeps
-    it. Rows that repeat a doc_id are one document's. An empty table gives an empty result.
+    it. Rows that repeat a doc_id are one document's, and each loses what a smaller doc_id has. An empty table gives
+    an empty result. `others` are columns to carry along under names that the result doesn't have yet.
     """
     index = FingerprintIndex(docs.sparkSession)
     cut = docs.agg(F.percentile_approx("doc_id", F.lit(share), F.lit(1000))).first()[0]
     if cut is None:
-        return index.add(docs, last=True, with_text=with_text)
-    first = index.add(docs.where(F.col("doc_id") <= cut), with_text=with_text)
-    return first.unionByName(index.add(docs.where((F.col("doc_id") > cut) | F.col("doc_id").isNull()), last=True, with_text=with_text))
+        return index.add(docs, last=True, with_text=with_text, others=others)
+    first = index.add(docs.where(F.col("doc_id") <= cut), with_text=with_text, others=others)
+    return first.unionByName(index.add(docs.where((F.col("doc_id") > cut) | F.col("doc_id").isNull()), last=True, with_text=with_text, others=others))
