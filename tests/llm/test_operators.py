@@ -271,6 +271,17 @@ def test_swaps_fill_bins():
     assert len(packing.improve(bins, lengths, 15)) == 2
 
 
+def test_swaps_reach_all_bins():
+    """Best fit leaves a quarter more bins than tokens need; the search goes on until nothing gains."""
+    rng = random.Random(4)
+    lengths = [rng.randint(600, 760) for _ in range(8000)]
+    first = packing.best_fit(lengths, 2048)
+    better = packing.improve([list(b) for b in first], lengths, 2048)
+    assert sorted(i for b in better for i in b) == list(range(len(lengths)))
+    assert max(sum(lengths[i] for i in b) for b in better) <= 2048
+    assert len(better) <= 0.93 * len(first)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 %s<aside>Side</aside><form><p>Search</p><input></form><div id="comments"><p>First!</p></div><footer>&copy; me</footer></body></html>"""

@@ -2,8 +2,8 @@
 
 Documents become pieces of at most `capacity` tokens. Pieces are dealt by a hash into groups of bounded size and
 each group is packed on its own: best-fit decreasing gives the first bins, then local search over the underfull
-bins moves a piece, exchanges one piece for one or two for one whenever that raises the sum of squared fills,
-until the emptiest bins run empty. A group loses at most its last, partly filled bins.
+bins moves a piece or two, or exchanges one or two for one, as long as that raises the sum of squared fills and a
+bin can be spared. The open bins are indexed by piece length and room. A group loses at most its last, partly filled bins.
 """
 
 from __future__ import annotations
@@ -111,68 +111,91 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, effort: int = 200_000) -> list[list[int]]:
+class OpenBins:
+    """Bins with room, by the lengths of their pieces (0 stands in all of them) and then by room."""
+
+    def __init__(self, bins: list[list[int]], fill: list[int], lengths: list[int], capacity: int):
+        self.bins, self.fill, self.lengths, self.capacity = bins, fill, lengths, capacity
+        self.of: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+        for b, total in enumerate(fill):
+            if 0 < total < capacity:
+                for size in self._sizes(b):
+                    self.of[size].append((capacity - total, b))
+        for rooms in self.of:
+            rooms.sort()
+        #: The most that a bin can hold of other pieces in place of one of this length.
+        self.reach = np.array([size + rooms[-1][0] if rooms else 0 for size, rooms in enumerate(self.of)])
+
+    def _sizes(self, b: int) -> set[int]:
+        return {0, *(self.lengths[i] for i in self.bins[b])}
+
+    def drop(self, b: int) -> None:
+        for size in self._sizes(b):
+            rooms = self.of[size]
+            rooms.pop(bisect_left(rooms, (self.capacity - self.fill[b], b)))
+            self.reach[size] = size + rooms[-1][0] if rooms else 0
+
+    def put(self, b: int) -> None:
+        if self.fill[b] < self.capacity:
+            for size in self._sizes(b):
+                insort(self.of[size], (self.capacity - self.fill[b], b))
+                self.reach[size] = size + self.of[size][-1][0]
+
+    def step(self, source: int) -> bool:
+        """Carry as many tokens as one step can from `source`, which is dropped, to the fullest bin that takes them.
+
+        One or two pieces go, for nothing or for a piece. Whichever are given, the best return is the least length
+        that reaches them.
+        """
+        sizes = sorted(self.lengths[i] for i in self.bins[source])
+        once = [x for k, x in enumerate(sizes) if not k or x != sizes[k - 1]]
+        twice = [x for k, x in enumerate(sizes) if k and x == sizes[k - 1]]
+        one = np.array(once)
+        given = np.unique(np.concatenate([one, (one[:, None] + one)[np.triu_indices(len(one), 1)], 2 * np.array(twice, one.dtype)]))
+        given = given[given <= self.capacity]
+        taken = np.searchsorted(np.maximum.accumulate(self.reach), given)
+        at = int((given - taken).argmax())
+        total, take = int(given[at]), int(taken[at])
+        gain = total - take
+        if gain <= 0:
+            return False
+        rooms = self.of[take]
+        target = rooms[bisect_left(rooms, (gain, -1))][1]
+        have = set(sizes)
+        first = total if total in have else next(x for x in once if total - x in have and (total != 2 * x or x in twice))
+        self.drop(target)
+        for size, here, there in ((first, source, target), (total - first, source, target), (take, target, source)):
+            if size:
+                i = next(i for i in self.bins[here] if self.lengths[i] == size)
+                self.bins[here].remove(i)
+                self.bins[there].append(i)
+        self.fill[source] -= gain
+        self.fill[target] += gain
+        self.put(target)
+        return True
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Local search: empty the least filled bins by moves and exchanges that raise the sum of squared fills.
 
-    Every step takes tokens from a less filled bin to a fuller one, so squared fill grows and the search ends;
-    `effort` bounds the pairs of bins that are looked at. Each step keeps a valid packing.
+    Every step takes tokens from the least filled bin of those left to a fuller one, so squared fill grows and the
+    search ends: when no step gains, or when the open bins have less room than a bin, so that none can be spared.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    looked, changed = 0, True
-    while changed and looked < effort:
+    changed = True
+    while changed:
         changed = False
-        open_ = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))
-        room = sum(capacity - fill[b] for b in open_)
-        for source in open_:
-            if fill[source] == 0 or room - (capacity - fill[source]) < fill[source]:
-                break  # the others can't take its tokens
-            for target in reversed(open_):
-                if fill[target] < fill[source] or target == source or looked >= effort:
-                    break
-                looked += 1
-                if fill[target] < capacity and _step(bins, fill, lengths, capacity, source, target):
-                    changed = True
-                    if not bins[source]:
-                        break
+        left = OpenBins(bins, fill, lengths, capacity)
+        room = sum(r for r, _ in left.of[0])
+        while left.of[0] and room >= capacity:
+            source = left.of[0][-1][1]
+            left.drop(source)
+            while bins[source] and left.step(source):
+                changed = True
+            room -= 0 if bins[source] else capacity
     return [b for b in bins if b]
 
 
-def _step(bins, fill, lengths, capacity, source, target) -> bool:
-    """Carry as many tokens as fit from `source` to the fuller `target` by one move or exchange."""
-    room = capacity - fill[target]
-    best, gain = None, 0
-    mine = sorted({lengths[i]: i for i in bins[source]}.items())
-    theirs = sorted({lengths[i]: i for i in bins[target]}.items())
-    sizes = [x for x, _ in mine]
-    at = bisect_left(sizes, room + 1) - 1
-    if at >= 0:
-        best, gain = (([mine[at][1]], [])), sizes[at]  # move
-    for size, j in theirs:  # one for one
-        at = bisect_left(sizes, size + room + 1) - 1
-        if at >= 0 and sizes[at] - size > gain:
-            best, gain = ([mine[at][1]], [j]), sizes[at] - size
-    if gain < room and len(bins[source]) > 1:  # two for one
-        own = sorted(bins[source], key=lambda i: lengths[i])
-        for size, j in theirs:
-            low, high, most = 0, len(own) - 1, size + room
-            while low < high:
-                both = lengths[own[low]] + lengths[own[high]]
-                if both > most:
-                    high -= 1
-                else:
-                    if both - size > gain:
-                        best, gain = ([own[low], own[high]], [j]), both - size
-                    low += 1
-    if not gain:
-        return False
-    give, take = best
-    bins[source] = [i for i in bins[source] if i not in give] + take
-    bins[target] = [i for i in bins[target] if i not in take] + give
-    fill[source] -= gain
-    fill[target] += gain
-    return True
-
-
 def pack(found: DataFrame, capacity: int = 2048, group_rows: int = 40_000) -> DataFrame:
     """Give each piece a sequence_id and an offset; other columns stay.
 
