@@ -310,6 +310,32 @@ def test_html_without_article():
     assert got.startswith("Title words of") and got.endswith("paragraph 4") and "cookies" not in got and "First!" not in got
 
 
+LONG = "".join(f"<p>{'words of a long enough paragraph ' * 8}{i}</p>" for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        "<div class='content-sidebar-wrap'><main>%s<div class='ad'>Buy</div></main><div class='sidebar'>Side bar</div></div>",
+        "<div class='layout has-sidebar'><article>%s<div class='ad'>Buy</div></article></div>",
+        "<div id='page-header-below'><div class='x-widget-y'><div role='main'>%s</div></div></div>",
+        "<div class='site-widget-area'><div>%s</div></div>",
+        "<div><div>%s</div></div><article><h2>Teaser</h2><p>A short one.</p></article>",
+        "<div>%s</div><div class='related'><article>Teaser one</article><article>Teaser two</article></div>",
+        "<main><h2>More</h2></main><article>%s</article>",
+    ],
+)
+def test_html_wrappers_and_teasers(wrapped):
+    """A word of a class or id hides no article, and a small article no main text."""
+    got = html_extract.main_text(PAGE % (wrapped % LONG))
+    assert got.startswith("words of") and got.endswith("paragraph 4") and got.count("paragraph") == 40
+
+
+def test_html_short_article_and_long_notice():
+    assert html_extract.main_text(f"<article><p>Short</p></article><div class='cookie-notice'>{LONG}</div>") == "Short"
+    assert html_extract.main_text(f"<div class='comments'><article>{LONG}</article></div><article>{LONG * 2}</article>").count("paragraph") == 80
+
+
 def test_html_table(spark, small):
     rows = [(1, "u", "<article>a</article>", 3), (1, "u", "<article>a</article>", 3), (2, None, None, None)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()

@@ -3,8 +3,9 @@
 The standard library's parser streams a page's events into lines, one per block of text, each with the tags met
 on it. Lines inside menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and comments are
 known by their elements. The ratios of text to tags of the other lines are smoothed by a Gaussian and split by a
-threshold into content and rest; the region that holds most content text is the article, and all its lines stay,
-the short ones too.
+threshold into content and rest; the region that holds most content text is the article (article and main elements
+are regions, the rest of the page is another), and all its lines stay, the short ones too. A class, id or role that
+marks an element as no part of the article counts only where the element doesn't hold the article itself.
 """
 
 from __future__ import annotations
@@ -32,23 +33,25 @@ REGION = ("article", "main")
 
 
 class Lines(HTMLParser):
-    """Events to lines: (text, tags, region, linked characters)."""
+    """Events to lines: (text, tags, region, linked characters, marked elements around it)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, bool]] = []  # element, noise, region, link
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.open: list[tuple[str, bool, int, bool, tuple]] = []  # element, noise, region, link, marks
+        self.lines: list[tuple[str, int, int, int, tuple]] = []
         self.regions: list[str] = ["page"]
+        self.within: list[tuple[int, tuple]] = [(0, ())]  # of each region: the region around it, marks
+        self.marked = 0
         self.text: list[str] = []
         self.tags = self.linked = 0
 
     @property
-    def top(self) -> tuple[str, bool, int, bool]:
-        return self.open[-1] if self.open else ("", False, 0, False)
+    def top(self) -> tuple[str, bool, int, bool, tuple]:
+        return self.open[-1] if self.open else ("", False, 0, False, ())
 
     def end_line(self) -> None:
         if self.text and (text := " ".join("".join(self.text).split())):
-            self.lines.append((text, self.tags, self.top[2], self.linked))
+            self.lines.append((text, self.tags, self.top[2], self.linked, self.top[4]))
             self.tags = self.linked = 0
         self.text = []
 
@@ -63,14 +66,19 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self.end_line()
             self._imply(tag)
-        _, noise, region, link = self.top
-        if tag in NOISE or (not noise and self._marked(tag, attrs)) or (tag == "header" and region == 0):
+        _, noise, region, link, marks = self.top
+        mark = "" if noise else self._marked(tag, attrs)
+        if tag in NOISE or mark == "hidden" or (tag == "header" and region == 0):
             noise = True
+        elif mark:
+            self.marked += 1
+            marks = (*marks, self.marked)
         if tag in REGION or any(k == "role" and v == "main" for k, v in attrs):
             if not noise and (region == 0 or self.regions[region] == "main" and tag == "article"):
                 self.regions.append("main" if tag != "article" else "article")
+                self.within.append((region, marks))
                 region = len(self.regions) - 1
-        self.open.append((tag, noise, region, link or tag == "a"))
+        self.open.append((tag, noise, region, link or tag == "a", marks))
 
     def _imply(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -82,15 +90,16 @@ class Lines(HTMLParser):
                 return
 
     @staticmethod
-    def _marked(tag: str, attrs: list) -> bool:
+    def _marked(tag: str, attrs: list) -> str:
         if tag in ("html", "body", "article", "main"):
-            return False
+            return ""
+        mark = ""
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "").lower()):
-                return True
+                return "hidden"
             if value and name in ("class", "id", "role") and not NOISE_WORDS.isdisjoint(WORD.findall(value.lower())):
-                return True
-        return False
+                mark = "word"
+        return mark
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -104,18 +113,19 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        _, noise, _, link = self.top
+        _, noise, _, link, _ = self.top
         if not noise:
             self.text.append(data)
             self.linked += len(data) * link
 
-    def finish(self, html: str) -> list[tuple[str, int, int, int]]:
+    def finish(self, html: str) -> list[tuple[str, int, int, int, tuple]]:
         try:
             self.feed(html)
             self.close()
         except AssertionError:  # a broken declaration such as <![x: read it as text
             if "<!" in html:
-                return Lines().finish(re.sub(r"<!(?!--|doctype)", "&lt;!", html, flags=re.IGNORECASE))
+                self.__init__()
+                return self.finish(re.sub(r"<!(?!--|doctype)", "&lt;!", html, flags=re.IGNORECASE))
             raise
         self.end_line()
         return self.lines
@@ -140,9 +150,47 @@ def two_clusters(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def overruled(parser: Lines) -> tuple[set[int], set[int]]:
+    """Marks that don't count: those around most of the page's text with no region elsewhere; those around the heaviest region."""
+    under: dict[int, int] = {}
+    weight: dict[int, int] = {}
+    total = 0
+    for text, _, region, linked, marks in parser.lines:
+        own = len(text) - linked
+        total += own
+        for mark in marks:
+            under[mark] = under.get(mark, 0) + own
+        if marks[: len(parser.within[region][1])] == marks:
+            weight[region] = weight.get(region, 0) + own
+    most = {m for m, own in under.items() if 2 * own > total and all(m in marks for _, marks in parser.within[1:])}
+    weight.pop(0, None)
+    heaviest = max(weight, key=lambda r: (weight[r], -r), default=0)
+    return most, set(parser.within[heaviest][1])
+
+
+def unmarked(lines: list[tuple], free: set[int]) -> list[tuple[str, int, int, int]]:
+    """Lines outside marked elements, those in `free` aside; tags of the others count on the next line."""
+    out, tags = [], 0
+    for text, own, region, linked, marks in lines:
+        tags += own
+        if free.issuperset(marks):
+            out.append((text, tags, region, linked))
+            tags = 0
+    return out
+
+
 def main_text(html: str | None) -> str:
     parser = Lines()
-    lines = parser.finish(html or "")
+    parser.finish(html or "")
+    most, around = overruled(parser)
+    found = chosen(parser, unmarked(parser.lines, most | around))
+    if found is None:  # the bare page, so an element around a region is no exception
+        found = chosen(parser, unmarked(parser.lines, most), bare=True)
+    return found
+
+
+def chosen(parser: Lines, lines: list[tuple[str, int, int, int]], bare: bool = False) -> str | None:
+    """The text of the region with most content; None if that is the bare page and `bare` isn't given."""
     if not lines:
         return ""
     ratios = smoothed(np.array([len(t) / max(1, tags) for t, tags, _, _ in lines]))
@@ -150,11 +198,16 @@ def main_text(html: str | None) -> str:
     weight: dict[int, int] = {}
     for (text, _, region, linked), stays in zip(lines, content, strict=True):
         weight[region] = weight.get(region, 0) + (len(text) - linked if stays else 0)
-    # an article or main element with text wins over the bare page
-    best = max(weight, key=lambda r: (r > 0, weight[r], -r))
+    # of equal ones an article or main element with text wins over the bare page
+    best = 0 if bare else max(weight, key=lambda r: (weight[r], r > 0, -r))
     if best:
-        inside = {best} if parser.regions[best] == "article" else {r for r in weight if r > 0}
+        inside = {best} if parser.regions[best] == "article" else {r for r in weight if best in (r, parser.within[r][0])}
         return " ".join(t for t, _, r, _ in lines if r in inside)
+    if not bare:
+        return None
+    if 2 * weight.get(0, 0) > sum(weight.values()):  # teasers
+        content = content[[r == 0 for _, _, r, _ in lines]]
+        lines = [x for x in lines if x[2] == 0]
     kept = [k for k, stays in enumerate(content) if stays and lines[k][3] * 2 <= len(lines[k][0])]
     if not kept:
         return " ".join(t for t, _, _, _ in lines)
