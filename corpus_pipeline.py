@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage reads the columns of `documents` and returns them, without the rows that it rejects; the last one
-returns packed pieces.
+returns packed pieces. Rows without doc_id can't be told from each other or ordered: they pass the dedup stages
+untouched and take nothing from others.
 """
 
 from __future__ import annotations
@@ -21,17 +22,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each kept text: of rows with its doc_id, the longest (then the greatest by its columns)."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest")).distinct()
+    kept = exact_dedup.exact_dedup(docs.where("doc_id is not null")).where("kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest")).distinct()
     row = F.struct(F.length(F.coalesce("text", F.lit(""))), F.struct(*docs.columns).alias("row"))
     keys = F.col("doc_id").cast("long").alias("id"), exact_dedup.digest(F.col("text")).alias("digest")
     # repeated rows are one within each task, before the shuffle that the join needs as well
-    rows = docs.select(*keys, row.alias("x")).groupBy("id", "digest").agg(F.max("x").alias("x"))
-    return rows.join(kept, ["id", "digest"], "left_semi").select("x.row.*")
+    named = docs.where("doc_id is not null")
+    rows = named.select(*keys, row.alias("x")).groupBy("id", "digest").agg(F.max("x").alias("x"))
+    return rows.join(kept, ["id", "digest"], "left_semi").select("x.row.*").unionByName(docs.where("doc_id is null"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = ngram_join.ngram_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm import brute
-from tidemark.llm import quality_rules
+from tidemark.llm import ngram_join, quality_rules
 from tidemark.llm.queries import tokenizer_path
 
 
@@ -53,3 +53,17 @@ def test_repeated_rows(spark, small):
     got = sorted((r.doc_id, r.text or "", r.n_chars) for r in corpus_pipeline.substrings(spark, again, small).collect())
     assert got == [(1, first, 0), (2, other, 0), (2, rest, len(rest)), (2, rest, len(rest)), (6, "", 0)]
     assert corpus_pipeline.substrings(spark, again, small).where("text is null").count() == 1
+
+
+def test_rows_without_doc_id(spark, small):
+    """They pass untouched, link with nothing and take nothing; large ids stay exact beside them."""
+    text, big = " ".join(f"w{i}" for i in range(40)), 2**62 + 1
+    rows = [(None, text), (None, text), (None, "a"), (7, text + " end"), (big, " ".join(f"v{i}" for i in range(30)))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted(rows, key=repr)
+    joined = ngram_join.ngram_join(docs).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in joined), key=repr) == sorted([(None, 36, None), (None, 36, None), (None, 1, None), (7, 37, 7), (big, 26, big)], key=repr)
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.substrings):
+        assert sorted(((r.doc_id, r.text) for r in stage(spark, docs, small).collect()), key=repr) == want
+    packed = corpus_pipeline.packed(spark, docs, small).collect()
+    assert sorted((r.doc_id for r in packed), key=repr) == sorted((d for d, _ in rows), key=repr)

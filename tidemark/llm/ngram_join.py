@@ -239,20 +239,21 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
     Words are lower-cased in A-Z. Null text or text without words has no shingles and links with nothing; fewer
-    than five words are one shingle. Repeated rows of a doc_id are rows of one document. An empty table gives an
+    than five words are one shingle. A row without doc_id links with nothing and has no component_id. Repeated rows of a doc_id are rows of one document. An empty table gives an
     empty result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = materialize(_counted(docs), "shingle-counts")
-    members = counted.where("doc_id is not null").select("doc_id", "n", "key")
+    members = counted.where("doc_id is not null")
+    nameless = counted.where("doc_id is null and n is not null")  # rows of counters have no n
     hits = np.zeros(COUNTERS, np.int64)
     for row in counted.where("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).collect():
         hits[row["bucket"]] = row["hits"]
-    points = materialize(counted.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "point")).alias("x")).select(F.col("x.doc_id").alias("id"), "x.n", "x.point"), "points")
+    points = materialize(members.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "point")).alias("x")).select(F.col("x.doc_id").alias("id"), "x.n", "x.point"), "points")
     sets_of = members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"))
 
     # blocks: shingles of prefixes that two sets share, with the smallest document of each
-    distinct = _prefixes(docs, hits).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
+    distinct = _prefixes(docs.where("doc_id is not null"), hits).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
     block = Window.partitionBy("h")
     entries = distinct.select("id", F.explode("prefix").alias("h")).withColumns({"pivot": F.min("id").over(block), "high": F.max("id").over(block)})
     entries = materialize(entries.where("pivot < high").select("h", "id", "pivot"), "blocks")
@@ -274,4 +275,5 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     final = components(links.unionByName(more))
     named = sets_of.join(final.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     some = members.where("key is not null").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return some.unionByName(members.where("key is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    none = nameless.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return some.unionByName(none).unionByName(members.where("key is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

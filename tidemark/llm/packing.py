@@ -204,6 +204,8 @@ def pack(found: DataFrame, capacity: int = 2048, group_rows: int = 40_000) -> Da
     found = materialize(found, "pieces")
     full = found.where(F.col("length") >= capacity)
     rest = found.where(F.col("length") < capacity)
+    # pandas would turn a long column with nulls into floating point
+    rest = rest.withColumns({"nameless": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0).cast("long"))})
     groups = max(1, round(rest.count() / group_rows))
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -218,8 +220,9 @@ def pack(found: DataFrame, capacity: int = 2048, group_rows: int = 40_000) -> Da
         return part.drop(columns="part").assign(sequence_id=sequence, offset=offset)
 
     names = found.columns
-    schema = ", ".join(f"{n} {t}" for n, t in found.dtypes) + ", sequence_id long, offset long"
+    schema = ", ".join(f"{n} {t}" for n, t in found.dtypes) + ", nameless boolean, sequence_id long, offset long"
     packed = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))).groupBy("part").applyInPandas(fit, schema)
+    packed = packed.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id")))
     alone = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     return packed.select(*names, "sequence_id", "offset").unionByName(alone)
 

@@ -172,8 +172,9 @@ class FingerprintIndex:
         Its fingerprints become a run, unless it is the last batch that is asked for.
         """
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
-        several = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-        new = anchors(docs)
+        named = docs.where("doc_id is not null")
+        several = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
+        new = anchors(named)
         if not last:
             new = materialize(new.sortWithinPartitions("h"), "fingerprints")  # each task writes a sorted segment
         out = remove(docs, repeated_windows(new, self.runs), with_text, several, others)
@@ -200,7 +201,7 @@ def substring_dedup(docs: DataFrame, share: float = 0.125, with_text: bool = Fal
     input has them. Documents come in two batches by doc_id: the first `share` of them is indexed as a run, the
     others are merged with it. Null text has no words. A document that repeats a window only within itself keeps
     it. Rows that repeat a doc_id are one document's, and each loses what a smaller doc_id has. An empty table gives
-    an empty result. `others` are columns to carry along under names that the result doesn't have yet.
+    an empty result. A row without doc_id keeps all its words and takes none from others. `others` are columns to carry along under names that the result doesn't have yet.
     """
     index = FingerprintIndex(docs.sparkSession)
     cut = docs.agg(F.percentile_approx("doc_id", F.lit(share), F.lit(1000))).first()[0]
