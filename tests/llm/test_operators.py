@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
 from tests.llm import brute
-from tidemark.llm import components, exact_dedup, html_extract, ngram_join, packing, pieces, quality_classifier, quality_rules, sentencepiece_fst, substring_dedup, token_count, warc
+from tidemark.llm import components, exact_dedup, html_extract, ngram_join, packing, pieces, quality_classifier, quality_rules, sentencepiece_fst, token_count, warc
 from tidemark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, count long, h long, kept string"
@@ -127,45 +127,6 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_substrings(docs, texts, spark):
-    rows = substring_dedup.substring_dedup(docs, with_text=True).collect()
-    want = brute.substrings(texts)
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == {d: v[:3] for d, v in want.items()}
-    assert all(r.text == want[r.doc_id][3] for r in rows if r.n_removed)
-    assert substring_dedup.substring_dedup(frame(spark, EMPTY)).count() == 0
-
-
-def test_substrings_in_many_batches(spark, texts):
-    """The same result whatever the batches, also across a compaction."""
-    index = substring_dedup.FingerprintIndex(spark, fanout=2)
-    got = {}
-    for at in range(0, len(texts), 35):
-        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in index.add(frame(spark, texts[at : at + 35])).collect()}
-    assert got == {d: v[:3] for d, v in brute.substrings(texts).items()}
-    assert len(index.runs) <= 2
-
-
-def test_substrings_of_a_common_anchor(spark):
-    """Among 400,000 windows around one anchor some agree in 32 bits of their hash; none of them repeats."""
-    import numpy as np
-
-    from tidemark.llm.common import WordHasher, rolled
-
-    hasher, rng = WordHasher(), random.Random(1)
-    runs = [" ".join(f"r{rng.randrange(10**9)}" for _ in range(5)) for _ in range(20000)]
-    grams = rolled(hasher.of([" ".join(runs).encode()])[0], 5)[::5]
-    anchor = runs[int(grams.argmin())]  # the least hash, so all windows around it choose it
-    ends = [f"e{i}" for i in range(632)]
-    windows = [f"a b c d {anchor} x y {e} {f}" for e in ends for f in ends]
-    checks = rolled(hasher.of(["\n".join(windows).encode()])[0], 13, 0xD6E8FEB86659FD93)[::13] >> np.uint64(32)
-    order = np.argsort(checks, kind="stable")
-    twins = [k for k in range(1, len(order)) if checks[order[k]] == checks[order[k - 1]]]
-    assert twins
-    rows = [(d, windows[i]) for d, i in enumerate(order[[x for k in twins for x in (k - 1, k)]].tolist())]
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
-    assert got == {d: v[:3] for d, v in brute.substrings(rows).items()}
-
-
 def test_statistics(docs, texts):
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.statistics(docs).collect()}
     assert got == {d: brute.statistics(t) for d, t in texts}

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +17,7 @@ from pyspark.sql.types import StructType
 
 #: White space of the word rule: space and U+0009 to U+000D.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+SPACE_BYTE = re.compile(rb"[\x20\x09-\x0D]")
 _FOLDERS: dict[str, str] = {}
 
 
@@ -27,15 +32,52 @@ def work_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local[") and context.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _FOLDERS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tidemark-"))
+    if context.applicationId not in _FOLDERS:
+        _FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+    return _FOLDERS[context.applicationId]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{work_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings that hold inside a `with` block."""
+    was = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: A written step is read from its files, so the shuffles that made it can go at once.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{work_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_folder(spark, name)
+    with settings(spark, **WRITING):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what `materialize` wrote, once nothing reads it any more."""
+    for df in written:
+        remove_folder(df.sparkSession, df.folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,41 +94,47 @@ def binary_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-class WordHasher:
-    """64-bit hashes of the words of many texts at once.
+class Hashes(dict):
+    """64-bit hashes of words, made when first asked for; short words are remembered, up to `room` of them."""
 
-    A word's hash is a polynomial over random numbers that stand for its bytes; prefix sums of a whole buffer give
-    all of them without a step per word.
-    """
+    def __init__(self, room: int = 500_000):
+        super().__init__()
+        self.room = room
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) < 50:
+            if len(self) >= self.room:
+                self.clear()
+            self[word] = value
+        return value
+
+
+class WordHasher:
+    """Hashes of the words of texts. A long text is read slice by slice, so only its hashes stand in memory whole."""
 
     def __init__(self) -> None:
-        self.of_byte = np.random.default_rng(2024).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.space = np.zeros(256, bool)
-        self.space[[9, 10, 11, 12, 13, 32]] = True
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, size: int) -> None:
-        if len(self.up) < size:
-            base = 0xD1342543DE82EF95
-            size = max(size, 1 << 20)
-            for name, factor in (("up", base), ("down", pow(base, -1, 2**64))):
-                powers = np.full(size, factor, np.uint64)
-                powers[0] = 1
-                setattr(self, name, np.multiply.accumulate(powers))
+        self.known = Hashes()
+
+    def of_one(self, text: bytes) -> np.ndarray:
+        return np.concatenate([np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found)) for found in map(bytes.split, slices(text))])
 
     def of(self, texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words, and where each text's begin (one more entry than texts)."""
-        whole = b"\n".join(texts) + b"\n"
-        a = np.frombuffer(whole.lower() if lower else whole, np.uint8)  # bytes.lower changes A-Z alone
-        self._powers(len(a) + 1)
-        space = self.space[a]
-        edges = np.flatnonzero(np.diff(space, prepend=True))
-        starts, ends = edges[::2], edges[1::2]
-        sums = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(self.of_byte[a] * self.up[: len(a)], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
-        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        return hashes, np.searchsorted(starts, begins)
+        each = [self.of_one(t.lower() if lower else t) for t in texts]  # bytes.lower changes A-Z alone
+        return np.concatenate(each) if each else np.empty(0, np.uint64), np.cumsum([0, *map(len, each)])
+
+
+def slices(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """Parts of about `size` bytes that no word crosses the ends of (a word of its own length is one part)."""
+    at = 0
+    while len(text) - at > size:
+        space = SPACE_BYTE.search(text, at + size)
+        if not space:
+            break
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:] if at else text
 
 
 def mix(x: np.ndarray) -> np.ndarray:

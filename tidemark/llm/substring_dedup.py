@@ -1,211 +1,356 @@
-"""Substring dedup against a log-structured index of fingerprints.
-
-Each batch's windows of 13 words are summed up by anchors: the 5-word run with the least hash among those inside a
-window. Equal windows have equal anchors at equal places, and neighbouring windows share theirs, so an anchor row
-(hash, document, place, a 64-bit check of each of its windows) stands for about five windows. Sorted immutable
-runs hold the anchor rows of earlier batches. A new batch is merged with them by hash; windows that meet under one
-anchor are verified by place and check, and the smallest doc_id owns each. A check is of the whole window and
-doesn't depend on the anchor: all windows of a common anchor share its hash, so only the check tells them apart.
-Runs are compacted into one, keeping the smallest owner, when there are more than `fanout` of them.
+"""Substring dedup against a log-structured index of window fingerprints.
+
+A window of 13 words is fingerprinted by its anchor: the hash of the 5-word run with the least hash inside it. Equal
+windows have equal anchors and neighbouring windows share theirs, so a document has about one fingerprint for five
+windows. Fingerprints only say where to look: words decide.
+
+1. Index. Sorted immutable runs, tables bucketed by fingerprint, hold the documents so far: fingerprint, smallest
+   doc_id, number of documents. Each batch is written as such a run and merge-joined with every earlier run, bucket by
+   bucket, without a shuffle of history; the fingerprints that meet are put aside. More than `fanout` runs are compacted
+   into one by the same merge. A manifest in the index's folder names the runs, so that a later job can go on.
+2. Verification. The stretches of text under the fingerprints that met are brought together and compared word by word.
+   A window goes if a smaller doc_id has its words. A fingerprint of many documents is dealt to several tasks: what
+   has no smaller doc_id within its own task's share is compared again over all shares.
+3. Removal. Each text loses the words of such windows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import WordHasher, binary_texts, chunks, materialize, mix, pack_texts, rolled, unpack
+from .common import WRITING, WordHasher, binary_texts, chunks, discard, materialize, new_folder, pack_texts, remove_folder, rolled, settings, unpack
 
 SIZE, ANCHOR = 13, 5
-CHECK = 0xD6E8FEB86659FD93
-#: `checks`: a byte with the anchor's place in the first window, 8 bytes for each window, and in rows of a batch (not
-#: of a run) 4 bytes with the first window's place in its document; packed, since columns of their own shuffle more.
-_ROW = "h long, doc_id long, checks binary, more array<struct<doc_id:long,at:int>>"
-_OFF, _AT = (f"cast(conv(hex(substring(checks, {at}, {n})), 16, 10) as int)" for at, n in ((1, 1), (-4, 4)))
-
-
-def anchor_rows(ids: list[int], texts: list[bytes], hasher: WordHasher) -> tuple[np.ndarray, ...]:
-    """Of each anchor of the texts: hash, document, first window, place in it, number of windows; and all checks."""
-    w, begins = hasher.of(texts)
-    count = max(0, len(w) - SIZE + 1)
-    if not count:
-        return (*(np.empty(0, t) for t in (np.uint64, np.int64, np.int32, np.int32, np.int32)), np.empty(0, np.uint64))
-    doc = np.repeat(np.arange(len(ids)), np.diff(begins))
-    inside = doc[:count] == doc[SIZE - 1 :]  # windows of one document
-    grams = rolled(w, ANCHOR)
-    place = np.lib.stride_tricks.sliding_window_view(grams, SIZE - ANCHOR + 1).argmin(axis=1) + np.arange(count)
-    checks = rolled(w, SIZE, CHECK)
-    windows = np.flatnonzero(inside)
-    first = np.ones(len(windows), bool)
-    first[1:] = (place[windows[1:]] != place[windows[:-1]]) | (doc[windows[1:]] != doc[windows[:-1]])
-    begin = np.flatnonzero(first)
-    s = windows[begin]
-    return grams[place[s]], np.asarray(ids, np.int64)[doc[s]], (s - begins[doc[s]]).astype(np.int32), (place[s] - s).astype(np.int32), np.diff(np.append(begin, len(windows))).astype(np.int32), checks[windows]
-
-
-def combined(h, doc, at, off, size, checks) -> pa.RecordBatch:
-    """Anchor rows as a batch; rows that differ only in their document or window become one, the smallest first."""
-    ends = np.cumsum(size)
-    starts = ends - size
-    step = np.arange(len(checks)) - np.repeat(starts, size)
-    body = np.add.reduceat(mix(checks + mix(step.astype(np.uint64) + np.uint64(1))), starts) if len(h) else np.empty(0, np.uint64)
-    key = mix(h + mix(body + off.astype(np.uint64) * np.uint64(16) + size.astype(np.uint64)))
-    order = np.lexsort((at, doc, key))
-    head = np.ones(len(order), bool)
-    head[1:] = (key[order[1:]] != key[order[:-1]]) | (h[order[1:]] != h[order[:-1]]) | (off[order[1:]] != off[order[:-1]])
-    group = np.cumsum(head) - 1
-    rows = order[head]
-    page = np.argsort(rows, kind="stable")  # in the order of the documents, which packs better
-    rest = order[~head]
-    per = np.bincount(group[~head], minlength=len(rows))
-    by_page = np.argsort(np.argsort(page)[group[~head]], kind="stable")
-    rest, per, rows = rest[by_page], per[page], rows[page]
-    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(doc[rest]), pa.array(at[rest].astype(np.int32))], ["doc_id", "at"]), mask=pa.array(per == 0))
-    index = np.repeat(starts[rows] - (np.cumsum(size[rows]) - size[rows]), size[rows]) + np.arange(size[rows].sum())
-    edges = np.append(0, np.cumsum(8 * size[rows] + 5)).astype(np.int32)
-    body, inner = np.empty(edges[-1], np.uint8), np.ones(edges[-1], bool)
-    body[edges[:-1]], inner[edges[:-1]] = off[rows], False
-    for k, byte in enumerate(at[rows].astype(">i4").view(np.uint8).reshape(-1, 4).T):
-        body[edges[1:] - 4 + k], inner[edges[1:] - 4 + k] = byte, False
-    body[inner] = checks[index].view(np.uint8)
-    packed = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(edges), pa.py_buffer(body)])
-    return pa.RecordBatch.from_arrays([pa.array(h[rows].view(np.int64)), pa.array(doc[rows]), packed, lists], ["h", "doc_id", "checks", "more"])
-
-
-def owners(run: DataFrame) -> DataFrame:
-    """Anchor rows of a run without the places and other documents, which only their own batch needs."""
-    return run.withColumns({"checks": F.expr("substring(checks, 1, 8 * (length(checks) div 8) + 1)"), "more": F.lit(None).cast(run.schema["more"].dataType)})
-
-
-def anchors(docs: DataFrame) -> DataFrame:
-    """Anchor rows of each whole text: hash, doc_id, and the places and checks of the windows.
-
-    Rows of a batch with the same windows are one before they are shuffled; `more` has its other documents.
-    """
+#: One file for each bucket of a run is sorted, so a merge needs no sort.
+MERGING = {**WRITING, "spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+
+
+def anchors_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each stretch of windows of a text that share an anchor: its hash, the first window, the number of windows."""
+    if len(hashes) < SIZE:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    grams = rolled(hashes, ANCHOR)
+    place = least_places(grams, SIZE - ANCHOR + 1)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    return grams[place[first]].view(np.int64), first, np.diff(np.append(first, len(place)))
+
+
+def least_places(values: np.ndarray, size: int) -> np.ndarray:
+    """Place of the (first) least of each `size` neighbours."""
+    count = len(values) - size + 1
+    best, at = values[:count].copy(), np.arange(count)
+    for k in range(1, size):
+        less = values[k : k + count] < best
+        best[less] = values[k : k + count][less]
+        at[less] = np.flatnonzero(less) + k
+    return at
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """h, doc_id: each document's distinct fingerprints, from its whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), binary_texts(batch.column(1)), strict=True)
             for near in chunks(rows, lambda r: len(r[1]), 8 << 20):
-                parts = [anchor_rows([i for i, _ in part], [t for _, t in part], hasher) for part in chunks(near, lambda r: len(r[1]), 1 << 20)]
-                yield combined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-
-    return docs.select("doc_id", "text").mapInArrow(run, _ROW)
-
-
-def repeated_windows(new: DataFrame, runs: list[DataFrame]) -> DataFrame:
-    """doc_id and the starts and checks of its windows that a smaller doc_id has, here or in a run; only such documents."""
-    both = new
-    for run in runs:
-        both = both.unionByName(owners(run))
-    met = Window.partitionBy("h")
-    both = both.withColumn("top", F.coalesce(F.element_at("more", -1)["doc_id"], F.col("doc_id")))
-    both = both.withColumns({"low": F.min("doc_id").over(met), "high": F.max("top").over(met)}).where("low < high")
-    both = both.withColumns({"off": F.expr(_OFF), "at": F.when(F.length("checks") % 8 == 5, F.expr(_AT)).otherwise(-1)})
-    each = both.select("h", "doc_id", "top", "at", "more", "off", "checks", F.explode(F.sequence(F.lit(0), (F.length("checks") / 8).cast("int") - 1)).alias("j"))
-    each = each.select("h", "doc_id", "top", "at", "more", "j", (F.col("off") - F.col("j")).alias("off"), F.expr("substring(checks, 8 * j + 2, 8)").alias("check"))
-    owner = F.first("doc_id").over(Window.partitionBy("h", "off", "check").orderBy("doc_id"))
-    each = each.withColumn("owner", owner).where("owner < top and at >= 0")
-    own = F.array(F.struct("doc_id", "at"))
-    each = each.select("owner", "j", "check", F.explode(F.when(F.col("more").isNull(), own).otherwise(F.concat(own, "more"))).alias("x")).where("x.doc_id > owner")
-    return each.select("x.doc_id", (F.col("x.at") + F.col("j")).alias("place"), "check")
-
-
-def remove(docs: DataFrame, repeated: DataFrame, with_text: bool = False, several: bool = False, others: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and text, as it was where nothing goes) of each row, and its other columns.
-
-    `several`: some doc_id has more than one row; each row's text is held against the checks of the windows, so
-    that a row loses only what it has.
+                found = [np.unique(anchors_of(hasher.of_one(t))[0]) for _, t in near]
+                ids = np.repeat(np.array([i for i, _ in near], np.int64), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(ids)], ["h", "doc_id"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long")
+
+
+class FingerprintIndex:
+    """Runs of fingerprints of all batches so far: tables bucketed and sorted by h, one row for each h of a run.
+
+    `root`: folder of the index, shared by all executors; one that has a manifest is opened again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, fanout: int = 2):
+        self.spark, self.fanout = spark, fanout
+        self.root = root or new_folder(spark, "fingerprint-index")
+        self.version, self.buckets, self.runs, self.compactions = 0, int(spark.conf.get("spark.sql.shuffle.partitions")), [], 0
+        if root:
+            self._open()
+
+    def _open(self) -> None:
+        """Read the newest manifest, if there is one."""
+        try:
+            found = [json.loads(r[0]) for r in self.spark.read.text(f"{self.root}/manifest-*").collect()]  # one short line for each version
+        except Exception as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return
+        newest = max(found, key=lambda m: m["version"])
+        self.version, self.buckets, self.runs = newest["version"], newest["buckets"], newest["runs"]
+        for name in self.runs:
+            self.spark.sql(f"create table if not exists {name} (h bigint, doc_id bigint, n bigint) using parquet clustered by (h) sorted by (h) into {self.buckets} buckets location '{self.root}/{name}'")
+
+    def _commit(self, runs: list[str]) -> None:
+        """Write a manifest of these runs; then the runs that it no longer names can go."""
+        self.version += 1
+        line = json.dumps({"version": self.version, "buckets": self.buckets, "runs": runs})
+        self.spark.range(1).coalesce(1).select(F.lit(line).alias("value")).write.text(f"{self.root}/manifest-{self.version:06d}")
+        gone, self.runs = [r for r in self.runs if r not in runs], runs
+        for name in gone:
+            self.spark.sql(f"drop table {name}")
+            remove_folder(self.spark, f"{self.root}/{name}")
+
+    def _write(self, rows: DataFrame) -> str:
+        """Write rows with one h each as a run."""
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        with settings(self.spark, **MERGING):
+            rows.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").option("path", f"{self.root}/{name}").saveAsTable(name)
+        return name
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Index a batch (h, doc_id); gives h and n (documents so far) of its fingerprints that other documents have.
+
+        A fingerprint's rows are summed up within each task before they are shuffled.
+        """
+        with settings(self.spark, **{"spark.sql.shuffle.partitions": str(self.buckets)}):
+            name = self._write(batch.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("top"), F.count("*").alias("n")))
+        new = self.spark.table(name)
+        with settings(self.spark, **MERGING):
+            met = new.where("doc_id < top").select("h", "n")
+            for run in self.runs:
+                met = met.unionByName(new.join(self.spark.table(run).hint("merge").select("h", F.col("n").alias("more")), "h").select("h", (F.col("n") + F.col("more")).alias("n")))
+            met = materialize(met, "met")
+        self._commit([*self.runs, name])
+        if len(self.runs) > self.fanout:
+            self.compact()
+        return met
+
+    def compact(self) -> None:
+        """Merge all runs into one that keeps the smallest document of each fingerprint."""
+        merged = self.spark.table(self.runs[0]).select("h", "doc_id", "n")
+        for run in self.runs[1:]:
+            more = self.spark.table(run).select("h", F.col("doc_id").alias("other"), F.col("n").alias("more"))
+            merged = merged.join(more.hint("merge"), "h", "full").select("h", F.least("doc_id", "other").alias("doc_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
+        with settings(self.spark, **MERGING):
+            name = self._write(merged)
+        self.compactions += 1
+        self._commit([name])
+
+    def drop(self) -> None:
+        """Delete the index."""
+        for name in self.runs:
+            self.spark.sql(f"drop table if exists {name}")
+        remove_folder(self.spark, self.root)
+
+
+def stretches(held: DataFrame) -> DataFrame:
+    """The stretches of texts (doc_id, packed, found: array of h and shares) under fingerprints that met.
+
+    h, share, shares, doc_id, mark (of the text), words, and the places of the first window; once for each text.
     """
-    item = F.struct("place", "check") if several else F.struct("place")
-    repeated = repeated.groupBy("doc_id").agg((F.collect_set if several else F.collect_list)(item).alias("places"))
-
-    def own(text: bytes, places: pa.Array, hasher: WordHasher) -> np.ndarray:
-        at = places.field(0).to_numpy()
-        if several:
-            checks = rolled(hasher.of([text])[0], SIZE, CHECK)
-            want = np.frombuffer(b"".join(places.field(1).to_pylist()), np.uint64)
-            inside = at < len(checks)
-            at = at[inside][checks[at[inside]] == want[inside]]
-        return np.unique(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
+        for whole in batches:
+            for batch in (whole.slice(k, 64) for k in range(0, whole.num_rows, 64)):
+                out = []
+                for doc_id, text, found in zip(batch.column(0).to_pylist(), unpack(batch.column(1)), batch.column(2), strict=True):
+                    wanted = dict(zip(found.values.field(0).to_pylist(), found.values.field(1).to_pylist(), strict=True))
+                    h, first, count = anchors_of(hasher.of_one(text))
+                    mark, words, by = mark_of(text), text.split(), {}
+                    for k in np.flatnonzero(np.isin(h, np.fromiter(wanted, np.int64, len(wanted)))):
+                        by.setdefault((int(h[k]), b" ".join(words[first[k] : first[k] + count[k] + SIZE - 1])), []).append(int(first[k]))
+                    for (key, stretch), places in by.items():
+                        shares = wanted[key]
+                        out.append((key, doc_id % shares, shares, doc_id, mark, stretch, places))
+                columns = zip(*out, strict=True) if out else [()] * 7
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["h", "share", "shares", "doc_id", "mark", "words", "places"])
+
+    return held.select("doc_id", "packed", "found").mapInArrow(run, "h long, share long, shares long, doc_id long, mark long, words binary, places array<int>")
+
+
+def mark_of(text: bytes) -> int:
+    """Tells texts of one doc_id apart."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def windows_of(stretch: bytes) -> list[bytes]:
+    words = stretch.split(b" ")
+    return [b" ".join(words[k : k + SIZE]) for k in range(len(words) - SIZE + 1)]
+
+
+def compared(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Which of a stretch's windows a smaller doc_id has, and which not, as bits; for rows (doc_id, words) by doc_id."""
+    same = len({words for _, words in rows}) == 1
+    whole: dict[bytes, int] = {}
+    first: dict[bytes, int] = {}
+    for doc_id, words in rows:
+        if whole.setdefault(words, doc_id) < doc_id or same:
+            every = (1 << (words.count(b" ") + 2 - SIZE)) - 1
+            yield (every, 0) if whole[words] < doc_id else (0, every)
+            continue
+        gone = stays = 0
+        for k, window in enumerate(windows_of(words)):
+            if first.setdefault(window, doc_id) < doc_id:
+                gone |= 1 << k
+            else:
+                stays |= 1 << k
+        yield gone, stays
+
+
+def verified(met: DataFrame) -> DataFrame:
+    """doc_id, mark, places and bits of the windows that a smaller doc_id has; and stretches to compare again.
+
+    `met` has the rows of `stretches`. A fingerprint in one share is settled here. In one of several shares, windows
+    without a smaller doc_id stay open; `words` is null in all other rows.
+    """
+    schema = "doc_id long, mark long, places array<int>, gone int, open int, words binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            more = pa.Table.from_batches([batch])
+            rest = pa.concat_tables([rest, more]) if rest is not None else more
+            h, share = (rest[n].to_numpy() for n in ("h", "share"))
+            ends = np.flatnonzero((h[1:] != h[:-1]) | (share[1:] != share[:-1])) + 1
+            if len(ends):
+                yield settled(rest.slice(0, ends[-1]), ends[:-1])
+                rest = rest.slice(ends[-1])
+        if rest is not None:
+            yield settled(rest, np.empty(0, np.int64))
+
+    def settled(part: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+        part = part.combine_chunks()
+        ids, words = part["doc_id"].to_pylist(), part["words"].to_pylist()
+        gone, open_ = [], []
+        for at, end in zip([0, *ends.tolist()], [*ends.tolist(), len(ids)], strict=True):
+            if end - at == 1:
+                gone.append(0)
+                open_.append((1 << (words[at].count(b" ") + 2 - SIZE)) - 1)
+                continue
+            for lost, stays in compared(list(zip(ids[at:end], words[at:end], strict=True))):
+                gone.append(lost)
+                open_.append(stays)
+        several = part["shares"].to_numpy() > 1
+        open_ = np.where(several, np.array(open_, np.int32), 0).astype(np.int32)
+        gone = np.array(gone, np.int32)
+        columns = [part["doc_id"], part["mark"], part["places"], pa.array(gone), pa.array(open_), pa.array(words, pa.binary(), mask=open_ == 0)]
+        out = pa.table(columns, names=["doc_id", "mark", "places", "gone", "open", "words"]).filter(pa.array((gone > 0) | (open_ > 0)))
+        return out.combine_chunks().to_batches()[0] if len(out) else pa.RecordBatch.from_pylist([], schema=out.schema)
+
+    return met.repartition("h", "share").sortWithinPartitions("h", "share", "doc_id").mapInArrow(run, schema)
+
+
+def again(half: DataFrame) -> DataFrame:
+    """What the open windows of fingerprints in several shares lose: they are compared by their words over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, places in zip(unpack(batch.column(1)), batch.column(2), strict=True):
+            out = []
+            for doc_id, mark, places, bits, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out += [(doc_id, mark, places, 1 << k, w) for k, w in enumerate(windows_of(words)) if bits >> k & 1]
+            columns = zip(*out, strict=True) if out else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "mark", "places", "gone", "window"])
+
+    each = half.where("open > 0").select("doc_id", "mark", "places", "open", "words").mapInArrow(run, "doc_id long, mark long, places array<int>, gone int, window binary")
+    low = each.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("window", "low")
+    low = materialize(low, "open-windows")
+    return each.join(low, "window").where("doc_id > low").select("doc_id", "mark", "places", "gone")
+
+
+def remove(docs: DataFrame, gone: DataFrame, with_text: bool, others: tuple[str, ...]) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (and text, as it was where nothing goes) of each packed row, and `others`."""
+    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "places", "gone")).alias("gone"))
+
+    def stay(size: int, at: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        lost = np.zeros(size + SIZE, np.int32)
+        for k in range(SIZE - ANCHOR + 1):
+            begin = at[bits >> k & 1 == 1] + k
+            lost[begin] += 1
+            lost[begin + SIZE] -= 1
+        return np.cumsum(lost)[:size] == 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lists = [], batch.column(2)
+            windows = lists.flatten()
+            places = windows.field("places")
+            at, size = places.flatten().to_numpy(), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            bits, marks = (np.repeat(windows.field(n).to_numpy(), size) for n in ("gone", "mark"))
+            ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))]
+            for text, low, high in zip(unpack(batch.column(1)), ends[:-1], ends[1:], strict=True):
                 found = text.split()
-                gone = np.zeros(len(found) + SIZE, np.int32)
-                if places.is_valid:
-                    at = own(text, places.values, hasher)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + SIZE, -1)
-                stays = np.cumsum(gone)[: len(found)] == 0
+                own = np.flatnonzero(marks[low:high] == mark_of(text)) + low if low < high else slice(0)
+                stays = stay(len(found), at[own], bits[own])
                 kept = b" ".join(found if stays.all() else [x for x, s in zip(found, stays.tolist(), strict=True) if s])
                 removed = int(len(found) - stays.sum())
                 rows.append((len(found), removed, hashlib.sha256(kept).hexdigest(), (kept if removed else text).decode("utf-8", "replace") if with_text else None))
             n, r, sha, out = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(sha, pa.string()), pa.array(out, pa.string()), *batch.columns[3:]], ["doc_id", "n_words", "n_removed", "kept_sha256", "text", *others])
 
-    joined = pack_texts(docs, *others).join(repeated.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "packed", "places", *others)
-    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
-    out = joined.mapInArrow(run, StructType([*schema, *(docs.schema[n] for n in others)]))
+    named = docs.where("doc_id is not null").join(gone.hint("shuffle_hash"), "doc_id", "left")
+    # rows without doc_id lose nothing and need no shuffle
+    rows = named.unionByName(docs.where("doc_id is null").withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType)))
+    schema = StructType([*StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, text string"), *(docs.schema[n] for n in others)])
+    out = rows.select("doc_id", "packed", "gone", *others).mapInArrow(run, schema)
     return out if with_text else out.drop("text")
 
 
-class FingerprintIndex:
-    """Sorted runs of anchor rows of all batches so far, in the shared folder."""
-
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout, self.runs = spark, fanout, []
-
-    def add(self, docs: DataFrame, last: bool = False, with_text: bool = False, others: tuple[str, ...] = ()) -> DataFrame:
-        """Remove from a batch what it shares with smaller doc_ids, here or in earlier batches.
+def substring_dedup(docs: DataFrame, batches: int = 4, share_docs: int = 4096, with_text: bool = False, others: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_words, n_removed, kept_sha256 (and text, as it was where nothing goes; and `others`).
 
-        Its fingerprints become a run, unless it is the last batch that is asked for.
-        """
-        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
-        named = docs.where("doc_id is not null")
-        several = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
-        new = anchors(named)
-        if not last:
-            new = materialize(new.sortWithinPartitions("h"), "fingerprints")  # each task writes a sorted segment
-        out = remove(docs, repeated_windows(new, self.runs), with_text, several, others)
-        if not last:
-            self.runs = [*self.runs, new]
-            if len(self.runs) > self.fanout:
-                self.compact()
-        return out
+    Each word goes that a window of 13 words covers which also starts in a document with a smaller doc_id, as the
+    input has them. Documents pass the index in `batches` by ascending doc_id, about equal in number. `share_docs`: the
+    rows of a fingerprint that are compared in one task, about. Null text has no words. A document that repeats a
+    window only within itself keeps it. Rows that repeat a doc_id are one document's, and each loses what a smaller
+    doc_id has. An empty table gives an empty result. A row without doc_id keeps all its words and takes none from
+    others. `others` are columns to carry along under names that the result doesn't have yet.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], F.lit(1000))).first()[0] or []
+    number = sum(((F.col("doc_id") > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    found = materialize(fingerprints(docs.where("doc_id is not null")).withColumn("batch", number), "fingerprints")
 
-    def compact(self) -> None:
-        """Merge all runs into one that keeps the smallest owner of each fingerprint row."""
-        rows = self.runs[0]
-        for run in self.runs[1:]:
-            rows = rows.unionByName(run)
-        merged = owners(rows).groupBy("h", "checks").agg(F.min("doc_id").alias("doc_id"))
-        merged = merged.select("h", "doc_id", "checks", F.lit(None).cast(rows.schema["more"].dataType).alias("more"))
-        self.runs = [materialize(merged.repartition("h").sortWithinPartitions("h"), "fingerprints")]
+    index = FingerprintIndex(docs.sparkSession)
+    met = [index.add(found.where(F.col("batch") == k).select("h", "doc_id")) for k in range(len(set(cuts)) + 1)]
+    index.drop()
+    packed = pack_texts(docs, *others)
+    gone = lost_windows(packed, found, met, share_docs)
+    discard(found)
+    return remove(packed, gone, with_text, others)
 
 
-def substring_dedup(docs: DataFrame, share: float = 0.125, with_text: bool = False, others: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_words, n_removed, kept_sha256 (and text, as it was where nothing goes; and `others`).
+def lost_windows(packed: DataFrame, found: DataFrame, met: list[DataFrame], share_docs: int) -> DataFrame:
+    """doc_id, mark, places and bits of the windows that a smaller doc_id has, for fingerprints (h, n) that met.
 
-    Each word goes that a window of 13 words covers which also starts in a document with a smaller doc_id, as the
-    input has them. Documents come in two batches by doc_id: the first `share` of them is indexed as a run, the
-    others are merged with it. Null text has no words. A document that repeats a window only within itself keeps
-    it. Rows that repeat a doc_id are one document's, and each loses what a smaller doc_id has. An empty table gives
-    an empty result. A row without doc_id keeps all its words and takes none from others. `others` are columns to carry along under names that the result doesn't have yet.
+    `packed` has the texts of all documents with such fingerprints, `found` their fingerprints.
     """
-    index = FingerprintIndex(docs.sparkSession)
-    cut = docs.agg(F.percentile_approx("doc_id", F.lit(share), F.lit(1000))).first()[0]
-    if cut is None:
-        return index.add(docs, last=True, with_text=with_text, others=others)
-    first = index.add(docs.where(F.col("doc_id") <= cut), with_text=with_text, others=others)
-    return first.unionByName(index.add(docs.where((F.col("doc_id") > cut) | F.col("doc_id").isNull()), last=True, with_text=with_text, others=others))
+    every = met[0]
+    for more in met[1:]:
+        every = every.unionByName(more)
+    every = materialize(every.groupBy("h").agg(F.ceil(F.max("n") / share_docs).alias("shares")), "met")
+    candidates = materialize(found.select("h", "doc_id").join(every.hint("shuffle_hash"), "h").select("doc_id", "h", "shares"), "candidates")
+    held = packed.join(candidates.groupBy("doc_id").agg(F.collect_list(F.struct("h", "shares")).alias("found")).hint("shuffle_hash"), "doc_id")
+    half = materialize(verified(stretches(held)), "verified")
+    discard(every, candidates, *met)
+    return half.where("gone > 0").select("doc_id", "mark", "places", "gone").unionByName(again(half))
+
+
+def dedup_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame, share_docs: int = 4096, with_text: bool = False) -> DataFrame:
+    """The result of `substring_dedup` for a new batch alone, held against an index and the texts that it covers.
+
+    The batch's fingerprints become a run of the index. Of `history` only texts with fingerprints that met are
+    compared. A document of the batch loses what smaller doc_ids of both have; earlier results don't change.
+    """
+    batch, history = (x.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) for x in (batch, history))
+    met = index.add(fingerprints(batch.where("doc_id is not null")))
+    named = batch.unionByName(history).where("doc_id is not null")
+    return remove(pack_texts(batch), lost_windows(pack_texts(named), fingerprints(named), [met], share_docs), with_text, ())
