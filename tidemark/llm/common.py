@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 import tempfile
 import uuid
@@ -11,6 +10,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -94,35 +94,15 @@ def binary_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-class Hashes(dict):
-    """64-bit hashes of words, made when first asked for; short words are remembered, up to `room` of them."""
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words. A long text is read slice by slice, so only its hashes stand in memory whole."""
+    return np.concatenate([np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)) for found in map(bytes.split, slices(text))])
 
-    def __init__(self, room: int = 500_000):
-        super().__init__()
-        self.room = room
 
-    def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) < 50:
-            if len(self) >= self.room:
-                self.clear()
-            self[word] = value
-        return value
-
-
-class WordHasher:
-    """Hashes of the words of texts. A long text is read slice by slice, so only its hashes stand in memory whole."""
-
-    def __init__(self) -> None:
-        self.known = Hashes()
-
-    def of_one(self, text: bytes) -> np.ndarray:
-        return np.concatenate([np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found)) for found in map(bytes.split, slices(text))])
-
-    def of(self, texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words, and where each text's begin (one more entry than texts)."""
-        each = [self.of_one(t.lower() if lower else t) for t in texts]  # bytes.lower changes A-Z alone
-        return np.concatenate(each) if each else np.empty(0, np.uint64), np.cumsum([0, *map(len, each)])
+def hashes_of(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words, and where each text's begin (one more entry than texts)."""
+    each = [word_hashes(t.lower() if lower else t) for t in texts]  # bytes.lower changes A-Z alone
+    return np.concatenate(each) if each else np.empty(0, np.uint64), np.cumsum([0, *map(len, each)])
 
 
 def slices(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:

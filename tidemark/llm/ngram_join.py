@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, binary_texts, chunks, materialize, mix, pack_texts, rolled, unpack
+from .common import binary_texts, chunks, hashes_of, materialize, mix, pack_texts, rolled, unpack
 from .components import components
 
 SHINGLE, SHARE = 5, 75
@@ -31,10 +31,10 @@ COUNTERS = 2**18
 CHUNK = 1024
 
 
-def shingle_sets(texts: list[bytes], hasher: WordHasher) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of each text's shingles; fewer than five words are one shingle."""
     for part in chunks(texts, len, 1 << 20):
-        w, begins = hasher.of(part, lower=True)
+        w, begins = hashes_of(part, lower=True)
         runs = rolled(w, SHINGLE)
         for at, end in zip(begins.tolist(), begins.tolist()[1:]):
             n = end - at
@@ -110,10 +110,10 @@ def _counted(docs: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, hits = WordHasher(), np.zeros(COUNTERS, np.int64)
+        hits = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             rows = []
-            for s in shingle_sets(binary_texts(batch.column(1)), hasher):
+            for s in shingle_sets(binary_texts(batch.column(1))):
                 rows.append((len(s), set_key(s), point(s).tobytes() if len(s) else None))
                 np.add.at(hits, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
             columns = [batch.column(0), *(zip(*rows, strict=True) if rows else ((), (), ())), pa.nulls(len(rows)), pa.nulls(len(rows))]
@@ -133,10 +133,9 @@ def _prefixes(docs: DataFrame, hits: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(hits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             ids, keys, flat, ends = [], [], [], [0]
-            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(binary_texts(batch.column(1)), hasher), strict=True):
+            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(binary_texts(batch.column(1))), strict=True):
                 if len(s):
                     # s is sorted, so ties of the count keep the order of the hashes
                     rare = np.argsort(shared.value[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
@@ -173,12 +172,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (u, v) that link, by the whole sets of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             keep = []
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for a, b in zip(shingle_sets(unpack(part.column(2)), hasher), shingle_sets(unpack(part.column(3)), hasher), strict=True):
+                for a, b in zip(shingle_sets(unpack(part.column(2))), shingle_sets(unpack(part.column(3))), strict=True):
                     keep.append(linked(a, b))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 

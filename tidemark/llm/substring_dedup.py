@@ -27,21 +27,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import WRITING, WordHasher, binary_texts, chunks, discard, materialize, new_folder, pack_texts, remove_folder, rolled, settings, unpack
+from .common import WRITING, binary_texts, chunks, discard, hashes_of, materialize, new_folder, pack_texts, remove_folder, rolled, settings, unpack, word_hashes
 
 SIZE, ANCHOR = 13, 5
 #: One file for each bucket of a run is sorted, so a merge needs no sort.
 MERGING = {**WRITING, "spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
 
 
-def anchors_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each stretch of windows of a text that share an anchor: its hash, the first window, the number of windows."""
-    if len(hashes) < SIZE:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+def anchors_of(hashes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each stretch of windows of a text that share an anchor: its hash, the text's number, the first window, the number of windows.
+
+    `hashes` of the words of texts that begin at `begins` (one more entry than texts).
+    """
+    count = len(hashes) - SIZE + 1
+    if count <= 0:
+        return tuple(np.empty(0, np.int64) for _ in range(4))
     grams = rolled(hashes, ANCHOR)
     place = least_places(grams, SIZE - ANCHOR + 1)
-    first = np.flatnonzero(np.diff(place, prepend=-1))
-    return grams[place[first]].view(np.int64), first, np.diff(np.append(first, len(place)))
+    text = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    windows = np.flatnonzero(text[:count] == text[SIZE - 1 :])  # of one text
+    place, text = place[windows], text[windows]
+    first = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
+    return grams[place[first]].view(np.int64), text[first], windows[first] - begins[text[first]], np.diff(np.append(first, len(place)))
 
 
 def least_places(values: np.ndarray, size: int) -> np.ndarray:
@@ -59,13 +66,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """h, doc_id: each document's distinct fingerprints, from its whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), binary_texts(batch.column(1)), strict=True)
-            for near in chunks(rows, lambda r: len(r[1]), 8 << 20):
-                found = [np.unique(anchors_of(hasher.of_one(t))[0]) for _, t in near]
-                ids = np.repeat(np.array([i for i, _ in near], np.int64), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(ids)], ["h", "doc_id"])
+            for near in chunks(rows, lambda r: len(r[1]), 2 << 20):
+                h, text, _, _ = anchors_of(*hashes_of([t for _, t in near]))
+                order = np.lexsort((h, text))
+                h, text = h[order], text[order]
+                new = (np.diff(h, prepend=0) != 0) | (np.diff(text, prepend=-1) != 0)
+                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(np.array([i for i, _ in near], np.int64)[text[new]])], ["h", "doc_id"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long")
 
@@ -156,22 +164,29 @@ def stretches(held: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for whole in batches:
             for batch in (whole.slice(k, 64) for k in range(0, whole.num_rows, 64)):
-                out = []
-                for doc_id, text, found in zip(batch.column(0).to_pylist(), unpack(batch.column(1)), batch.column(2), strict=True):
-                    wanted = dict(zip(found.values.field(0).to_pylist(), found.values.field(1).to_pylist(), strict=True))
-                    h, first, count = anchors_of(hasher.of_one(text))
+                texts = unpack(batch.column(1))
+                found = batch.column(2).flatten()
+                wanted, dealt = (found.field(n).to_numpy() for n in ("h", "shares"))
+                edges = np.append(0, np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False)))
+                out: list[list] = [[] for _ in range(7)]
+                for n, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
+                    order = np.argsort(wanted[edges[n] : edges[n + 1]]) + edges[n]
+                    own = wanted[order]
+                    hashes = word_hashes(text)
+                    h, _, first, count = anchors_of(hashes, np.array([0, len(hashes)]))
+                    at = np.searchsorted(own, h)
+                    met = np.flatnonzero(own[np.minimum(at, len(own) - 1)] == h)
                     mark, words, by = mark_of(text), text.split(), {}
-                    for k in np.flatnonzero(np.isin(h, np.fromiter(wanted, np.int64, len(wanted)))):
-                        by.setdefault((int(h[k]), b" ".join(words[first[k] : first[k] + count[k] + SIZE - 1])), []).append(int(first[k]))
-                    for (key, stretch), places in by.items():
-                        shares = wanted[key]
-                        out.append((key, doc_id % shares, shares, doc_id, mark, stretch, places))
-                columns = zip(*out, strict=True) if out else [()] * 7
+                    begins = first[met].tolist()
+                    for key, begin, end, share in zip(h[met].tolist(), begins, (first[met] + count[met] + SIZE - 1).tolist(), dealt[order[at[met]]].tolist(), strict=True):
+                        by.setdefault((key, b" ".join(words[begin:end]), share), []).append(begin)
+                    keys, stretch, shares = zip(*by, strict=True) if by else ((), (), ())
+                    for column, values in zip(out, (keys, [doc_id % s for s in shares], shares, [doc_id] * len(by), [mark] * len(by), stretch, by.values()), strict=True):
+                        column.extend(values)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["h", "share", "shares", "doc_id", "mark", "words", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["h", "share", "shares", "doc_id", "mark", "words", "places"])
 
     return held.select("doc_id", "packed", "found").mapInArrow(run, "h long, share long, shares long, doc_id long, mark long, words binary, places array<int>")
 
