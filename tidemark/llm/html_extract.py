@@ -1,11 +1,12 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's parser streams a page's events into lines, one per block of text, each with the tags met
-on it. Lines inside menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and comments are
-known by their elements. The ratios of text to tags of the other lines are smoothed by a Gaussian and split by a
-threshold into content and rest; the region that holds most content text is the article (article and main elements
-are regions, the rest of the page is another), and all its lines stay, the short ones too. A class, id or role that
-marks an element as no part of the article counts only where the element doesn't hold the article itself.
+on it and the containers (article, main, section, div, table cell) around it. Scripts, styles and the like have no
+text. A line's ratio is its unlinked text over its tags, smoothed by a Gaussian over the lines next to it; a line
+of a menu, footer, side bar, form, notice, advert or comment has ratio zero, by its element or by a class, id or
+role that marks it. A threshold between the two clusters of ratios tells content lines from the rest, and they
+select the content regions: articles where most of the content is in articles, else the smallest container of the
+content lines without those of its containers that have none. A region keeps its short lines, too.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,36 +24,65 @@ from pyspark.sql import functions as F
 # Names of elements in the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-NOISE = frozenset("aside audio button canvas datalist dialog embed fieldset footer form head iframe input label map menu nav noframes noscript object option script search select style svg template textarea title video".split())
+NO_TEXT = frozenset("audio button canvas datalist embed head iframe input map noframes noscript object option script select style svg template textarea title video".split())
+NOISE = frozenset("aside footer menu nav search".split())
+#: Elements that are no part of the article unless they hold it (a form may be around a whole page).
+DOUBTFUL = frozenset("dialog fieldset form header label".split())
+CONTAINER = frozenset("article body main section div td th".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that mark an element as no part of the article.
-NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense alert banner bar breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo complementary cookie cookies copyright dialog disqus footer gdpr header hidden legal login masthead menu meta modal nav navbar navigation navi newsletter notice notices notification pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar sidenav signup social sponsor sponsored sponsors subscribe subscription tags teaser toc toolbar topbar widget widgets".split())
+STRONG_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies copyright disqus gdpr newsletter promo promoted promotion related replies reply respond sharing sponsor sponsored sponsors".split())
+#: Words that often stand in the names of wrappers and headings as well.
+WEAK_WORDS = frozenset("alert banner bar byline consent dialog footer header hidden legal login masthead menu meta modal nav navbar navigation navi notice notices notification pager pagination popup search share sidebar sidenav signup social subscribe subscription tags teaser toc toolbar topbar widget widgets".split())
 #: Elements whose end may be left out, and the starts that imply it.
 IMPLIED = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option", "optgroup"])}
 INLINE_TAGS_THAT_SPACE = frozenset(["br", "hr", "img", "wbr"])
 WORD = re.compile(r"[a-z]+")
-REGION = ("article", "main")
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int
+    #: Whether it is in an element that never has the article, and the doubtful elements around it.
+    noise: bool
+    marks: tuple[int, ...]
+    #: Numbers of the containers around it, from the page (0) inwards.
+    within: tuple[int, ...]
+    heading: bool
+
+    @property
+    def own(self) -> int:
+        return len(self.text) - self.linked
+
+
+class Open(NamedTuple):
+    tag: str
+    no_text: bool = False
+    link: bool = False
+    noise: bool = False
+    marks: tuple[int, ...] = ()
+    within: tuple[int, ...] = (0,)
+    heading: bool = False
 
 
 class Lines(HTMLParser):
-    """Events to lines: (text, tags, region, linked characters, marked elements around it)."""
+    """Events to lines."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, bool, tuple]] = []  # element, noise, region, link, marks
-        self.lines: list[tuple[str, int, int, int, tuple]] = []
-        self.regions: list[str] = ["page"]
-        self.within: list[tuple[int, tuple]] = [(0, ())]  # of each region: the region around it, marks
+        self.open: list[Open] = [Open("")]
+        self.lines: list[Line] = []
+        self.containers: list[tuple[str, tuple[int, ...]]] = [("page", ())]  # element, marks around it
         self.marked = 0
+        self.weak: set[int] = set()
         self.text: list[str] = []
         self.tags = self.linked = 0
 
-    @property
-    def top(self) -> tuple[str, bool, int, bool, tuple]:
-        return self.open[-1] if self.open else ("", False, 0, False, ())
-
     def end_line(self) -> None:
         if self.text and (text := " ".join("".join(self.text).split())):
-            self.lines.append((text, self.tags, self.top[2], self.linked, self.top[4]))
+            top = self.open[-1]
+            self.lines.append(Line(text, self.tags, self.linked, top.noise, top.marks, top.within, top.heading))
             self.tags = self.linked = 0
         self.text = []
 
@@ -66,23 +97,24 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self.end_line()
             self._imply(tag)
-        _, noise, region, link, marks = self.top
-        mark = "" if noise else self._marked(tag, attrs)
-        if tag in NOISE or mark == "hidden" or (tag == "header" and region == 0):
-            noise = True
-        elif mark:
+        top = self.open[-1]
+        mark, marks, within = self._marked(tag, attrs), top.marks, top.within
+        main = any(k == "role" and v == "main" for k, v in attrs)
+        article = any(self.containers[c][0] in ("article", "main") for c in within)
+        if mark in ("strong", "weak") or tag in DOUBTFUL and not (tag == "header" and article):
             self.marked += 1
             marks = (*marks, self.marked)
-        if tag in REGION or any(k == "role" and v == "main" for k, v in attrs):
-            if not noise and (region == 0 or self.regions[region] == "main" and tag == "article"):
-                self.regions.append("main" if tag != "article" else "article")
-                self.within.append((region, marks))
-                region = len(self.regions) - 1
-        self.open.append((tag, noise, region, link or tag == "a", marks))
+            if mark != "strong":
+                self.weak.add(self.marked)
+        if tag in CONTAINER or main:
+            self.containers.append(("main" if main else tag, marks))
+            within = (*within, len(self.containers) - 1)
+        no_text = top.no_text or tag in NO_TEXT or mark == "hidden"
+        self.open.append(Open(tag, no_text, top.link or tag == "a", top.noise or tag in NOISE, marks, within, top.heading or tag in HEADING))
 
     def _imply(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
+        for k in range(len(self.open) - 1, 0, -1):
+            name = self.open[k].tag
             if name in IMPLIED and tag in IMPLIED[name]:
                 del self.open[k:]
                 return
@@ -97,28 +129,31 @@ class Lines(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "").lower()):
                 return "hidden"
-            if value and name in ("class", "id", "role") and not NOISE_WORDS.isdisjoint(WORD.findall(value.lower())):
-                mark = "word"
+            if value and name in ("class", "id", "role"):
+                words = WORD.findall(value.lower())
+                if not STRONG_WORDS.isdisjoint(words):
+                    mark = "strong"
+                elif not mark and tag not in HEADING and not WEAK_WORDS.isdisjoint(words):
+                    mark = "weak"
         return mark
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCK:
             self.end_line()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k].tag == tag:
                 del self.open[k:]
                 return
-            if tag not in BLOCK and self.open[k][0] in BLOCK:
+            if tag not in BLOCK and self.open[k].tag in BLOCK:
                 return
 
     def handle_data(self, data: str) -> None:
-        _, noise, _, link, _ = self.top
-        if not noise:
+        if not self.open[-1].no_text:
             self.text.append(data)
-            self.linked += len(data) * link
+            self.linked += len(data) * self.open[-1].link
 
-    def finish(self, html: str) -> list[tuple[str, int, int, int, tuple]]:
+    def finish(self, html: str) -> list[Line]:
         try:
             self.feed(html)
             self.close()
@@ -150,73 +185,88 @@ def two_clusters(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def overruled(parser: Lines) -> tuple[set[int], set[int]]:
-    """Marks that don't count: those around most of the page's text with no region elsewhere; those around the heaviest region."""
-    under: dict[int, int] = {}
+def threshold(ratios: np.ndarray) -> float:
+    """Least ratio of a content line: between the clusters, but no more than the spread of all ratios."""
+    return min(two_clusters(ratios), float(ratios.std())) if float(ratios.max()) > float(ratios.min()) else 0.0
+
+
+def void_marks(parser: Lines) -> set[int]:
+    """Marks that don't count, since the article is inside.
+
+    Those with most of the page's text, where no article is elsewhere; those around the heaviest article; and inside of
+    an article weak ones that have most of its text.
+    """
+    under: dict[tuple[int, int], int] = {}  # text by article and mark; article 0 is the whole page, mark 0 all of it
     weight: dict[int, int] = {}
-    total = 0
-    for text, _, region, linked, marks in parser.lines:
-        own = len(text) - linked
-        total += own
-        for mark in marks:
-            under[mark] = under.get(mark, 0) + own
-        if marks[: len(parser.within[region][1])] == marks:
-            weight[region] = weight.get(region, 0) + own
-    most = {m for m, own in under.items() if 2 * own > total and all(m in marks for _, marks in parser.within[1:])}
-    weight.pop(0, None)
-    heaviest = max(weight, key=lambda r: (weight[r], -r), default=0)
-    return most, set(parser.within[heaviest][1])
-
-
-def unmarked(lines: list[tuple], free: set[int]) -> list[tuple[str, int, int, int]]:
-    """Lines outside marked elements, those in `free` aside; tags of the others count on the next line."""
-    out, tags = [], 0
-    for text, own, region, linked, marks in lines:
-        tags += own
-        if free.issuperset(marks):
-            out.append((text, tags, region, linked))
-            tags = 0
-    return out
+    for line in parser.lines:
+        if not line.noise:
+            outer = next((c for c in line.within if parser.containers[c][0] in ("article", "main")), 0)
+            for article in {0, outer}:
+                for mark in (0, *line.marks):
+                    under[article, mark] = under.get((article, mark), 0) + line.own
+            if outer and parser.containers[outer][1] == line.marks[: len(parser.containers[outer][1])]:
+                weight[outer] = weight.get(outer, 0) + line.own
+    articles = [marks for tag, marks in parser.containers if tag in ("article", "main")]
+    most = {(a, m) for (a, m), own in under.items() if m and 2 * own > under[a, 0]}
+    void = {m for a, m in most if (m in parser.weak if a else all(m in marks for marks in articles))}
+    return void | (set(parser.containers[max(weight, key=lambda c: (weight[c], -c))][1]) if weight else set())
 
 
 def main_text(html: str | None) -> str:
+    """The text of a page's content regions."""
     parser = Lines()
-    parser.finish(html or "")
-    most, around = overruled(parser)
-    found = chosen(parser, unmarked(parser.lines, most | around))
-    if found is None:  # the bare page, so an element around a region is no exception
-        found = chosen(parser, unmarked(parser.lines, most), bare=True)
-    return found
+    lines = parser.finish(html or "")
+    void = void_marks(parser)
+    clear = [not line.noise and void.issuperset(line.marks) for line in lines]
+    if not any(clear):
+        return ""
+    ratios, at = np.zeros(len(lines)), np.flatnonzero(clear)
+    ratios[at] = smoothed(np.array([lines[k].own / max(1, lines[k].tags) for k in at]))
+    content = ratios >= threshold(ratios)
+    return " ".join(lines[k].text for k in selected(parser, lines, content, np.array(clear)))
 
 
-def chosen(parser: Lines, lines: list[tuple[str, int, int, int]], bare: bool = False) -> str | None:
-    """The text of the region with most content; None if that is the bare page and `bare` isn't given."""
-    if not lines:
-        return ""
-    ratios = smoothed(np.array([len(t) / max(1, tags) for t, tags, _, _ in lines]))
-    content = ratios >= min(two_clusters(ratios), float(np.median(ratios)) + float(ratios.std()))
+def selected(parser: Lines, lines: list[Line], content: np.ndarray, clear: np.ndarray) -> list[int]:
+    """Numbers of the lines of the content regions.
+
+    `clear` lines are in no menu, footer and the like. The others are left out unless they are content, which a
+    threshold over zero never lets them be.
+    """
+    some = np.flatnonzero(content)
+    if not len(some):
+        return np.flatnonzero(clear).tolist()
+    outer = [next((c for c in line.within if parser.containers[c][0] == "article"), next((c for c in line.within if parser.containers[c][0] == "main"), 0)) for line in lines]
     weight: dict[int, int] = {}
-    for (text, _, region, linked), stays in zip(lines, content, strict=True):
-        weight[region] = weight.get(region, 0) + (len(text) - linked if stays else 0)
-    # of equal ones an article or main element with text wins over the bare page
-    best = 0 if bare else max(weight, key=lambda r: (weight[r], r > 0, -r))
-    if best:
-        inside = {best} if parser.regions[best] == "article" else {r for r in weight if best in (r, parser.within[r][0])}
-        return " ".join(t for t, _, r, _ in lines if r in inside)
-    if not bare:
-        return None
-    if 2 * weight.get(0, 0) > sum(weight.values()):  # teasers
-        content = content[[r == 0 for _, _, r, _ in lines]]
-        lines = [x for x in lines if x[2] == 0]
-    kept = [k for k, stays in enumerate(content) if stays and lines[k][3] * 2 <= len(lines[k][0])]
-    if not kept:
-        return " ".join(t for t, _, _, _ in lines)
-    first, last = kept[0], kept[-1]
-    while first and lines[first - 1][3] * 2 <= len(lines[first - 1][0]) and len(lines[first - 1][0]) > 1:
-        first -= 1  # headings above the text
-    while last + 1 < len(lines) and lines[last + 1][3] * 2 <= len(lines[last + 1][0]):
-        last += 1
-    return " ".join(t for t, _, _, linked in lines[first : last + 1] if linked * 2 <= len(t))
+    for k in some.tolist():
+        weight[outer[k]] = weight.get(outer[k], 0) + lines[k].own
+    if 2 * weight.get(0, 0) <= sum(weight.values()) and any(outer[k] for k in some.tolist()):
+        # articles: those with content, and those that are more than links
+        text: dict[int, list[int]] = {}
+        for k in np.flatnonzero(clear).tolist():
+            text.setdefault(outer[k], [0, 0])
+            text[outer[k]][0] += lines[k].own
+            text[outer[k]][1] += lines[k].linked
+        chosen = {c for c in weight if c} | {c for c, (own, linked) in text.items() if c and parser.containers[c][0] == "article" and own > linked}
+        return [k for k in range(len(lines)) if (outer[k] in chosen if clear[k] else content[k])]
+    # the smallest container of all content lines outside of articles that have few of them
+    if outer_share(weight):
+        some = some[[outer[k] == 0 or 10 * weight[outer[k]] > sum(weight.values()) for k in some.tolist()]]
+    paths = [lines[k].within for k in some.tolist()]
+    depth = 0
+    while all(len(p) > depth for p in paths) and len({p[depth] for p in paths}) == 1:
+        depth += 1
+    root, holds = paths[0][depth - 1], {p[depth] for p in paths if len(p) > depth}
+    inside = [k for k, line in enumerate(lines) if len(line.within) >= depth and line.within[depth - 1] == root and (len(line.within) == depth or line.within[depth] in holds) and (clear[k] or content[k])]
+    # headings right above it
+    first = inside[0]
+    while first and clear[first - 1] and lines[first - 1].heading and 2 * lines[first - 1].linked <= len(lines[first - 1].text):
+        first -= 1
+    return [*range(first, inside[0]), *inside]
+
+
+def outer_share(weight: dict[int, int]) -> bool:
+    """Whether content lines lie both in articles and outside of them."""
+    return 0 in weight and len(weight) > 1
 
 
 def extract(pages: DataFrame) -> DataFrame:
