@@ -1,9 +1,9 @@
 """Count-only Viterbi: how many unigram pieces a text has, without making the pieces.
 
-An Aho-Corasick automaton over the vocabulary enumerates every match that ends at each character; dynamic
-programming carries the best score and the number of pieces. Of equal scores the earliest start, so the longest
-last piece, wins, as in the tokenizer. A character that no piece covers costs ten below the least score and counts
-one piece for each UTF-8 byte.
+An Aho-Corasick automaton over the vocabulary's pieces of text (no control and byte pieces) enumerates every match
+that ends at each character; dynamic programming carries the best score and the number of pieces. Of equal scores the
+earliest start, so the longest last piece, wins, as in the tokenizer. A character that is no piece costs ten below the
+least score and counts one piece for each UTF-8 byte.
 """
 
 from __future__ import annotations
@@ -15,23 +15,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import SPACE, Vocabulary, load
+from .pieces import MATCHED, SPACE, Vocabulary, load
 
 
 class Counter(dict):
-    """Pieces of each run of text without a space inside, remembered for up to `room` runs."""
+    """Pieces of each stretch of text, remembered for up to `room` short ones."""
 
     def __init__(self, vocabulary: Vocabulary, room: int = 300_000):
         import ahocorasick
 
         super().__init__()
         self.room, self.automaton = room, ahocorasick.Automaton()
-        for piece, score, _ in vocabulary.pieces:
-            if piece:
+        for piece, score, kind in vocabulary.pieces:
+            if kind in MATCHED:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.unknown = min(s for _, s, _ in vocabulary.pieces) - 10.0
-        self.line_feed_apart = not any("\n" in p for p, _, _ in vocabulary.pieces)
+        self.unknown, self.stretch = vocabulary.unknown_score, vocabulary.stretch_pattern()
+        self.prefix = SPACE if vocabulary.dummy_prefix else ""
 
     def __missing__(self, run: str) -> int:
         value = self.best(run)
@@ -75,15 +75,8 @@ class Counter(dict):
     def of(self, text: str) -> int:
         if not text:
             return 0
-        # a space starts the word after it
-        first, *rest = text.replace(SPACE, " ").removeprefix(" ").split(" ")
-        if not self.line_feed_apart:
-            return sum(self[SPACE + x] for x in (first, *rest))
-        total = 0
-        for word in (first, *rest):
-            head, *lines = word.split("\n")
-            total += self[SPACE + head] + len(lines) + sum(self[x] for x in lines if x)
-        return total
+        first, *rest = self.stretch.findall(text.replace(" ", SPACE))
+        return self[self.prefix + first] + sum(map(self.__getitem__, rest))
 
 
 @lru_cache(maxsize=1)
@@ -95,8 +88,7 @@ def compiled(model_path: str) -> Counter:
 def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     """One row per document: doc_id, n_tokens (0 for null or empty text). Repeated rows are counted one by one.
 
-    Scores are whole numbers or doubles, summed in double precision; a space begins a word, words are counted on
-    their own, and a line feed is in no piece, so lines of a word are counted on their own too.
+    Scores are summed in double precision. Stretches of a text whose ends no piece crosses are counted on their own.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
