@@ -1,4 +1,6 @@
+import html as html_entities
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,33 +173,114 @@ def unigram():
 ODD = ["", " ", "  a", "▁x", "a▁ b", "日本語 текст ñandú", "😀 ok", "line\n\nfeed \n x", "a\tb", "<0x41> <s> </s>", "zzzz qqqq\x00", "é é", " lead", "trail "]
 
 
-def test_token_counts(docs, texts, spark):
-    tokenizer = unigram()
-    rows = texts + [(1000 + i, t) for i, t in enumerate(ODD)]
-    got = {r.doc_id: r.n_tokens for r in token_count.token_counts(frame(spark, rows), tokenizer_path("piece_bpe_32k.model")).collect()}
-    assert got == {d: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for d, t in rows}
+def costs(vocabulary, text):
+    """Least cost of splitting a text into pieces and bytes; a plain recurrence from the right over a dictionary."""
+    text = ("▁" + text).replace(" ", "▁") if text else ""
+    cost = {p: -s for p, s, kind in vocabulary.pieces if kind in pieces.MATCHED}
+    longest, best = max(map(len, cost)), [0.0] * (len(text) + 1)
+    for at in range(len(text) - 1, -1, -1):
+        ways = [cost[text[at:end]] + best[end] for end in range(at + 1, min(len(text), at + longest) + 1) if text[at:end] in cost]
+        if text[at] not in cost:
+            ways.append(best[at + 1] - vocabulary.unknown_score)
+        best[at] = min(ways)
+    return best[0]
+
+
+def cost_of(vocabulary, ids):
+    total, at = 0.0, 0
+    while at < len(ids):
+        piece, score, kind = vocabulary.pieces[ids[at]]
+        if kind == pieces.BYTE:
+            first = int(piece[3:5], 16)
+            total, at = total - vocabulary.unknown_score, at + (1 if first < 128 else 2 if first < 224 else 3 if first < 240 else 4)
+        else:
+            total, at = total - score, at + 1
+    return total
 
 
-def test_transducer(spark, texts):
-    import sentencepiece
-    from sentencepiece import sentencepiece_model_pb2 as proto
+def all_paths(vocabulary, text):
+    """(cost, starts of the pieces from the last to the first, ids) of every path of a short text."""
+    text = ("▁" + text).replace(" ", "▁") if text else ""
+    at = {p: (i, -s) for i, (p, s, kind) in enumerate(vocabulary.pieces) if kind in pieces.MATCHED}
+
+    def paths(end):
+        if not end:
+            yield 0.0, (), ()
+        for begin in range(end):
+            if text[begin:end] in at:
+                i, own = at[text[begin:end]]
+                for cost, starts, ids in paths(begin):
+                    yield cost + own, (begin, *starts), (*ids, i)
+            elif begin == end - 1:
+                for cost, starts, ids in paths(begin):
+                    yield cost - vocabulary.unknown_score, (begin, *starts), (*ids, *vocabulary.spelt(text[begin]))
+
+    return paths(len(text))
+
+
+SPECIAL = ["a<s>b", "<unk></s>", "<0x41>", " a", "a  b   c ", "\n \n", "\t\ta", "😀 漢字\u0301", "\x00", "▁▁ x", "  "]
 
+
+def test_transducer_is_the_shortest_path(spark, small, texts):
+    """Whole documents cost what a plain recurrence finds; the counter agrees; decoding gives the text back."""
     path = tokenizer_path("piece_bpe_32k.model")
-    model = proto.ModelProto()
-    with open(path, "rb") as f:
-        model.ParseFromString(f.read())
-    model.trainer_spec.model_type = proto.TrainerSpec.UNIGRAM
-    processor = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-    short = [(d, t) for d, t in texts if len(t or "") < 400] + [(1000 + i, t) for i, t in enumerate(ODD) if "😀" not in t and "\x00" not in t and "\n" not in t and "\t" not in t]
-    short = [(d, " ".join(brute.words(t)) if d < 1000 else t) for d, t in short]
-    encoded = sentencepiece_fst.encode(frame(spark, short), path)
+    vocabulary = pieces.load(path)
+    rows = texts + [(1000 + i, t) for i, t in enumerate(ODD + SPECIAL)]
+    rows += [(5000 + r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()]
+    encoded = sentencepiece_fst.encode(frame(spark, rows), path)
     got = {r.doc_id: r.ids for r in encoded.collect()}
-    single = [(d, t) for d, t in short if "  " not in (t or "") and "\x1c" not in t]
-    assert {d: got[d] for d, _ in single} == {d: processor.encode(t or "") for d, t in single}
+    assert {d: cost_of(vocabulary, got[d]) for d, _ in rows} == {d: costs(vocabulary, t or "") for d, t in rows}
+    assert {r.doc_id: r.n_tokens for r in token_count.token_counts(frame(spark, rows), path).collect()} == {d: len(got[d]) for d, _ in rows}
     back = {r.doc_id: r.text for r in sentencepiece_fst.decode(encoded, path).collect()}
-    assert all(back[d] == (t or "").replace("▁", " ") for d, t in short)
-    trip = {r.doc_id: r for r in sentencepiece_fst.round_trip(frame(spark, texts), path).collect()}
-    assert all(r.lossless for r in trip.values()) and trip[0].n_pieces == 0
+    assert all(back[d] == (t or "").replace("▁", " ") for d, t in rows)
+    trip = {r.doc_id: r for r in sentencepiece_fst.round_trip(frame(spark, rows), path).collect()}
+    assert all(trip[d].lossless == ("▁" not in (t or "")) and trip[d].n_pieces == len(got[d]) for d, t in rows)
+    assert sentencepiece_fst.encode(frame(spark, []), path).count() == 0 and token_count.token_counts(frame(spark, []), path).count() == 0
+
+
+def test_ties_take_the_earliest_start():
+    """Among all paths of least cost: the last piece begins earliest, then the one before it, and so on."""
+    names = ["a", "b", "▁", "ab", "ba", "aab", "aa", "▁a", "▁▁", "bb"]
+    byte = [(f"<0x{b:02X}>", 0.0, pieces.BYTE) for b in range(256)]
+    rng = random.Random(6)
+    for prefix in (True, False):
+        vocabulary = pieces.Vocabulary([("<s>", 0.0, pieces.CONTROL), *byte, *((n, -float(len(n)), pieces.NORMAL) for n in names)], True)
+        machine, counter = sentencepiece_fst.Transducer(vocabulary), token_count.Counter(vocabulary)
+        for _ in range(150):
+            text = "".join(rng.choices("aab cé", k=rng.randint(0, 9)))
+            _, _, ids = min(all_paths(vocabulary, text))
+            assert tuple(machine.encode(text)) == ids and counter.of(text) == len(ids)
+
+
+def test_composition():
+    """A composed machine maps each input as its two machines do one after the other."""
+    vocabulary = pieces.Vocabulary([*((f"<0x{b:02X}>", 0.0, pieces.BYTE) for b in range(256)), ("▁", -3.0, pieces.NORMAL), ("▁x", -2.0, pieces.NORMAL), ("xy", -1.5, pieces.NORMAL), ("y", -1.0, pieces.NORMAL)])
+    machine = sentencepiece_fst.composed(sentencepiece_fst.normaliser(vocabulary), sentencepiece_fst.pieces_or_bytes(vocabulary), vocabulary.spelt)
+
+    def outputs(state, text):
+        """All (cost, ids) that the machine gives for a text."""
+        for output, cost, to in machine.arcs[state].get(sentencepiece_fst.NONE, ()):
+            yield from ((cost + c, (*output, *rest)) for c, rest in outputs(to, text))
+        if not text and state in machine.final:
+            yield 0.0, ()
+        for output, cost, to in text and (machine.arcs[state].get(text[0]) or machine.arcs[state].get(sentencepiece_fst.OTHER, ())):
+            written = vocabulary.spelt(text[0]) if output == sentencepiece_fst.BYTES else output
+            yield from ((cost + c, (*written, *rest)) for c, rest in outputs(to, text[1:]))
+
+    for text in ("x", "xy", "xyy x", "é x", " y", "▁xz"):
+        assert sorted(outputs(0, text)) == sorted((c, i) for c, _, i in all_paths(vocabulary, text))
+
+
+def test_models_that_normalise_more(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        model.ParseFromString(f.read())
+    model.normalizer_spec.remove_extra_whitespaces = True
+    (tmp_path / "m").write_bytes(model.SerializeToString())
+    with pytest.raises(ValueError):
+        pieces.load(str(tmp_path / "m"))
 
 
 def test_packing(docs, texts, spark):
@@ -259,6 +342,14 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
         ("<article><p>Open <b>bold<p>next", "Open bold next"),
         ("<article>x<![weird y</article>", "x<![weird y"),
         ("<article><!-- <p>no</p> -->yes</article>", "yes"),
+        ("<div class='content no-sidebar'><p>Some words that make a text.</p></div>", "Some words that make a text."),
+        ("<div class='layout has-header'><p>Some words that make a text.</p></div>", "Some words that make a text."),
+        ("<nav><a href='x'>n</a></nav><div id='search-results'><p>Some words that make a text.</p></div>", "Some words that make a text."),
+        ("<div class='col-md-8 tags'><p>Some words that make a text.</p></div>", "Some words that make a text."),
+        ("<article><div class='entry-meta-wrap'><p>Some words that make a text.</p></div></article>", "Some words that make a text."),
+        ("<article><h1 class='post-header'>Title</h1><p>Some words that make a text.</p></article>", "Title Some words that make a text."),
+        ("<article><p>One short</p></article><article><p>" + "long words " * 30 + "</p></article>", "One short " + "long words " * 29 + "long words"),
+        ("<form><h1>Top</h1><p>" + "long words " * 30 + "</p></form><footer>" + "foot " * 200 + "</footer>", "Top " + "long words " * 29 + "long words"),
     ],
 )
 def test_html(html, text):
@@ -297,6 +388,38 @@ def test_html_short_article_and_long_notice():
     assert html_extract.main_text(f"<div class='comments'><article>{LONG}</article></div><article>{LONG * 2}</article>").count("paragraph") == 80
 
 
+def article_of(page):
+    """The text of a page's one article, without a parser."""
+    inside = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    return " ".join(html_entities.unescape(re.sub(r"<[^>]+>", "", re.sub(r"</?(?:p|h1|br)>", " ", inside))).split())
+
+
+def test_html_of_the_table(spark, small, monkeypatch):
+    """Every page of the table gives its article; without the threshold none does."""
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    rows = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(pages).collect()}
+    want = {k: article_of(v) for k, v in rows.items()}
+    assert got == {k: (t, len(t)) for k, t in want.items()}
+    monkeypatch.setattr(html_extract, "threshold", lambda ratios: -1.0)
+    assert not any(html_extract.main_text(v) == want[k] for k, v in rows.items())
+
+
+def test_ratios():
+    """Smoothing and clusters against plain sums."""
+    import numpy as np
+
+    ratios = [1.0, 2.0, 90.0, 80.0, 3.0, 100.0, 0.0, 0.0]
+    kernel = [np.exp(-2.0), np.exp(-0.5), 1.0, np.exp(-0.5), np.exp(-2.0)]
+    plain = []
+    for k in range(len(ratios)):
+        near = [(kernel[d + 2], ratios[k + d]) for d in range(-2, 3) if 0 <= k + d < len(ratios)]
+        plain.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    assert np.allclose(html_extract.smoothed(np.array(ratios)), plain)
+    assert html_extract.two_clusters(np.array([0.0, 1.0, 2.0, 50.0, 60.0])) == (1.0 + 55.0) / 2
+    assert html_extract.threshold(np.array([5.0, 5.0])) == 0.0
+
+
 def test_html_table(spark, small):
     rows = [(1, "u", "<article>a</article>", 3), (1, "u", "<article>a</article>", 3), (2, None, None, None)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
