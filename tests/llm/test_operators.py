@@ -72,6 +72,24 @@ def test_exact_ties_and_longest(spark):
     assert got == brute.exact(rows)
 
 
+def test_exact_of_a_common_text(spark):
+    """A text of most rows is looked up under many salts; rows without doc_id never stay."""
+    rows = [(d, "common text" + " " * (d % 7)) for d in range(3000)] + [(3000 + d, f"other {d}") for d in range(500)]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()}
+    assert got == brute.exact(rows)
+    out = sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept) for r in exact_dedup.exact_dedup(frame(spark, [(None, "a"), (None, "b  "), (5, "b"), (None, None)])).collect())
+    assert out == [(-1, -1, 1, False), (-1, -1, 1, False), (-1, 5, 2, False), (5, 5, 2, True)]
+
+
+def test_exact_of_clashing_digests(spark, monkeypatch):
+    """Different texts under one digest stay apart."""
+    monkeypatch.setattr(exact_dedup, "digest", lambda text: F.unhex(F.lit("00")))
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda column, bits: F.lit("00"))
+    rows = [(d, f"text {d % 4}") for d in range(40)]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()}
+    assert got == {d: v[:3] for d, v in brute.exact(rows).items()}
+
+
 def test_near(docs, texts, spark):
     rows = ngram_join.ngram_join(docs).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute.near(texts)
