@@ -1,6 +1,10 @@
+import base64
+import hashlib
 import html as html_entities
 import random
 import re
+import uuid
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -469,6 +473,59 @@ def test_warc(spark):
     assert warc.derive(warc.responses(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
+class Visible(HTMLParser):
+    """All text of a page by parser events: a line for each block."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.lines, self.skip = [""], 0
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style")
+        if tag not in ("a", "b", "i", "meta", "script", "style"):
+            self.lines.append("")
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style")
+        if tag not in ("a", "b", "i", "meta", "script", "style"):
+            self.lines.append("")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.lines[-1] += data
+
+
+def test_warc_of_the_table(spark, small):
+    """Every record of the table against plain definitions, read back from its own bytes."""
+    rows = {r.page_id: r for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    got = warc.derive(warc.responses(spark.read.parquet(f"{small}/pages.parquet"))).collect()
+    assert len(got) == 2 * len(rows) == len({r.record_id for r in got})
+    space = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+    for r in got:
+        page = rows[r.page_id]
+        payload = page.html.encode()
+        source = "<urn:uuid:%s>" % uuid.uuid5(space, f"{page.page_id} {page.url} {hashlib.sha1(payload).hexdigest()}")
+        fields = dict(x.split(": ", 1) for x in r.header.removesuffix("\r\n\r\n").split("\r\n")[1:])
+        assert fields["WARC-Refers-To"] == r.refers_to == source and fields["WARC-Target-URI"] == page.url
+        assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if r.type == "conversion":
+            want = [" ".join(x.split()) for x in Visible(page.html).lines]
+            assert bytes(r.block).decode() == "\n".join(x for x in want if x)
+        else:
+            assert f"http-header: Content-Length: {len(payload)}\r\n" in bytes(r.block).decode()
+
+
+def test_warc_rows(spark):
+    """Pages of one address differ by their content; whole repeats are one record; other columns don't matter."""
+    rows = [(1, "u", "<p>a", 5), (1, "u", "<p>b", 5), (1, "u", "<p>b", 6), (None, "u\r\nX: y", "", 7), (3, None, "x" * 2_000_000, 8)]
+    got = warc.derive(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string, date int"))).collect()
+    assert len(got) == 10 and len({r.record_id for r in got}) == 8 and len({r.refers_to for r in got}) == 4
+    assert all(r.header.count("\r\nX: y") == 0 for r in got)
+    assert max(r.content_length for r in got) == 2_000_000
+
+
 def test_classifier(spark, small, docs, texts):
     folder = small.replace("0.001", "0.01")
     rows = quality_classifier.quality_classifier(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))

@@ -19,8 +19,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    derived = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
-    return derived.select("page_id", "type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", "source_digest", "content_length", F.sha2("block", 256).alias("block_sha256"))
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

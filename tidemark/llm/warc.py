@@ -2,7 +2,8 @@
 
 A response record is a table row: record_id, target_uri, date, http (status line and headers) and payload. Each
 gives one metadata record (source headers, payload digest and sizes as `application/warc-fields`) and one
-conversion record (the payload's text), both with WARC-Refers-To set to the response and the digests kept.
+conversion record (the payload's text), both with WARC-Refers-To set to the response and the digests kept. A
+record's header and block are ready to be written one after another.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE_FOR_IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
 HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I)
 TAG = re.compile(r"<(?:[!?/]|[a-zA-Z])[^>]*>?")
-COLUMNS = "record_id string, type string, refers_to string, target_uri string, date string, content_type string, block_digest string, source_digest string, content_length long, block binary"
+COLUMNS = "record_id string, type string, refers_to string, target_uri string, date string, content_type string, block_digest string, source_digest string, content_length long, header string, block binary"
 
 
 def digest(block: bytes) -> str:
@@ -35,30 +36,32 @@ def plain_text(page: str) -> str:
     return "\n".join(line for x in html.unescape(bare).split("\n") if (line := " ".join(x.split())))
 
 
-def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Response records of a table of pages. Null html is an empty payload; null url an empty target.
+def uuid5(name: Column) -> Column:
+    """A version 5 UUID (SHA-1 of the namespace and a name) as a URN."""
+    h = F.sha1(F.concat(F.lit(SPACE_FOR_IDS.bytes), F.encode(name, "UTF-8")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+    parts = F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12)
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
-    The identifier is a version 5 UUID of page_id and url, so a rerun gives the same records.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, uris, heads, bodies = [], [], [], []
-            for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                payload = (page or "").encode("utf-8", "replace")
-                ids.append(f"<urn:uuid:{uuid.uuid5(SPACE_FOR_IDS, f'{page_id} {url}')}>")
-                uris.append(url or "")
-                heads.append(f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode())
-                bodies.append(payload)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.string()), pa.array(uris, pa.string()), pa.array([date] * len(ids), pa.string()), pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())], ["page_id", "record_id", "target_uri", "date", "http", "payload"])
+def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """Response records of a table of pages, each taken for a 200 response of UTF-8 HTML at `date`.
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, record_id string, target_uri string, date string, http binary, payload binary")
+    Null html is an empty payload; null url an empty target. The identifier is a version 5 UUID of page_id, url and the
+    payload's SHA-1, so a rerun gives the same records; rows that are repeated whole are one record.
+    """
+    html, url = F.coalesce(F.col("html").cast("string"), F.lit("")), F.coalesce(F.col("url").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("target_uri"), F.encode(html, "UTF-8").alias("payload"))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload"), F.lit("\r\n\r\n"))
+    name = F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("None")), "target_uri", F.sha1("payload"))
+    return rows.select("page_id", uuid5(name).alias("record_id"), "target_uri", F.lit(date).alias("date"), F.encode(http, "UTF-8").alias("http"), "payload")
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """Two records for each response: COLUMNS, after the columns page_id or others that `keep` the row's key.
+    """Two records for each response: page_id and COLUMNS.
 
-    Null payload counts as empty, null headers as none. Repeated responses give repeated records.
+    Null payload counts as empty, null headers as none. Repeated responses give repeated records. An empty table gives
+    an empty result; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,40 +71,36 @@ def derive(records: DataFrame) -> DataFrame:
                 http, payload = http or b"", payload or b""
                 source = digest(payload)
                 status, *fields = http.decode("latin-1").split("\r\n")
-                meta = [f"source-record: {record_id}", f"source-payload-digest: {source}", f"source-block-digest: {digest(http + payload)}", f"source-payload-length: {len(payload)}", f"http-status: {status}"]
-                meta += [f"http-header: {x}" for x in fields if x]
+                meta = [f"source-record: {record_id}", f"source-payload-digest: {source}", f"source-block-digest: {digest(http + payload)}", f"source-payload-length: {len(payload)}"]
+                meta += [f"http-status: {status}"] * bool(status) + [f"http-header: {x}" for x in fields if x]
                 text = plain_text(payload.decode("utf-8", "replace")).encode()
                 for kind, content, block in (("metadata", "application/warc-fields", "".join(x + "\r\n" for x in meta).encode("utf-8", "replace")), ("conversion", "text/plain; charset=utf-8", text)):
                     own = f"<urn:uuid:{uuid.uuid5(SPACE_FOR_IDS, f'{record_id} {kind}')}>"
-                    out.append((page_id, own, kind, record_id, uri, date, content, digest(block), source, len(block), block))
-            columns = list(zip(*out, strict=True)) or [[]] * 11
-            kinds = [pa.int64(), *[pa.string()] * 8, pa.int64(), pa.binary()]
+                    row = (own, kind, record_id, uri, date, content, digest(block), source, len(block))
+                    out.append((page_id, *row, head(*row), block))
+            columns = list(zip(*out, strict=True)) or [[]] * 12
+            kinds = [pa.int64(), *[pa.string()] * 8, pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", *(x.split()[0] for x in COLUMNS.split(", "))])
 
     return records.select("page_id", "record_id", "target_uri", "date", "http", "payload").mapInArrow(run, f"page_id long, {COLUMNS}")
 
 
-def head(row) -> bytes:
-    """The WARC/1.1 header of a derived record, to go before its block."""
+def head(record_id: str, kind: str, refers_to: str, uri: str, date: str, content: str, block_digest: str, source_digest: str, length: int) -> str:
+    """The WARC/1.1 header of a derived record, to go before its block. The payload digest is the source's, which it refers to."""
     fields = {
-        "WARC-Type": row["type"],
-        "WARC-Record-ID": row["record_id"],
-        "WARC-Refers-To": row["refers_to"],
-        "WARC-Target-URI": row["target_uri"],
-        "WARC-Date": row["date"],
-        "WARC-Block-Digest": row["block_digest"],
-        "Content-Type": row["content_type"],
-        "Content-Length": row["content_length"],
+        "WARC-Type": kind,
+        "WARC-Record-ID": record_id,
+        "WARC-Refers-To": refers_to,
+        "WARC-Target-URI": re.sub(r"[\r\n]+", " ", uri),
+        "WARC-Date": date,
+        "WARC-Block-Digest": block_digest,
+        "WARC-Payload-Digest": source_digest,
+        "Content-Type": content,
+        "Content-Length": length,
     }
-    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n").encode()
+    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n"
 
 
 def serialised(derived: DataFrame) -> DataFrame:
     """page_id, type and the whole bytes of each record, ready to be written one after another."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["type"], pa.array([head(r) + r["block"] + b"\r\n\r\n" for r in rows], pa.binary())], ["page_id", "type", "record"])
-
-    return derived.mapInArrow(run, "page_id long, type string, record binary")
+    return derived.select("page_id", "type", F.concat(F.encode("header", "UTF-8"), "block", F.lit(b"\r\n\r\n")).alias("record"))
