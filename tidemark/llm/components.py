@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -14,8 +14,9 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     else:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u")).alias("low")
-    near = near.select("u", "v", low)
+    # least neighbours combine within each task; the rows meet them in a join, which Spark splits at a node with very many
+    least = materialize(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")), "least")
+    near = near.join(least, "u")
     if small:
         hung = near.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(near.select("u", F.col("low").alias("v")))
     else:

@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, chunks, hashes_of, materialize, mix, pack_texts, rolled, unpack
+from .common import binary_texts, chunks, discard, hashes_of, materialize, mix, pack_texts, rolled, unpack
 from .components import components
 
 SHINGLE, SHARE = 5, 75
@@ -63,14 +63,6 @@ def least_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-SHARE * (n + m) // (100 + SHARE))
 
 
-def fit(n: int, m: int, a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether sets of these sizes and points can link."""
-    if 100 * min(n, m) < SHARE * max(n, m):
-        return False
-    groups = min(len(a), len(b))
-    return int(np.minimum(folded(a, groups), folded(b, groups)).sum()) >= least_overlap(n, m)
-
-
 class RTree:
     """Points packed by size, then by their widest coordinate; each node knows the maxima of its points."""
 
@@ -154,14 +146,26 @@ def _side(sets: DataFrame, end: str, *columns: str) -> DataFrame:
     return sets.select(F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns))
 
 
+def fits(n: np.ndarray, m: np.ndarray, a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Which sets of these sizes and packed points can link; points of like lengths are bounded together."""
+    ok = 100 * np.minimum(n, m) >= SHARE * np.maximum(n, m)
+    wide, other = (np.fromiter(map(len, x), np.int64, len(x)) // 2 for x in (a, b))
+    for p, q in set(zip(wide[ok].tolist(), other[ok].tolist(), strict=True)):
+        rows = np.flatnonzero(ok & (wide == p) & (other == q))
+        for at in range(0, len(rows), 4096):
+            some, groups = rows[at : at + 4096], min(p, q)
+            x, y = (np.frombuffer(b"".join([raw[k] for k in some.tolist()]), "<u2").reshape(len(some), -1, groups).sum(axis=1, dtype=np.int64) for raw in (a, b))
+            ok[some] = np.minimum(x, y).sum(axis=1) >= least_overlap(n[some], m[some])
+    return ok
+
+
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs (u, v) whose sizes and points let them link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, n, m, p, q = (c.to_pylist() for c in batch.columns)
-            keep = [fit(a, b, np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")) for a, b, x, y in zip(n, m, p, q, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(side, keep, strict=True) if k], pa.int64()) for side in (u, v)], ["u", "v"])
+            keep = fits(batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep))
 
     both = pairs.join(_side(points, "u", "n", "point"), "u").join(_side(points, "v", "n", "point"), "v")
     sized = both.where(f"100 * least(n_u, n_v) >= {SHARE} * greatest(n_u, n_v)")
@@ -189,24 +193,25 @@ def _candidates(mixed: DataFrame, points: DataFrame) -> DataFrame:
 
     Each chunk's R-tree is asked for the partners of its own and of later chunks' members.
     """
-    order = Window.partitionBy("pivot").orderBy("n", "id")
-    rows = mixed.join(points, "id")
-    rows = rows.withColumn("chunk", ((F.row_number().over(order) - 1) / CHUNK).cast("int")).withColumn("last", F.max("chunk").over(Window.partitionBy("pivot")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
+    chunks_of = materialize(mixed.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "chunks")
+    rows = mixed.join(chunks_of, "pivot").join(points, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")))).withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
     rows = rows.select("pivot", "low", "high", "chunk", "id", "component", "n", "point").repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
 
     def search(part: list[tuple]) -> Iterator[tuple[int, int]]:
         sizes, chunk = (np.array([r[k] for r in part]) for k in (6, 3))
-        raw = [np.frombuffer(r[7], "<u2") for r in part]
-        groups = min(map(len, raw))
-        tree = RTree(sizes, np.array([folded(p, groups) for p in raw], np.int32))
+        groups = min(len(r[7]) for r in part) // 2
+        tree = RTree(sizes, np.array([folded(np.frombuffer(r[7], "<u2"), groups) for r in part], np.int32))
         same = part[0][1] == part[0][2]
         nodes = np.arange(len(part)) if same else np.flatnonzero(chunk == part[0][1])
         queries = np.arange(len(part)) if same else np.flatnonzero(chunk != part[0][1])
         for i, j in tree.pairs(nodes, queries):
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                if not (same and x <= y) and part[x][5] != part[y][5] and fit(part[x][6], part[y][6], raw[x], raw[y]):
-                    yield max(part[x][4], part[y][4]), min(part[x][4], part[y][4])
+            some = [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if not (same and x <= y) and part[x][5] != part[y][5]]
+            if some:
+                x, y = (np.array(z) for z in zip(*some, strict=True))
+                for u, v, ok in zip(x.tolist(), y.tolist(), fits(sizes[x], sizes[y], [part[k][7] for k in x.tolist()], [part[k][7] for k in y.tolist()]).tolist(), strict=True):
+                    if ok:
+                        yield max(part[u][4], part[v][4]), min(part[u][4], part[v][4])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: list[tuple] = []
@@ -250,24 +255,25 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     points = materialize(members.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "point")).alias("x")).select(F.col("x.doc_id").alias("id"), "x.n", "x.point"), "points")
     sets_of = members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"))
 
-    # blocks: shingles of prefixes that two sets share, with the smallest document of each
-    distinct = _prefixes(docs.where("doc_id is not null"), hits).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
-    block = Window.partitionBy("h")
-    entries = distinct.select("id", F.explode("prefix").alias("h")).withColumns({"pivot": F.min("id").over(block), "high": F.max("id").over(block)})
-    entries = materialize(entries.where("pivot < high").select("h", "id", "pivot"), "blocks")
+    # blocks: shingles of prefixes that two sets share, with the smallest document of each. Sums by shingle combine within
+    # each task, and the rows meet them in a join, which Spark splits where one shingle has very many
+    distinct = materialize(_prefixes(docs.where("doc_id is not null"), hits).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix")).select("id", "prefix"), "prefixes")
+    entries = distinct.select("id", F.explode("prefix").alias("h"))
+    shared = materialize(entries.groupBy("h").agg(F.min("id").alias("pivot"), F.max("id").alias("high")).where("pivot < high").select("h", "pivot"), "shared")
+    entries = materialize(entries.join(shared.hint("shuffle_hash"), "h").select("id", "pivot").distinct(), "blocks")
+    discard(distinct, shared)
     # texts of the documents that share a block with another
     texts = materialize(pack_texts(docs).join(entries.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "packed"), "texts")
 
     # each member against its block's smallest document
-    stars = entries.where("id > pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
+    stars = entries.where("id > pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v"))
     links = materialize(_verified(materialize(_bounded(stars, points), "pairs"), texts), "links")
     label = components(links)
 
     # blocks that still hold several components; blocks with one smallest document are one
-    member = entries.select("pivot", "id").distinct()
-    labelled = member.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    whole = Window.partitionBy("pivot")
-    mixed = labelled.withColumns({"low": F.min("component").over(whole), "high": F.max("component").over(whole)}).where("low < high").select("pivot", "id", "component")
+    labelled = entries.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = materialize(labelled.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("pivot"), "mixed")
+    mixed = materialize(labelled.join(several, "pivot").select("pivot", "id", "component"), "mixed")
     more = materialize(_verified(materialize(_candidates(mixed, points), "pairs"), texts), "links")
 
     final = components(links.unionByName(more))
