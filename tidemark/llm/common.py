@@ -89,6 +89,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that a worker holds fewer texts at a time."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
 def binary_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null becomes empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
@@ -156,7 +163,7 @@ def pack_texts(docs: DataFrame, *others: str) -> DataFrame:
         import zstandard
 
         small = zstandard.ZstdCompressor(level=3, write_checksum=False)
-        for batch in batches:
+        for batch in parts(batches):
             packed = pa.array([small.compress(t) for t in binary_texts(batch.column(1))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed, *batch.columns[2:]], ["doc_id", "packed", *others])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, chunks, discard, hashes_of, materialize, mix, pack_texts, rolled, unpack
+from .common import binary_texts, chunks, discard, hashes_of, materialize, mix, pack_texts, parts, rolled, unpack
 from .components import components
 
 SHINGLE, SHARE = 5, 75
@@ -103,7 +103,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for s in shingle_sets(binary_texts(batch.column(1))):
                 rows.append((len(s), set_key(s), point(s).tobytes() if len(s) else None))
@@ -125,7 +125,7 @@ def _prefixes(docs: DataFrame, hits: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(hits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             ids, keys, flat, ends = [], [], [], [0]
             for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(binary_texts(batch.column(1))), strict=True):
                 if len(s):
@@ -178,8 +178,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in parts([batch], 256):
                 for a, b in zip(shingle_sets(unpack(part.column(2))), shingle_sets(unpack(part.column(3))), strict=True):
                     keep.append(linked(a, b))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))

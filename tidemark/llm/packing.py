@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, chunks, materialize
+from .common import binary_texts, chunks, materialize, parts
 
 
 #: Between a letter and punctuation the tokenizer cuts anyway, and it lower-cases anyway.
@@ -42,14 +42,14 @@ class WordIds:
     that are new are tokenised together.
     """
 
-    def __init__(self, path: str, room: int = 1_000_000):
+    def __init__(self, path: str, room: int = 400_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {}
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
-        for part in chunks(texts, len, 4 << 20):
+        for part in chunks(texts, len, 1 << 20):
             runs = [split_runs(t) for t in part]
             if len(self.known) >= self.room:
                 self.known.clear()
@@ -74,7 +74,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end, step = word_ids(tokenizer_path), end_id.to_bytes(4, "little"), 4 * capacity
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for doc_id, body in zip(batch.column(0).to_pylist(), ids.of(binary_texts(batch.column(1))), strict=True):
                 whole = body + end

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import WRITING, binary_texts, chunks, discard, hashes_of, materialize, new_folder, pack_texts, remove_folder, rolled, settings, unpack, word_hashes
+from .common import WRITING, binary_texts, chunks, discard, hashes_of, materialize, new_folder, pack_texts, parts, remove_folder, rolled, settings, unpack, word_hashes
 
 SIZE, ANCHOR = 13, 5
 #: One file for each bucket of a run is sorted, so a merge needs no sort.
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """h, doc_id: each document's distinct fingerprints, from its whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = zip(batch.column(0).to_pylist(), binary_texts(batch.column(1)), strict=True)
             for near in chunks(rows, lambda r: len(r[1]), 2 << 20):
                 h, text, _, _ = anchors_of(*hashes_of([t for _, t in near]))
@@ -164,29 +164,28 @@ def stretches(held: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(k, 64) for k in range(0, whole.num_rows, 64)):
-                texts = unpack(batch.column(1))
-                found = batch.column(2).flatten()
-                wanted, dealt = (found.field(n).to_numpy() for n in ("h", "shares"))
-                edges = np.append(0, np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False)))
-                out: list[list] = [[] for _ in range(7)]
-                for n, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
-                    order = np.argsort(wanted[edges[n] : edges[n + 1]]) + edges[n]
-                    own = wanted[order]
-                    hashes = word_hashes(text)
-                    h, _, first, count = anchors_of(hashes, np.array([0, len(hashes)]))
-                    at = np.searchsorted(own, h)
-                    met = np.flatnonzero(own[np.minimum(at, len(own) - 1)] == h)
-                    mark, words, by = mark_of(text), text.split(), {}
-                    begins = first[met].tolist()
-                    for key, begin, end, share in zip(h[met].tolist(), begins, (first[met] + count[met] + SIZE - 1).tolist(), dealt[order[at[met]]].tolist(), strict=True):
-                        by.setdefault((key, b" ".join(words[begin:end]), share), []).append(begin)
-                    keys, stretch, shares = zip(*by, strict=True) if by else ((), (), ())
-                    for column, values in zip(out, (keys, [doc_id % s for s in shares], shares, [doc_id] * len(by), [mark] * len(by), stretch, by.values()), strict=True):
-                        column.extend(values)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["h", "share", "shares", "doc_id", "mark", "words", "places"])
+        for batch in parts(batches, 64):
+            texts = unpack(batch.column(1))
+            found = batch.column(2).flatten()
+            wanted, dealt = (found.field(n).to_numpy() for n in ("h", "shares"))
+            edges = np.append(0, np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False)))
+            out: list[list] = [[] for _ in range(7)]
+            for n, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
+                order = np.argsort(wanted[edges[n] : edges[n + 1]]) + edges[n]
+                own = wanted[order]
+                hashes = word_hashes(text)
+                h, _, first, count = anchors_of(hashes, np.array([0, len(hashes)]))
+                at = np.searchsorted(own, h)
+                met = np.flatnonzero(own[np.minimum(at, len(own) - 1)] == h)
+                mark, words, by = mark_of(text), text.split(), {}
+                begins = first[met].tolist()
+                for key, begin, end, share in zip(h[met].tolist(), begins, (first[met] + count[met] + SIZE - 1).tolist(), dealt[order[at[met]]].tolist(), strict=True):
+                    by.setdefault((key, b" ".join(words[begin:end]), share), []).append(begin)
+                keys, stretch, shares = zip(*by, strict=True) if by else ((), (), ())
+                for column, values in zip(out, (keys, [doc_id % s for s in shares], shares, [doc_id] * len(by), [mark] * len(by), stretch, by.values()), strict=True):
+                    column.extend(values)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["h", "share", "shares", "doc_id", "mark", "words", "places"])
 
     return held.select("doc_id", "packed", "found").mapInArrow(run, "h long, share long, shares long, doc_id long, mark long, words binary, places array<int>")
 
@@ -294,7 +293,7 @@ def remove(docs: DataFrame, gone: DataFrame, with_text: bool, others: tuple[str,
         return np.cumsum(lost)[:size] == 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows, lists = [], batch.column(2)
             windows = lists.flatten()
             places = windows.field("places")
