@@ -38,13 +38,62 @@ def test_query(name, spark, small, duck):
     assert got == plain([r[i] for i in order] for r in result.fetchall())
 
 
-@pytest.mark.xfail(reason="open: the plan still has four exchanges, not one", strict=True)
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_shuffle_of_the_facts(spark, small):
-    """Reports and revisions group by keys that the one deal of the rows serves."""
+    """Reports, revisions and chains come from one grouping of the facts."""
     from tidemark.config import FACT_KEY
     from tidemark.operators import bitemporal as ops
     from tidemark.plans import tables
 
-    df = ops.revisions(tables.numeric(spark, small).withColumn("cik", tables.F.xxhash64("adsh")).withColumn("filed_date", tables.F.date_add("period_end_date", tables.F.col("qtrs"))), FACT_KEY, "filed_date", "value", "adsh", "0.001")
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    rows = tables.numeric(spark, small).withColumn("cik", tables.F.xxhash64("adsh")).withColumn("filed_date", tables.F.date_add("period_end_date", tables.F.col("qtrs")))
+    for operator in (ops.revisable, ops.revisions, ops.chains):
+        text = plan(operator(rows, FACT_KEY, "filed_date", "value", "adsh", "0.001"))
+        assert text.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in text
+    assert plan(ops.reports(rows, FACT_KEY, "filed_date", "value", "adsh")).count("Exchange hashpartitioning") == 1
+
+
+def test_features_scan_what_is_stored(spark, small):
+    """Models that several queries share are written once; the features read them, not the facts again and again."""
+    from tidemark.plans import features
+
+    text = plan(features.point_in_time(features.base(spark, small)))
+    assert text.count("FileScan") <= 10
+    assert plan(features.m28_feature_pit(spark, small)).count("FileScan") == 1
+
+
+def test_stored_models_are_built_again_after_a_refresh(spark, small):
+    from tidemark.plans import marts
+    from tidemark.sources import store
+
+    first = marts.company(spark, small)
+    assert marts.company(spark, small) is first
+    store.refresh()
+    assert marts.company(spark, small) is not first
+
+
+def test_incremental_facts(spark, small, tmp_path):
+    """An update reads its cut off the target, leaves earlier months alone and keeps keys that the source lost."""
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import marts
+
+    path = str(tmp_path / "fact")
+    whole = marts.fact_table(spark, small).persist()
+    marts.write_facts(whole.where("filed_date <= date '1998-06-30'").withColumn("value", F.when(F.col("filed_date") >= F.lit("1998-06-15").cast("date"), F.lit(1).cast("decimal(28,4)")).otherwise(F.col("value"))), path)
+    lost = whole.where("filed_date = date '1998-06-20'").limit(1).withColumn("fact_sk", F.lit("gone from the source")).collect()
+    june = spark.read.parquet(path).where("filed_month = '1998-06'").select(*whole.columns).collect()
+    marts.write_facts(spark.createDataFrame(june + lost, whole.schema), path)
+    before = {f: v for f, v in files(path) if "1998-03" in f}
+    marts.update_facts(spark, small, path)
+    got = spark.read.parquet(path).drop("filed_month")
+    assert {f: v for f, v in files(path) if "1998-03" in f} == before
+    assert got.where("fact_sk = 'gone from the source'").count() == len(lost)
+    assert got.where("fact_sk <> 'gone from the source'").exceptAll(whole.select(*got.columns)).count() == 0
+    assert got.count() == whole.count() + len(lost)
+
+
+def files(path):
+    return [(os.path.join(d, f), os.stat(os.path.join(d, f)).st_mtime_ns) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")]

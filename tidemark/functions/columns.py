@@ -20,9 +20,13 @@ def yyyymmdd(c: Column) -> Column:
     return F.when(c.rlike(r"^[0-9]{8}\z"), F.try_to_date(c, "yyyyMMdd"))
 
 
+#: Fixed value: the public mark of a null in such keys.
+_NULL_MARK = "_dbt_utils_surrogate_key_null_"
+
+
 def surrogate_key(*names: str) -> Column:
     """md5 of the columns as text, nulls marked."""
-    return F.md5(F.concat_ws("-", *(F.coalesce(F.col(n).cast("string"), F.lit("_dbt_utils_surrogate_key_null_")) for n in names)))
+    return F.md5(F.concat_ws("-", *(F.coalesce(F.col(n).cast("string"), F.lit(_NULL_MARK)) for n in names)))
 
 
 def material(old: Column, new: Column, share: str) -> Column:

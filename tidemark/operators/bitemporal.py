@@ -36,51 +36,63 @@ def valid_at(df: DataFrame, versions: DataFrame, key: str, at: str, how: str = "
     return df.join(v, (F.col(key) == F.col("_key")) & F.col(at).between(F.col("valid_from"), F.col("valid_to")), how).drop("_key")
 
 
-def reports(df: DataFrame, key: list[str], at: str, value: str, source: str) -> DataFrame:
-    """One report per key and date: the value of the greatest (source, value). Null values are no reports.
+def timelines(df: DataFrame, key: list[str], at: str, value: str, source: str) -> DataFrame:
+    """The key and `line`: its reports (at, source, value) in order of time. Null values are no reports.
 
-    Rows are dealt by the key once; all later groupings of the key keep that partitioning.
+    The only shuffle of the facts: dates are collapsed inside of each key's array.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*key, at, value, source).repartition(*key)
-    best = F.max(F.struct(source, value)).alias("_best")
-    return rows.groupBy(*key, at).agg(best).select(*key, at, F.col(f"_best.{value}").alias(value), F.col(f"_best.{source}").alias(source))
+    rows = df.where(F.col(value).isNotNull()).select(*key, at, value, source)
+    every = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(source).alias("source"), F.col(value).alias("value"))))
+    found = rows.groupBy(*key).agg(every.alias("line"))
+    last_of_date = lambda x, i: (i == F.size("line") - 1) | (F.get("line", i + 1)["at"] != x["at"])
+    return found.withColumn("line", F.filter("line", last_of_date))
 
 
-def revisions(df: DataFrame, key: list[str], at: str, value: str, source: str, share: str) -> DataFrame:
-    """Keys whose last reported value departs from the first one materially.
+def reports(df: DataFrame, key: list[str], at: str, value: str, source: str) -> DataFrame:
+    """One report per key and date: the value of the greatest (source, value). Null values are no reports."""
+    rows = timelines(df, key, at, value, source).select(*key, F.explode("line").alias("x"))
+    return rows.select(*key, F.col("x.at").alias(at), F.col("x.value").alias(value), F.col("x.source").alias(source))
+
 
-    Also tells the first report that departed, if it isn't the last. Reported and taken back is no revision.
+def revisable(df: DataFrame, key: list[str], at: str, value: str, source: str, share: str) -> DataFrame:
+    """Keys reported on several dates: first and last report, number of reports and values, and `is_revised`.
+
+    A key is revised if its last reported value departs from the first one materially; `first_revision_filed_date` and
+    `revising_adsh` are those of the first report that departed. Reported and taken back is no revision.
     """
-    line = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).alias("value"), F.col(source).alias("source"))))
-    # a key has few reports: one per date of filing
-    found = reports(df, key, at, value, source).groupBy(*key).agg(line.alias("line"), F.count_distinct(value).alias("n_distinct_values")).where("size(line) > 1")
+    found = timelines(df, key, at, value, source).where("size(line) > 1")
     found = found.withColumns({"first": F.col("line")[0], "last": F.element_at("line", -1)})
-    found = found.where(material(F.col("first.value"), F.col("last.value"), share))
-    departed = F.filter("line", lambda x: material(F.col("first.value"), x["value"], share))[0]
+    departed = F.filter("line", lambda x: material(F.col("first.value"), x["value"], share))
+    found = found.withColumns({"departed": F.get(departed, F.lit(0)), "is_revised": material(F.col("first.value"), F.col("last.value"), share)})
     return found.select(
         *key,
         *(F.col(f"{end}.{x}").alias(f"{name}_{label}") for end, name in (("first", "first"), ("last", "latest")) for x, label in (("value", "reported_value"), ("at", "filed_date"), ("source", "adsh"))),
         F.size("line").cast("long").alias("n_reports"),
-        "n_distinct_values",
+        F.size(F.array_distinct("line.value")).cast("long").alias("n_distinct_values"),
         (F.col("last.value") - F.col("first.value")).alias("absolute_revision"),
-        departed["at"].alias("first_revision_filed_date"),
-        departed["source"].alias("revising_adsh"),
+        F.col("departed.at").alias("first_revision_filed_date"),
+        F.col("departed.source").alias("revising_adsh"),
+        "is_revised",
     )
 
 
-def revisable(df: DataFrame, key: list[str], at: str) -> DataFrame:
-    """Keys reported on several dates, with the first one."""
-    return df.groupBy(*key).agg(F.min(at).alias("first_filed_date"), F.count_distinct(at).alias("n_dates")).where("n_dates > 1").drop("n_dates")
+def revisions(df: DataFrame, key: list[str], at: str, value: str, source: str, share: str) -> DataFrame:
+    """Keys whose last reported value departs from the first one materially."""
+    return revisable(df, key, at, value, source, share).where("is_revised").drop("is_revised")
 
 
 def chains(df: DataFrame, key: list[str], at: str, value: str, source: str, share: str) -> DataFrame:
-    """Material changes from one report to the next, walked in order: length, first and last value, path of sources."""
-    line = Window.partitionBy(*key).orderBy(at)
-    steps = reports(df, key, at, value, source).withColumns({"before": F.lag(value).over(line), "from": F.lag(source).over(line)})
-    steps = steps.where(material(F.col("before"), F.col(value), share))
-    walked = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col("before"), F.col("from"), F.col(value).alias("value"), F.col(source).alias("to"))))
-    out = steps.groupBy(*key).agg(walked.alias("walk"))
-    return out.select(*key, F.size("walk").alias("chain_length"), F.col("walk")[0]["before"].alias("first_value"), F.element_at("walk", -1)["value"].alias("latest_value"), F.concat(F.array(F.col("walk")[0]["from"]), F.transform("walk", lambda x: x["to"])).alias("path"))
+    """Material changes from one report to the next, walked in order inside each key's array.
+
+    Gives the length, the first and last value, the dates of the first and last step, and the path of sources.
+    """
+    found = timelines(df, key, at, value, source).where("size(line) > 1")
+    pairs = F.arrays_zip(F.slice("line", 1, F.size("line") - 1).alias("old"), F.slice("line", 2, F.size("line") - 1).alias("new"))
+    walk = F.filter(pairs, lambda p: material(p["old"]["value"], p["new"]["value"], share))
+    out = found.withColumn("walk", walk).where("size(walk) > 0")
+    begin, end = F.col("walk")[0], F.element_at("walk", -1)
+    path = F.concat(F.array(begin["old"]["source"]), F.transform("walk", lambda p: p["new"]["source"]))
+    return out.select(*key, F.size("walk").alias("chain_length"), begin["old"]["value"].alias("first_value"), end["new"]["value"].alias("latest_value"), begin["old"]["at"].alias("first_step_from"), end["new"]["at"].alias("last_step_at"), path.alias("path"))
 
 
 def islands(df: DataFrame, key: str, order: list[str], flag: str, at: str) -> DataFrame:

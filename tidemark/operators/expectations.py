@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,22 @@ def report(checks: dict[str, tuple[DataFrame, int, int]]) -> DataFrame:
     """name, failures, severity (pass, warn, error) for {name: (broken rows, warn above, error above)}."""
     rows = [d.agg(F.count("*").alias("failures")).select(F.lit(n).alias("name"), "failures", F.when(F.col("failures") > e, "error").when(F.col("failures") > w, "warn").otherwise("pass").alias("severity")) for n, (d, w, e) in checks.items()]
     return reduce(DataFrame.unionByName, rows)
+
+
+def row_checks(df: DataFrame, broken: dict[str, Column]) -> DataFrame:
+    """name and failures of conditions that no row of a table should meet, all counted in one pass. Null is no failure."""
+    one = df.agg(*(F.count_if(c).alias(f"c{k}") for k, c in enumerate(broken.values())))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"c{k}").alias("failures")) for k, n in enumerate(broken)))))
+
+
+def counted(broken: DataFrame, name: str) -> DataFrame:
+    """name and failures of an assertion, from the rows that break it."""
+    return broken.agg(F.lit(name).alias("name"), F.count("*").alias("failures"))
+
+
+def graded(found: list[DataFrame], levels: dict[str, tuple[int, int]]) -> DataFrame:
+    """name, failures and severity (pass, warn, error) by {name: (warn above, error above)}."""
+    rows, severity = reduce(DataFrame.unionByName, found), F.lit("pass")
+    for name, (warn, error) in levels.items():
+        severity = F.when((F.col("name") == name) & (F.col("failures") > error), "error").when((F.col("name") == name) & (F.col("failures") > warn), "warn").otherwise(severity)
+    return rows.select("name", "failures", severity.alias("severity"))

@@ -32,6 +32,6 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, strength: float
 
 
 def score_logistic(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
-    """The rows with `score`, the chance of the label to nine digits; constant features add nothing."""
+    """The rows with `score`, the chance of the label to five digits, so that few distinct scores are ranked; constant features add nothing."""
     kept = [c for c in df.columns if c not in features]
-    return model.transform(_ready(df, features)).select(*kept, F.round(vector_to_array("_p")[1], 9).alias("score"))
+    return model.transform(_ready(df, features)).select(*kept, F.round(vector_to_array("_p")[1], 5).alias("score"))

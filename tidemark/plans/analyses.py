@@ -10,9 +10,9 @@ from tidemark.operators import bitemporal as ops
 from tidemark.operators import evaluation
 from tidemark.plans import tables as t
 from tidemark.plans.catalog import query
-from tidemark.plans.features import BASE, base
+from tidemark.plans.features import SOURCES, base
 from tidemark.plans.filing import MARGINS, margins
-from tidemark.plans.marts import COMPANY, RESTATED, restatements
+from tidemark.plans.marts import RESTATED, changes, restatements
 
 _SHARES = {"n_any": "0", "n_bp": "0.0001", "n_permille": "0.001", "n_percent": "0.01", "n_five_percent": "0.05"}
 _BAR = 0.05  # points that a rule's rate may move
@@ -46,16 +46,21 @@ def d08_threshold_sweep(spark, sf):
 @query(f"""with {t.FACT}, {RESTATED}, c as (select year(first_filed_date)::int as first_year, count(*) as n_revisable from groups group by 1), r as (select year(first_filed_date)::int as first_year, count(*) as n from restated group by 1)
     select first_year, n_revisable, coalesce(n, 0) as n_restated, round(100.0 * coalesce(n, 0) / n_revisable, 4)::double as pct_restated from c left join r using (first_year)""")
 def d09_first_year_cohorts(spark, sf):
-    known = t.facts(spark, sf).where("value is not null").groupBy(*FACT_KEY).agg(F.min("filed_date").alias("first"), F.max("filed_date").alias("last")).where("first < last")
-    per = known.groupBy(F.year("first").alias("first_year")).agg(F.count("*").alias("n_revisable"))
-    hit = restatements(spark, sf).groupBy(F.year("first_filed_date").alias("first_year")).agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return per.join(hit, "first_year", "left").select("first_year", "n_revisable", n.alias("n_restated"), F.round(100.0 * n / F.col("n_revisable"), 4).alias("pct_restated"))
+    per = changes(spark, sf).groupBy(F.year("first_filed_date").alias("first_year")).agg(F.count("*").alias("n_revisable"), F.count_if("is_revised").alias("n_restated"))
+    return per.withColumn("pct_restated", F.round(100.0 * F.col("n_restated") / F.col("n_revisable"), 4))
 
 
-@query(f"with {MARGINS} select form_type, margin, count(*) as n from m group by 1, 2")
+@query(f"""with {MARGINS} select form_type, margin, count(*) as n, margin between -case when form_type = '10-K' then 15 else 5 end and -1 as in_extension,
+    round(100.0 * (sum(count(*)) filter (where margin < 0) over w) / (sum(count(*)) over w), 4)::double as pct_late_at_most,
+    round(100.0 * coalesce(sum(count(*)) filter (where margin < -case when form_type = '10-K' then 15 else 5 end) over w, 0) / (sum(count(*)) over w), 4)::double as pct_late_at_least
+    from m group by 1, 2 window w as (partition by form_type)""")
 def d17_margin_histogram(spark, sf):
-    return margins(spark, sf).groupBy("form_type", "margin").agg(F.count("*").alias("n"))
+    """Filings by margin. Late ones inside the days of a notified extension may be in time, so a form's late share has two bounds."""
+    extension = F.when(F.col("form_type") == "10-K", 15).otherwise(5)
+    per = margins(spark, sf).groupBy("form_type", "margin").agg(F.count("*").alias("n"))
+    form, n = Window.partitionBy("form_type"), F.col("n")
+    share = lambda late: F.round(100.0 * F.sum(F.when(late, n).otherwise(0)).over(form) / F.sum(n).over(form), 4)
+    return per.select("form_type", "margin", "n", F.col("margin").between(-extension, -1).alias("in_extension"), share(F.col("margin") < 0).alias("pct_late_at_most"), share(F.col("margin") < -extension).alias("pct_late_at_least"))
 
 
 @query(f"with {MARGINS} select (filed_date + margin)::date as due_date, count(*) as n_late_by_one from m where margin = -1 group by 1 order by 2 desc, 1 limit 10")
@@ -102,7 +107,7 @@ def met02_drift(spark, sf):
     return evaluation.drift(_rates(facts.where(F.col("filed_date") <= F.lit(_THEN).cast("date"))), _rates(facts), "rule", "pct", _BAR)
 
 
-@query(f"""with {t.FACT}, {COMPANY}, {RESTATED}, {BASE}, s as (select filing_lag_days as score, count(*) filter (where was_restated) as pos, count(*) filter (where not was_restated) as neg from base where filing_lag_days is not null group by 1),
+@query(f"""with {SOURCES}, s as (select filing_lag_days as score, count(*) filter (where was_restated) as pos, count(*) filter (where not was_restated) as neg from base where filing_lag_days is not null group by 1),
     w as (select pos, neg, coalesce(sum(neg) over (order by score rows between unbounded preceding and 1 preceding), 0) as below from s),
     a as (select sum(pos)::bigint as n_pos, sum(neg)::bigint as n_neg, sum(pos * (2 * below + neg))::double / nullif(2.0 * sum(pos) * sum(neg), 0)::double as area from w)
     select n_pos, n_neg, round(area, 6) as auc, round(greatest(area, 1 - area), 6) as mirrored_auc from a""")

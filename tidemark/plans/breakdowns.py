@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import FACT_KEY
+from tidemark.config import DEFAULT, FACT_KEY
 from tidemark.operators import bitemporal as ops
-from tidemark.plans import features, filing, quality
+from tidemark.plans import features, filing, quality, restated
 from tidemark.plans import tables as t
 from tidemark.plans.catalog import ORACLES, query
-from tidemark.plans.marts import _KEY, REPORTS, RESTATED, restatements
+from tidemark.plans.marts import _KEY, REPORTS, RESTATED, changes, restatements
 
 #: Whole powers of ten between two values of a fact that speak of a changed scale.
 _POWERS = (-3, -2, -1, 1, 2, 3)
@@ -25,28 +25,35 @@ def _inner(name: str) -> str:
     return f"({ORACLES[name]})"
 
 
-@query(f"""with {t.FACT} select case when filed_date - period_end_date <= 90 then 'to 90' when filed_date - period_end_date <= 365 then '91 to 365' else 'over 365' end as band,
-    count(*) as n_facts, count(distinct adsh) as n_filings from fact where filed_date >= period_end_date group by 1""")
+@query(f"""with {t.NUM} select case when qtrs <= 80 then '41 to 80' when qtrs <= 200 then '81 to 200' else 'over 200' end as band, count(*) as n_facts, count(distinct adsh) as n_filings, count(distinct tag) as n_tags from num where qtrs > 40 group by 1""")
 def d02_duration_bands(spark, sf):
-    gap = F.datediff("filed_date", "period_end_date")
-    band = F.when(gap <= 90, "to 90").when(gap <= 365, "91 to 365").otherwise("over 365")
-    return t.facts(spark, sf).where(gap >= 0).groupBy(band.alias("band")).agg(F.count("*").alias("n_facts"), F.count_distinct("adsh").alias("n_filings"))
+    """Facts of implausible duration, by quarters."""
+    q = F.col("qtrs")
+    band = F.when(q <= 80, "41 to 80").when(q <= 200, "81 to 200").otherwise("over 200")
+    return t.numeric(spark, sf).where(q > DEFAULT.longest_duration).groupBy(band.alias("band")).agg(F.count("*").alias("n_facts"), F.count_distinct("adsh").alias("n_filings"), F.count_distinct("tag").alias("n_tags"))
 
 
-@query(f"""select case when component_gap_pct is null then 'open' when component_gap_pct = 0 then 'exact' when component_gap_pct < 0.01 then 'below 1 %' when component_gap_pct < 0.5 then '1 to 50 %' else '50 % and over' end as band,
-    count(*) as n from {_inner("m11_balance_sheet_identity")} group by 1""")
+_GAPS = {"exact": "gap = 0", "to 0.1 %": "gap <= 0.001", "0.1 to 1 %": "gap <= 0.01", "1 to 10 %": "gap <= 0.1", "over 10 %": "true"}
+
+
+@query(f"""select form, case when gap is null then 'open' {" ".join(f"when {c} then '{n}'" for n, c in _GAPS.items())} end as band, count(*) as n from
+    (select 'total' as form, total_pct_gap as gap from {_inner("m11_balance_sheet_identity")} union all select 'components', component_pct_gap from {_inner("m11_balance_sheet_identity")}) group by 1, 2""")
 def d03_gap_bands(spark, sf):
-    gap = F.col("component_gap_pct")
-    band = F.when(gap.isNull(), "open").when(gap == 0, "exact").when(gap < 0.01, "below 1 %").when(gap < 0.5, "1 to 50 %").otherwise("50 % and over")
-    return quality.m11_balance_sheet_identity(spark, sf).groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+    """Balance gaps by size, against the reported total and against the components."""
+    both = F.array(*(F.struct(F.lit(n).alias("form"), F.col(c).alias("gap")) for n, c in (("total", "total_pct_gap"), ("components", "component_pct_gap"))))
+    band = F.when(F.col("gap").isNull(), "open")
+    for name, test in _GAPS.items():
+        band = band.when(F.expr(test), name)
+    return quality.identity(spark, sf).select(F.inline(both)).groupBy("form", band.alias("band")).agg(F.count("*").alias("n"))
 
 
-@query(f"""select coalesce(status, 'none') as status, count(*) as n_filers, round(avg(rules_failed), 6) as mean_failed, count(*) filter (where rules_failed = 0) as n_clean, count(*) filter (where rules_failed >= 2) as n_two_or_more
-    from {_inner("m13_filer_concentration")} f join (select c_custkey as cik, case c_mktsegment when 'AUTOMOBILE' then '1-LAF' when 'BUILDING' then '2-ACC' when 'MACHINERY' then null else '4-NON' end as status from customer) c using (cik) group by 1""")
+@query(f"""select coalesce(filer_status, 'none') as status, rules_failed, count(*) as n_filers, round(avg(avg(rules_failed)) over (partition by coalesce(filer_status, 'none')), 6) as unweighted_mean, (sum(count(*)) over (partition by coalesce(filer_status, 'none')))::bigint as n_of_status
+    from {_inner("m13_filer_concentration")} group by 1, 2""")
 def d04_rules_failed(spark, sf):
-    status = t.submissions(spark, sf).groupBy("cik").agg(F.max("filer_status").alias("status"))
-    failed = F.col("rules_failed")
-    return quality.m13_filer_concentration(spark, sf).join(status, "cik").groupBy(F.coalesce("status", F.lit("none")).alias("status")).agg(F.count("*").alias("n_filers"), F.round(F.avg(failed), 6).alias("mean_failed"), F.count_if(failed == 0).alias("n_clean"), F.count_if(failed >= 2).alias("n_two_or_more"))
+    """Companies by status and number of rules that they break."""
+    status = Window.partitionBy("status")
+    per = quality.m13_filer_concentration(spark, sf).groupBy(F.coalesce("filer_status", F.lit("none")).alias("status"), "rules_failed").agg(F.count("*").alias("n_filers"))
+    return per.withColumns({"unweighted_mean": F.round(F.avg("rules_failed").over(status), 6), "n_of_status": F.sum("n_filers").over(status)})
 
 
 @query(f"""with {t.FACT}, m as (select tag, taxonomy_version, count(distinct unit_of_measure) as n from fact group by 1, 2)
@@ -68,11 +75,10 @@ def _key_sql(name: str, keys: list[str]) -> str:
 @query(f"with {t.FACT} " + " union all ".join(_key_sql(n, k) for n, k in _LISTS.items()))
 def d06_key_sensitivity(spark, sf):
     """How many facts can be and are revised, by what counts as the same fact."""
-    facts = t.facts(spark, sf).where("value is not null")
 
     def one(name: str, keys: list[str]) -> DataFrame:
-        hit = restatements(spark, sf, key=keys).agg(F.count("*").alias("n_restated"))
-        return ops.revisable(facts, keys, "filed_date").agg(F.count("*").alias("n_revisable")).crossJoin(F.broadcast(hit)).select(F.lit(name).alias("key_list"), "n_revisable", "n_restated")  # single rows
+        found = changes(spark, sf) if keys == FACT_KEY else ops.revisable(t.facts(spark, sf), keys, "filed_date", "value", "adsh", DEFAULT.material)
+        return found.agg(F.lit(name).alias("key_list"), F.count("*").alias("n_revisable"), F.count_if("is_revised").alias("n_restated"))
 
     return reduce(DataFrame.unionByName, (one(n, k) for n, k in _LISTS.items()))
 
@@ -87,12 +93,12 @@ def d12_scale_classes(spark, sf):
     return restatements(spark, sf).agg(*(F.count_if(F.expr(_power(k))).alias(f"{'times' if k > 0 else 'by'}_{10 ** abs(k)}") for k in _POWERS))
 
 
-@query(f"""with {t.FACT}, {RESTATED} select count(*) as n_small, count(*) filter (where latest_reported_value % 1 = 0 and first_reported_value % 1 <> 0) as n_rounded, count(*) filter (where latest_reported_value % 1 <> 0 and first_reported_value % 1 = 0) as n_refined
+@query(f"""with {t.FACT}, {RESTATED} select count(*) as n_small, count(*) filter (where latest_reported_value % 1000 = 0 and first_reported_value % 1000 <> 0) as n_rounded, count(*) filter (where latest_reported_value % 1000 <> 0 and first_reported_value % 1000 = 0) as n_refined
     from restated where first_reported_value <> 0 and abs(absolute_revision) < 0.01 * abs(first_reported_value)""")
 def d13_precision(spark, sf):
-    """Revisions under 1 % that made a value whole, against those that made it finer."""
+    """Revisions under 1 % that made a value a multiple of 1,000, against those that made it finer."""
     old, new = F.col("first_reported_value"), F.col("latest_reported_value")
-    whole = lambda c: c % 1 == 0
+    whole = lambda c: c % 1000 == 0
     small = restatements(spark, sf).where((old != 0) & (F.abs("absolute_revision") < F.lit("0.01").cast("decimal(3,2)") * F.abs(old)))
     return small.agg(F.count("*").alias("n_small"), F.count_if(whole(new) & ~whole(old)).alias("n_rounded"), F.count_if(~whole(new) & whole(old)).alias("n_refined"))
 
@@ -125,23 +131,40 @@ def d16_sampled_sequences(spark, sf):
     return line.join(F.broadcast(pick), FACT_KEY).select("restatement_sk", "filed_date", "adsh", "value")
 
 
-@query(f"""with f as {_inner("m28_feature_pit")}, r as (select filed_date >= date '1997-01-01' as is_test, was_restated, sector_prior_restated / sector_prior_filings as rate from f where sector_prior_filings > 0),
+@query(f"""with f as {_inner("m28_feature_pit")}, r as (select filed_date >= date '1997-01-01' as is_test, was_restated, sector_restatement_rate as rate from f where sector_prior_resolved_filings > 0),
     c as (select quantile_disc(rate, [0.2, 0.4, 0.6, 0.8]) as cuts from r)
     select is_test, (1 + (rate > cuts[1])::int + (rate > cuts[2])::int + (rate > cuts[3])::int + (rate > cuts[4])::int)::int as quintile, count(*) as n, round(100.0 * count(*) filter (where was_restated) / count(*), 4)::double as pct_restated
     from r cross join c group by 1, 2""")
 def d22_quintile_rates(spark, sf):
     """Share restated by quintile of the sector's rate as known before, in training and test years."""
-    rate = F.col("sector_prior_restated") / F.col("sector_prior_filings")
-    rows = features.m28_feature_pit(spark, sf).where("sector_prior_filings > 0").select((F.col("filed_date") >= F.lit("1997-01-01").cast("date")).alias("is_test"), "was_restated", rate.alias("rate"))
+    rows = features.m28_feature_pit(spark, sf).where("sector_prior_resolved_filings > 0").select((F.col("filed_date") >= F.lit("1997-01-01").cast("date")).alias("is_test"), "was_restated", F.col("sector_restatement_rate").alias("rate"))
     cuts = rows.agg(*(F.expr(f"percentile_disc({k / 5}) within group (order by rate)").alias(f"c{k}") for k in range(1, 5)))
     quintile = sum(((F.col("rate") > F.col(f"c{k}")).cast("int") for k in range(1, 5)), F.lit(1))
     per = rows.crossJoin(F.broadcast(cuts)).groupBy("is_test", quintile.alias("quintile"))  # the cuts are one row
     return per.agg(F.count("*").alias("n"), F.round(100.0 * F.count_if("was_restated") / F.count("*"), 4).alias("pct_restated"))
 
 
-@query(f"select pattern, count(*) as n_filers, sum(n_filings)::bigint as n_filings, sum(n_late)::bigint as n_late, max(longest_run) as longest_run from {_inner('m26_deadline_filers')} group by 1")
+@query(f"""select 'deadline' as kind, deadline_pattern as pattern, count(*) as n_filers, sum(n_filings)::bigint as n_items, sum(n_late_filings)::bigint as n_bad, max(longest_run_filings) as longest_run from {_inner('m26_deadline_filers')} group by 2
+    union all select 'restatement', restatement_pattern, count(*), sum(n_reporting_periods)::bigint, sum(n_restated_periods)::bigint, max(longest_run_periods) from {_inner('m23_serial_restaters')} group by 2""")
 def d24_patterns(spark, sf):
-    return filing.m26_deadline_filers(spark, sf).groupBy("pattern").agg(F.count("*").alias("n_filers"), F.sum("n_filings").alias("n_filings"), F.sum("n_late").alias("n_late"), F.max("longest_run").alias("longest_run"))
+    """Companies by pattern: of filing at the deadline and of restating."""
+
+    def per(rows: DataFrame, kind: str, pattern: str, items: str, bad: str, run: str) -> DataFrame:
+        return rows.groupBy(F.lit(kind).alias("kind"), F.col(pattern).alias("pattern")).agg(F.count("*").alias("n_filers"), F.sum(items).alias("n_items"), F.sum(bad).alias("n_bad"), F.max(run).alias("longest_run"))
+
+    late = per(filing.m26_deadline_filers(spark, sf), "deadline", "deadline_pattern", "n_filings", "n_late_filings", "longest_run_filings")
+    return late.unionByName(per(restated.m23_serial_restaters(spark, sf), "restatement", "restatement_pattern", "n_reporting_periods", "n_restated_periods", "longest_run_periods"))
+
+
+@query(f"""select margin_decile as decile, count(*) as n_filers, round(avg(pct_filings_late), 4) as mean_pct_late, round(avg(median_margin_days), 4) as mean_median_margin from {_inner('m26_deadline_filers')} where margin_decile is not null group by 1""")
+def d24b_margin_deciles(spark, sf):
+    return filing.m26_deadline_filers(spark, sf).where("margin_decile is not null").groupBy(F.col("margin_decile").alias("decile")).agg(F.count("*").alias("n_filers"), F.round(F.avg("pct_filings_late"), 4).alias("mean_pct_late"), F.round(F.avg("median_margin_days"), 4).alias("mean_median_margin"))
+
+
+@query(f"select size_band, pct_of_revisable_restated, pct_restated_consolidated, pct_restated_segment from {_inner('m19_by_filer_size')} where size_basis = 'assets_decile' and size_band <> 'unclassified'")
+def ch01_decile_rates(spark, sf):
+    """What a chart of the rates by decile of assets shows."""
+    return restated.m19_by_filer_size(spark, sf).where("size_basis = 'assets_decile' and size_band <> 'unclassified'").select("size_band", "pct_of_revisable_restated", "pct_restated_consolidated", "pct_restated_segment")
 
 
 @query(f"""with {t.FACT}, {REPORTS} select r.*, (select value from reports x where {' and '.join(f'x.{k} = r.{k}' for k in FACT_KEY)} order by filed_date limit 1) as first_value,

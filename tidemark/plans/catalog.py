@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from tidemark.plans import analyses, breakdowns, features, filing, marts, quality, ranking, restated  # noqa: E402, F401
+from tidemark.plans import analyses, breakdowns, features, filing, marts, peers, quality, ranking, restated, suite  # noqa: E402, F401

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT
@@ -11,84 +11,144 @@ from tidemark.operators import bitemporal as ops
 from tidemark.plans import tables as t
 from tidemark.plans.catalog import query
 from tidemark.plans.marts import COMPANY, RESTATED, company, restatements
+from tidemark.sources.store import stored
 
 _H = DEFAULT.horizon_days
-BASE = f"""
-firstrev as (select first_adsh as adsh, min(first_revision_filed_date) as seen from restated where segments = '' and coregistrant = '' group by 1),
-base as (select s.adsh, s.cik, s.form_type, s.filed_date, case when regexp_full_match(c.sic_code, '[0-9]{{4}}') then left(c.sic_code, 2) end as sector, coalesce(seen <= s.filed_date + {_H}, false) as was_restated,
-    coalesce(s.filer_status = '1-LAF', false) as is_large_accelerated_filer, s.filing_lag_days
-    from sub s join company c on c.cik = s.cik and s.filed_date between c.valid_from and c.valid_to left join firstrev f on f.adsh = s.adsh
-    where s.form_type in ('10-K', '10-Q') and s.filed_date + {_H} <= (select max(filed_date) from sub))"""
+_STATUS = {"is_large_accelerated_filer": "1-LAF", "is_accelerated_filer": "2-ACC", "is_non_accelerated_filer": "4-NON"}
 
 
+def _group(version: str) -> str:
+    return f"case when regexp_full_match({version}.sic_code, '[0-9]{{4}}') then left({version}.sic_code, 2) end"
+
+
+PERIODIC = f"""
+firstrev as (select first_adsh as adsh, min(first_revision_filed_date) as revision_first_seen_date from restated where segments = '' and coregistrant = '' group by 1),
+mix as (select adsh, count(*) as n_facts, count(*) filter (where is_custom) as n_custom_facts from num left join tags using (tag, taxonomy_version) group by 1),
+periodic as (select s.adsh, s.cik, s.form_type, s.filed_date, s.period_end_date, revision_first_seen_date, s.filing_lag_days, s.filer_status, {", ".join(f"coalesce(s.filer_status = '{v}', false) as {k}" for k, v in _STATUS.items())},
+    n_facts, n_custom_facts, round(n_custom_facts / n_facts, 6) as custom_tag_share, {_group('c')} as sic_major_group_at_filing, {_group('now')} as sic_major_group_now
+    from sub s join company c on c.cik = s.cik and s.filed_date between c.valid_from and c.valid_to join company now on now.cik = s.cik and now.is_current
+    left join firstrev f on f.adsh = s.adsh left join mix m on m.adsh = s.adsh where s.form_type in ('10-K', '10-Q'))"""
+BASE = f"""{PERIODIC},
+base as (select *, coalesce(revision_first_seen_date <= filed_date + {_H}, false) as was_restated from periodic where filed_date + {_H} <= (select max(filed_date) from sub))"""
+SOURCES = f"{t.FACT}, {t.TAG}, {COMPANY}, {RESTATED}, {BASE}"
+
+
+@stored
+def periodic(spark, sf) -> DataFrame:
+    """Every annual and quarterly report with what is known of it: status, custom tags, sector then and now, first revision."""
+    filings = t.submissions(spark, sf).where(F.col("form_type").isin("10-K", "10-Q")).select("adsh", "cik", "form_type", "filed_date", "period_end_date", "filing_lag_days", "filer_status")
+    versions = company(spark, sf)
+    at = ops.valid_at(filings, versions.select("cik", major_group(F.col("sic_code")).alias("sic_major_group_at_filing"), "valid_from", "valid_to"), "cik", "filed_date").drop("valid_from", "valid_to")
+    now = versions.where("is_current").select("cik", major_group(F.col("sic_code")).alias("sic_major_group_now"))
+    seen = restatements(spark, sf).where("segments = '' and coregistrant = ''").groupBy(F.col("first_adsh").alias("adsh")).agg(F.min("first_revision_filed_date").alias("revision_first_seen_date"))
+    known = t.numeric(spark, sf).join(t.tags(spark, sf).select("tag", "taxonomy_version", "is_custom"), ["tag", "taxonomy_version"], "left")
+    mix = known.groupBy("adsh").agg(F.count("*").alias("n_facts"), F.count_if("is_custom").alias("n_custom_facts"))
+    rows = at.join(now, "cik").join(seen, "adsh", "left").join(mix, "adsh", "left")
+    status = {k: F.coalesce(F.col("filer_status") == v, F.lit(False)) for k, v in _STATUS.items()}
+    return rows.withColumns({**status, "custom_tag_share": F.round(F.col("n_custom_facts") / F.col("n_facts"), 6)})
+
+
+def labelled(rows: DataFrame, last: DataFrame, horizon) -> DataFrame:
+    """Reports whose horizon had passed on the last date of the data, with `was_restated` within it. `last` has one row."""
+    due = F.date_add("filed_date", horizon)
+    return rows.crossJoin(F.broadcast(last)).where(due <= F.col("last")).drop("last").withColumn("was_restated", F.coalesce(F.col("revision_first_seen_date") <= due, F.lit(False)))
+
+
+def last_filed(spark, sf) -> DataFrame:
+    return t.submissions(spark, sf).agg(F.max("filed_date").alias("last"))
+
+
+@stored
 def base(spark, sf) -> DataFrame:
-    filings = t.submissions(spark, sf)
-    last = filings.agg(F.max("filed_date").alias("_last"))
-    resolved = filings.where(F.col("form_type").isin("10-K", "10-Q")).crossJoin(F.broadcast(last)).where(F.date_add("filed_date", _H) <= F.col("_last"))
-    at = ops.valid_at(resolved.drop("sic_code"), company(spark, sf).select("cik", "sic_code", "valid_from", "valid_to"), "cik", "filed_date")
-    seen = restatements(spark, sf).where("segments = '' and coregistrant = ''").groupBy(F.col("first_adsh").alias("adsh")).agg(F.min("first_revision_filed_date").alias("seen"))
-    return at.join(seen, "adsh", "left").select("adsh", "cik", "form_type", "filed_date", major_group(F.col("sic_code")).alias("sector"), F.coalesce(F.col("seen") <= F.date_add("filed_date", _H), F.lit(False)).alias("was_restated"), F.coalesce(F.col("filer_status") == "1-LAF", F.lit(False)).alias("is_large_accelerated_filer"), "filing_lag_days")
+    return labelled(periodic(spark, sf), last_filed(spark, sf), F.lit(_H))
 
 
-@query(f"with {t.FACT}, {COMPANY}, {RESTATED}, {BASE} select * from base")
+@query(f"with {SOURCES} select * from base")
 def m27_feature_base(spark, sf):
     return base(spark, sf)
 
 
-@query(f"""with {t.FACT}, {COMPANY}, {RESTATED}, {BASE}
-    select b.*, (select count(*) from restated r where r.cik = b.cik and r.first_revision_filed_date < b.filed_date) as prior_restatement_count,
-    (select count(*) from base e where e.sector = b.sector and e.filed_date + {_H} < b.filed_date) as sector_prior_filings,
-    (select count(*) from base e where e.sector = b.sector and e.was_restated and e.filed_date + {_H} < b.filed_date) as sector_prior_restated,
-    (select count(*) from base e where e.filed_date + {_H} < b.filed_date) as market_prior_filings from base b""")
-def m28_feature_pit(spark, sf):
-    rows = base(spark, sf)
-    own = restatements(spark, sf).select("cik", F.col("first_revision_filed_date").alias("filed_date"))
-    out = ops.strictly_prior(rows, own, "cik", "filed_date", {"prior_restatement_count": F.count("*")})
-    resolved = rows.select("sector", F.date_add("filed_date", _H).alias("filed_date"), "was_restated")
-    out = ops.strictly_prior(out, resolved, "sector", "filed_date", {"sector_prior_filings": F.count("*"), "sector_prior_restated": F.count_if("was_restated")})
+_FEATURES = ["adsh", "cik", "form_type", "filed_date", "period_end_date", "was_restated", "filing_lag_days", *_STATUS, "custom_tag_share"]
+PIT = f"""pit as (select {", ".join(_FEATURES)}, prior_restatement_count, round(coalesce(case when sector is not null and sector_n > 0 then sector_hit / sector_n end, case when market_n > 0 then market_hit / market_n end, 0), 6) as sector_restatement_rate,
+    sector as sic_major_group, case when sector is null then 0 else sector_n end as sector_prior_resolved_filings, market_n as market_prior_resolved_filings from (
+    select b.*, sic_major_group_at_filing as sector, (select count(*) from base e where e.cik = b.cik and e.revision_first_seen_date < b.filed_date) as prior_restatement_count,
+    (select count(*) from base e where e.sic_major_group_at_filing = b.sic_major_group_at_filing and e.filed_date + {_H} < b.filed_date) as sector_n,
+    (select count(*) from base e where e.sic_major_group_at_filing = b.sic_major_group_at_filing and e.was_restated and e.filed_date + {_H} < b.filed_date) as sector_hit,
+    (select count(*) from base e where e.filed_date + {_H} < b.filed_date) as market_n, (select count(*) from base e where e.was_restated and e.filed_date + {_H} < b.filed_date) as market_hit from base b))"""
+
+
+def rate(hit: str, n: str):
+    return F.when(F.col(n) > 0, F.col(hit) / F.col(n))
+
+
+def point_in_time(rows: DataFrame, horizon: int = _H) -> DataFrame:
+    """Features of each report as a reader knew them on the day of filing: counts of what strictly earlier days had brought.
+
+    A sector without resolved reports, or none, falls back on the market's rate, and that on 0.
+    """
+    seen = rows.where("revision_first_seen_date is not null").select("cik", F.col("revision_first_seen_date").alias("filed_date"))
+    out = ops.strictly_prior(rows, seen, "cik", "filed_date", {"prior_restatement_count": F.count("*")})
+    resolved = rows.select(F.col("sic_major_group_at_filing").alias("sic_major_group"), F.date_add("filed_date", horizon).alias("filed_date"), "was_restated")
+    counts = lambda name: {f"{name}_prior_resolved_filings": F.count("*"), f"{name}_hit": F.count_if("was_restated")}
+    out = ops.strictly_prior(out.withColumnRenamed("sic_major_group_at_filing", "sic_major_group"), resolved, "sic_major_group", "filed_date", counts("sector"))
     # the market's history is one short series of days
-    market = resolved.withColumn("market", F.lit("all"))
-    out = ops.strictly_prior(out.withColumn("market", F.lit("all")), market, "market", "filed_date", {"market_prior_filings": F.count("*")}).drop("market")
-    return out
+    out = ops.strictly_prior(out.withColumn("market", F.lit("all")), resolved.withColumn("market", F.lit("all")), "market", "filed_date", counts("market"))
+    value = F.coalesce(rate("sector_hit", "sector_prior_resolved_filings"), rate("market_hit", "market_prior_resolved_filings"), F.lit(0.0))
+    return out.select(*_FEATURES, "prior_restatement_count", F.round(value, 6).alias("sector_restatement_rate"), "sic_major_group", "sector_prior_resolved_filings", "market_prior_resolved_filings")
 
 
-@query(f"""with {t.FACT}, {COMPANY}, {RESTATED}, {BASE}
-    select b.*, round(avg(was_restated::int) over (partition by sector), 6) as sector_restatement_rate, (count(*) over (partition by sector)) as sector_filings, coalesce(n, 0) as restatement_count from base b
-    left join (select cik, count(*) as n from restated group by 1) r on r.cik = b.cik""")
+@stored
+def pit(spark, sf) -> DataFrame:
+    return point_in_time(base(spark, sf))
+
+
+@query(f"with {SOURCES}, {PIT} select * from pit")
+def m28_feature_pit(spark, sf):
+    return pit(spark, sf)
+
+
+NAIVE = f"""naive as (select {", ".join("b." + c for c in _FEATURES)}, n_revised as prior_restatement_count, round(coalesce(s.rate, m.rate), 6) as sector_restatement_rate, sic_major_group_now as sic_major_group, coalesce(s.n, 0) as sector_prior_resolved_filings, m.n as market_prior_resolved_filings
+    from base b cross join (select count(*) as n, avg(was_restated::int) as rate from base) m left join (select sic_major_group_now as g, count(*) as n, avg(was_restated::int) as rate from base group by 1) s on s.g = sic_major_group_now
+    join (select cik, count(revision_first_seen_date) as n_revised from base group by 1) r using (cik))"""
+
+
+def knowing_all(rows: DataFrame) -> DataFrame:
+    """The same features over the whole range, the future and the report itself too, by the sector of today: leaky on purpose."""
+    hit = F.avg(F.col("was_restated").cast("int"))
+    sector = rows.where("sic_major_group_now is not null").groupBy("sic_major_group_now").agg(F.count("*").alias("n"), hit.alias("rate"))
+    market = rows.agg(F.count("*").alias("market_n"), hit.alias("market_rate"))  # one row
+    own = rows.groupBy("cik").agg(F.count("revision_first_seen_date").alias("prior_restatement_count"))
+    # at most a hundred two-digit sectors
+    out = rows.crossJoin(F.broadcast(market)).join(F.broadcast(sector), "sic_major_group_now", "left").join(own, "cik")
+    return out.select(*_FEATURES, "prior_restatement_count", F.round(F.coalesce("rate", "market_rate"), 6).alias("sector_restatement_rate"), F.col("sic_major_group_now").alias("sic_major_group"), F.coalesce("n", F.lit(0)).alias("sector_prior_resolved_filings"), F.col("market_n").alias("market_prior_resolved_filings"))
+
+
+@query(f"with {SOURCES}, {NAIVE} select * from naive")
 def m29_feature_naive(spark, sf):
-    """Counts over the whole range, the future too: leaky on purpose."""
-    sector = Window.partitionBy("sector")
-    own = restatements(spark, sf).groupBy("cik").agg(F.count("*").alias("n"))
-    return base(spark, sf).join(own, "cik", "left").select("adsh", "cik", "form_type", "filed_date", "sector", "was_restated", "is_large_accelerated_filer", "filing_lag_days", F.round(F.avg(F.col("was_restated").cast("int")).over(sector), 6).alias("sector_restatement_rate"), F.count("*").over(sector).alias("sector_filings"), F.coalesce("n", F.lit(0)).alias("restatement_count"))
-
-
-_VIEWS = ("1999-06-30", "9999-12-31")
-
-
-@query(f"""with {t.FACT}, v as (select unnest([date '{_VIEWS[0]}', date '{_VIEWS[1]}']) as as_of),
-    k as (select *, row_number() over (partition by as_of, cik, tag, period_end_date order by filed_date desc, adsh desc, value desc) as rn from fact join v on filed_date < as_of
-        where value is not null and segments = '' and coregistrant = '' and unit_of_measure = 'USD' and qtrs = 4),
-    r as (select * from (select *, row_number() over (partition by as_of, cik, period_end_date order by tag) as pick from k where rn = 1 and tag in ('T0', 'T1', 'T2')) where pick = 1),
-    j as (select r.as_of, r.cik, r.period_end_date, r.value as revenue, i.value as income from r join k i on i.rn = 1 and i.tag = 'T3' and i.as_of = r.as_of and i.cik = r.cik and i.period_end_date = r.period_end_date),
-    p as (select j.*, q.value as prior_revenue, row_number() over (partition by j.as_of, j.cik, j.period_end_date order by abs((j.period_end_date - q.period_end_date) - 365), q.period_end_date) as near
-        from j join r q on q.as_of = j.as_of and q.cik = j.cik and j.period_end_date - q.period_end_date between 350 and 380 where j.revenue > 0 and q.value > 0),
-    m as (select *, round(income::double / revenue::double, 6) as margin, round(revenue::double / prior_revenue::double - 1, 6) as growth from p where near = 1)
-    select a.cik, a.period_end_date, a.margin as margin_then, b.margin as margin_now, a.growth as growth_then, b.growth as growth_now, a.margin <> b.margin or a.growth <> b.growth as changed
-    from m a join m b on b.cik = a.cik and b.period_end_date = a.period_end_date and b.as_of = date '{_VIEWS[1]}' where a.as_of = date '{_VIEWS[0]}'""")
-def m30_two_views(spark, sf):
-    """Margin and growth of a company's year as known on a date, and as known at last."""
-    views = spark.createDataFrame([(v,) for v in _VIEWS], "as_of string").select(F.col("as_of").cast("date"))
-    facts = t.facts(spark, sf).where("value is not null and segments = '' and coregistrant = '' and unit_of_measure = 'USD' and qtrs = 4")
-    known = ops.pick_one(facts.join(F.broadcast(views), F.col("filed_date") < F.col("as_of")), ["as_of", "cik", "tag", "period_end_date"], F.desc("filed_date"), F.desc("adsh"), F.desc("value")).select("as_of", "cik", "tag", "period_end_date", "value")
-    key = ["as_of", "cik", "period_end_date"]
-    revenue = ops.pick_one(known.where("tag in ('T0', 'T1', 'T2')"), key, F.asc("tag")).select(*key, F.col("value").alias("revenue"))
-    both = revenue.join(known.where("tag = 'T3'").select(*key, F.col("value").alias("income")), key).where("revenue > 0")
-    prior = revenue.where("revenue > 0").select("as_of", "cik", F.col("period_end_date").alias("prior_end"), F.col("revenue").alias("prior_revenue"))
-    gap = F.datediff("period_end_date", "prior_end")
-    near = F.min_by("prior_revenue", F.struct(F.abs(gap - 365).alias("off"), "prior_end")).alias("prior_revenue")
-    rows = both.join(prior, ["as_of", "cik"]).where(gap.between(350, 380)).groupBy(*key).agg(F.first("revenue").alias("revenue"), F.first("income").alias("income"), near)
-    d = lambda c: F.col(c).cast("double")
-    rows = rows.select(*key, F.round(d("income") / d("revenue"), 6).alias("margin"), F.round(d("revenue") / d("prior_revenue") - 1, 6).alias("growth"))
-    side = lambda v, n: rows.where(F.col("as_of") == F.lit(v).cast("date")).select("cik", "period_end_date", F.col("margin").alias(f"margin_{n}"), F.col("growth").alias(f"growth_{n}"))
-    changed = (F.col("margin_then") != F.col("margin_now")) | (F.col("growth_then") != F.col("growth_now"))
-    return side(_VIEWS[0], "then").join(side(_VIEWS[1], "now"), ["cik", "period_end_date"]).withColumn("changed", changed)
+    return knowing_all(base(spark, sf))
+
+
+_HORIZONS = (90, 120, 180, 240, 270)
+
+
+@query(f"""with {SOURCES}, h as (select unnest({list(_HORIZONS)})::int as horizon), x as (select horizon, filed_date, coalesce(revision_first_seen_date <= filed_date + horizon, false) as hit from periodic, h where filed_date + horizon <= (select max(filed_date) from sub))
+    select horizon, count(*) as n_filings, count(*) filter (where filed_date >= date '1997-01-01') as n_test, max(filed_date) as last_filed_date, round(100.0 * count(*) filter (where hit and filed_date >= date '1997-01-01') / nullif(count(*) filter (where filed_date >= date '1997-01-01'), 0), 4)::double as pct_test_restated,
+    count(*) filter (where hit) as n_restated from x group by 1""")
+def d21_horizon_sweep(spark, sf):
+    """Population and label rate by horizon, all horizons in one pass over the reports."""
+    rows = periodic(spark, sf).withColumn("horizon", F.explode(F.array(*map(F.lit, _HORIZONS))))
+    test = F.col("filed_date") >= F.lit("1997-01-01").cast("date")
+    return labelled(rows, last_filed(spark, sf), F.col("horizon")).groupBy("horizon").agg(F.count("*").alias("n_filings"), F.count_if(test).alias("n_test"), F.max("filed_date").alias("last_filed_date"), F.round(F.lit(100.0) * F.count_if(test & F.col("was_restated")) / F.nullif(F.count_if(test), F.lit(0)), 4).alias("pct_test_restated"), F.count_if("was_restated").alias("n_restated"))
+
+
+@query(f"""with {SOURCES}, {PIT}, q as (select distinct sic_major_group_at_filing as g, filed_date from base where sic_major_group_at_filing is not null),
+    e as (select q.g, q.filed_date, count(base.adsh) as n from q left join base on base.sic_major_group_at_filing = q.g and base.filed_date + {_H} < q.filed_date group by all)
+    select count(*) as n_filings, count(*) filter (where sector_prior_resolved_filings is distinct from coalesce(e.n, 0)) as n_different from pit left join e on e.g = pit.sic_major_group and e.filed_date = pit.filed_date""")
+def t08_pit_recomputed(spark, sf):
+    """The features against a plain recomputation: each sector's resolved reports counted by a range join."""
+    rows = base(spark, sf)
+    points = rows.where("sic_major_group_at_filing is not null").select(F.col("sic_major_group_at_filing").alias("sic_major_group"), "filed_date").distinct()
+    past = rows.select(F.col("sic_major_group_at_filing").alias("g"), F.date_add("filed_date", _H).alias("known"), "adsh")
+    expected = points.join(past, (F.col("g") == F.col("sic_major_group")) & (F.col("known") < F.col("filed_date")), "left").groupBy("sic_major_group", "filed_date").agg(F.count("adsh").alias("n"))
+    both = pit(spark, sf).join(expected, ["sic_major_group", "filed_date"], "left")
+    return both.agg(F.count("*").alias("n_filings"), F.count_if(~F.col("sector_prior_resolved_filings").eqNullSafe(F.coalesce("n", F.lit(0)))).alias("n_different"))

@@ -10,9 +10,12 @@ from tidemark.functions.columns import date_key, surrogate_key
 from tidemark.operators import bitemporal as ops
 from tidemark.plans import tables as t
 from tidemark.plans.catalog import query
+from tidemark.sources.store import folder, stored, written
 
 _KEY = ", ".join(FACT_KEY)
 _TRACKED = ["company_name", "sic_code", "fiscal_year_end_mmdd", "business_state"]
+_GRAIN = ["adsh", "tag", "taxonomy_version", "coregistrant", "segments", "period_end_date", "qtrs", "unit_of_measure"]
+STATUS_NAMES = {"1-LAF": "Large accelerated", "2-ACC": "Accelerated", "4-NON": "Non-accelerated"}
 
 
 def sql_key(*names: str) -> str:
@@ -29,6 +32,17 @@ def m02_numeric(spark, sf):
     return t.numeric(spark, sf).withColumns({"is_instant": F.col("qtrs") == 0, "is_annual": F.col("qtrs") == 4, "has_segments": F.col("segments") != ""})
 
 
+@query(f"with {t.PRE} select *, {t.statement_name_sql('statement_code')} as statement_name from pre")
+def m03_presentation(spark, sf):
+    return t.presentation(spark, sf).withColumn("statement_name", t.case(F.col("statement_code"), t.STATEMENTS))
+
+
+@query(f"with {t.NUM}, {t.TAG} select * from tags")
+def m04_tags(spark, sf):
+    return t.tags(spark, sf)
+
+
+@stored
 def company(spark, sf) -> DataFrame:
     complete = sum((F.col(c).isNotNull().cast("int") for c in ("sic_code", "fiscal_year_end_mmdd", "business_state")), F.lit(0))
     versions = ops.scd2(t.submissions(spark, sf), "cik", "filed_date", _TRACKED, F.desc_nulls_last("period_end_date"), complete.desc(), F.asc("adsh"))
@@ -50,70 +64,111 @@ def m06_company(spark, sf):
     return company(spark, sf)
 
 
-@query(f"""with {t.SUB} select {sql_key("adsh")} as filing_sk, adsh, cik, form_type, filer_status, case filer_status when '1-LAF' then 'Large accelerated'
-    when '2-ACC' then 'Accelerated' when '4-NON' then 'Non-accelerated' else 'Not stated' end as filer_status_name, period_end_date, filed_date, filing_lag_days, is_amendment from sub""")
+FILING = f"""filing as (select {sql_key("adsh")} as filing_sk, adsh, cik, form_type, filer_status, case filer_status when '1-LAF' then 'Large accelerated'
+    when '2-ACC' then 'Accelerated' when '4-NON' then 'Non-accelerated' else 'Not stated' end as filer_status_name, period_end_date, fiscal_year, fiscal_period, filed_date, filing_lag_days,
+    is_amendment, was_later_amended from sub)"""
+
+
+def filing(spark, sf) -> DataFrame:
+    name = t.case(F.col("filer_status"), STATUS_NAMES, F.lit("Not stated"))
+    return t.submissions(spark, sf).select(surrogate_key("adsh").alias("filing_sk"), "adsh", "cik", "form_type", "filer_status", name.alias("filer_status_name"), "period_end_date", "fiscal_year", "fiscal_period", "filed_date", "filing_lag_days", "is_amendment", "was_later_amended")
+
+
+@query(f"with {t.SUB}, {FILING} select * from filing")
 def m07_filing(spark, sf):
-    name = F.when(F.col("filer_status") == "1-LAF", "Large accelerated").when(F.col("filer_status") == "2-ACC", "Accelerated").when(F.col("filer_status") == "4-NON", "Non-accelerated").otherwise("Not stated")
-    return t.submissions(spark, sf).select(surrogate_key("adsh").alias("filing_sk"), "adsh", "cik", "form_type", "filer_status", name.alias("filer_status_name"), "period_end_date", "filed_date", "filing_lag_days", "is_amendment")
+    return filing(spark, sf)
 
 
-@query(f"""with {t.PRE}, n as (select tag, taxonomy_version, statement_code, count(*) as n from pre group by all)
-    select {sql_key("tag", "taxonomy_version")} as tag_sk, tag, taxonomy_version, first(statement_code order by n desc, statement_code) as statement_code,
-    max(n) as placements, count(*) as n_statements from n group by tag, taxonomy_version""")
+@query(f"""with {t.NUM}, {t.TAG}, {t.PRE}, n as (select tag, taxonomy_version, statement_code, count(*) as n from pre where statement_code is not null group by all),
+    m as (select tag, taxonomy_version, first(statement_code order by n desc, statement_code) as statement_code, max(n) as placements from n group by 1, 2)
+    select {sql_key("tag", "taxonomy_version")} as tag_sk, tags.*, statement_code, coalesce(placements, 0) as placements from tags left join m using (tag, taxonomy_version)""")
 def m08_tag(spark, sf):
-    counted = t.presentation(spark, sf).groupBy("tag", "taxonomy_version", "statement_code").agg(F.count("*").alias("n"))
-    modal = counted.groupBy("tag", "taxonomy_version").agg(F.min_by("statement_code", F.struct((-F.col("n")).alias("n"), "statement_code")).alias("statement_code"), F.max("n").alias("placements"), F.count("*").alias("n_statements"))
-    return modal.select(surrogate_key("tag", "taxonomy_version").alias("tag_sk"), "*")
+    """The dictionary with each tag's most frequent statement and how often it stands there."""
+    key = ["tag", "taxonomy_version"]
+    counted = t.presentation(spark, sf).where("statement_code is not null").groupBy(*key, "statement_code").agg(F.count("*").alias("n"))
+    modal = counted.groupBy(*key).agg(F.min_by("statement_code", F.struct((-F.col("n")).alias("n"), "statement_code")).alias("statement_code"), F.max("n").alias("placements"))
+    known = t.tags(spark, sf).join(modal, key, "left")
+    return known.select(surrogate_key(*key).alias("tag_sk"), *key, "is_custom", "tag_label", "statement_code", F.coalesce("placements", F.lit(0)).alias("placements"))
 
 
-def calendar(spark, first: str = "1992-01-01", last: str = "2003-12-31") -> DataFrame:
+def calendar(spark, sf) -> DataFrame:
+    """Every day of the years in which something was filed."""
     d = F.col("date_day")
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("date_day"))
+    ends = t.submissions(spark, sf).agg(F.min("filed_date").alias("a"), F.max("filed_date").alias("b"))  # one row
+    days = ends.select(F.explode(F.sequence(F.trunc("a", "year"), F.date_sub(F.add_months(F.trunc("b", "year"), 12), 1))).alias("date_day"))
     return days.select(date_key(d).alias("date_sk"), d, F.year(d).alias("calendar_year"), F.quarter(d).alias("calendar_quarter"), F.month(d).alias("calendar_month"), F.weekofyear(d).alias("iso_week"), (F.weekday(d) + 1).alias("day_of_week"), (F.weekday(d) < 5).alias("is_weekday"), F.trunc(d, "month").alias("month_start_date"), F.last_day(d).alias("month_end_date"), (F.year(d) + (F.month(d) >= 7).cast("int")).alias("fiscal_year"))
 
 
-@query(f"""with {t.SUB} select strftime(d, '%Y%m%d')::int as date_sk, d as date_day, year(d)::int as calendar_year, quarter(d)::int as calendar_quarter, month(d)::int as calendar_month,
+@query(f"""with {t.SUB}, days as (select unnest(generate_series(date_trunc('year', min(filed_date)), date_trunc('year', max(filed_date)) + interval 1 year - interval 1 day, interval 1 day))::date as d from sub)
+    select strftime(d, '%Y%m%d')::int as date_sk, d as date_day, year(d)::int as calendar_year, quarter(d)::int as calendar_quarter, month(d)::int as calendar_month,
     week(d)::int as iso_week, isodow(d)::int as day_of_week, isodow(d) < 6 as is_weekday, date_trunc('month', d)::date as month_start_date, last_day(d) as month_end_date,
-    (year(d) + (month(d) >= 7)::int)::int as fiscal_year, n as filings
-    from (select filed_date as d, count(*) as n from sub group by 1)""")
+    (year(d) + (month(d) >= 7)::int)::int as fiscal_year, (select count(*) from sub where filed_date = d) as filings from days""")
 def m09_date(spark, sf):
-    """Calendar days on which something was filed, with how much."""
+    """The calendar, with how much was filed on each day."""
     filed = t.submissions(spark, sf).groupBy(F.col("filed_date").alias("date_day")).agg(F.count("*").alias("filings"))
-    return calendar(spark).join(filed, "date_day")
+    return calendar(spark, sf).join(filed, "date_day", "left").withColumn("filings", F.coalesce("filings", F.lit(0)))
 
 
-def fact_table(spark, sf) -> DataFrame:
-    facts = t.facts(spark, sf)
-    tags = t.presentation(spark, sf).select("tag", "taxonomy_version").distinct().select("tag", "taxonomy_version", surrogate_key("tag", "taxonomy_version").alias("tag_sk"))
-    at = ops.valid_at(facts, company(spark, sf).select("company_sk", "cik", "valid_from", "valid_to"), "cik", "filed_date").drop("valid_from", "valid_to")
-    joined = at.join(tags, ["tag", "taxonomy_version"], "left")
-    key = surrogate_key("adsh", "tag", "taxonomy_version", "coregistrant", "segments", "period_end_date", "qtrs", "unit_of_measure")
-    return joined.select(key.alias("fact_sk"), "company_sk", surrogate_key("adsh").alias("filing_sk"), "tag_sk", date_key(F.col("filed_date")).alias("filed_date_sk"), "adsh", *FACT_KEY, "taxonomy_version", "filed_date", "value")
+def fact_table(spark, sf, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Facts with the keys of their dimensions, of filings between two dates.
 
+    The company's version and the calendar are inner joins: a gap drops facts and an overlap doubles them, which the
+    assertion on the grain then finds. Tags that the dictionary lacks keep their facts.
+    """
+    filings = t.submissions(spark, sf).select("adsh", "cik", "filed_date")
+    filings = filings.where(F.col("filed_date") >= F.lit(since).cast("date")) if since else filings
+    filings = filings.where(F.col("filed_date") <= F.lit(until).cast("date")) if until else filings
+    days = calendar(spark, sf).select(F.col("date_day").alias("filed_date"), F.col("date_sk").alias("filed_date_sk"))
+    known = t.tags(spark, sf).select("tag", "taxonomy_version", surrogate_key("tag", "taxonomy_version").alias("tag_sk"))
+    at = ops.valid_at(filings, company(spark, sf).select("company_sk", "cik", "valid_from", "valid_to"), "cik", "filed_date").drop("valid_from", "valid_to")
+    at = at.join(F.broadcast(days), "filed_date")  # a row for each day
+    joined = m02_numeric(spark, sf).join(at, "adsh").join(known, ["tag", "taxonomy_version"], "left")
+    return joined.select(surrogate_key(*_GRAIN).alias("fact_sk"), "company_sk", surrogate_key("adsh").alias("filing_sk"), "tag_sk", "filed_date_sk", "adsh", *FACT_KEY, "taxonomy_version", "filed_date", "value", "footnote", "is_instant", "is_annual", "has_segments")
 
-FACT_TABLE = f"""select {sql_key("f.adsh", "f.tag", "f.taxonomy_version", "coregistrant", "segments", "period_end_date", "qtrs", "unit_of_measure")} as fact_sk, company_sk,
+
+FACT_TABLE = f"""select {sql_key(*("f." + c for c in _GRAIN))} as fact_sk, company_sk,
     {sql_key("f.adsh")} as filing_sk, tag_sk, strftime(f.filed_date, '%Y%m%d')::int as filed_date_sk, f.adsh, f.cik, coregistrant, segments, f.tag, period_end_date, qtrs,
-    unit_of_measure, f.taxonomy_version, f.filed_date, value from fact f join company c on c.cik = f.cik and f.filed_date between valid_from and valid_to
-    left join (select distinct tag, taxonomy_version, {sql_key("tag", "taxonomy_version")} as tag_sk from pre) p on p.tag = f.tag and p.taxonomy_version = f.taxonomy_version"""
+    unit_of_measure, f.taxonomy_version, f.filed_date, value, footnote, qtrs = 0 as is_instant, qtrs = 4 as is_annual, segments <> '' as has_segments
+    from fact f join company c on c.cik = f.cik and f.filed_date between valid_from and valid_to
+    left join (select tag, taxonomy_version, {sql_key("tag", "taxonomy_version")} as tag_sk from tags) p on p.tag = f.tag and p.taxonomy_version = f.taxonomy_version"""
 
 
-@query(f"with {t.FACT}, {COMPANY}, {t.PRE} {FACT_TABLE}")
+@query(f"with {t.FACT}, {COMPANY}, {t.TAG} {FACT_TABLE}")
 def m05_fact(spark, sf):
     return fact_table(spark, sf)
 
 
-@query(f"with {t.FACT}, {COMPANY}, {t.PRE} {FACT_TABLE}")
+def write_facts(facts: DataFrame, path: str) -> None:
+    """Write facts by the month of their filing; months that they don't have stay as they are."""
+    rows = facts.withColumn("filed_month", F.date_format("filed_date", "yyyy-MM")).repartition("filed_month")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("filed_month").parquet(path)
+
+
+def update_facts(spark, sf: str, path: str) -> None:
+    """Bring a written fact table up to date: facts filed since its own last date, less the look-back, replace their keys.
+
+    Only the months of that window are read and written again; rows whose keys the source no longer has stay.
+    """
+    target = spark.read.parquet(path)
+    last = target.agg(F.max("filed_date")).first()[0]
+    since = None if last is None else str(spark.sql(f"select date_sub(date '{last}', {DEFAULT.look_back_days})").first()[0])
+    batch = written(fact_table(spark, sf, since=since), "fact-batch")
+    months = F.broadcast(batch.select(F.date_format("filed_date", "yyyy-MM").alias("filed_month")).distinct())  # months of one window
+    kept = target.join(months, "filed_month", "left_semi").drop("filed_month")
+    write_facts(written(ops.delete_insert(kept, batch, "fact_sk"), "fact-months"), path)
+
+
+@query(f"with {t.FACT}, {COMPANY}, {t.TAG} {FACT_TABLE}")
 def snk03_incremental_fact(spark, sf):
-    """The fact table up to a date, then brought up to date by its trailing window: as good as a full build."""
-    full = fact_table(spark, sf)
-    cut = "1998-06-30"
-    target = full.where(F.col("filed_date") <= cut)
-    batch = full.where(F.col("filed_date") >= F.date_sub(F.lit(cut).cast("date"), DEFAULT.look_back_days))
-    return ops.delete_insert(target, batch, "fact_sk")
+    """The fact table written up to a date, then brought up to date: as good as a full build."""
+    path = f"{folder(spark)}/fact-{spark.sql('select uuid()').first()[0]}"
+    write_facts(fact_table(spark, sf, until="1998-06-30"), path)
+    update_facts(spark, sf, path)
+    return spark.read.parquet(path).drop("filed_month")
 
 
-def restatements(spark, sf, share: str = DEFAULT.material, key: list[str] = FACT_KEY) -> DataFrame:
-    found = ops.revisions(t.facts(spark, sf), key, "filed_date", "value", "adsh", share)
+def _changes(spark, sf, share: str = DEFAULT.material, key: list[str] = FACT_KEY) -> DataFrame:
+    found = ops.revisable(t.facts(spark, sf), key, "filed_date", "value", "adsh", share)
     change = F.col("absolute_revision").cast("double") / F.nullif(F.abs("first_reported_value"), F.lit(0)).cast("double")
     return found.select(
         surrogate_key(*key).alias("restatement_sk"),
@@ -124,6 +179,17 @@ def restatements(spark, sf, share: str = DEFAULT.material, key: list[str] = FACT
     )
 
 
+@stored
+def changes(spark, sf) -> DataFrame:
+    """Every fact that was reported on several dates, with `is_revised`: one pass over the facts serves all models."""
+    return _changes(spark, sf)
+
+
+def restatements(spark, sf, share: str = DEFAULT.material, key: list[str] = FACT_KEY) -> DataFrame:
+    rows = changes(spark, sf) if (share, key) == (DEFAULT.material, FACT_KEY) else _changes(spark, sf, share, key)
+    return rows.where("is_revised").drop("is_revised")
+
+
 REPORTS = f"""
 reports as (select {_KEY}, filed_date, last(value order by adsh, value) as value, last(adsh order by adsh, value) as adsh from fact where value is not null group by {_KEY}, filed_date)"""
 RESTATED = f"""{REPORTS},
@@ -140,6 +206,7 @@ restated as (select {sql_key(*FACT_KEY)} as restatement_sk, *, (latest_reported_
     from groups where latest_reported_value <> first_reported_value and (first_reported_value = 0 or abs(latest_reported_value - first_reported_value) >= 0.001 * abs(first_reported_value)))"""
 
 
-@query(f"with {t.FACT}, {RESTATED} select * from restated")
+@query(f"with {t.FACT}, {RESTATED} select r.*, s.form_type as revising_form_type from restated r left join sub s on s.adsh = r.revising_adsh")
 def m10_restatements(spark, sf):
-    return restatements(spark, sf)
+    forms = t.submissions(spark, sf).select(F.col("adsh").alias("revising_adsh"), F.col("form_type").alias("revising_form_type"))
+    return restatements(spark, sf).join(forms, "revising_adsh", "left")

@@ -7,22 +7,19 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation, learning
 from tidemark.plans import features
-from tidemark.plans import tables as t
 from tidemark.plans.catalog import ORACLES, query
-from tidemark.plans.features import BASE
-from tidemark.plans.marts import COMPANY, RESTATED
+from tidemark.plans.features import NAIVE, PIT, SOURCES
 
 _SPLIT = "1997-01-01"
-_FEATURES = ["is_large_accelerated_filer", "filing_lag_days", "restatement_count", "sector_rate"]
+_FEATURES = ["filing_lag_days", "is_large_accelerated_filer", "is_accelerated_filer", "is_non_accelerated_filer", "custom_tag_share", "prior_restatement_count", "sector_restatement_rate"]
 
 
 def _past(spark, sf) -> DataFrame:
-    rate = F.col("sector_prior_restated") / F.nullif("sector_prior_filings", F.lit(0))
-    return features.m28_feature_pit(spark, sf).select("adsh", "filed_date", "was_restated", "is_large_accelerated_filer", "filing_lag_days", F.col("prior_restatement_count").alias("restatement_count"), rate.alias("sector_rate"), (F.col("sector_prior_filings") > 0).alias("has_history"))
+    return features.pit(spark, sf).select("adsh", "filed_date", "was_restated", *_FEATURES, (F.col("sector_prior_resolved_filings") > 0).alias("has_history"))
 
 
 def _all(spark, sf) -> DataFrame:
-    return features.m29_feature_naive(spark, sf).select("adsh", "filed_date", "was_restated", "is_large_accelerated_filer", "filing_lag_days", "restatement_count", F.col("sector_restatement_rate").alias("sector_rate"))
+    return features.m29_feature_naive(spark, sf).select("adsh", "filed_date", "was_restated", *_FEATURES)
 
 
 @query(f"""with p as ({ORACLES["m28_feature_pit"]}), n as ({ORACLES["m29_feature_naive"]})
@@ -37,31 +34,53 @@ def ml01_population(spark, sf):
     )
 
 
-@query(f"""with {t.FACT}, {COMPANY}, {RESTATED}, {BASE} select filed_date >= date '{_SPLIT}' as is_test, count(*) as n, count(*) filter (where was_restated) as n_restated from base group by 1""")
+@query(f"""with {SOURCES} select filed_date >= date '{_SPLIT}' as is_test, count(*) as n, count(*) filter (where was_restated) as n_restated from base group by 1""")
 def ml02_split(spark, sf):
     return features.base(spark, sf).groupBy((F.col("filed_date") >= F.lit(_SPLIT).cast("date")).alias("is_test")).agg(F.count("*").alias("n"), F.count_if("was_restated").alias("n_restated"))
 
 
+@query(f"""with {SOURCES}, {PIT}, {NAIVE}, r as (select unnest(['all', 'warm']) as regime),
+    u as (select 'past' as knowledge, adsh, filed_date, was_restated, {", ".join(_FEATURES)}, sector_prior_resolved_filings > 0 as has_history from pit
+        union all select 'all', n.adsh, n.filed_date, n.was_restated, {", ".join("n." + f for f in _FEATURES)}, p.sector_prior_resolved_filings > 0 from naive n join pit p using (adsh))
+    select regime, knowledge, filed_date >= date '{_SPLIT}' as is_test, count(*) as n, count(*) filter (where was_restated) as n_restated, {", ".join(f"round(avg({f}::double), 6) as mean_{f}" for f in _FEATURES)}
+    from u, r where regime = 'all' or has_history or filed_date >= date '{_SPLIT}' group by 1, 2, 3""")
+def ml05_regime_rows(spark, sf):
+    """What each model learns from and is tested on: rows, labels and means of the features. `warm` trains without reports whose sector has no history."""
+    past = _past(spark, sf)
+    known = _all(spark, sf).join(past.select("adsh", "has_history"), "adsh")
+    both = past.withColumn("knowledge", F.lit("past")).unionByName(known.withColumn("knowledge", F.lit("all")))
+    test = F.col("filed_date") >= F.lit(_SPLIT).cast("date")
+    rows = both.withColumn("regime", F.explode(F.array(F.lit("all"), F.lit("warm")))).where((F.col("regime") == "all") | F.col("has_history") | test)
+    return rows.groupBy("regime", "knowledge", test.alias("is_test")).agg(F.count("*").alias("n"), F.count_if("was_restated").alias("n_restated"), *(F.round(F.avg(F.col(f).cast("double")), 6).alias(f"mean_{f}") for f in _FEATURES))
+
+
+def _models(spark, sf) -> list[tuple]:
+    """(regime, knowledge, model, training rows, test rows) of all four fits; a model is None where a label is missing."""
+    past = _past(spark, sf)
+    known = _all(spark, sf).join(past.select("adsh", "has_history"), "adsh")
+    is_test, out = F.col("filed_date") >= F.lit(_SPLIT).cast("date"), []
+    for regime in ("all", "warm"):
+        for knowledge, rows in (("past", past), ("all", known)):
+            train = rows.where(~is_test & (F.col("has_history") if regime == "warm" else F.lit(True)))
+            out.append((regime, knowledge, learning.fit_logistic(train, _FEATURES, "was_restated"), train, rows.where(is_test)))
+    return out
+
+
 @query()
 def ml03_regimes(spark, sf):
     """Areas under the curve of a logistic model in training and test years, for each kind of knowledge.
 
-    `warm` leaves filings whose sector has no history out of both training sets. `gap` is what knowing the future
-    seems to add. Areas are null where a side lacks a label.
+    `gap` is what knowing the future seems to add. Areas are null where a side lacks a label.
     """
-    past = _past(spark, sf).persist()
-    known = _all(spark, sf).join(past.select("adsh", "has_history"), "adsh").persist()
-    is_test = F.col("filed_date") >= F.lit(_SPLIT).cast("date")
-    out = []
-    for regime in ("all", "warm"):
-        areas = []
-        for rows in (past, known):
-            train = rows.where(~is_test & (F.col("has_history") if regime == "warm" else F.lit(True)))
-            model = learning.fit_logistic(train, _FEATURES, "was_restated")
-            for side in (train, rows.where(is_test)):
-                areas.append(evaluation.auc(learning.score_logistic(model, side, _FEATURES), "score", "was_restated").first()["auc"] if model else None)
-        gap = None if areas[1] is None or areas[3] is None else round(areas[3] - areas[1], 6)
-        out.append((regime, *areas, gap))
-    past.unpersist()
-    known.unpersist()
+    areas: dict[str, list] = {}
+    for regime, _, model, *sides in _models(spark, sf):
+        areas.setdefault(regime, []).extend(evaluation.auc(learning.score_logistic(model, side, _FEATURES), "score", "was_restated").first()["auc"] if model else None for side in sides)
+    out = [(regime, *found, None if None in (found[1], found[3]) else round(found[3] - found[1], 6)) for regime, found in areas.items()]
     return spark.createDataFrame(out, "regime string, past_train_auc double, past_test_auc double, all_train_auc double, all_test_auc double, gap double")
+
+
+@query()
+def ml03b_coefficients(spark, sf):
+    """What each feature, standardised, adds in each of the models."""
+    rows = [(regime, knowledge, f, round(float(c), 6)) for regime, knowledge, model, *_ in _models(spark, sf) if model for f, c in zip(_FEATURES, model.stages[-1].coefficients, strict=True)]
+    return spark.createDataFrame(rows, "regime string, knowledge string, feature string, coefficient double")

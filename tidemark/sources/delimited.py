@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BAD = "_rejected_line"
+
 
 def quarters(first: str, last: str) -> list[str]:
     """Quarter names from `first` to `last`, both included: 2019q1, 2019q2, ..."""
@@ -14,32 +18,40 @@ def quarters(first: str, last: str) -> list[str]:
     return [f"{k // 4}q{k % 4 + 1}" for k in range(number(first), number(last) + 1)]
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame | None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    folder, _, name = path.rpartition("/")
-    fs = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop.Path(folder)):
-        return None
-    found = [s.getPath().toString() for s in fs.listStatus(hadoop.Path(folder)) if s.getPath().getName().lower() == name.lower()]
-    return spark.read.text(found[0], lineSep="\n").select(F.rtrim(F.col("value"), F.lit("\r")).alias("value")) if found else None
+def _member(spark: SparkSession, root: str, quarter: str, member: str) -> str | None:
+    """The file of a member whatever its case; a warning where a quarter lacks it."""
+    try:
+        found = spark.read.text(f"{root}/{quarter}").inputFiles()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        found = []
+    mine = [f for f in found if f.rpartition("/")[2].lower() == f"{member}.txt".lower()]
+    if not mine:
+        warnings.warn(f"{quarter} has no {member}.txt", stacklevel=3)
+    return mine[0] if mine else None
 
 
 def read_member(spark: SparkSession, root: str, quarter: str, member: str) -> tuple[DataFrame, DataFrame] | None:
     """Rows and rejects of one member; None where the quarter has none.
 
-    The first line names the columns. No quoting; empty fields are null; blank lines are skipped; a line with more
-    or fewer fields than the header is a reject.
+    The first line of the file names the columns. No quoting; empty fields are null; blank lines are skipped; a line
+    with more or fewer fields than the header is a reject. The quarter of a row is read off its file's path.
     """
-    lines = _lines(spark, f"{root}/{quarter}/{member}.txt")
-    head = lines.first() if lines is not None else None
-    if head is None:
+    path = _member(spark, root, quarter, member)
+    head = path and spark.read.text(path).first()
+    if not head:
         return None
-    names = head["value"].split("\t")
-    fields = F.split("value", "\t", -1)
-    body = lines.where((F.length("value") > 0) & (F.col("value") != head["value"])).select(fields.alias("f"))
-    rows = body.where(F.size("f") == len(names)).select(*(F.nullif(F.col("f")[i], F.lit("")).alias(n) for i, n in enumerate(names)), F.lit(quarter).alias("source_quarter"))
-    bad = body.where(F.size("f") != len(names)).agg(F.count("*").alias("rows_rejected")).where("rows_rejected > 0")
-    return rows, bad.select(F.lit(quarter).alias("source_quarter"), F.lit(f"{member}.txt").alias("source_file"), F.lit(len(names)).alias("expected_columns"), "rows_rejected")
+    names = head["value"].rstrip("\r").split("\t")
+    schema = ", ".join(f"`{n}` string" for n in [*names, _BAD])
+    options = {"header": True, "sep": "\t", "quote": "", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD, "enforceSchema": True, "maxCharsPerColumn": -1, "columnPruning": False}
+    lines = spark.read.options(**options).schema(schema).csv(path)
+    # Spark wants some other column to be read beside the rejected line
+    other = F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}q\d)", 1).alias("source_quarter")
+    rows = lines.where(F.col(_BAD).isNull() & other).select(*(F.nullif(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names), stem)
+    bad = lines.where(F.col(_BAD).isNotNull() & other).groupBy(stem).agg(F.count("*").alias("rows_rejected"))
+    return rows, bad.select("source_quarter", F.lit(f"{member}.txt").alias("source_file"), F.lit(len(names)).alias("expected_columns"), "rows_rejected")
 
 
 def load(spark: SparkSession, root: str, names: list[str], member: str) -> tuple[DataFrame, DataFrame]:
@@ -54,3 +66,9 @@ def load(spark: SparkSession, root: str, names: list[str], member: str) -> tuple
 def land(raw: DataFrame, path: str) -> None:
     """Full refresh of a raw table, a folder per quarter."""
     raw.write.mode("overwrite").partitionBy("source_quarter").parquet(path)
+
+
+def load_counts(tables: dict[str, DataFrame], rejects: DataFrame) -> DataFrame:
+    """table and n: rows of each landed table, and under `rejected` all lines that loading refused."""
+    counts = [df.agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, [*counts, rejects.agg(F.lit("rejected").alias("table"), F.coalesce(F.sum("rows_rejected"), F.lit(0)).alias("n"))])
