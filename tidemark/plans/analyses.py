@@ -9,7 +9,7 @@ from tidemark.config import FACT_KEY
 from tidemark.operators import bitemporal as ops
 from tidemark.operators import evaluation
 from tidemark.plans import tables as t
-from tidemark.plans.catalog import query
+from tidemark.plans.registry import query
 from tidemark.plans.features import SOURCES, base
 from tidemark.plans.filing import MARGINS, margins
 from tidemark.plans.marts import RESTATED, changes, restatements

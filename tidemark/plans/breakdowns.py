@@ -11,7 +11,7 @@ from tidemark.config import DEFAULT, FACT_KEY
 from tidemark.operators import bitemporal as ops
 from tidemark.plans import features, filing, quality, restated
 from tidemark.plans import tables as t
-from tidemark.plans.catalog import ORACLES, query
+from tidemark.plans.registry import ORACLES, query
 from tidemark.plans.marts import _KEY, REPORTS, RESTATED, changes, restatements
 
 #: Whole powers of ten between two values of a fact that speak of a changed scale.

@@ -1,25 +1,6 @@
-"""Registry of the queries over the driver's tables and of their SQL."""
+"""All queries over the driver's tables and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function (spark, sf_dir) under its own name, with the SQL that gives the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-from tidemark.plans import analyses, breakdowns, features, filing, marts, peers, quality, ranking, restated, suite  # noqa: E402, F401
+from tidemark.plans import analyses, breakdowns, features, filing, marts, peers, quality, ranking, restated, suite  # noqa: F401
+from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -9,7 +9,7 @@ from tidemark.config import DEFAULT
 from tidemark.functions.columns import major_group
 from tidemark.operators import bitemporal as ops
 from tidemark.plans import tables as t
-from tidemark.plans.catalog import query
+from tidemark.plans.registry import query
 from tidemark.plans.marts import COMPANY, RESTATED, company, restatements
 from tidemark.sources.store import stored
 

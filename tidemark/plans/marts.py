@@ -9,7 +9,7 @@ from tidemark.config import DEFAULT, FACT_KEY
 from tidemark.functions.columns import date_key, surrogate_key
 from tidemark.operators import bitemporal as ops
 from tidemark.plans import tables as t
-from tidemark.plans.catalog import query
+from tidemark.plans.registry import query
 from tidemark.sources.store import folder, stored, written
 
 _KEY = ", ".join(FACT_KEY)
@@ -152,7 +152,12 @@ def update_facts(spark, sf: str, path: str) -> None:
     target = spark.read.parquet(path)
     last = target.agg(F.max("filed_date")).first()[0]
     since = None if last is None else str(spark.sql(f"select date_sub(date '{last}', {DEFAULT.look_back_days})").first()[0])
-    batch = written(fact_table(spark, sf, since=since), "fact-batch")
+    merge_facts(written(fact_table(spark, sf, since=since), "fact-batch"), path)
+
+
+def merge_facts(batch: DataFrame, path: str) -> None:
+    """Replace the facts of the batch's keys in a written fact table, in the batch's months alone. `batch` is read several times."""
+    target = batch.sparkSession.read.parquet(path)
     months = F.broadcast(batch.select(F.date_format("filed_date", "yyyy-MM").alias("filed_month")).distinct())  # months of one window
     kept = target.join(months, "filed_month", "left_semi").drop("filed_month")
     write_facts(written(ops.delete_insert(kept, batch, "fact_sk"), "fact-months"), path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT
 from tidemark.operators import bitemporal as ops
 from tidemark.plans import tables as t
-from tidemark.plans.catalog import query
+from tidemark.plans.registry import query
 
 
 def identity(spark, sf) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation, learning
 from tidemark.plans import features
-from tidemark.plans.catalog import ORACLES, query
+from tidemark.plans.registry import ORACLES, query
 from tidemark.plans.features import NAIVE, PIT, SOURCES
 
 _SPLIT = "1997-01-01"

@@ -8,7 +8,7 @@ from tidemark.config import DEFAULT, FACT_KEY
 from tidemark.operators import expectations as ex
 from tidemark.plans import features, marts
 from tidemark.plans import tables as t
-from tidemark.plans.catalog import query
+from tidemark.plans.registry import query
 from tidemark.plans.features import NAIVE, PIT, SOURCES
 from tidemark.plans.marts import FACT_TABLE, FILING
 from tidemark.sources.store import stored
