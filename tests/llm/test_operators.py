@@ -315,6 +315,14 @@ def test_packing(docs, texts, spark):
     assert isinstance(normalizers.Replace(Regex("x"), "y"), normalizers.Normalizer)
 
 
+def test_other_tokenizers_read_whole_texts(spark):
+    """A tokenizer that joins a space with the word after it has no runs."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    assert packing.WordIds(tokenizer_path("word_bpe_49k.json")).split is packing.split_runs and packing.WordIds(path).split is not packing.split_runs
+    rows = [(1, "Two words  and\nlines"), (2, None), (3, " Lead"), (4, "x" * 300)]
+    brute.packed(rows, Tokenizer.from_file(path), packing.best_fit_packing(frame(spark, rows), path).collect())
+
+
 def test_packing_in_groups(spark, texts):
     path = tokenizer_path("word_bpe_49k.json")
     found = packing.pieces(frame(spark, texts), path, 256)

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import binary_texts, chunks, materialize, parts
 
 
-#: Between a letter and punctuation the tokenizer cuts anyway, and it lower-cases anyway.
+#: Texts that show whether a tokenizer cuts at spaces, line feeds and punctuation and lower-cases, as `split_runs` does.
+PROBES = ["Two Words", "a  b\nc\n\nd", "x-y (z), end.", "don't we'll", "A1b2 3.14", "e\tf g", "Éa ß日本 語", "a_b #c <d> e&f", "<|endoftext|>a B-c"]
+#: Between a letter and punctuation such a tokenizer cuts anyway, and it lower-cases anyway.
 CUT = re.compile(rb"(?<=[a-z])(?=[!-/:-@\\[-`{-~])")
 
 
@@ -38,8 +40,8 @@ def split_runs(text: bytes) -> list[bytes]:
 class WordIds:
     """Little-endian 32-bit ids of each space-free run of text, remembered for up to `room` of them.
 
-    The tokenizer never joins characters across a space or line feed, so a text's ids are those of its runs. Runs
-    that are new are tokenised together.
+    A tokenizer that never joins characters across a space or line feed gives a text the ids of its runs, one after
+    another; runs that are new are tokenised together. One that fails on a probe reads each text whole.
     """
 
     def __init__(self, path: str, room: int = 400_000):
@@ -47,10 +49,13 @@ class WordIds:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {}
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        as_runs = all(ids(p) == [i for x in split_runs(p.encode()) for i in ids(x.decode())] for p in PROBES)
+        self.split = split_runs if as_runs else lambda text: [text]
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         for part in chunks(texts, len, 1 << 20):
-            runs = [split_runs(t) for t in part]
+            runs = [self.split(t) for t in part]
             if len(self.known) >= self.room:
                 self.known.clear()
             new = list(set().union(*runs) - self.known.keys())
