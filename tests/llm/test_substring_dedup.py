@@ -40,7 +40,7 @@ def passages(seed, documents=120):
     return out
 
 
-@pytest.mark.parametrize("share_docs", [4096, 3])
+@pytest.mark.parametrize("share_docs", [1024, 3])
 def test_against_brute_force(spark, share_docs):
     """Fingerprints in one share, and dealt to many (3 documents in each)."""
     rows = passages(share_docs)

@@ -28,7 +28,7 @@ SHINGLE, SHARE = 5, 75
 #: Counters of shingles over all documents, to order shingles rarest first. More documents make the order coarser, never wrong.
 COUNTERS = 2**18
 #: Most members of a block that are compared in one go.
-CHUNK = 1024
+CHUNK = 512
 
 
 def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:

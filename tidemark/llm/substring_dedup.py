@@ -318,7 +318,7 @@ def remove(docs: DataFrame, gone: DataFrame, with_text: bool, others: tuple[str,
     return out if with_text else out.drop("text")
 
 
-def substring_dedup(docs: DataFrame, batches: int = 4, share_docs: int = 4096, with_text: bool = False, others: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, batches: int = 4, share_docs: int = 1024, with_text: bool = False, others: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_removed, kept_sha256 (and text, as it was where nothing goes; and `others`).
 
     Each word goes that a window of 13 words covers which also starts in a document with a smaller doc_id, as the
@@ -358,7 +358,7 @@ def lost_windows(packed: DataFrame, found: DataFrame, met: list[DataFrame], shar
     return half.where("gone > 0").select("doc_id", "mark", "places", "gone").unionByName(again(half))
 
 
-def dedup_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame, share_docs: int = 4096, with_text: bool = False) -> DataFrame:
+def dedup_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame, share_docs: int = 1024, with_text: bool = False) -> DataFrame:
     """The result of `substring_dedup` for a new batch alone, held against an index and the texts that it covers.
 
     The batch's fingerprints become a run of the index. Of `history` only texts with fingerprints that met are
