@@ -9,13 +9,14 @@ from tidemark.config import FACT_KEY
 from tidemark.operators import bitemporal as ops
 from tidemark.operators import evaluation
 from tidemark.plans import tables as t
-from tidemark.plans.registry import query
+from tidemark.plans import quality
+from tidemark.plans.registry import ORACLES, query
 from tidemark.plans.features import SOURCES, base
 from tidemark.plans.filing import MARGINS, margins
 from tidemark.plans.marts import RESTATED, changes, restatements
 
 _SHARES = {"n_any": "0", "n_bp": "0.0001", "n_permille": "0.001", "n_percent": "0.01", "n_five_percent": "0.05"}
-_BAR = 0.05  # points that a rule's rate may move
+BAR = 0.05  # points that a rule's rate may move
 _THEN = "1997-12-31"
 
 
@@ -78,10 +79,13 @@ def d23_ever_restated(spark, sf):
     return per.withColumn("pct", F.round(100.0 * F.col("n_ever_restated") / F.col("n_filings"), 4))
 
 
-@query(f"""with {t.FACT}, {RESTATED} select (select count(*) from fact) as n_facts, (select count(*) from sub) as n_filings, (select max(filed_date) from sub) as vintage, count(*) as n_restatements,
+_TOTALS = """(select count(*) from fact) as n_facts, (select count(*) from sub) as n_filings, (select max(filed_date) from sub) as vintage, count(*) as n_restatements,
     count(*) filter (where first_reported_value = 0) as zero_origin, count(*) filter (where abs(pct_revision) > 100) as extreme, count(*) filter (where latest_reported_value = -first_reported_value) as sign_flip,
-    round(100.0 * count(*) filter (where absolute_revision < 0) / nullif(count(*), 0), 4)::double as pct_downward from restated""")
-def met01_snapshot(spark, sf):
+    round(100.0 * count(*) filter (where absolute_revision < 0) / nullif(count(*), 0), 4)::double as pct_downward"""
+
+
+def totals(spark, sf) -> DataFrame:
+    """The data's vintage and size, and its revisions by class: one row."""
     filings = t.submissions(spark, sf).agg(F.count("*").alias("n_filings"), F.max("filed_date").alias("vintage"))
     facts = t.facts(spark, sf).agg(F.count("*").alias("n_facts"))
     old, new = F.col("first_reported_value"), F.col("latest_reported_value")
@@ -90,21 +94,37 @@ def met01_snapshot(spark, sf):
     return facts.crossJoin(F.broadcast(filings)).crossJoin(F.broadcast(found))  # each side is one row
 
 
+@query(f"""with {t.FACT}, {RESTATED}, x as (select {_TOTALS} from restated) select x.*, rule, dimension, severity, rows_affected, rows_checked, pct from x, ({ORACLES["m15_scorecard"]})""")
+def met01_snapshot(spark, sf):
+    """The totals beside each rule of the scorecard."""
+    return quality.m15_scorecard(spark, sf).drop("place").crossJoin(F.broadcast(totals(spark, sf)))  # one row of totals
+
+
+_RULES = {"null_value": "value is null", "implausible_duration": "qtrs not between 0 and 40", "custom_tag": "tag = 'T3'", "filed_before_period": "filed_date < period_end_date"}
+
+
 def _rates(facts: DataFrame) -> DataFrame:
-    rule = F.concat(F.coalesce("filer_status", F.lit("none")), F.lit(" "), "tag")
-    return facts.groupBy(rule.alias("rule")).agg(F.round(100.0 * F.count_if(F.col("value").isNull()) / F.count("*"), 4).alias("pct"))
+    one = facts.agg(F.count("*").alias("n"), *(F.count_if(F.expr(c)).alias(n) for n, c in _RULES.items()))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(n).alias("rule"), F.round(100.0 * F.col(n) / F.col("n"), 4).alias("pct")) for n in _RULES))))
 
 
-_RATE = "select coalesce(filer_status, 'none') || ' ' || tag as rule, round(100.0 * count(*) filter (where value is null) / count(*), 4)::double as pct from fact"
+def _rates_sql(where: str) -> str:
+    return " union all ".join(f"select '{n}' as rule, round(100.0 * count(*) filter (where {c}) / count(*), 4)::double as pct from fact {where}" for n, c in _RULES.items())
 
 
-@query(f"""with {t.FACT}, b as ({_RATE} where filed_date <= date '{_THEN}' group by 1), c as ({_RATE} group by 1)
-    select * from (select rule, b.pct as before, c.pct as after, case when c.rule is null then 'REMOVED' when b.rule is null then 'NEW' when abs(c.pct - b.pct) > {_BAR} then 'DRIFT' end as status
+@query(f"""with {t.FACT}, b as ({_rates_sql(f"where filed_date <= date '{_THEN}'")} union all select 'retired_rule', 1.0), c as ({_rates_sql('')})
+    select * from (select rule, b.pct as before, c.pct as after, case when c.rule is null then 'REMOVED' when b.rule is null then 'NEW' when abs(c.pct - b.pct) > {BAR} then 'DRIFT' end as status
         from b full outer join c using (rule)) where status is not null""")
 def met02_drift(spark, sf):
-    """Null rates by filer status and tag: as of a date against now."""
+    """Rates of the rules on facts as of a date, with a rule that is gone since, against now."""
     facts = t.facts(spark, sf)
-    return evaluation.drift(_rates(facts.where(F.col("filed_date") <= F.lit(_THEN).cast("date"))), _rates(facts), "rule", "pct", _BAR)
+    then = _rates(facts.where(F.col("filed_date") <= F.lit(_THEN).cast("date"))).unionByName(spark.range(1).select(F.lit("retired_rule").alias("rule"), F.lit(1.0).alias("pct")))
+    return evaluation.drift(then, _rates(facts), "rule", "pct", BAR)
+
+
+def drifted(found: DataFrame) -> int:
+    """Exit status for a comparison: 1 if anything moved, else 0."""
+    return 0 if found.isEmpty() else 1
 
 
 @query(f"""with {SOURCES}, s as (select filing_lag_days as score, count(*) filter (where was_restated) as pos, count(*) filter (where not was_restated) as neg from base where filing_lag_days is not null group by 1),

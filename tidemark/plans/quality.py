@@ -33,7 +33,7 @@ IDENTITY = """ident as (
     with wide as (pivot (select adsh, period_end_date, tag, value from num where qtrs = 0 and unit_of_measure = 'USD' and coregistrant = '' and segments = '')
         on tag in ('T0', 'T1', 'T2', 'T4', 'T5') using max(value) group by adsh, period_end_date),
     named as (select adsh, period_end_date, T0 as assets, T1 as liabilities, T2 as liabilities_and_equity, ifnull(T5, T4) as equity from wide where T0 is not null)
-    select named.*, cik, company_name, form_type, filer_status, filed_date, assets - liabilities_and_equity as total_gap, assets - liabilities - equity as component_gap,
+    select named.*, cik, company_name, form_type, filer_status, filed_date, (assets - liabilities_and_equity)::decimal(30,4) as total_gap, assets - liabilities - equity as component_gap,
         round(abs((assets - liabilities_and_equity)::double) / nullif(abs(assets), 0)::double, 6) as total_pct_gap, round(abs((assets - liabilities - equity)::double) / nullif(abs(assets), 0)::double, 6) as component_pct_gap,
         liabilities_and_equity is not null as has_reported_total, liabilities is not null and equity is not null as has_components
     from named join sub using (adsh))"""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import blank_to_null, safe_numeric, yyyymmdd
 from tidemark.operators.bitemporal import pick_one
-from tidemark.plans.tables import STATEMENTS, case
+from tidemark.plans.registry import query
+from tidemark.plans.tables import STATEMENTS, case, table
 from tidemark.sources.delimited import load
 
 
@@ -64,3 +65,39 @@ def stage(spark: SparkSession, root: str, quarters: list[str]) -> tuple[dict[str
         staged[member] = typed(raw)
         rejects = bad if rejects is None else rejects.unionByName(bad)
     return staged, rejects
+
+
+def raw_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """The driver's facts as text, as a quarter's file would have them; some values and dates are malformed."""
+    x = table(spark, sf, "lineitem")
+    value = F.when(F.col("l_partkey") % 17 == 0, F.format_string("1,%d", F.col("l_partkey"))).when(F.col("l_partkey") % 19 == 0, "-12.5e2").otherwise(F.col("l_extendedprice").cast("decimal(28,2)").cast("string"))
+    date = F.when(F.col("l_suppkey") % 37 == 0, "20010231").otherwise(F.date_format("l_shipdate", "yyyyMMdd"))
+    adsh = F.when(F.col("l_orderkey") % 211 != 0, F.col("l_orderkey").cast("string")).alias("adsh")
+    return x.select(adsh, F.format_string(" T%d ", F.col("l_partkey") % 6).alias("tag"), F.lit("us-gaap/2001 ").alias("version"), F.lit(" ").alias("coreg"), F.when(F.col("l_returnflag") == "R", " Seg ").alias("segments"), date.alias("ddate"), F.when(F.col("l_linenumber") != 5, (F.col("l_linenumber") % 5).cast("string")).otherwise("").alias("qtrs"), F.lit("USD").alias("uom"), value.alias("value"), F.lit(" ").alias("footnote"), F.lit("2001q1").alias("source_quarter"))
+
+
+@query("""select l_orderkey::varchar as adsh, 'T' || (l_partkey % 6) as tag, 'us-gaap/2001' as taxonomy_version, '' as coregistrant, case when l_returnflag = 'R' then 'Seg' else '' end as segments,
+    case when l_suppkey % 37 <> 0 then l_shipdate::date end as period_end_date, case when l_linenumber <> 5 then (l_linenumber % 5)::int end as qtrs, 'USD' as unit_of_measure,
+    case when l_partkey % 17 = 0 then null when l_partkey % 19 = 0 then -1250.0 else l_extendedprice::decimal(28,2) end::decimal(28,4) as value, null::varchar as footnote, coalesce(case when l_linenumber <> 5 then (l_linenumber % 5)::int end = 0, false) as is_instant,
+    coalesce(case when l_linenumber <> 5 then (l_linenumber % 5)::int end = 4, false) as is_annual, l_returnflag = 'R' as has_segments, '2001q1' as source_quarter from lineitem where l_orderkey % 211 <> 0""")
+def m02b_staged_numbers(spark, sf):
+    """Facts from text: trimmed, guarded against values and dates that are none."""
+    return numeric(raw_numbers(spark, sf))
+
+
+def raw_filings(spark: SparkSession, sf: str) -> DataFrame:
+    """The driver's orders as text rows of a filing table."""
+    x, blank = table(spark, sf, "orders"), F.lit(" ")
+    form = F.when(F.col("o_orderkey") % 3 == 0, " 10-k/A ").when(F.col("o_orderkey") % 3 == 1, "10-q/A").otherwise("8-K")
+    period = F.when(F.col("o_custkey") % 7 != 0, F.date_format(F.date_sub(F.trunc("o_orderdate", "quarter"), 1), "yyyyMMdd"))
+    text = {"adsh": F.col("o_orderkey").cast("string"), "cik": F.col("o_custkey").cast("string"), "name": F.format_string(" Company %d ", "o_custkey"), "sic": F.when(F.col("o_custkey") % 5 == 0, "6020").otherwise(blank), "afs": F.lit(" 1-LAF"), "wksi": F.when(F.col("o_custkey") % 2 == 0, (F.col("o_custkey") % 4 / 2).cast("int").cast("string")), "fye": F.lit("1231"), "form": form, "period": period, "fy": F.lit(""), "fp": F.lit("FY "), "filed": F.date_format("o_orderdate", "yyyyMMdd"), "prevrpt": F.lit("1"), "detail": F.lit("0"), "nciks": F.lit("1"), "source_quarter": F.lit("2001q1")}
+    return x.select(*(text.get(n, blank).alias(n) for n in "adsh cik name sic countryba stprba countryinc stprinc former afs wksi fye form period fy fp filed prevrpt detail nciks source_quarter".split()))
+
+
+@query("""select o_orderkey::varchar as adsh, o_custkey as cik, 'Company ' || o_custkey as company_name, case when o_custkey % 5 = 0 then '6020' end as sic_code, null::varchar as business_country, null::varchar as business_state, null::varchar as incorporation_country, null::varchar as incorporation_state,
+    null::varchar as former_name, '1-LAF' as filer_status, case o_custkey % 4 when 0 then false when 2 then true end as is_well_known_issuer, '1231' as fiscal_year_end_mmdd, case o_orderkey % 3 when 0 then '10-K/A' when 1 then '10-Q/A' else '8-K' end as form_type, o_orderkey % 3 = 1 as is_amendment,
+    case when o_custkey % 7 <> 0 then (date_trunc('quarter', o_orderdate)::date - 1)::date end as period_end_date, null::int as fiscal_year, 'FY' as fiscal_period, o_orderdate::date as filed_date, true as was_later_amended, false as has_footnote_detail, 1::int as n_ciks,
+    case when o_custkey % 7 <> 0 then (o_orderdate::date - (date_trunc('quarter', o_orderdate)::date - 1))::int end as filing_lag_days, '2001q1' as source_quarter from orders""")
+def m01b_staged_filings(spark, sf):
+    """Filings from text: an amendment by the form as filed, so one with a space after it is none."""
+    return submissions(raw_filings(spark, sf))
