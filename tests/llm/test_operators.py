@@ -546,6 +546,60 @@ def test_classifier(spark, small, docs, texts):
     assert len(none) == len(texts) and all(r.score == 0.5 and r.predicted == 1 for r in none)
 
 
+def test_classifier_slopes():
+    """The slopes of the loss against finite differences."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    table, layer, bias = rng.normal(size=(9, 4)), rng.normal(size=(2, 4)), rng.normal(size=2)
+    ids, share = np.array([1, 4, 7]), np.array([0.5, 0.3, 0.2])
+
+    def loss(label):
+        z = layer @ (share @ table[ids]) + bias
+        return float(np.log(np.exp(z).sum()) - z[label])
+
+    for label in (0, 1):
+        by_vectors, by_layer, by_bias = quality_classifier.slopes(table, layer, bias, ids, share, label)
+        for values, found, at in ((table, by_vectors, [((int(i), d), (k, d)) for k, i in enumerate(ids) for d in range(4)]), (layer, by_layer, [((c, d), (c, d)) for c in range(2) for d in range(4)]), (bias, by_bias, [((c,), (c,)) for c in range(2)])):
+            for where, own in at:
+                was = values[where]
+                values[where] = was + 1e-6
+                up = loss(label)
+                values[where] = was - 1e-6
+                down = loss(label)
+                values[where] = was
+                assert abs((up - down) / 2e-6 - found[own]) < 1e-6
+
+
+def test_classifier_scores_one_by_one(spark, texts):
+    """Scores against a plain average for each document."""
+    import numpy as np
+
+    s = quality_classifier.Settings()
+    adds = np.random.default_rng(5).normal(size=s.buckets)
+    rows = [*texts, (None, "no id here here"), (3, "one")]
+    docs = spark.createDataFrame([(d, t, "x", 0.5) for d, t in rows], "doc_id long, text string, held_out string, score double").repartition(3)
+    got = quality_classifier.score(docs, adds, 0.25, s).collect()
+    want = []
+    for d, t in rows:
+        found = (t or "").encode().split()
+        values = [adds[b] for w in found for b in quality_classifier.subwords([w], s)[0]]
+        values += [adds[quality_classifier.repeat_mark(s)]] * sum(a == b for a, b in zip(found, found[1:]))
+        want.append((d, 1 / (1 + np.exp(-(np.mean(values) if values else 0.0) - 0.25))))
+    assert len(got) == len(want)
+    for (a, x), (b, y) in zip(sorted(((r.doc_id is None, r.doc_id or 0), r.score) for r in got), sorted(((d is None, d or 0), float(y)) for d, y in want)):
+        assert a == b and abs(x - y) < 1e-9
+    none = quality_classifier.quality_classifier(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).where("doc_id is null").collect()
+    assert [r.held_out for r in none] == [True]
+
+
+def test_rules_are_native(docs, spark, texts):
+    """No Python runs in the plan of the rules; what they learn covers, grows and prunes as a plain version does."""
+    labels = spark.createDataFrame([(d, int(d % 3 > 0), 0) for d, _ in texts], "doc_id long, quality int, toxic int")
+    plan = quality_rules.quality_rules(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan.replace("ArrowColumnar", ""))
+
+
 def test_held_out(docs):
     import zlib
 

@@ -90,6 +90,16 @@ def _features(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.select("doc_id", "label", "text").mapInArrow(count, "doc_id long, label int, ids binary, counts binary")
 
 
+def slopes(table: np.ndarray, layer: np.ndarray, bias: np.ndarray, ids: np.ndarray, share: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slopes of a document's loss, the negative log of the softmax of its label: by vectors of its buckets, layer and bias."""
+    hidden = share @ table[ids] if len(ids) else np.zeros(table.shape[1])
+    z = layer @ hidden + bias
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    p[label] -= 1
+    return np.outer(share, p @ layer), np.outer(p, hidden), p
+
+
 def _descend(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of the buckets and the two rows of the softmax layer."""
     rng = np.random.default_rng(7)
@@ -102,16 +112,11 @@ def _descend(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> tup
             ids, share, label = rows[k]
             rate = s.rate * (1 - done / steps)
             done += 1
-            hidden = share @ table[ids] if len(ids) else np.zeros(s.dim)
-            z = layer @ hidden + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[label] -= 1  # gradient of the loss
-            back = p @ layer
-            layer -= rate * 0.1 * np.outer(p, hidden)
-            bias -= rate * 0.01 * p
+            by_vectors, by_layer, by_bias = slopes(table, layer, bias, ids, share, label)
+            layer -= rate * 0.1 * by_layer
+            bias -= rate * 0.01 * by_bias
             if len(ids):
-                table[ids] -= rate * np.outer(share, back)
+                table[ids] -= rate * by_vectors
     return table, np.vstack([layer.T, bias])
 
 
@@ -194,8 +199,10 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, settings: Settings =
     """One row per document: doc_id, held_out, score, predicted.
 
     Score: 0 to 1, higher where label 1 is likelier; from the whole text alone. Null or empty text gets the
-    constant's score; so does every text if no label can be learned from. Repeated rows are scored one by one.
+    constant's score; so does every text if no label can be learned from. Repeated rows are scored one by one. A row
+    without doc_id has no label to learn from, so it counts as held out. An empty table gives an empty result; other
+    columns are ignored.
     """
     adds, constant = train(docs, labels, settings)
-    held = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True)).alias("held_out")
     return score(docs, adds, constant, settings).select("doc_id", held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
