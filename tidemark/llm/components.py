@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """Hang the neighbours of each node on the least of them and itself: larger ones, or smaller ones (`small`)."""
+def _star(edges: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
+    """Hang the neighbours of each node on the least of them and itself: larger ones, or smaller ones (`small`).
+
+    Gives the new edges, and the written table of least nodes that they are still read from.
+    """
     if small:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     else:
@@ -21,7 +24,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         hung = near.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(near.select("u", F.col("low").alias("v")))
     else:
         hung = near.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-    return hung.where("u <> v").distinct()
+    return hung.where("u <> v").distinct(), least
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,5 +36,9 @@ def components(links: DataFrame) -> DataFrame:
         if state == was or state[0] == 0:
             break
         was = state
-        edges = materialize(_star(_star(edges, small=False), small=True), "links")
+        large, first = _star(edges, small=False)
+        both, second = _star(large, small=True)
+        shorter = materialize(both, "links")
+        discard(edges, first, second)
+        edges = shorter
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select("v", "v").distinct().toDF("node", "component"))

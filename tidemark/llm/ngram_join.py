@@ -241,8 +241,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
     Words are lower-cased in A-Z. Null text or text without words has no shingles and links with nothing; fewer
-    than five words are one shingle. A row without doc_id links with nothing and has no component_id. Repeated rows of a doc_id are rows of one document. An empty table gives an
-    empty result; other columns are ignored.
+    than five words are one shingle. A row without doc_id links with nothing and has no component_id. Rows that repeat a
+    doc_id are rows of one document: each has its own n_shingles, and they share what any of them links with. An empty
+    table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = materialize(_counted(docs), "shingle-counts")
@@ -266,14 +267,17 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
     # each member against its block's smallest document
     stars = entries.where("id > pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v"))
-    links = materialize(_verified(materialize(_bounded(stars, points), "pairs"), texts), "links")
+    pairs = materialize(_bounded(stars, points), "pairs")
+    links = materialize(_verified(pairs, texts), "links")
     label = components(links)
 
     # blocks that still hold several components; blocks with one smallest document are one
     labelled = entries.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = materialize(labelled.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("pivot"), "mixed")
     mixed = materialize(labelled.join(several, "pivot").select("pivot", "id", "component"), "mixed")
-    more = materialize(_verified(materialize(_candidates(mixed, points), "pairs"), texts), "links")
+    others = materialize(_candidates(mixed, points), "pairs")
+    more = materialize(_verified(others, texts), "links")
+    discard(pairs, others, texts, entries, several, mixed, points)
 
     final = components(links.unionByName(more))
     named = sets_of.join(final.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
