@@ -44,7 +44,7 @@ class WordIds:
     another; runs that are new are tokenised together. One that fails on a probe reads each text whole.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 200_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -54,7 +54,7 @@ class WordIds:
         self.split = split_runs if as_runs else lambda text: [text]
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
-        for part in chunks(texts, len, 1 << 20):
+        for part in chunks(texts, len, 1 << 19):
             runs = [self.split(t) for t in part]
             if len(self.known) >= self.room:
                 self.known.clear()
