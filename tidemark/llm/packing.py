@@ -44,7 +44,7 @@ class WordIds:
     another; runs that are new are tokenised together. One that fails on a probe reads each text whole.
     """
 
-    def __init__(self, path: str, room: int = 200_000):
+    def __init__(self, path: str, room: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -58,8 +58,8 @@ class WordIds:
             runs = [self.split(t) for t in part]
             if len(self.known) >= self.room:
                 self.known.clear()
-            new = list(set().union(*runs) - self.known.keys())
             own = self.known
+            new = [x for x in set().union(*runs) if x not in own]
             found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)
             fresh = {x: np.asarray(e.ids, "<u4").tobytes() for x, e in zip(new, found, strict=True)}
             own.update((x, v) for x, v in fresh.items() if len(x) < 100)
