@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_fst, substring_dedup, token_count, warc
+from . import centroid_clustering, exact_dedup, filter_audit, html_extract, huffman_ids, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_fst, substring_dedup, token_count, warc
 from .common import table
 
 
@@ -58,13 +58,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman_ids.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_warc_derivatives, op2_quality_rules, op3_token_counts, op4_exact_dedup, op5_html_extract, op6_quality_classifier, op7_ngram_join, op8_best_fit_packing, op9_sentencepiece_fst, op10_substring_dedup]
+    found += [op11_filter_audit, op12_huffman_ids, op13_centroid_clustering]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_filter_audit": filter_audit.SQL,
+        "op13_centroid_clustering": centroid_clustering.SQL,
         "op4_exact_dedup": r"""
             with d as (select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256 from documents)
             select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from (
