@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
 from tests.llm import brute
-from tidemark.llm import components, exact_dedup, html_extract, ngram_join, packing, pieces, quality_classifier, quality_rules, sentencepiece_fst, token_count, warc
+from tidemark.llm import components, exact_dedup, html_extract, ngram_join, packing, pieces, quality_classifier, quality_rules, sentencepiece_fst, token_count, warc, word_ids
 from tidemark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, count long, h long, kept string"
@@ -318,7 +318,7 @@ def test_packing(docs, texts, spark):
 def test_other_tokenizers_read_whole_texts(spark):
     """A tokenizer that joins a space with the word after it has no runs."""
     path = tokenizer_path("byte_bpe_50k.json")
-    assert packing.WordIds(tokenizer_path("word_bpe_49k.json")).split is packing.split_runs and packing.WordIds(path).split is not packing.split_runs
+    assert word_ids.WordIds(tokenizer_path("word_bpe_49k.json")).split is word_ids.split_runs and word_ids.WordIds(path).split is not word_ids.split_runs
     rows = [(1, "Two words  and\nlines"), (2, None), (3, " Lead"), (4, "x" * 300)]
     brute.packed(rows, Tokenizer.from_file(path), packing.best_fit_packing(frame(spark, rows), path).collect())
 

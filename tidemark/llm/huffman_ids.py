@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import binary_texts, discard, materialize, new_folder, parts, remove_folder, settings, WRITING
-from .packing import word_ids
+from .word_ids import word_ids
 
 LIMIT, BLOCK, STEP = 20, 1 << 16, 256
 CODE, HEAD, SPAN = struct.Struct("<4sBI"), struct.Struct("<4sIIQIII"), np.dtype([("doc_id", "<i8"), ("n", "<u4"), ("flags", "u1")])

@@ -8,12 +8,9 @@ bin can be spared. The open bins are indexed by piece length and room. A group l
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -21,57 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, chunks, materialize, parts
-
-
-#: Texts that show whether a tokenizer cuts at spaces, line feeds and punctuation and lower-cases, as `split_runs` does.
-PROBES = ["Two Words", "a  b\nc\n\nd", "x-y (z), end.", "don't we'll", "A1b2 3.14", "e\tf g", "Éa ß日本 語", "a_b #c <d> e&f", "<|endoftext|>a B-c"]
-#: Between a letter and punctuation such a tokenizer cuts anyway, and it lower-cases anyway.
-CUT = re.compile(rb"(?<=[a-z])(?=[!-/:-@\\[-`{-~])")
-
-
-def split_runs(text: bytes) -> list[bytes]:
-    """Runs of text whose ids, one after another, are the text's ids."""
-    if b"<|" not in text:  # a special token must stay as it is
-        text = CUT.sub(b" ", text.lower())
-    return text.replace(b"\n", b" ").split(b" ")
-
-
-class WordIds:
-    """Little-endian 32-bit ids of each space-free run of text, remembered for up to `room` of them.
-
-    A tokenizer that never joins characters across a space or line feed gives a text the ids of its runs, one after
-    another; runs that are new are tokenised together. One that fails on a probe reads each text whole.
-    """
-
-    def __init__(self, path: str, room: int = 300_000):
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {}
-        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
-        as_runs = all(ids(p) == [i for x in split_runs(p.encode()) for i in ids(x.decode())] for p in PROBES)
-        self.split = split_runs if as_runs else lambda text: [text]
-
-    def of(self, texts: list[bytes]) -> Iterator[bytes]:
-        for part in chunks(texts, len, 1 << 19):
-            runs = [self.split(t) for t in part]
-            if len(self.known) >= self.room:
-                self.known.clear()
-            own = self.known
-            new = [x for x in set().union(*runs) if x not in own]
-            found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)
-            fresh = {x: np.asarray(e.ids, "<u4").tobytes() for x, e in zip(new, found, strict=True)}
-            own.update((x, v) for x, v in fresh.items() if len(x) < 100)
-            long = {x: v for x, v in fresh.items() if len(x) >= 100}
-            for words in runs:
-                yield b"".join([own[x] if x in own else long[x] for x in words] if long else map(own.__getitem__, words))
-
-
-@cache
-def word_ids(path: str) -> WordIds:
-    """One for each Python worker, which serves many tasks."""
-    return WordIds(path)
+from .common import binary_texts, materialize, parts
+from .word_ids import word_ids
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
