@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.store import source
+
 _FORMS = {"1": "10-K", "2": "10-Q", "3": "10-K/A", "4": "10-Q/A", "5": "8-K"}
 #: Tags of the mapped facts, by what they stand for.
 ASSETS, LIABILITIES, TOTAL, CUSTOM, EQUITY, EQUITY_WITH_MINORITIES = "T0", "T1", "T2", "T3", "T4", "T5"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return source(spark, f"{sf_dir}/{name}.parquet")
 
 
 def case(column: Column, values: dict, other: Column | None = None) -> Column:
