@@ -119,14 +119,16 @@ def strictly_prior(queries: DataFrame, events: DataFrame, key: str, at: str, cou
 def latest_before(left: DataFrame, right: DataFrame, keys: list[str], at: str, tie: str, carry: list[str]) -> DataFrame:
     """For each left row the last right row of its keys on or before its date; ties by `tie` ascending. Left join.
 
-    `left` must have a unique column named by `tie`.
+    Both sides are merged in order of time, one shuffle by the keys, and each left row takes the right row that was met
+    last: work grows with the rows, however many right rows a key has. Null keys and dates match nothing.
     """
-    r = right.select(*(F.col(k).alias(f"_{k}") for k in keys), F.struct(F.datediff(F.lit("1970-01-01").cast("date"), F.col(at)).alias("_age"), F.col(tie).alias("_tie"), *carry).alias("_row"), F.col(at).alias("_at"))
-    on = F.col(at) >= F.col("_at")
-    for k in keys:
-        on &= F.col(k) == F.col(f"_{k}")
-    best = left.select(*keys, at, tie).join(r, on).groupBy(tie).agg(F.min("_row").alias("_row"))
-    return left.join(best, tie, "left").select(*left.columns, F.col("_row._tie").alias(f"matched_{tie}"), *(F.col(f"_row.{c}").alias(f"matched_{c}") for c in carry))
+    met = F.struct(F.col(tie).alias("tie"), *(F.col(c).alias(c) for c in carry))
+    known = right.where(" and ".join(f"{k} is not null" for k in [*keys, at]))
+    both = known.select(*keys, at, F.col(tie).alias("_tie"), met.alias("_met"), F.lit(None).alias("_row")).unionByName(left.select(*keys, at, F.lit(None).cast(left.schema[tie].dataType).alias("_tie"), F.lit(None).alias("_met"), F.struct(*left.columns).alias("_row")))
+    # of a date, right rows come first and the least of them last
+    order = Window.partitionBy(*keys).orderBy(F.col(at), F.col("_row").isNotNull(), F.desc("_tie")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_met", F.last("_met", ignorenulls=True).over(order)).where("_row is not null")
+    return found.select("_row.*", F.col("_met.tie").alias(f"matched_{tie}"), *(F.col(f"_met.{c}").alias(f"matched_{c}") for c in carry))
 
 
 def trailing(value: Column, keys: list[str], order: str, size: int) -> Column:

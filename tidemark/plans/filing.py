@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT
 from tidemark.functions.columns import next_weekday
 from tidemark.operators import bitemporal as ops
+from tidemark.operators import ranks
 from tidemark.plans import tables as t
 from tidemark.plans.registry import query
 from tidemark.plans.marts import COMPANY, FILING, company
 from tidemark.plans.marts import filing as filings
+from tidemark.sources.store import stored
 
 
 _PERIODIC = "form_type in ('10-K', '10-Q', '10-K/A', '10-Q/A') and filer_status is not null and filing_lag_days between 0 and 1095"
@@ -26,6 +28,7 @@ def reporting(spark, sf) -> DataFrame:
     return filings(spark, sf).where(_PERIODIC).withColumn("base_form", F.replace("form_type", F.lit("/A"), F.lit("")))
 
 
+@stored
 def matched(spark, sf) -> DataFrame:
     """Each amendment beside the last original of its company, form and period filed on or before it."""
     rows = reporting(spark, sf)
@@ -47,15 +50,18 @@ def jn07_latest_original(spark, sf):
     from l left join g using (form_type, filer_status) left join o using (form_type, filer_status)""")
 def m24_lag_by_form(spark, sf):
     """Lags by form and status; how long originals stood before their amendments; and how often originals are amended."""
-    rows, keys, lag, gap = reporting(spark, sf), ["form_type", "filer_status"], F.col("filing_lag_days"), F.col("gap_days")
-    at = lambda c, q: F.round(F.percentile(c, q), 4)
-    lags = rows.groupBy(*keys).agg(F.first("filer_status_name").alias("filer_status_name"), F.count("*").alias("filings"), F.round(F.avg(lag), 4).alias("mean_lag_days"), at(lag, 0.5).alias("median_lag_days"), at(lag, 0.9).alias("p90_lag_days"), F.min(lag).alias("min_lag_days"), F.max(lag).alias("max_lag_days"))
+    keys, lag, gap, original = ["form_type", "filer_status"], F.col("filing_lag_days"), F.col("gap_days"), ~F.col("is_amendment")
+    at = lambda c, q: F.round(F.percentile(c, q), 4)  # noqa: E731  of whole days, so few values
     pairs = matched(spark, sf)
-    gaps = pairs.groupBy(*keys).agg(F.count("*").alias("n_amendments"), F.count("matched_adsh").alias("n_matched_to_original"), at(gap, 0.5).alias("median_days_original_to_amendment"), at(gap, 0.9).alias("p90_days_original_to_amendment"), F.min(gap).alias("min_days_original_to_amendment"), F.max(gap).alias("max_days_original_to_amendment"))
     seen = pairs.where("matched_adsh is not null").select(F.col("matched_adsh").alias("adsh"), F.lit(1).alias("seen")).distinct()
-    originals = rows.where("not is_amendment").join(seen, "adsh", "left").groupBy(*keys).agg(F.count("*").alias("n_originals"), F.count_if("was_later_amended").alias("n_flagged_later_amended"), F.count("seen").alias("n_observed_amended"))
+    some = lambda c: F.when(F.count_if(original) > 0, c)  # noqa: E731  forms without originals have no such counts
+    lags = reporting(spark, sf).join(seen, "adsh", "left").groupBy(*keys).agg(
+        F.first("filer_status_name").alias("filer_status_name"), F.count("*").alias("filings"), F.round(F.avg(lag), 4).alias("mean_lag_days"), at(lag, 0.5).alias("median_lag_days"), at(lag, 0.9).alias("p90_lag_days"), F.min(lag).alias("min_lag_days"), F.max(lag).alias("max_lag_days"),
+        F.nullif(F.count_if(original), F.lit(0)).alias("n_originals"), some(F.count_if(original & F.col("was_later_amended"))).alias("n_flagged_later_amended"), some(F.count(F.when(original, F.col("seen")))).alias("n_observed_amended"),
+    )
+    gaps = pairs.groupBy(*keys).agg(F.count("*").alias("n_amendments"), F.count("matched_adsh").alias("n_matched_to_original"), at(gap, 0.5).alias("median_days_original_to_amendment"), at(gap, 0.9).alias("p90_days_original_to_amendment"), F.min(gap).alias("min_days_original_to_amendment"), F.max(gap).alias("max_days_original_to_amendment"))
     share = lambda c: F.round(F.lit(100.0) * F.col(c) / F.col("n_originals"), 4)
-    return lags.join(gaps, keys, "left").join(originals, keys, "left").withColumns({"base_form_type": F.replace("form_type", F.lit("/A"), F.lit("")), "is_amendment_form": F.endswith("form_type", F.lit("/A")), "pct_flagged_later_amended": share("n_flagged_later_amended"), "pct_observed_amended": share("n_observed_amended")})
+    return lags.join(gaps, keys, "left").withColumns({"base_form_type": F.replace("form_type", F.lit("/A"), F.lit("")), "is_amendment_form": F.endswith("form_type", F.lit("/A")), "pct_flagged_later_amended": share("n_flagged_later_amended"), "pct_observed_amended": share("n_observed_amended")})
 
 
 @query(f"""with {t.SUB}, q as (select form_type, filer_status, date_trunc('quarter', filed_date)::date as filed_quarter, count(*) as filings, avg(filing_lag_days) as mean, quantile_cont(filing_lag_days, 0.5) as median, quantile_cont(filing_lag_days, 0.9) as p90
@@ -126,9 +132,9 @@ def m26_deadline_filers(spark, sf):
     )
     names = company(spark, sf).where("is_current").select("cik", "company_name", "sic_code")
     per = per.join(runs, "cik", "left").join(names, "cik", "left").withColumns({"is_rankable": F.col("n_filings") >= DEFAULT.rank_floor, "rate": F.col("n_deadline_filings") / F.col("n_filings"), "longest_run_filings": F.coalesce("best.run_length", F.lit(0)), "n_deadline_runs": F.coalesce("n_runs", F.lit(0))})
-    # ranked companies alone, so that others take no place; a row for each company
-    ranks = Window.partitionBy("is_rankable").orderBy("median", F.desc("rate"), "cik")
-    decile = F.when(F.col("is_rankable"), F.ntile(DEFAULT.buckets).over(ranks))
+    # ranked companies alone, so that others take no place
+    per = ranks.tiles(per, ["is_rankable"], DEFAULT.buckets, "decile", F.col("median"), F.desc("rate"), F.col("cik"))
+    decile = F.when(F.col("is_rankable"), F.col("decile"))
     n = F.col("n_deadline_filings")
     pattern = F.when(n == 0, "never_at_deadline").when(n == 1, "isolated").when(F.col("longest_run_filings") >= DEFAULT.run_length, "habitual").when(F.col("n_deadline_runs") >= 3, "episodic").otherwise("intermittent")
     return per.select(

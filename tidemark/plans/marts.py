@@ -10,7 +10,8 @@ from tidemark.functions.columns import date_key, surrogate_key
 from tidemark.operators import bitemporal as ops
 from tidemark.plans import tables as t
 from tidemark.plans.registry import query
-from tidemark.sources.store import folder, stored, written
+from tidemark.sources import keyed
+from tidemark.sources.store import folder, stored
 
 _KEY = ", ".join(FACT_KEY)
 _TRACKED = ["company_name", "sic_code", "fiscal_year_end_mmdd", "business_state"]
@@ -138,38 +139,30 @@ def m05_fact(spark, sf):
     return fact_table(spark, sf)
 
 
-def write_facts(facts: DataFrame, path: str) -> None:
-    """Write facts by the month of their filing; months that they don't have stay as they are."""
-    rows = facts.withColumn("filed_month", F.date_format("filed_date", "yyyy-MM")).repartition("filed_month")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("filed_month").parquet(path)
-
-
 def update_facts(spark, sf: str, path: str) -> None:
     """Bring a written fact table up to date: facts filed since its own last date, less the look-back, replace their keys.
 
-    Only the months of that window are read and written again; rows whose keys the source no longer has stay.
+    Only the months of that window, and those that a replaced key lay in before, are read and written again; rows whose
+    keys the source no longer has stay.
     """
-    target = spark.read.parquet(path)
-    last = target.agg(F.max("filed_date")).first()[0]
+    months = [m for m in keyed.current(spark, path).months if m != keyed.UNDATED]
+    last = keyed.read(spark, path, since=max(months)).agg(F.max("filed_date")).first()[0] if months else None
     since = None if last is None else str(spark.sql(f"select date_sub(date '{last}', {DEFAULT.look_back_days})").first()[0])
-    merge_facts(written(fact_table(spark, sf, since=since), "fact-batch"), path)
+    merge_facts(fact_table(spark, sf, since=since), path)
 
 
-def merge_facts(batch: DataFrame, path: str) -> None:
-    """Replace the facts of the batch's keys in a written fact table, in the batch's months alone. `batch` is read several times."""
-    target = batch.sparkSession.read.parquet(path)
-    months = F.broadcast(batch.select(F.date_format("filed_date", "yyyy-MM").alias("filed_month")).distinct())  # months of one window
-    kept = target.join(months, "filed_month", "left_semi").drop("filed_month")
-    write_facts(written(ops.delete_insert(kept, batch, "fact_sk"), "fact-months"), path)
+def merge_facts(batch: DataFrame, path: str, stream: str | None = None, number: int | None = None) -> bool:
+    """Replace the facts of the batch's keys in a written fact table, whatever month they were filed in; the first batch makes it."""
+    return keyed.merge(batch, path, "fact_sk", "filed_date", stream, number)
 
 
 @query(f"with {t.FACT}, {COMPANY}, {t.TAG} {FACT_TABLE}")
 def snk03_incremental_fact(spark, sf):
     """The fact table written up to a date, then brought up to date: as good as a full build."""
     path = f"{folder(spark)}/fact-{spark.sql('select uuid()').first()[0]}"
-    write_facts(fact_table(spark, sf, until="1998-06-30"), path)
+    merge_facts(fact_table(spark, sf, until="1998-06-30"), path)
     update_facts(spark, sf, path)
-    return spark.read.parquet(path).drop("filed_month")
+    return keyed.read(spark, path)
 
 
 def _changes(spark, sf, share: str = DEFAULT.material, key: list[str] = FACT_KEY) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT, FACT_KEY
 from tidemark.functions.columns import major_group
 from tidemark.operators import bitemporal as ops
+from tidemark.operators import ranks
 from tidemark.plans import tables as t
 from tidemark.plans.registry import query
 from tidemark.plans.marts import _KEY, COMPANY, FILING, REPORTS, RESTATED, changes, company, filing, restatements
@@ -70,14 +71,14 @@ def sectors(spark, sf) -> DataFrame:
     from sets a left join filings b on b.level = a.level and b.sic_division is not distinct from a.sic_division and b.sic_major_group is not distinct from a.sic_major_group where restatements > 0""")
 def m17_by_sector(spark, sf):
     """Restatement rates by sector, as it was when each fact was first published; sectors, divisions and the total."""
-    keys = [F.col("sic_division"), F.col("sic_major_group")]
+    keys = ["sic_division", "sic_major_group"]
     sets = [keys, keys[:1], []]
-    level = (F.grouping("sic_division").cast("long") * 2 + F.grouping("sic_major_group")).alias("level")
     at = ops.valid_at(changes(spark, sf), sectors(spark, sf), "cik", "first_filed_date", "left")
     hit = F.col("is_revised")
-    facts = at.groupingSets(sets, *keys).agg(level, F.count_if(hit).alias("restatements"), F.count("*").alias("revisable_groups"), F.count_distinct(F.when(hit, F.col("cik"))).alias("restating_companies"), F.count_if(hit & (F.col("revision_direction") == "decrease")).alias("down"), F.percentile(F.when(hit, F.abs("pct_revision")), 0.5).alias("median"))
+    measures = {"restatements": F.count_if(hit), "revisable_groups": F.count("*"), "restating_companies": F.count_distinct(F.when(hit, F.col("cik"))), "down": F.count_if(hit & (F.col("revision_direction") == "decrease"))}
+    facts = ranks.grouped(at, sets, measures, {"median": (F.when(hit, F.abs("pct_revision")), 0.5)}, restatements(spark, sf))
     filings = ops.valid_at(t.submissions(spark, sf).select("cik", "filed_date"), sectors(spark, sf), "cik", "filed_date", "left")
-    filings = filings.groupingSets(sets, *keys).agg(level, F.count("*").alias("filings"), F.count_distinct("cik").alias("companies"))
+    filings = filings.groupingSets([[F.col(k) for k in own] for own in sets], *keys).agg(F.grouping_id().alias("level"), F.count("*").alias("filings"), F.count_distinct("cik").alias("companies"))
     f, g = facts.where("restatements > 0").alias("f"), filings.alias("g")
     same = (F.col("f.level") == F.col("g.level")) & F.col("f.sic_division").eqNullSafe(F.col("g.sic_division")) & F.col("f.sic_major_group").eqNullSafe(F.col("g.sic_major_group"))
     return f.join(g, same, "left").select(
@@ -110,20 +111,19 @@ def m18_by_statement(spark, sf):
     modal = counted.groupBy("tag").agg(F.min_by("statement_code", F.struct((-F.col("n")).alias("n"), "statement_code")).alias("statement_code"), F.count("*").alias("placements"))
     custom = t.tags(spark, sf).groupBy("tag").agg(F.bool_or("is_custom").alias("is_custom"))
     rows = changes(spark, sf).join(modal, "tag", "left").join(custom, "tag", "left").withColumn("statement_code", F.coalesce("statement_code", F.lit("NP")))
-    keys, hit = [F.col("statement_code"), F.col("tag")], F.col("is_revised")
+    keys, hit = ["statement_code", "tag"], F.col("is_revised")
     # within a set that rolls tags up, count_distinct(tag) must see the tag itself
     rows = rows.withColumn("own_tag", F.col("tag"))
-    totals = rows.groupingSets([keys, keys[:1], []], *keys).agg(
-        (F.grouping("statement_code").cast("long") * 2 + F.grouping("tag")).alias("level"),
-        F.count("*").alias("revisable_groups"),
-        F.count_if(hit).alias("restatements"),
-        F.count_distinct(F.when(hit, F.col("cik"))).alias("restating_companies"),
-        F.count_distinct("own_tag").alias("distinct_tags"),
-        F.count_if(hit & (F.col("revision_direction") == "decrease")).alias("down"),
-        F.percentile(F.when(hit, F.abs("pct_revision")), 0.5).alias("median"),
-        F.coalesce(F.bool_or("is_custom"), F.lit(False)).alias("includes_custom_tag"),
-        F.coalesce(F.bool_or(F.col("placements") > 1), F.lit(False)).alias("placement_is_ambiguous"),
-    )
+    measures = {
+        "revisable_groups": F.count("*"),
+        "restatements": F.count_if(hit),
+        "restating_companies": F.count_distinct(F.when(hit, F.col("cik"))),
+        "distinct_tags": F.count_distinct("own_tag"),
+        "down": F.count_if(hit & (F.col("revision_direction") == "decrease")),
+        "includes_custom_tag": F.coalesce(F.bool_or("is_custom"), F.lit(False)),
+        "placement_is_ambiguous": F.coalesce(F.bool_or(F.col("placements") > 1), F.lit(False)),
+    }
+    totals = ranks.grouped(rows, [keys, keys[:1], []], measures, {"median": (F.when(hit, F.abs("pct_revision")), 0.5)}, restatements(spark, sf))
     detail, rest = totals.where("level = 0"), totals.where("level > 0").withColumn("rank", F.lit(None).cast("int"))
     detail = detail.withColumn("rank", F.row_number().over(Window.partitionBy("statement_code").orderBy(F.desc("restatements"), "tag"))).where(F.col("rank") <= DEFAULT.top_tags)
     name = t.case(F.col("statement_code"), {**t.STATEMENTS, "NP": "Not presented"}, F.lit("All statements"))
@@ -151,7 +151,7 @@ def sizes(spark, sf) -> DataFrame:
     """Assets of each company's latest period, as first published, and their decile. One row for each company."""
     whole = t.facts(spark, sf).where((F.col("tag") == t.ASSETS) & (F.col("segments") == "") & (F.col("coregistrant") == "") & (F.col("unit_of_measure") == "USD") & (F.col("value") > 0))
     latest = ops.pick_one(whole, ["cik"], F.desc("period_end_date"), F.asc("filed_date"), F.desc("adsh"), F.desc("value")).select("cik", F.col("value").alias("assets"))
-    return latest.withColumn("assets_decile", F.ntile(DEFAULT.buckets).over(Window.partitionBy(F.lit(1)).orderBy("assets", "cik")))
+    return ranks.tiles(latest, [], DEFAULT.buckets, "assets_decile", F.col("assets"), F.col("cik"))
 
 
 @query(f"""with {t.FACT}, {COMPANY}, {FILING}, {CHANGE}, {_SIZE},
@@ -182,12 +182,13 @@ def m19_by_filer_size(spark, sf):
     banded = at.select("cik", "is_revised", "pct_revision", "is_segment", "financial", "has_version", F.inline(F.array(by_status, by_assets)))
     hit = F.col("is_revised")
     parts = {n: F.col("has_version") & F.expr(c) for n, c in _PARTS.items()}
-    per = banded.groupBy("size_basis", "size_band").agg(
-        F.min("size_band_label").alias("size_band_label"), F.min("band_sort").alias("band_sort"), F.min("decile").alias("decile"), F.count_distinct("cik").alias("companies"), F.count_distinct(F.when(hit, F.col("cik"))).alias("restating_companies"),
-        F.count("*").alias("revisable_groups"), F.count_if(hit).alias("restatements"), F.percentile(F.when(hit, F.abs("pct_revision")), 0.5).alias("median"),
-        *(c for n, p in parts.items() for c in (F.count_if(p).alias(f"revisable_groups_{n}"), F.count_if(p & hit).alias(f"restatements_{n}"))),
-    )
-    bounds = size.groupBy(F.col("assets_decile").alias("decile")).agg(F.round(F.min("assets").cast("double"), 2).alias("min_total_assets"), F.round(F.percentile(F.col("assets").cast("double"), 0.5), 2).alias("median_total_assets"))
+    measures = {
+        "size_band_label": F.min("size_band_label"), "band_sort": F.min("band_sort"), "decile": F.min("decile"), "companies": F.count_distinct("cik"), "restating_companies": F.count_distinct(F.when(hit, F.col("cik"))),
+        "revisable_groups": F.count("*"), "restatements": F.count_if(hit), **{f"revisable_groups_{n}": F.count_if(p) for n, p in parts.items()}, **{f"restatements_{n}": F.count_if(p & hit) for n, p in parts.items()},
+    }
+    per = ranks.grouped(banded, [["size_basis", "size_band"]], measures, {"median": (F.when(hit, F.abs("pct_revision")), 0.5)}, restatements(spark, sf))
+    bounds = ranks.grouped(size, [["assets_decile"]], {"least": F.min("assets")}, {"middle": (F.col("assets").cast("double"), 0.5)}, size)
+    bounds = bounds.select(F.col("assets_decile").alias("decile"), F.round(F.col("least").cast("double"), 2).alias("min_total_assets"), F.round("middle", 2).alias("median_total_assets"))
     return per.join(bounds, "decile", "left").select(
         "size_basis", "size_band", "size_band_label", "band_sort", "min_total_assets", "median_total_assets", "companies", "restating_companies", pct("restating_companies", "companies").alias("pct_companies_restating"), "revisable_groups", "restatements",
         pct("restatements", "revisable_groups").alias("pct_of_revisable_restated"), F.round("median", 4).alias("median_abs_pct_revision"),
@@ -220,8 +221,9 @@ def m20_magnitude_distribution(spark, sf):
     scales = F.when(some, F.array(F.struct(F.lit("linear_5pt").alias("bucket_scale"), linear.alias("bucket_index")), F.struct(F.lit("log10_decade").alias("bucket_scale"), decade.alias("bucket_index")))).otherwise(F.array(F.struct(F.lit("no_denominator").alias("bucket_scale"), F.lit(1).alias("bucket_index"))))
     scale, direction, index = F.col("bucket_scale"), F.col("revision_direction"), F.col("bucket_index")
     counts = rows.select("revision_direction", F.inline(scales)).groupingSets([[scale, direction, index], [scale, index]], scale, direction, index).agg(F.count("*").alias("restatements")).withColumn("revision_direction", F.coalesce(direction, F.lit("all")))
-    spread = {f"p{q}_abs_pct_revision": F.round(F.percentile(F.abs("pct_revision"), q / 100), 4) for q in (50, 75, 90, 99)} | {"median_signed_pct_revision": F.round(F.percentile("pct_revision", 0.5), 4)}
-    percentiles = rows.where("pct_revision is not null").groupingSets([[direction], []], direction).agg(*(c.alias(n) for n, c in spread.items())).withColumn("revision_direction", F.coalesce(direction, F.lit("all")))
+    spread = {f"p{q}_abs_pct_revision": (F.abs("pct_revision"), q / 100) for q in (50, 75, 90, 99)} | {"median_signed_pct_revision": (F.col("pct_revision"), 0.5)}
+    some = rows.where("pct_revision is not null")
+    percentiles = ranks.grouped(some, [["revision_direction"], []], {}, spread, some).drop("level").withColumns({"revision_direction": F.coalesce(direction, F.lit("all"))} | {n: F.round(n, 4) for n in spread})
     whole = F.sum("restatements").over(Window.partitionBy("bucket_scale", "revision_direction"))  # a few dozen rows
     five = F.when(index > 20, ">100%").otherwise(F.concat((index - 1) * 5, F.lit("-"), index * 5, F.lit("%")))
     ten = F.when(index > 6, ">=100,000%").otherwise(F.concat(F.lit("10^"), index - 4, F.lit(" to 10^"), index - 3))
@@ -331,9 +333,9 @@ def m23_serial_restaters(spark, sf):
     whole = spans.join(runs, "cik", "left").join(totals, "cik", "left").join(names, "cik", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     whole = whole.withColumns({"total_restatements": zero("total"), "n_restatement_runs": zero("n_runs"), "longest_run_periods": zero("best.run_length"), "rate": F.col("n_restated_periods") / F.col("n_reporting_periods"), "is_rankable": F.col("n_reporting_periods") >= DEFAULT.rank_floor})
-    # ranked companies alone, so that others take no place; a row for each company
-    ranks = Window.partitionBy("is_rankable").orderBy("rate", "total_restatements", "cik")
-    decile = F.when(F.col("is_rankable"), F.ntile(DEFAULT.buckets).over(ranks))
+    # ranked companies alone, so that others take no place
+    whole = ranks.tiles(whole, ["is_rankable"], DEFAULT.buckets, "decile", F.col("rate"), F.col("total_restatements"), F.col("cik"))
+    decile = F.when(F.col("is_rankable"), F.col("decile"))
     n, longest = F.col("n_restated_periods"), F.col("longest_run_periods")
     pattern = F.when(n == 0, "none").when(n == 1, "isolated").when(longest >= DEFAULT.run_length, "sustained_run").when(F.col("n_restatement_runs") >= 3, "scattered").otherwise("intermittent")
     return whole.select(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.plans import marts
-from tidemark.sources.store import written
 
 
 def arriving(spark: SparkSession, like: DataFrame, folder: str, files_a_batch: int = 64) -> DataFrame:
@@ -17,13 +16,13 @@ def arriving(spark: SparkSession, like: DataFrame, folder: str, files_a_batch: i
 def follow(facts: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Keep the fact table at `path` up to date with a stream of facts: each micro-batch replaces its own keys.
 
-    A batch that is run again after a failure replaces the same keys by the same rows, so nothing is counted twice. With
-    `once` all that has arrived is merged and the query ends.
+    The first batch makes the table. The number of a batch is published together with its rows, so a batch that is run
+    again, after a failure or a restart, changes nothing; late facts go to the months they belong to, and a fact whose
+    date has moved leaves its old one. With `once` all that has arrived is merged and the query ends.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            marts.merge_facts(written(batch, "arrived-facts"), path)
+    def merge(batch: DataFrame, number: int) -> None:
+        marts.merge_facts(batch, path, checkpoint, number)
 
     writer = facts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
