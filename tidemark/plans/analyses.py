@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from tidemark.plans.registry import ORACLES, query
 from tidemark.plans.features import SOURCES, base
 from tidemark.plans.filing import MARGINS, margins
 from tidemark.plans.marts import RESTATED, changes, restatements
+from tidemark.sources import keyed
+from tidemark.sources.store import folder
 
 _SHARES = {"n_any": "0", "n_bp": "0.0001", "n_permille": "0.001", "n_percent": "0.01", "n_five_percent": "0.05"}
 BAR = 0.05  # points that a rule's rate may move
@@ -122,6 +126,37 @@ def met02_drift(spark, sf):
     return evaluation.drift(then, _rates(facts), "rule", "pct", BAR)
 
 
+def record(spark, sf, path: str, scorecard: DataFrame | None = None) -> str:
+    """Add the scorecard to the stored history at `path`, under the data's vintage; one of the same vintage is replaced whole.
+
+    Gives the vintage. The history is kept by `sources.keyed`, so a lost run leaves it as it was.
+    """
+    rows = quality.m15_scorecard(spark, sf) if scorecard is None else scorecard
+    last = t.submissions(spark, sf).agg(F.max("filed_date").alias("vintage_date"))
+    rows = rows.crossJoin(F.broadcast(last)).withColumn("vintage", F.col("vintage_date").cast("string"))  # one row
+    keyed.merge(rows, path, "vintage", "vintage_date")
+    return str(last.first()[0])
+
+
+def stored_drift(spark, path: str, current: DataFrame, before: str | None = None) -> DataFrame:
+    """The current rules against a stored snapshot: that of vintage `before`, else the latest one."""
+    history = keyed.read(spark, path)
+    wanted = F.lit(before) if before else F.lit(history.agg(F.max("vintage")).first()[0])
+    return evaluation.drift(history.where(F.col("vintage") == wanted), current, "rule", "pct", BAR)
+
+
+@query(f"""with s as ({ORACLES["m15_scorecard"]}), b as (select case when place = 1 then 'retired_rule' else rule end as rule, case when place = 3 then pct + 1 else pct end as pct from s where place <> 2)
+    select * from (select rule, b.pct as before, s.pct as after, case when s.rule is null then 'REMOVED' when b.rule is null then 'NEW' when abs(s.pct - b.pct) > {BAR} then 'DRIFT' end as status
+        from b full outer join s using (rule)) where status is not null""")
+def met02b_stored_drift(spark, sf):
+    """The scorecard against a stored snapshot in which one rule had another name, one wasn't there and one was a point higher."""
+    now = quality.m15_scorecard(spark, sf)
+    old = now.where("place <> 2").withColumns({"rule": F.when(F.col("place") == 1, "retired_rule").otherwise(F.col("rule")), "pct": F.when(F.col("place") == 3, F.col("pct") + 1).otherwise(F.col("pct"))})
+    path = f"{folder(spark)}/history-{uuid.uuid4().hex}"
+    record(spark, sf, path, old)
+    return stored_drift(spark, path, now)
+
+
 def drifted(found: DataFrame) -> int:
     """Exit status for a comparison: 1 if anything moved, else 0."""
     return 0 if found.isEmpty() else 1

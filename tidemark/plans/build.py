@@ -12,7 +12,7 @@ PUBLISHED = {
     "rst_by_sector": restated.m17_by_sector,
     "rst_by_statement": restated.m18_by_statement,
     "rst_by_filer_size": restated.m19_by_filer_size,
-    "rst_magnitude_distribution": restated.m20_magnitude_distribution,
+    "dq_custom_tag_share": quality.m12_custom_tag_share,
     "dq_scorecard": quality.m15_scorecard,
     "dq_filing_lag_profile": quality.m14_filing_lag_profile,
 }

@@ -97,6 +97,20 @@ def point_in_time(rows: DataFrame, horizon: int = _H) -> DataFrame:
     return out.select(*_FEATURES, "prior_restatement_count", F.round(value, 6).alias("sector_restatement_rate"), "sic_major_group", "sector_prior_resolved_filings", "market_prior_resolved_filings")
 
 
+def point_in_time_by(rows: DataFrame, horizon: str) -> DataFrame:
+    """`point_in_time` for rows of several horizons, named by a column: each horizon counts its own rows by its own days."""
+    keyed = lambda c: F.when(F.col(c).isNotNull(), F.struct(horizon, c))  # noqa: E731  null keys have no history
+    rows = rows.withColumnRenamed("sic_major_group_at_filing", "sic_major_group").withColumns({"company": keyed("cik"), "sector": keyed("sic_major_group"), "market": F.struct(horizon)})
+    seen = rows.where("revision_first_seen_date is not null").select("company", F.col("revision_first_seen_date").alias("filed_date"))
+    resolved = rows.select("sector", "market", F.expr(f"date_add(filed_date, {horizon})").alias("filed_date"), "was_restated")
+    counts = lambda name: {f"{name}_prior_resolved_filings": F.count("*"), f"{name}_hit": F.count_if("was_restated")}
+    out = ops.strictly_prior(rows, seen, "company", "filed_date", {"prior_restatement_count": F.count("*")})
+    for name in ("sector", "market"):
+        out = ops.strictly_prior(out, resolved, name, "filed_date", counts(name))
+    value = F.coalesce(rate("sector_hit", "sector_prior_resolved_filings"), rate("market_hit", "market_prior_resolved_filings"), F.lit(0.0))
+    return out.select(horizon, *_FEATURES, "prior_restatement_count", F.round(value, 6).alias("sector_restatement_rate"), "sic_major_group", "sector_prior_resolved_filings", "market_prior_resolved_filings")
+
+
 @stored
 def pit(spark, sf) -> DataFrame:
     return point_in_time(base(spark, sf))
@@ -142,13 +156,19 @@ def d21_horizon_sweep(spark, sf):
 
 
 @query(f"""with {SOURCES}, {PIT}, q as (select distinct sic_major_group_at_filing as g, filed_date from base where sic_major_group_at_filing is not null),
-    e as (select q.g, q.filed_date, count(base.adsh) as n from q left join base on base.sic_major_group_at_filing = q.g and base.filed_date + {_H} < q.filed_date group by all)
-    select count(*) as n_filings, count(*) filter (where sector_prior_resolved_filings is distinct from coalesce(e.n, 0)) as n_different from pit left join e on e.g = pit.sic_major_group and e.filed_date = pit.filed_date""")
+    e as (select q.g, q.filed_date, count(base.adsh) as n from q left join base on base.sic_major_group_at_filing = q.g and base.filed_date + {_H} < q.filed_date group by all),
+    k as (select q.cik, q.filed_date, count(base.adsh) as n from (select distinct cik, filed_date from base) q left join base on base.cik = q.cik and base.revision_first_seen_date < q.filed_date group by all)
+    select count(*) as n_filings, count(*) filter (where sector_prior_resolved_filings is distinct from coalesce(e.n, 0)) as n_different, count(*) filter (where prior_restatement_count is distinct from k.n) as n_different_prior
+    from pit left join e on e.g = pit.sic_major_group and e.filed_date = pit.filed_date left join k on k.cik = pit.cik and k.filed_date = pit.filed_date""")
 def t08_pit_recomputed(spark, sf):
-    """The features against a plain recomputation: each sector's resolved reports counted by a range join."""
+    """The features against a plain recomputation: each sector's resolved reports, and each company's revised ones, counted by range joins."""
     rows = base(spark, sf)
     points = rows.where("sic_major_group_at_filing is not null").select(F.col("sic_major_group_at_filing").alias("sic_major_group"), "filed_date").distinct()
     past = rows.select(F.col("sic_major_group_at_filing").alias("g"), F.date_add("filed_date", _H).alias("known"), "adsh")
     expected = points.join(past, (F.col("g") == F.col("sic_major_group")) & (F.col("known") < F.col("filed_date")), "left").groupBy("sic_major_group", "filed_date").agg(F.count("adsh").alias("n"))
-    both = pit(spark, sf).join(expected, ["sic_major_group", "filed_date"], "left")
-    return both.agg(F.count("*").alias("n_filings"), F.count_if(~F.col("sector_prior_resolved_filings").eqNullSafe(F.coalesce("n", F.lit(0)))).alias("n_different"))
+    seen = rows.select(F.col("cik").alias("c"), "revision_first_seen_date", "adsh")
+    before = rows.select("cik", "filed_date").distinct().join(seen, (F.col("c") == F.col("cik")) & (F.col("revision_first_seen_date") < F.col("filed_date")), "left")
+    before = before.groupBy("cik", "filed_date").agg(F.count("adsh").alias("n_before"))
+    both = pit(spark, sf).join(expected, ["sic_major_group", "filed_date"], "left").join(before, ["cik", "filed_date"], "left")
+    different = lambda c, n: F.count_if(~F.col(c).eqNullSafe(n))
+    return both.agg(F.count("*").alias("n_filings"), different("sector_prior_resolved_filings", F.coalesce("n", F.lit(0))).alias("n_different"), different("prior_restatement_count", F.col("n_before")).alias("n_different_prior"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluation, learning
+from tidemark.operators import evaluation, learning, newton
 from tidemark.plans import features
 from tidemark.plans.registry import ORACLES, query
 from tidemark.plans.features import NAIVE, PIT, SOURCES
+from tidemark.sources.store import written
 
 _SPLIT = "1997-01-01"
 _FEATURES = ["filing_lag_days", "is_large_accelerated_filer", "is_accelerated_filer", "is_non_accelerated_filer", "custom_tag_share", "prior_restatement_count", "sector_restatement_rate"]
@@ -54,6 +55,60 @@ def ml05_regime_rows(spark, sf):
     return rows.groupBy("regime", "knowledge", test.alias("is_test")).agg(F.count("*").alias("n"), F.count_if("was_restated").alias("n_restated"), *(F.round(F.avg(F.col(f).cast("double")), 6).alias(f"mean_{f}") for f in _FEATURES))
 
 
+def _melted(spark, sf) -> DataFrame:
+    one = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("score")) for f in _FEATURES]
+    return _past(spark, sf).select("was_restated", F.inline(F.array(*one)))
+
+
+@query(f"""with p as ({ORACLES["m28_feature_pit"]}), u as ({" union all ".join(f"select '{f}' as feature, {f}::double as score, was_restated from p" for f in _FEATURES)}),
+    s as (select feature, score, count(*) filter (where was_restated) as pos, count(*) filter (where not was_restated) as neg from u where score is not null group by 1, 2),
+    w as (select feature, pos, neg, coalesce(sum(neg) over (partition by feature order by score rows between unbounded preceding and 1 preceding), 0) as below from s),
+    a as (select feature, sum(pos)::bigint as n_pos, sum(neg)::bigint as n_neg, sum(pos * (2 * below + neg))::double / nullif(2.0 * sum(pos) * sum(neg), 0)::double as area from w group by 1)
+    select feature, n_pos, n_neg, round(area, 6) as auc, round(greatest(area, 1 - area), 6) as mirrored_auc from a""")
+def ml04b_univariate_aucs(spark, sf):
+    """How well each feature alone ranks filings, all in one pass."""
+    return evaluation.aucs(_melted(spark, sf), ["feature"], "score", "was_restated")
+
+
+def sweep(spark, sf) -> DataFrame:
+    """Reports of every horizon of the sweep with the features that a reader knew under it, all horizons in one pass.
+
+    A horizon is part of the keys of the prior counts: sectors, companies and the market have a history for each.
+    """
+    rows = features.periodic(spark, sf).withColumn("horizon", F.explode(F.array(*map(F.lit, features._HORIZONS))))
+    rows = features.labelled(rows, features.last_filed(spark, sf), F.col("horizon"))
+    return features.point_in_time_by(rows, "horizon")
+
+
+_TRAINED = f"filed_date < date '{_SPLIT}'"
+_PASTS = " union all ".join(f"""select {h} as horizon, b{h}.adsh, was_restated, b{h}.filed_date, (select count(*) from b{h} e where e.cik = b{h}.cik and e.revision_first_seen_date < b{h}.filed_date) as prior_restatement_count,
+    case when sic_major_group_at_filing is null then 0 else (select count(*) from b{h} e where e.sic_major_group_at_filing = b{h}.sic_major_group_at_filing and e.filed_date + {h} < b{h}.filed_date) end as sector_n,
+    case when sic_major_group_at_filing is null then 0 else (select count(*) from b{h} e where e.sic_major_group_at_filing = b{h}.sic_major_group_at_filing and e.was_restated and e.filed_date + {h} < b{h}.filed_date) end as sector_hit,
+    (select count(*) from b{h} e where e.filed_date + {h} < b{h}.filed_date) as market_n, (select count(*) from b{h} e where e.was_restated and e.filed_date + {h} < b{h}.filed_date) as market_hit from b{h}""" for h in features._HORIZONS)
+
+
+@query(f"""with {SOURCES}, {", ".join(f"b{h} as (select *, coalesce(revision_first_seen_date <= filed_date + {h}, false) as was_restated from periodic where filed_date + {h} <= (select max(filed_date) from sub))" for h in features._HORIZONS)},
+    u as ({_PASTS}), v as (select *, round(coalesce(case when sector_n > 0 then sector_hit / sector_n end, case when market_n > 0 then market_hit / market_n end, 0), 6) as rate from u)
+    select horizon, filed_date >= date '{_SPLIT}' as is_test, count(*) as n, count(*) filter (where was_restated) as n_restated, sum(prior_restatement_count)::bigint as prior_restatements, sum(sector_n)::bigint as sector_resolved, sum(market_n)::bigint as market_resolved, round(avg(rate), 6) as mean_rate from v group by 1, 2""")
+def d21b_horizon_features(spark, sf):
+    """The features of the sweep: what was known under each horizon, in training and in test years."""
+    test = (F.col("filed_date") >= F.lit(_SPLIT).cast("date")).alias("is_test")
+    return sweep(spark, sf).groupBy("horizon", test).agg(
+        F.count("*").alias("n"), F.count_if("was_restated").alias("n_restated"), F.sum("prior_restatement_count").alias("prior_restatements"), F.sum("sector_prior_resolved_filings").alias("sector_resolved"), F.sum("market_prior_resolved_filings").alias("market_resolved"), F.round(F.avg("sector_restatement_rate"), 6).alias("mean_rate")
+    )
+
+
+@query()
+def d21c_horizon_models(spark, sf):
+    """Areas under the curve by horizon and regime, in training and test years; all models are fitted together."""
+    rows = sweep(spark, sf).withColumn("regime", F.explode(F.array(F.lit("all"), F.lit("warm")))).withColumn("side", F.when(F.expr(_TRAINED), "train").otherwise("test"))
+    rows = written(rows.where("regime = 'all' or sector_prior_resolved_filings > 0 or side = 'test'").select("horizon", "regime", "side", "was_restated", *_FEATURES), "sweep")
+    groups = ["horizon", "regime"]
+    fits = newton.fit(rows.where("side = 'train'"), groups, _FEATURES, "was_restated")
+    areas = evaluation.aucs(newton.scored(rows, groups, _FEATURES, fits), [*groups, "side"], "score", "was_restated")
+    return areas.groupBy(*groups).pivot("side", ["train", "test"]).agg(F.first("auc")).select(*groups, F.col("train").alias("train_auc"), F.col("test").alias("test_auc"))
+
+
 def _models(spark, sf) -> list[tuple]:
     """(regime, knowledge, model, training rows, test rows) of all four fits; a model is None where a label is missing."""
     past = _past(spark, sf)

@@ -101,3 +101,41 @@ def raw_filings(spark: SparkSession, sf: str) -> DataFrame:
 def m01b_staged_filings(spark, sf):
     """Filings from text: an amendment by the form as filed, so one with a space after it is none."""
     return submissions(raw_filings(spark, sf))
+
+
+def raw_presentation(spark: SparkSession, sf: str) -> DataFrame:
+    """The driver's parts as text lines of statements, some without a statement or a label."""
+    x = table(spark, sf, "part")
+    code = F.element_at(F.array(*map(F.lit, STATEMENTS)), (F.col("p_size") % 8 + 1).cast("int"))
+    text = {
+        "adsh": F.when(F.col("p_partkey") % 101 != 0, (F.col("p_partkey") % 300).cast("string")), "report": F.when(F.col("p_partkey") % 13 != 0, (F.col("p_partkey") % 9).cast("string")).otherwise(""), "line": F.col("p_size").cast("string"), "stmt": F.when(F.col("p_size") % 9 != 0, F.concat(F.lit(" "), F.lower(code))).otherwise(" "),
+        "inpth": F.when(F.col("p_size") % 7 == 0, "1").when(F.col("p_size") % 7 == 1, "0"), "tag": F.format_string("T%d ", F.col("p_partkey") % 5), "version": F.lit(" us-gaap/2001"), "plabel": F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit(" "), "p_name")).otherwise(" "), "source_quarter": F.lit("2001q1"),
+    }
+    return x.select(*(c.alias(n) for n, c in text.items()))
+
+
+@query(f"""with p as (select *, case when p_size % 9 <> 0 then ['BS','IS','CF','EQ','CI','UN','CP','SI'][(p_size % 8 + 1)::int] end as code from part where p_partkey % 101 <> 0)
+    select (p_partkey % 300)::varchar as adsh, case when p_partkey % 13 <> 0 then (p_partkey % 9)::int end as report_number, p_size::int as line_number, code as statement_code, case code {" ".join(f"when '{k}' then '{v}'" for k, v in STATEMENTS.items())} end as statement_name,
+    case p_size % 7 when 0 then true when 1 then false end as is_parenthetical, 'T' || (p_partkey % 5) as tag, 'us-gaap/2001' as taxonomy_version, case when p_partkey % 4 <> 0 then trim(p_name) end as presentation_label, '2001q1' as source_quarter from p""")
+def m03b_staged_presentation(spark, sf):
+    """Lines of statements from text: report and line numbers, codes in capitals, blanks as nulls."""
+    return presentation(raw_presentation(spark, sf))
+
+
+def raw_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """The driver's parts as text definitions of some hundred tags, each defined in several quarters, and more than once in one."""
+    x = table(spark, sf, "part")
+    k = F.col("p_partkey")
+    text = {
+        "tag": F.format_string(" Tag%d", k % 100), "version": F.when(k % 100 < 20, F.format_string("%010d", k % 100)).otherwise("us-gaap/2001 "), "custom": F.when(k % 100 < 20, "1").otherwise("0"), "abstract": F.when(k % 3 == 0, "1").otherwise("0"), "datatype": F.when(k % 3 != 0, " monetary").otherwise(" "),
+        "iord": F.when(k % 2 == 0, "I").otherwise("D"), "crdr": F.when(k % 5 == 0, "C").otherwise(""), "tlabel": F.concat(F.lit(" "), "p_name"), "source_quarter": F.format_string("200%dq%d", F.col("p_size") % 3, F.col("p_size") % 4 + 1),
+    }
+    return x.select(*(c.alias(n) for n, c in text.items()))
+
+
+@query("""with t as (select 'Tag' || (p_partkey % 100) as tag, case when p_partkey % 100 < 20 then lpad((p_partkey % 100)::varchar, 10, '0') else 'us-gaap/2001' end as taxonomy_version, p_partkey % 100 < 20 as is_custom, p_partkey % 3 = 0 as is_abstract,
+    case when p_partkey % 3 <> 0 then 'monetary' end as data_type, case when p_partkey % 2 = 0 then 'I' else 'D' end as instant_or_duration, case when p_partkey % 5 = 0 then 'C' end as natural_balance, trim(p_name) as tag_label, '200' || (p_size % 3) || 'q' || (p_size % 4 + 1) as last_seen_quarter from part)
+    select * from t qualify row_number() over (partition by tag, taxonomy_version order by last_seen_quarter desc, is_custom, is_abstract, data_type nulls last, instant_or_duration nulls last, natural_balance nulls last, tag_label nulls last) = 1""")
+def m04b_staged_tags(spark, sf):
+    """The latest definition of each tag and version, from text that defines them quarter by quarter."""
+    return tags(raw_tags(spark, sf))
