@@ -12,6 +12,7 @@ content lines without those of its containers that have none. A region keeps its
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -44,11 +45,10 @@ class Line(NamedTuple):
     text: str
     tags: int
     linked: int
-    #: Whether it is in an element that never has the article, and the doubtful elements around it.
+    #: Whether it is in an element that never has the article, the innermost mark (doubtful element) and container around it.
     noise: bool
-    marks: tuple[int, ...]
-    #: Numbers of the containers around it, from the page (0) inwards.
-    within: tuple[int, ...]
+    mark: int
+    container: int
     heading: bool
 
     @property
@@ -61,28 +61,51 @@ class Open(NamedTuple):
     no_text: bool = False
     link: bool = False
     noise: bool = False
-    marks: tuple[int, ...] = ()
-    within: tuple[int, ...] = (0,)
+    mark: int = 0
+    container: int = 0
     heading: bool = False
+    #: Places in the list of open elements of the last block, and of the last one that no left-out end can close.
+    block: int = 0
+    stop: int = 0
+
+
+class Container(NamedTuple):
+    """A container with the one around it, the innermost mark around it, and the outermost articles that it is or is in."""
+
+    tag: str
+    parent: int = 0
+    mark: int = 0
+    article: int = 0
+    main: int = 0
+    #: The outermost one of either kind.
+    body: int = 0
+
+
+class Mark(NamedTuple):
+    """A mark with the one around it, whether it is a weak one, and the outermost article or main part around it."""
+
+    parent: int = 0
+    weak: bool = False
+    body: int = 0
 
 
 class Lines(HTMLParser):
-    """Events to lines."""
+    """Events to lines. Containers and marks know what is around them, so an event costs the same at any depth."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[Open] = [Open("")]
+        self.places: dict[str, list[int]] = {}  # of each element among the open ones
         self.lines: list[Line] = []
-        self.containers: list[tuple[str, tuple[int, ...]]] = [("page", ())]  # element, marks around it
-        self.marked = 0
-        self.weak: set[int] = set()
+        self.containers: list[Container] = [Container("page")]
+        self.marks: list[Mark] = [Mark()]
         self.text: list[str] = []
         self.tags = self.linked = 0
 
     def end_line(self) -> None:
         if self.text and (text := " ".join("".join(self.text).split())):
             top = self.open[-1]
-            self.lines.append(Line(text, self.tags, self.linked, top.noise, top.marks, top.within, top.heading))
+            self.lines.append(Line(text, self.tags, self.linked, top.noise, top.mark, top.container, top.heading))
             self.tags = self.linked = 0
         self.text = []
 
@@ -98,28 +121,32 @@ class Lines(HTMLParser):
             self.end_line()
             self._imply(tag)
         top = self.open[-1]
-        mark, marks, within = self._marked(tag, attrs), top.marks, top.within
-        main = any(k == "role" and v == "main" for k, v in attrs)
-        article = any(self.containers[c][0] in ("article", "main") for c in within)
-        if mark in ("strong", "weak") or tag in DOUBTFUL and not (tag == "header" and article):
-            self.marked += 1
-            marks = (*marks, self.marked)
-            if mark != "strong":
-                self.weak.add(self.marked)
+        said, mark, container = self._marked(tag, attrs), top.mark, top.container
+        main, around = any(k == "role" and v == "main" for k, v in attrs), self.containers[top.container]
+        if said in ("strong", "weak") or tag in DOUBTFUL and not (tag == "header" and around.body):
+            self.marks.append(Mark(mark, said != "strong", around.body))
+            mark = len(self.marks) - 1
         if tag in CONTAINER or main:
-            self.containers.append(("main" if main else tag, marks))
-            within = (*within, len(self.containers) - 1)
-        no_text = top.no_text or tag in NO_TEXT or mark == "hidden"
-        self.open.append(Open(tag, no_text, top.link or tag == "a", top.noise or tag in NOISE, marks, within, top.heading or tag in HEADING))
+            kind, own = "main" if main else tag, len(self.containers)
+            first = lambda kinds, before: before or (own if kind in kinds else 0)
+            self.containers.append(Container(kind, container, mark, first(("article",), around.article), first(("main",), around.main), first(("article", "main"), around.body)))
+            container = own
+        no_text, at = top.no_text or tag in NO_TEXT or said == "hidden", len(self.open)
+        block = at if tag in BLOCK else top.block
+        stop = at if tag in BLOCK and tag not in IMPLIED else top.stop
+        self.open.append(Open(tag, no_text, top.link or tag == "a", top.noise or tag in NOISE, mark, container, top.heading or tag in HEADING, block, stop))
+        self.places.setdefault(tag, []).append(at)
+
+    def _close(self, at: int) -> None:
+        """Close the element at a place and all in it."""
+        for gone in reversed(self.open[at:]):
+            self.places[gone.tag].pop()
+        del self.open[at:]
 
     def _imply(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            name = self.open[k].tag
-            if name in IMPLIED and tag in IMPLIED[name]:
-                del self.open[k:]
-                return
-            if name in BLOCK and name not in IMPLIED:
-                return
+        last = max((self.places[name][-1] for name, starts in IMPLIED.items() if tag in starts and self.places.get(name)), default=0)
+        if last > self.open[-1].stop:
+            self._close(last)
 
     @staticmethod
     def _marked(tag: str, attrs: list) -> str:
@@ -141,12 +168,9 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.end_line()
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-            if tag not in BLOCK and self.open[k].tag in BLOCK:
-                return
+        last = self.places.get(tag)
+        if last and (tag in BLOCK or last[-1] > self.open[-1].block):
+            self._close(last[-1])
 
     def handle_data(self, data: str) -> None:
         if not self.open[-1].no_text:
@@ -196,20 +220,34 @@ def void_marks(parser: Lines) -> set[int]:
     Those with most of the page's text, where no article is elsewhere; those around the heaviest article; and inside of
     an article weak ones that have most of its text.
     """
-    under: dict[tuple[int, int], int] = {}  # text by article and mark; article 0 is the whole page, mark 0 all of it
-    weight: dict[int, int] = {}
+    marks, containers = parser.marks, parser.containers
+    under, bodies = [0] * len(marks), [0] * len(marks)  # text, and articles and main parts, under each mark; mark 0 is around all
+    weight: dict[int, int] = {}  # text of the outermost articles and main parts
     for line in parser.lines:
         if not line.noise:
-            outer = next((c for c in line.within if parser.containers[c][0] in ("article", "main")), 0)
-            for article in {0, outer}:
-                for mark in (0, *line.marks):
-                    under[article, mark] = under.get((article, mark), 0) + line.own
-            if outer and parser.containers[outer][1] == line.marks[: len(parser.containers[outer][1])]:
-                weight[outer] = weight.get(outer, 0) + line.own
-    articles = [marks for tag, marks in parser.containers if tag in ("article", "main")]
-    most = {(a, m) for (a, m), own in under.items() if m and 2 * own > under[a, 0]}
-    void = {m for a, m in most if (m in parser.weak if a else all(m in marks for marks in articles))}
-    return void | (set(parser.containers[max(weight, key=lambda c: (weight[c], -c))][1]) if weight else set())
+            under[line.mark] += line.own
+            if body := containers[line.container].body:
+                weight[body] = weight.get(body, 0) + line.own
+    for c in containers:
+        bodies[c.mark] += c.tag in ("article", "main")
+    around = {containers[body].mark for body, own in weight.items() if own}
+    for m in range(len(marks) - 1, 0, -1):
+        under[marks[m].parent] += under[m]
+        bodies[marks[m].parent] += bodies[m]
+        if m in around:
+            around.add(marks[m].parent)
+    void = set()
+    for m in range(1, len(marks)):
+        most = 2 * under[m] > under[0] and bodies[m] == bodies[0]
+        weak = marks[m].weak and (m in around or marks[m].body and 2 * under[m] > weight.get(marks[m].body, 0))
+        if most or weak:
+            void.add(m)
+    if weight:
+        m = containers[max(weight, key=lambda c: (weight[c], -c))].mark
+        while m:
+            void.add(m)
+            m = marks[m].parent
+    return void
 
 
 def main_text(html: str | None) -> str:
@@ -217,7 +255,10 @@ def main_text(html: str | None) -> str:
     parser = Lines()
     lines = parser.finish(html or "")
     void = void_marks(parser)
-    clear = [not line.noise and void.issuperset(line.marks) for line in lines]
+    passes = [True]  # of each mark, whether it and all around it don't count
+    for m, mark in enumerate(parser.marks[1:], 1):
+        passes.append(m in void and passes[mark.parent])
+    clear = [not line.noise and passes[line.mark] for line in lines]
     if not any(clear):
         return ""
     ratios, at = np.zeros(len(lines)), np.flatnonzero(clear)
@@ -235,7 +276,8 @@ def selected(parser: Lines, lines: list[Line], content: np.ndarray, clear: np.nd
     some = np.flatnonzero(content)
     if not len(some):
         return np.flatnonzero(clear).tolist()
-    outer = [next((c for c in line.within if parser.containers[c][0] == "article"), next((c for c in line.within if parser.containers[c][0] == "main"), 0)) for line in lines]
+    containers = parser.containers
+    outer = [containers[line.container].article or containers[line.container].main for line in lines]
     weight: dict[int, int] = {}
     for k in some.tolist():
         weight[outer[k]] = weight.get(outer[k], 0) + lines[k].own
@@ -246,17 +288,23 @@ def selected(parser: Lines, lines: list[Line], content: np.ndarray, clear: np.nd
             text.setdefault(outer[k], [0, 0])
             text[outer[k]][0] += lines[k].own
             text[outer[k]][1] += lines[k].linked
-        chosen = {c for c in weight if c} | {c for c, (own, linked) in text.items() if c and parser.containers[c][0] == "article" and own > linked}
+        chosen = {c for c in weight if c} | {c for c, (own, linked) in text.items() if c and containers[c].tag == "article" and own > linked}
         return [k for k in range(len(lines)) if (outer[k] in chosen if clear[k] else content[k])]
     # the smallest container of all content lines outside of articles that have few of them
     if outer_share(weight):
         some = some[[outer[k] == 0 or 10 * weight[outer[k]] > sum(weight.values()) for k in some.tolist()]]
-    paths = [lines[k].within for k in some.tolist()]
-    depth = 0
-    while all(len(p) > depth for p in paths) and len({p[depth] for p in paths}) == 1:
-        depth += 1
-    root, holds = paths[0][depth - 1], {p[depth] for p in paths if len(p) > depth}
-    inside = [k for k, line in enumerate(lines) if len(line.within) >= depth and line.within[depth - 1] == root and (len(line.within) == depth or line.within[depth] in holds) and (clear[k] or content[k])]
+    # containers are numbered in the order of their starts, so those inside of one follow it up to its last
+    last = list(range(len(containers)))
+    for c in range(len(containers) - 1, 0, -1):
+        last[containers[c].parent] = max(last[containers[c].parent], last[c])
+    held = [lines[k].container for k in some.tolist()]
+    root, most = min(held), max(held)
+    while last[root] < most:
+        root = containers[root].parent
+    parts = [c for c in range(root + 1, last[root] + 1) if containers[c].parent == root]
+    part = lambda c: bisect_right(parts, c)  # noqa: E731  the root's part that a container is in, 0 for the root itself
+    holds = {part(c) for c in held}
+    inside = [k for k, line in enumerate(lines) if root <= line.container <= last[root] and (line.container == root or part(line.container) in holds) and (clear[k] or content[k])]
     # headings right above it
     first = inside[0]
     while first and clear[first - 1] and lines[first - 1].heading and 2 * lines[first - 1].linked <= len(lines[first - 1].text):
