@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE_FOR_IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+HIDDEN = re.compile(r"<!--.*?(?P<end>-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?P<close></\2\s*>|\Z)", re.S | re.I)
 BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I)
 TAG = re.compile(r"<(?:[!?/]|[a-zA-Z])[^>]*>?")
 COLUMNS = "record_id string, type string, refers_to string, target_uri string, date string, content_type string, block_digest string, source_digest string, content_length long, header string, block binary"
@@ -30,9 +30,33 @@ def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
+def visible(page: str) -> str:
+    """The page without comments, scripts and the like. One that isn't closed hides the rest.
+
+    Behind the last `>` nothing closes, and no element starts: patterns aren't tried there, where each try would read on to
+    the end of the page.
+    """
+    at = page.rfind(">") + 1
+    left_open = False
+
+    def gone(found: re.Match) -> str:
+        nonlocal left_open
+        left_open = not (found["end"] or found["close"])
+        return ""
+
+    shown = HIDDEN.sub(gone, page[:at])
+    return shown if left_open else shown + page[at:].partition("<!--")[0]
+
+
+def breaks(page: str) -> str:
+    """Tags of blocks as line feeds; all of them end before the last `>`."""
+    at = page.rfind(">") + 1
+    return BREAK.sub("\n", page[:at]) + page[at:]
+
+
 def plain_text(page: str) -> str:
     """All visible text: one line per block, runs of white space as one space."""
-    bare = TAG.sub("", BREAK.sub("\n", HIDDEN.sub("", page).replace("\n", " ")))
+    bare = TAG.sub("", breaks(visible(page).replace("\n", " ")))
     return "\n".join(line for x in html.unescape(bare).split("\n") if (line := " ".join(x.split())))
 
 
