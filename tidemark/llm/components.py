@@ -28,7 +28,10 @@ def _star(edges: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """`links` has columns u and v; gives node and component (the least node that links reach), for linked nodes."""
+    """`links` has columns u and v; gives node and component (the least node that links reach), for linked nodes.
+
+    The result is read from a written table, which `discard` deletes.
+    """
     edges = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     was = None
     while True:
@@ -41,4 +44,6 @@ def components(links: DataFrame) -> DataFrame:
         shorter = materialize(both, "links")
         discard(edges, first, second)
         edges = shorter
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select("v", "v").distinct().toDF("node", "component"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select("v", "v").distinct().toDF("node", "component"))
+    out.folder = edges.folder
+    return out

@@ -187,12 +187,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "packed_u", "packed_v").mapInArrow(run, "u long, v long")
 
 
-def _candidates(mixed: DataFrame, points: DataFrame) -> DataFrame:
+def _candidates(mixed: DataFrame, points: DataFrame, chunks_of: DataFrame) -> DataFrame:
     """Pairs (u, v) of different components that the bound lets through inside the blocks of `mixed` (pivot, id, component).
 
-    Each chunk's R-tree is asked for the partners of its own and of later chunks' members.
+    Each chunk's R-tree is asked for the partners of its own and of later chunks' members; `chunks_of` has each block's
+    number of chunks.
     """
-    chunks_of = materialize(mixed.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "chunks")
     rows = mixed.join(chunks_of, "pivot").join(points, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")))).withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
     rows = rows.select("pivot", "low", "high", "chunk", "id", "component", "n", "point").repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
@@ -275,11 +275,15 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     labelled = entries.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = materialize(labelled.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("pivot"), "mixed")
     mixed = materialize(labelled.join(several, "pivot").select("pivot", "id", "component"), "mixed")
-    others = materialize(_candidates(mixed, points), "pairs")
+    chunks_of = materialize(mixed.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "chunks")
+    discard(pairs, entries, several, label)
+    others = materialize(_candidates(mixed, points, chunks_of), "pairs")
+    discard(mixed, chunks_of, points)
     more = materialize(_verified(others, texts), "links")
-    discard(pairs, others, texts, entries, several, mixed, points)
+    discard(others, texts)
 
     final = components(links.unionByName(more))
+    discard(links, more)
     named = sets_of.join(final.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     some = members.where("key is not null").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = nameless.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
