@@ -123,6 +123,36 @@ def test_near_threshold_is_exact(spark):
     assert got == brute.near(rows) == {1: (15, 1), 2: (20, 1), 3: (21, 3)}
 
 
+def test_mixed_blocks_by_size(spark, monkeypatch):
+    """Chunks of a block follow the sizes, stay small, and lose no pair that the bound lets through."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base, rows, members = rng.integers(0, 2**63, 400).astype(np.uint64), [], []
+    for i in range(150):
+        s = np.unique(rng.choice(base, int(rng.choice([30, 40, 40, 55, 90, 160, 300])), replace=False))
+        rows.append((i, len(s), bytearray(ngram_join.point(s).tobytes())))
+        members += [(p, i, i % 5) for p in (0, 1) if p == 0 or rng.random() < 0.3]
+    points = spark.createDataFrame(rows, "id long, n long, point binary")
+    mixed = spark.createDataFrame(members, "pivot long, id long, component long")
+    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+    strata = ngram_join._strata(mixed, points).cache()
+    for r in strata.collect():
+        assert r["from"] <= r["first"] <= r["last"] <= r["to"]
+    dealt = ngram_join._candidates(mixed, points, strata)
+    size, raw = {r[0]: r[1] for r in rows}, {r[0]: bytes(r[2]) for r in rows}
+    want = set()
+    for p in (0, 1):
+        own = [(i, c) for q, i, c in members if q == p]
+        for v, c in own:
+            for u, d in own:
+                if u > v and c != d and ngram_join.fits(np.array([size[u]]), np.array([size[v]]), [raw[u]], [raw[v]])[0]:
+                    want.add((u, v))
+    assert {(r.u, r.v) for r in dealt.collect()} == want and want
+    reach = {r["n"]: (r["from"], r["to"]) for r in strata.where("pivot = 0").collect()}
+    assert reach[30][1] < reach[300][0]  # far sizes never meet
+
+
 def test_tree_finds_all_pairs():
     import numpy as np
 

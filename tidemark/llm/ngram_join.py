@@ -7,18 +7,20 @@ rarest first by counts over all documents, deal documents into blocks (one per s
 Shingles are hashed into groups, and the counts of the groups are a point: two sets share at most the sum of their
 coordinates' minima. Every pair is bounded so before it is verified on whole sets. Members of a block are first
 held against the block's smallest document; the links found make components. Blocks that still hold several
-components index their points in an R-tree and look each member up, in chunks of bounded size; pairs of one
-component are skipped, since they can't change the result. No link between different components is lost.
+components index their points in R-trees, cut by size into chunks of bounded size, and look each member up in the
+chunks whose sizes can link with its own; pairs of one component are skipped, since they can't change the result.
+No link between different components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary_texts, chunks, discard, hashes_of, materialize, mix, pack_texts, parts, rolled, unpack
@@ -27,7 +29,7 @@ from .components import components
 SHINGLE, SHARE = 5, 75
 #: Counters of shingles over all documents, to order shingles rarest first. More documents make the order coarser, never wrong.
 COUNTERS = 2**18
-#: Most members of a block that are compared in one go.
+#: Members of a block in one chunk, about.
 CHUNK = 512
 
 
@@ -187,14 +189,30 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "packed_u", "packed_v").mapInArrow(run, "u long, v long")
 
 
-def _candidates(mixed: DataFrame, points: DataFrame, chunks_of: DataFrame) -> DataFrame:
+def _strata(mixed: DataFrame, points: DataFrame) -> DataFrame:
+    """pivot, n, and the chunks of a block's members of that size: first, last, and from, to, those with sizes that can link.
+
+    A block's chunks follow the sizes of its sets, a row for each size of each block; members of one size that fill
+    several chunks are dealt to them by hash, so a chunk has at most about three times CHUNK members.
+    """
+    sizes = mixed.join(points.select("id", "n"), "id").groupBy("pivot", "n").agg(F.count("*").alias("m"))
+    block = Window.partitionBy("pivot")
+    before = F.coalesce(F.sum("m").over(block.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = sizes.withColumn("before", before).select("pivot", "n", F.floor(F.col("before") / CHUNK).alias("first"), F.floor((F.col("before") + F.col("m") - 1) / CHUNK).alias("last"))
+    # whole millionths of a logarithm, and a little more than the ratio, so that rounding takes no size away
+    reach = math.ceil(1e6 * math.log(100 / SHARE)) + 2
+    scale = block.orderBy(F.floor(1e6 * F.ln("n")))
+    return dealt.withColumns({"from": F.min("first").over(scale.rangeBetween(-reach, 0)), "to": F.max("last").over(scale.rangeBetween(0, reach))})
+
+
+def _candidates(mixed: DataFrame, points: DataFrame, strata: DataFrame) -> DataFrame:
     """Pairs (u, v) of different components that the bound lets through inside the blocks of `mixed` (pivot, id, component).
 
-    Each chunk's R-tree is asked for the partners of its own and of later chunks' members; `chunks_of` has each block's
-    number of chunks.
+    A chunk of a block is a piece of its tree's first level, which is ordered by size. Each chunk's R-tree is asked for the
+    partners of its own and of later chunks' members; members go only to chunks with sizes that can link with theirs.
     """
-    rows = mixed.join(chunks_of, "pivot").join(points, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")))).withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
+    rows = mixed.join(points, "id").join(strata, ["pivot", "n"]).withColumn("chunk", F.col("first") + F.pmod(F.xxhash64("id"), F.col("last") - F.col("first") + 1))
+    rows = rows.withColumn("other", F.explode(F.sequence("from", "to"))).withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
     rows = rows.select("pivot", "low", "high", "chunk", "id", "component", "n", "point").repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
 
     def search(part: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -275,10 +293,10 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     labelled = entries.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = materialize(labelled.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("pivot"), "mixed")
     mixed = materialize(labelled.join(several, "pivot").select("pivot", "id", "component"), "mixed")
-    chunks_of = materialize(mixed.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "chunks")
+    strata = materialize(_strata(mixed, points), "strata")
     discard(pairs, entries, several, label)
-    others = materialize(_candidates(mixed, points, chunks_of), "pairs")
-    discard(mixed, chunks_of, points)
+    others = materialize(_candidates(mixed, points, strata), "pairs")
+    discard(mixed, strata, points)
     more = materialize(_verified(others, texts), "links")
     discard(others, texts)
 
