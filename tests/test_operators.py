@@ -110,3 +110,26 @@ def test_delimited(spark, tmp_path):
         delimited.load(spark, str(tmp_path), ["2020q4"], "tag")
     delimited.land(rows, str(tmp_path / "raw"))
     assert spark.read.parquet(str(tmp_path / "raw")).where("source_quarter = '2021q1'").count() == 1
+
+
+def test_coarser_timelines(spark):
+    """Merged timelines are those of the facts, ties and null keys included."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), rng.randint(1, 4), rng.choice([None, 1, 2, 3]), rng.choice("pq")) for _ in range(200)]
+    facts = spark.createDataFrame(rows, "k string, s string, at int, value int, source string")
+    fine = ops.timelines(facts, ["k", "s"], "at", "value", "source")
+    plain = lambda df: sorted(map(str, df.select("k", "line").collect()))
+    assert plain(ops.coarser_timelines(fine, ["k"])) == plain(ops.timelines(facts, ["k"], "at", "value", "source"))
+    empty = ops.coarser_timelines(ops.timelines(facts.limit(0), ["k", "s"], "at", "value", "source"), ["k"])
+    assert empty.count() == 0
+
+
+def test_salted_lookup(spark):
+    """Equal to the plain left join, for frequent, rare, unknown and null keys."""
+    rows = spark.createDataFrame([(i, ["hot", "rare", None, "unknown/1"][min(i % 9, 3)] if i % 2 else "hot/1") for i in range(300)], "id int, key string")
+    words = spark.createDataFrame([("hot/1", 1), ("hot", 2), ("rare", 3), (None, 4), ("never/2", 5)], "key string, entry int")
+    got = ops.salted_lookup(rows, words, ["key"], F.contains("key", F.lit("/")), F.col("id"), 5)
+    assert got.columns == ["key", "id", "entry"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(words, "key", "left").collect()))

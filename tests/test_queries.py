@@ -55,6 +55,17 @@ def test_one_shuffle_of_the_facts(spark, small):
     assert plan(ops.reports(rows, FACT_KEY, "filed_date", "value", "adsh")).count("Exchange hashpartitioning") == 1
 
 
+def test_key_lists_share_one_shuffle_of_the_facts(spark, small):
+    """Narrower keys are grouped where the repartition by the narrowest put the facts; samples group what they show."""
+    import re
+
+    text = plan(catalog.QUERIES["d06_key_sensitivity"](spark, small))
+    by_tag = [x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\), ", text.replace("#", "")) if "tag" in x]
+    assert len(by_tag) == 1 and "segments" not in by_tag[0]
+    assert text.count("lineitem") == 1
+    assert "LeftSemi" in plan(catalog.QUERIES["d16_sampled_sequences"](spark, small))
+
+
 def test_features_scan_what_is_stored(spark, small):
     """Models that several queries share are written once; the features read them, not the facts again and again."""
     from tidemark.plans import features

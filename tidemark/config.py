@@ -24,6 +24,7 @@ class Settings:
     quartiles: int = 4
     least_peers: int = 20
     percentile_shift: float = 0.05
+    salts: int = 16  # parts that the rows of a frequent tag are dealt into
 
 
 DEFAULT = Settings()

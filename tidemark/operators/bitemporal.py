@@ -43,9 +43,36 @@ def timelines(df: DataFrame, key: list[str], at: str, value: str, source: str) -
     """
     rows = df.where(F.col(value).isNotNull()).select(*key, at, value, source)
     every = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(source).alias("source"), F.col(value).alias("value"))))
-    found = rows.groupBy(*key).agg(every.alias("line"))
-    last_of_date = lambda x, i: (i == F.size("line") - 1) | (F.get("line", i + 1)["at"] != x["at"])
-    return found.withColumn("line", F.filter("line", last_of_date))
+    return rows.groupBy(*key).agg(every.alias("line")).withColumn("line", F.filter("line", _last_of_date))
+
+
+def _last_of_date(x: Column, i: Column) -> Column:
+    return (i == F.size("line") - 1) | (F.get("line", i + 1)["at"] != x["at"])
+
+
+def coarser_timelines(found: DataFrame, key: list[str], *measures: Column) -> DataFrame:
+    """`timelines` of fewer key columns, merged from those of more, and measures over the merged ones.
+
+    Equal to the timelines of the facts themselves: the last report of a date is the last of the finer keys' last ones.
+    """
+    merged = found.groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list("line"))).alias("line"), *measures)
+    return merged.withColumn("line", F.filter("line", _last_of_date))
+
+
+def is_revised(share: str) -> Column:
+    """Whether the last report of `line` departs from the first one materially."""
+    return (F.size("line") > 1) & material(F.col("line")[0]["value"], F.element_at("line", -1)["value"], share)
+
+
+def salted_lookup(df: DataFrame, dictionary: DataFrame, keys: list[str], frequent: Column, spread: Column, salts: int) -> DataFrame:
+    """Left join with a dictionary whose `frequent` entries (a condition on the keys alone) stand `salts` times in it.
+
+    Rows of a frequent key are dealt by a hash of `spread`, so one key isn't one task; entries of other keys stand once.
+    """
+    often = F.coalesce(frequent, F.lit(False))
+    salt = F.when(often, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
+    entries = dictionary.withColumn("_salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return df.withColumn("_salt", salt).join(entries, [*keys, "_salt"], "left").drop("_salt")
 
 
 def reports(df: DataFrame, key: list[str], at: str, value: str, source: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,13 +72,18 @@ def _key_sql(name: str, keys: list[str]) -> str:
 
 @query(f"with {t.FACT} " + " union all ".join(_key_sql(n, k) for n, k in _LISTS.items()))
 def d06_key_sensitivity(spark, sf):
-    """How many facts can be and are revised, by what counts as the same fact."""
-
-    def one(name: str, keys: list[str]) -> DataFrame:
-        found = changes(spark, sf) if keys == FACT_KEY else ops.revisable(t.facts(spark, sf), keys, "filed_date", "value", "adsh", DEFAULT.material)
-        return found.agg(F.lit(name).alias("key_list"), F.count("*").alias("n_revisable"), F.count_if("is_revised").alias("n_restated"))
+    """How many facts can be and are revised, by what counts as the same fact.
 
-    return reduce(DataFrame.unionByName, (one(n, k) for n, k in _LISTS.items()))
+    The whole key is stored. The narrower ones come from one shuffle of the facts by the narrowest: the timelines without
+    segments are grouped where they lie and merged into those without coregistrants.
+    """
+    narrowest, narrower, whole = _LISTS
+    hits = lambda name: (F.count_if(F.size("line") > 1).alias(f"{name}_revisable"), F.count_if(ops.is_revised(DEFAULT.material)).alias(f"{name}_restated"))
+    lines = ops.timelines(t.facts(spark, sf).repartition(*_LISTS[narrowest]), _LISTS[narrower], "filed_date", "value", "adsh")
+    merged = ops.coarser_timelines(lines, _LISTS[narrowest], *hits("finer"))
+    counts = merged.agg(F.sum("finer_revisable"), F.sum("finer_restated"), *hits("own")).toDF("a", "b", "c", "d")
+    rows = counts.select(F.inline(F.array(*(F.struct(F.lit(n).alias("key_list"), F.coalesce(x, F.lit(0)).alias("n_revisable"), F.coalesce(y, F.lit(0)).alias("n_restated")) for n, x, y in ((narrower, "a", "b"), (narrowest, "c", "d"))))))
+    return rows.unionByName(changes(spark, sf).agg(F.lit(whole).alias("key_list"), F.count("*").alias("n_revisable"), F.count_if("is_revised").alias("n_restated")))
 
 
 def _power(k: int) -> str:
@@ -127,7 +130,9 @@ def d15_unit_concentration(spark, sf):
 def d16_sampled_sequences(spark, sf):
     """Twenty revisions drawn by a hash of their key, each with all its reports."""
     pick = restatements(spark, sf).select("restatement_sk", *FACT_KEY).orderBy(F.md5("restatement_sk"), "restatement_sk").limit(20)
-    line = ops.reports(t.facts(spark, sf), FACT_KEY, "filed_date", "value", "adsh")
+    # the facts of those twenty alone are grouped
+    rows = t.facts(spark, sf).join(F.broadcast(pick.select(*FACT_KEY)), FACT_KEY, "left_semi")
+    line = ops.reports(rows, FACT_KEY, "filed_date", "value", "adsh")
     return line.join(F.broadcast(pick), FACT_KEY).select("restatement_sk", "filed_date", "adsh", "value")
 
 

@@ -123,7 +123,9 @@ def fact_table(spark, sf, since: str | None = None, until: str | None = None) ->
     known = t.tags(spark, sf).select("tag", "taxonomy_version", surrogate_key("tag", "taxonomy_version").alias("tag_sk"))
     at = ops.valid_at(filings, company(spark, sf).select("company_sk", "cik", "valid_from", "valid_to"), "cik", "filed_date").drop("valid_from", "valid_to")
     at = at.join(F.broadcast(days), "filed_date")  # a row for each day
-    joined = m02_numeric(spark, sf).join(at, "adsh").join(known, ["tag", "taxonomy_version"], "left")
+    rows = m02_numeric(spark, sf).join(at, "adsh")
+    # tags of published taxonomies are in very many facts, a filer's own ones (their version is the filing) in few
+    joined = ops.salted_lookup(rows, known, ["tag", "taxonomy_version"], F.contains("taxonomy_version", F.lit("/")), F.col("adsh"), DEFAULT.salts)
     return joined.select(surrogate_key(*_GRAIN).alias("fact_sk"), "company_sk", surrogate_key("adsh").alias("filing_sk"), "tag_sk", "filed_date_sk", "adsh", *FACT_KEY, "taxonomy_version", "filed_date", "value", "footnote", "is_instant", "is_annual", "has_segments")
 
 
