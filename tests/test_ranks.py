@@ -45,6 +45,36 @@ def test_grouping_sets_with_and_without_a_buffer(rows, monkeypatch):
     assert len({x.split("level=")[1][0] for x in inline}) == 3
 
 
+def test_distinct_counts(spark):
+    """Distinct values at all levels, null keys and null values included; facts aren't expanded by sets and columns."""
+    rng = random.Random(11)
+    data = [(rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), rng.choice([None, *range(9)]), rng.choice([None, "p", "q"])) for _ in range(400)] + [("lone", "z", None, None)]
+    df, sets = spark.createDataFrame(data, "g string, h string, v int, w string"), [["g", "h"], ["g"], []]
+    got = ranks.grouped(df, sets, {"n": F.count("*")}, {}, df, {"vs": F.col("v"), "ws": F.when(F.col("v") > 3, F.col("w"))})
+    want = {}
+    for level, width in ((0, 2), (1, 1), (3, 0)):
+        for r in data:
+            n = want.setdefault((level, *(r[k] if k < width else None for k in range(2))), [0, set(), set()])
+            n[0] += 1
+            if r[2] is not None:
+                n[1].add(r[2])
+                if r[2] > 3 and r[3] is not None:
+                    n[2].add(r[3])
+    assert {(r.level, r.g, r.h): (r.n, r.vs, r.ws) for r in got.collect()} == {k: (n, len(v), len(w)) for k, (n, v, w) in want.items()}
+    assert ranks.grouped(df.limit(0), sets[:2], {"n": F.count("*")}, {}, df, {"vs": F.col("v")}).collect() == []
+
+
+def test_models_expand_rows_by_sets_only(spark, small):
+    """An Expand makes a row for each grouping set, none for each distinct column as well."""
+    from tidemark.plans import restated
+
+    for model in (restated.m17_by_sector, restated.m18_by_statement, restated.m19_by_filer_size):
+        text = model(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        for line in (x for x in text.splitlines() if "Expand [" in x):
+            assert line.count("], [") <= 3 and "gid" not in line
+        assert "count(distinct" not in text
+
+
 def test_no_task_has_all_rows(rows):
     text = ranks.tiles(rows, [], 10, "tile", F.col("v"), F.col("id"))._jdf.queryExecution().executedPlan().toString()
     one = [x for x in text.splitlines() if "SinglePartition" in x]

@@ -61,18 +61,42 @@ def percentiles(df: DataFrame, groups: list[str], value: str, shares: dict[str,
     return per.select(*groups, *(between(name, place, low).alias(name) for name, place, low, *_ in found))
 
 
-def grouped(df: DataFrame, sets: list[list[str]], measures: dict[str, Column], spread: dict[str, tuple[Column, float]], counted: DataFrame) -> DataFrame:
+def distinct_counts(df: DataFrame, sets: list[list[str]], counts: dict[str, Column]) -> DataFrame:
+    """Distinct values other than null of several columns, over grouping sets of the first set's keys: `level`, keys, counts.
+
+    Each value enters once for each group of the finest set, whatever the number of its rows; the other sets are counted
+    from these. So rows are expanded by the columns, once, and only what is distinct by the sets. Work grows with the
+    pairs of group and value, however sparse; sets of bits would take their full length in a group of a single value.
+    A group without values has no row.
+    """
+    keys = sets[0]
+    each = F.array(*(F.struct(F.lit(i).alias("_which"), c.cast("string").alias("_value")) for i, c in enumerate(counts.values())))
+    finest = df.select(*keys, F.inline(each)).where(F.col("_value").isNotNull()).groupBy(*keys, "_which", "_value").agg(F.lit(1).alias("_one"))
+    own = [F.col("_which"), F.col("_value")]
+    found = finest.groupingSets([[*(F.col(k) for k in s), *own] for s in sets], *keys, *own).agg((F.shiftright(F.grouping_id(), 2)).alias("level"))
+    return found.groupBy("level", *keys).agg(*(F.count_if(F.col("_which") == i).alias(n) for i, n in enumerate(counts)))
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
+    """The rows of `left` with columns of the row of `right`, named `r`, that has the same keys; nulls are equal."""
+    same = reduce(lambda a, b: a & b, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
+    return left.alias("l").join(right.alias("r"), same, "left").select("l.*", *(c.alias(n) for n, c in columns.items()))
+
+
+def grouped(df: DataFrame, sets: list[list[str]], measures: dict[str, Column], spread: dict[str, tuple[Column, float]], counted: DataFrame, distinct: dict[str, Column] | None = None) -> DataFrame:
     """Aggregates over grouping sets of the first set's keys: `level` (as GROUPING_ID has it), keys, measures and percentiles.
 
     `spread` has a column and a share for each percentile; `counted` has at least as many rows as values of them can be.
     Where those fit one aggregation's buffer, all is done in one pass, otherwise values are numbered in parallel; both
-    give the same numbers.
+    give the same numbers. `distinct` has columns whose distinct values are counted, in a pass of their own.
     """
     keys = sets[0]
     level = lambda own: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in own)
-    few = counted.limit(BUFFER + 1).count() <= BUFFER
+    few = not spread or counted.limit(BUFFER + 1).count() <= BUFFER
     inline = {n: F.percentile(c, p) for n, (c, p) in spread.items()} if few else {}
     found = df.groupingSets([[F.col(k) for k in own] for own in sets], *keys).agg(F.grouping_id().alias("level"), *(c.alias(n) for n, c in (measures | inline).items()))
+    if distinct:
+        found = _beside(found, distinct_counts(df, sets, distinct), ["level", *keys], {n: F.coalesce(F.col(f"r.{n}"), F.lit(0)) for n in distinct})
     if few:
         return found
     by_value: dict[str, dict[str, float]] = {}
@@ -82,6 +106,5 @@ def grouped(df: DataFrame, sets: list[list[str]], measures: dict[str, Column], s
     for text, shares in by_value.items():
         each = reduce(DataFrame.unionByName, (df.select(F.lit(level(own)).cast("long").alias("level"), *((F.col(k) if k in own else F.lit(None).cast(df.schema[k].dataType)).alias(k) for k in keys), columns[text].alias("_value")) for own in sets))
         per = percentiles(each, ["level", *keys], "_value", shares)
-        same = reduce(lambda a, b: a & b, (F.col(f"f.{k}").eqNullSafe(F.col(f"p.{k}")) for k in ["level", *keys]))
-        found = found.alias("f").join(per.alias("p"), same, "left").select("f.*", *(F.col(f"p.{n}") for n in shares))
+        found = _beside(found, per, ["level", *keys], {n: F.col(f"r.{n}") for n in shares})
     return found

@@ -75,10 +75,10 @@ def m17_by_sector(spark, sf):
     sets = [keys, keys[:1], []]
     at = ops.valid_at(changes(spark, sf), sectors(spark, sf), "cik", "first_filed_date", "left")
     hit = F.col("is_revised")
-    measures = {"restatements": F.count_if(hit), "revisable_groups": F.count("*"), "restating_companies": F.count_distinct(F.when(hit, F.col("cik"))), "down": F.count_if(hit & (F.col("revision_direction") == "decrease"))}
-    facts = ranks.grouped(at, sets, measures, {"median": (F.when(hit, F.abs("pct_revision")), 0.5)}, restatements(spark, sf))
+    measures = {"restatements": F.count_if(hit), "revisable_groups": F.count("*"), "down": F.count_if(hit & (F.col("revision_direction") == "decrease"))}
+    facts = ranks.grouped(at, sets, measures, {"median": (F.when(hit, F.abs("pct_revision")), 0.5)}, restatements(spark, sf), {"restating_companies": F.when(hit, F.col("cik"))})
     filings = ops.valid_at(t.submissions(spark, sf).select("cik", "filed_date"), sectors(spark, sf), "cik", "filed_date", "left")
-    filings = filings.groupingSets([[F.col(k) for k in own] for own in sets], *keys).agg(F.grouping_id().alias("level"), F.count("*").alias("filings"), F.count_distinct("cik").alias("companies"))
+    filings = ranks.grouped(filings, sets, {"filings": F.count("*")}, {}, filings, {"companies": F.col("cik")})
     f, g = facts.where("restatements > 0").alias("f"), filings.alias("g")
     same = (F.col("f.level") == F.col("g.level")) & F.col("f.sic_division").eqNullSafe(F.col("g.sic_division")) & F.col("f.sic_major_group").eqNullSafe(F.col("g.sic_major_group"))
     return f.join(g, same, "left").select(
@@ -112,18 +112,15 @@ def m18_by_statement(spark, sf):
     custom = t.tags(spark, sf).groupBy("tag").agg(F.bool_or("is_custom").alias("is_custom"))
     rows = changes(spark, sf).join(modal, "tag", "left").join(custom, "tag", "left").withColumn("statement_code", F.coalesce("statement_code", F.lit("NP")))
     keys, hit = ["statement_code", "tag"], F.col("is_revised")
-    # within a set that rolls tags up, count_distinct(tag) must see the tag itself
-    rows = rows.withColumn("own_tag", F.col("tag"))
     measures = {
         "revisable_groups": F.count("*"),
         "restatements": F.count_if(hit),
-        "restating_companies": F.count_distinct(F.when(hit, F.col("cik"))),
-        "distinct_tags": F.count_distinct("own_tag"),
         "down": F.count_if(hit & (F.col("revision_direction") == "decrease")),
         "includes_custom_tag": F.coalesce(F.bool_or("is_custom"), F.lit(False)),
         "placement_is_ambiguous": F.coalesce(F.bool_or(F.col("placements") > 1), F.lit(False)),
     }
-    totals = ranks.grouped(rows, [keys, keys[:1], []], measures, {"median": (F.when(hit, F.abs("pct_revision")), 0.5)}, restatements(spark, sf))
+    distinct = {"restating_companies": F.when(hit, F.col("cik")), "distinct_tags": F.col("tag")}
+    totals = ranks.grouped(rows, [keys, keys[:1], []], measures, {"median": (F.when(hit, F.abs("pct_revision")), 0.5)}, restatements(spark, sf), distinct)
     detail, rest = totals.where("level = 0"), totals.where("level > 0").withColumn("rank", F.lit(None).cast("int"))
     detail = detail.withColumn("rank", F.row_number().over(Window.partitionBy("statement_code").orderBy(F.desc("restatements"), "tag"))).where(F.col("rank") <= DEFAULT.top_tags)
     name = t.case(F.col("statement_code"), {**t.STATEMENTS, "NP": "Not presented"}, F.lit("All statements"))
@@ -183,10 +180,11 @@ def m19_by_filer_size(spark, sf):
     hit = F.col("is_revised")
     parts = {n: F.col("has_version") & F.expr(c) for n, c in _PARTS.items()}
     measures = {
-        "size_band_label": F.min("size_band_label"), "band_sort": F.min("band_sort"), "decile": F.min("decile"), "companies": F.count_distinct("cik"), "restating_companies": F.count_distinct(F.when(hit, F.col("cik"))),
+        "size_band_label": F.min("size_band_label"), "band_sort": F.min("band_sort"), "decile": F.min("decile"),
         "revisable_groups": F.count("*"), "restatements": F.count_if(hit), **{f"revisable_groups_{n}": F.count_if(p) for n, p in parts.items()}, **{f"restatements_{n}": F.count_if(p & hit) for n, p in parts.items()},
     }
-    per = ranks.grouped(banded, [["size_basis", "size_band"]], measures, {"median": (F.when(hit, F.abs("pct_revision")), 0.5)}, restatements(spark, sf))
+    distinct = {"companies": F.col("cik"), "restating_companies": F.when(hit, F.col("cik"))}
+    per = ranks.grouped(banded, [["size_basis", "size_band"]], measures, {"median": (F.when(hit, F.abs("pct_revision")), 0.5)}, restatements(spark, sf), distinct)
     bounds = ranks.grouped(size, [["assets_decile"]], {"least": F.min("assets")}, {"middle": (F.col("assets").cast("double"), 0.5)}, size)
     bounds = bounds.select(F.col("assets_decile").alias("decile"), F.round(F.col("least").cast("double"), 2).alias("min_total_assets"), F.round("middle", 2).alias("median_total_assets"))
     return per.join(bounds, "decile", "left").select(
