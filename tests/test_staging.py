@@ -47,3 +47,13 @@ def test_staging(spark, root):
     assert [(r.source_quarter, r.source_file, r.expected_columns, r.rows_rejected) for r in rejects.collect()] == [("2020q1", "num.txt", 10, 2)]
     counts = {r.table: r.n for r in delimited.load_counts({"num": staged["num"], "pre": staged["pre"]}, rejects).collect()}
     assert counts == {"num": 2, "pre": 2, "rejected": 2}
+
+
+def test_quarters_with_one_header_are_one_scan(spark, tmp_path):
+    """Six quarters under two headers are two scans; columns that a header lacks are null, rejects stay by quarter."""
+    for k, quarter in enumerate(delimited.quarters("2019q1", "2020q2")):
+        write(tmp_path, quarter, "Tag.TXT" if k == 3 else "tag.txt", TAG + "\tnew" * (k % 2), "Cash\tv\t0\t0\tm\tI\tD\tlabel" + f"\tx{k}" * (k % 2), *["short"] * k)
+    rows, rejects = delimited.load(spark, str(tmp_path), delimited.quarters("2019q1", "2020q2"), "tag")
+    assert {r.source_quarter: r.new for r in rows.collect()} == {"2019q1": None, "2019q2": "x1", "2019q3": None, "2019q4": "x3", "2020q1": None, "2020q2": "x5"}
+    assert {(r.source_quarter, r.expected_columns, r.rows_rejected) for r in rejects.collect()} == {("2019q2", 9, 1), ("2019q3", 8, 2), ("2019q4", 9, 3), ("2020q1", 8, 4), ("2020q2", 9, 5)}
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
