@@ -66,6 +66,11 @@ def test_key_lists_share_one_shuffle_of_the_facts(spark, small):
     assert "LeftSemi" in plan(catalog.QUERIES["d16_sampled_sequences"](spark, small))
 
 
+def test_filers_meet_the_filings_twice(spark, small):
+    """Conflicts and balances meet the filings together; the facts meet them for their company."""
+    assert plan(catalog.QUERIES["m13_filer_concentration"](spark, small)).partition("Initial Plan")[0].count("orders.parquet") <= 2
+
+
 def test_features_scan_what_is_stored(spark, small):
     """Models that several queries share are written once; the features read them, not the facts again and again."""
     from tidemark.plans import features

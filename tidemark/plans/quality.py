@@ -11,16 +11,18 @@ from tidemark.plans import tables as t
 from tidemark.plans.registry import query
 
 
-def identity(spark, sf) -> DataFrame:
-    """Whether assets equal the reported total, and liabilities with equity; equity with minorities is preferred."""
+def balances(spark, sf) -> DataFrame:
+    """Of each filing's balance sheets, whether assets equal the reported total, and liabilities with equity.
+
+    Equity with minorities is preferred.
+    """
     names = {t.ASSETS: "assets", t.LIABILITIES: "liabilities", t.TOTAL: "liabilities_and_equity", t.EQUITY: "own", t.EQUITY_WITH_MINORITIES: "whole"}
     rows = t.numeric(spark, sf).where(F.col("tag").isin(*names) & (F.col("qtrs") == 0) & (F.col("unit_of_measure") == "USD") & (F.col("coregistrant") == "") & (F.col("segments") == ""))
     wide = rows.groupBy("adsh", "period_end_date").pivot("tag", list(names)).agg(F.max("value")).where(F.col(t.ASSETS).isNotNull()).withColumnsRenamed(names)
     wide = wide.withColumn("equity", F.coalesce("whole", "own")).drop("whole", "own")
-    filings = t.submissions(spark, sf).select("adsh", "cik", "company_name", "form_type", "filer_status", "filed_date")
     gaps = {"total": F.col("assets") - F.col("liabilities_and_equity"), "component": F.col("assets") - F.col("liabilities") - F.col("equity")}
     share = lambda gap: F.round(F.abs(gap).cast("double") / F.nullif(F.abs("assets"), F.lit(0)).cast("double"), 6)
-    return wide.join(filings, "adsh").select(
+    return wide.select(
         "*",
         *(gap.cast("decimal(30,4)").alias(f"{n}_gap") for n, gap in gaps.items()),
         *(share(gap).alias(f"{n}_pct_gap") for n, gap in gaps.items()),
@@ -29,6 +31,12 @@ def identity(spark, sf) -> DataFrame:
     )
 
 
+def identity(spark, sf) -> DataFrame:
+    """The balances with the filing and company that they are of."""
+    filings = t.submissions(spark, sf).select("adsh", "cik", "company_name", "form_type", "filer_status", "filed_date")
+    return balances(spark, sf).join(filings, "adsh")
+
+
 IDENTITY = """ident as (
     with wide as (pivot (select adsh, period_end_date, tag, value from num where qtrs = 0 and unit_of_measure = 'USD' and coregistrant = '' and segments = '')
         on tag in ('T0', 'T1', 'T2', 'T4', 'T5') using max(value) group by adsh, period_end_date),
@@ -84,16 +92,19 @@ def m13_filer_concentration(spark, sf):
     facts = t.facts(spark, sf).join(_dictionary(spark, sf), ["tag", "taxonomy_version"], "left")
     per = facts.groupBy("cik").agg(F.count("*").alias("facts"), nulls.alias("nulls"), F.count_if(~F.col("qtrs").between(0, DEFAULT.longest_duration)).alias("bad_duration_facts"), F.count_if("is_custom").alias("customs"))
     rate = t.numeric(spark, sf).agg((nulls / F.count("*")).alias("rate"))  # one row
-    filings = t.submissions(spark, sf)
+    # what is found by filing meets the filings once, and both become companies in one grouping
+    clash = conflicts(spark, sf).select("adsh", F.lit(True).alias("clash"), F.lit(False).alias("gap"))
+    off = balances(spark, sf).where("has_reported_total and total_pct_gap > 0.001").select("adsh", F.lit(False).alias("clash"), F.lit(True).alias("gap"))
+    found = clash.unionByName(off).groupBy("adsh").agg(F.bool_or("clash").alias("clash"), F.bool_or("gap").alias("gap"))
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     latest = F.max_by(F.struct("company_name", "filer_status"), F.struct("filed_date", "adsh")).alias("latest")
-    filer = filings.groupBy("cik").agg(latest, F.coalesce(F.bool_or(F.col("filed_date") < F.col("period_end_date")), F.lit(False)).alias("flag_date_error"))
-    clash = conflicts(spark, sf).select("adsh").join(filings.select("adsh", "cik"), "adsh").select("cik").distinct().withColumn("clash", F.lit(True))
-    gap = identity(spark, sf).where("has_reported_total and total_pct_gap > 0.001").select("cik").distinct().withColumn("gap", F.lit(True))
-    rows = per.join(filer, "cik").join(clash, "cik", "left").join(gap, "cik", "left").crossJoin(F.broadcast(rate))
+    flags = {"flag_date_error": F.col("filed_date") < F.col("period_end_date"), "flag_conflicting_dupes": F.col("clash"), "flag_balance_violation": F.col("gap")}
+    filer = t.submissions(spark, sf).join(found, "adsh", "left").groupBy("cik").agg(latest, *(any_(c).alias(n) for n, c in flags.items()))
+    rows = per.join(filer, "cik").crossJoin(F.broadcast(rate))
     rows = rows.withColumns({
         "pct_null": F.round(F.lit(100.0) * F.col("nulls") / F.col("facts"), 4), "pct_custom": F.round(F.lit(100.0) * F.col("customs") / F.col("facts"), 4),
         "flag_null_heavy": F.col("nulls") / F.col("facts") > 2 * F.col("rate"), "flag_custom_heavy": F.col("customs") / F.col("facts") > DEFAULT.custom_heavy,
-        "flag_bad_duration": F.col("bad_duration_facts") > 0, "flag_conflicting_dupes": F.col("clash").isNotNull(), "flag_balance_violation": F.col("gap").isNotNull(),
+        "flag_bad_duration": F.col("bad_duration_facts") > 0,
     })
     return rows.select("cik", "latest.company_name", "latest.filer_status", "facts", "pct_null", "pct_custom", "bad_duration_facts", *_FLAGS, sum((F.col(x).cast("int") for x in _FLAGS), F.lit(0)).alias("rules_failed"))
 
