@@ -146,7 +146,7 @@ def m15_scorecard(spark, sf):
     filings = t.submissions(spark, sf).agg(F.count("*").alias("filings"), F.count_if(F.col("filed_date") < F.col("period_end_date")).alias("filed_before_period"), F.count_if(F.col("filing_lag_days") > DEFAULT.longest_lag).alias("implausible_lag"))
     clash = conflicts(spark, sf).agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("conflicting_duplicate"))
     refused = t.rejects(spark, sf).agg(F.coalesce(F.sum("rows_rejected"), F.lit(0)).alias("rejected_at_load"))
-    one = facts.crossJoin(filings).crossJoin(clash).crossJoin(refused)  # single rows
+    one = facts.crossJoin(F.broadcast(filings)).crossJoin(F.broadcast(clash)).crossJoin(F.broadcast(refused))  # single rows
     checked = {"filed_before_period": F.col("filings"), "implausible_lag": F.col("filings"), "rejected_at_load": F.col("facts") + F.col("rejected_at_load")}
     lines = [F.struct(F.lit(n).alias("rule"), F.lit(d).alias("dimension"), F.lit(s).alias("severity"), F.col(n).alias("rows_affected"), checked.get(n, F.col("facts")).alias("rows_checked")) for n, (d, s) in _RULES.items()]
     rows = one.select(F.inline(F.array(*lines))).withColumn("pct", F.round(F.lit(100.0) * F.col("rows_affected") / F.col("rows_checked"), 5))

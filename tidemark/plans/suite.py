@@ -52,7 +52,7 @@ def t_quality_suite(spark, sf):
     filings, company, pit, whole = marts.filing(spark, sf), marts.company(spark, sf), features.pit(spark, sf), facts(spark, sf)
     both = pit.select("adsh", F.col("was_restated").alias("a")).join(features.m29_feature_naive(spark, sf).select("adsh", F.col("was_restated").alias("b")), "adsh", "full_outer")
     staged = t.numeric(spark, sf).agg(F.count("*").alias("staged"))
-    grain = whole.agg(F.count("*").alias("loaded")).crossJoin(staged)  # single rows
+    grain = whole.agg(F.count("*").alias("loaded")).crossJoin(F.broadcast(staged))  # single rows
     found = [
         ex.counted(company.groupBy("cik").agg(F.count_if("is_current").alias("n")).where("n <> 1"), "T-01 one current version"),
         grain.select(F.lit("T-02 facts keep the grain").alias("name"), F.abs(F.col("loaded") - F.col("staged")).alias("failures")),
