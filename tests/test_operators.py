@@ -133,3 +133,22 @@ def test_salted_lookup(spark):
     got = ops.salted_lookup(rows, words, ["key"], F.contains("key", F.lit("/")), F.col("id"), 5)
     assert got.columns == ["key", "id", "entry"]
     assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(words, "key", "left").collect()))
+
+
+def test_repeated_timelines(spark):
+    """The timelines of several dates, without collecting keys of one date: nulls in keys and dates, dates twice."""
+    rows = [("a", D(2020, 1, 1), "x", 1), ("a", D(2020, 1, 1), "y", 2), ("a", D(2020, 2, 1), "x", 3), ("b", D(2020, 1, 1), "x", 1), ("b", D(2020, 1, 1), "y", 1), (None, D(2020, 1, 1), "x", 1), (None, D(2020, 3, 1), "x", None), (None, D(2020, 4, 1), "x", 5), ("c", None, "x", 1), ("c", D(2020, 1, 1), "x", 2), ("d", None, "x", 1), ("e", D(2020, 5, 1), "x", 1)]
+    df = spark.createDataFrame(rows, "k string, at date, source string, value int")
+    got = ops.repeated_timelines(df, ["k"], "at", "value", "source")
+    want = ops.timelines(df, ["k"], "at", "value", "source").where("size(line) > 1")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 2
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in text.rpartition("Exchange hashpartitioning")[2]  # none before the shuffle
+
+
+def test_split_lookup(spark):
+    rows = spark.createDataFrame([(1, "a/1"), (2, "a/1"), (3, "own"), (4, "a/2"), (5, "other"), (6, None)], "id int, key string")
+    words = spark.createDataFrame([("a/1", 10), ("own", 20)], "key string, word int")
+    got = ops.split_lookup(rows, words, ["key"], F.contains("key", F.lit("/")))
+    assert {r.id: r.word for r in got.collect()} == {1: 10, 2: 10, 3: 20, 4: None, 5: None, 6: None}
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()

@@ -46,6 +46,22 @@ def timelines(df: DataFrame, key: list[str], at: str, value: str, source: str) -
     return rows.groupBy(*key).agg(every.alias("line")).withColumn("line", F.filter("line", _last_of_date))
 
 
+def repeated_timelines(df: DataFrame, key: list[str], at: str, value: str, source: str) -> DataFrame:
+    """`timelines` of the keys that were reported on several dates.
+
+    Rows are shuffled as they are and sorted once; those without another date beside them go before anything is
+    collected, and most keys have one date only.
+    """
+    line = Window.partitionBy(*key).orderBy(at, source, value)
+    rows = df.where(F.col(value).isNotNull()).select(*key, at, value, source)
+    last = F.lead(F.lit(True)).over(line).isNull() | (F.lead(at).over(line) != F.col(at))
+    rows = rows.withColumn("_last", last).where("_last")
+    beside = F.lead(F.lit(True)).over(line).isNotNull() | F.lag(F.lit(True)).over(line).isNotNull()
+    rows = rows.withColumn("_beside", beside).where("_beside")
+    every = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(source).alias("source"), F.col(value).alias("value"))))
+    return rows.groupBy(*key).agg(every.alias("line"))
+
+
 def _last_of_date(x: Column, i: Column) -> Column:
     return (i == F.size("line") - 1) | (F.get("line", i + 1)["at"] != x["at"])
 
@@ -64,6 +80,16 @@ def is_revised(share: str) -> Column:
     return (F.size("line") > 1) & material(F.col("line")[0]["value"], F.element_at("line", -1)["value"], share)
 
 
+def split_lookup(df: DataFrame, dictionary: DataFrame, keys: list[str], common: Column) -> DataFrame:
+    """Left join with a dictionary whose `common` entries (a condition on the keys alone) are few, however many rows have them.
+
+    Those are broadcast, so their rows aren't shuffled and no key is one task; only rows of the other keys meet by a
+    shuffle. `df` is read once for each part.
+    """
+    often = F.coalesce(common, F.lit(False))
+    return df.where(often).join(F.broadcast(dictionary.where(often)), keys, "left").unionByName(df.where(~often).join(dictionary.where(~often), keys, "left"))
+
+
 def salted_lookup(df: DataFrame, dictionary: DataFrame, keys: list[str], frequent: Column, spread: Column, salts: int) -> DataFrame:
     """Left join with a dictionary whose `frequent` entries (a condition on the keys alone) stand `salts` times in it.
 
@@ -87,7 +113,7 @@ def revisable(df: DataFrame, key: list[str], at: str, value: str, source: str, s
     A key is revised if its last reported value departs from the first one materially; `first_revision_filed_date` and
     `revising_adsh` are those of the first report that departed. Reported and taken back is no revision.
     """
-    found = timelines(df, key, at, value, source).where("size(line) > 1")
+    found = repeated_timelines(df, key, at, value, source)
     found = found.withColumns({"first": F.col("line")[0], "last": F.element_at("line", -1)})
     departed = F.filter("line", lambda x: material(F.col("first.value"), x["value"], share))
     found = found.withColumns({"departed": F.get(departed, F.lit(0)), "is_revised": material(F.col("first.value"), F.col("last.value"), share)})
@@ -113,7 +139,7 @@ def chains(df: DataFrame, key: list[str], at: str, value: str, source: str, shar
 
     Gives the length, the first and last value, the dates of the first and last step, and the path of sources.
     """
-    found = timelines(df, key, at, value, source).where("size(line) > 1")
+    found = repeated_timelines(df, key, at, value, source)
     pairs = F.arrays_zip(F.slice("line", 1, F.size("line") - 1).alias("old"), F.slice("line", 2, F.size("line") - 1).alias("new"))
     walk = F.filter(pairs, lambda p: material(p["old"]["value"], p["new"]["value"], share))
     out = found.withColumn("walk", walk).where("size(walk) > 0")
@@ -130,16 +156,18 @@ def islands(df: DataFrame, key: str, order: list[str], flag: str, at: str) -> Da
     return flagged.groupBy(key, "_island").agg(F.count("*").alias("run_length"), F.min(at).alias("run_start"), F.max(at).alias("run_end")).drop("_island")
 
 
-def strictly_prior(queries: DataFrame, events: DataFrame, key: str, at: str, counts: dict[str, Column]) -> DataFrame:
+def strictly_prior(queries: DataFrame, events: DataFrame, key: str, at: str, counts: dict[str, Column], few: bool = False) -> DataFrame:
     """For each query row, totals over the key's events on earlier dates. Null keys have none.
 
-    Events are summed per key and day first, so a running sum sees days, not rows.
+    Events are summed per key and day first, so a running sum sees days, not rows. With `few` keys (their days fit a
+    broadcast) the query rows stay where they are.
     """
-    days = queries.select(key, at).where(F.col(key).isNotNull()).distinct().unionByName(events.select(key, at).where(F.col(key).isNotNull()).distinct()).distinct()
-    daily = days.join(events.groupBy(key, at).agg(*(c.alias(n) for n, c in counts.items())), [key, at], "left")
+    known = events.where(F.col(key).isNotNull()).groupBy(key, at).agg(*(c.alias(n) for n, c in counts.items()))
+    asked = queries.select(key, at).where(F.col(key).isNotNull())
+    daily = asked.unionByName(known, allowMissingColumns=True).groupBy(key, at).agg(*(F.max(n).alias(n) for n in counts))  # `known` has a day once
     before = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     running = daily.select(key, at, *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in counts))
-    out = queries.join(running, [key, at], "left")
+    out = queries.join(F.broadcast(running) if few else running, [key, at], "left")
     return out.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in counts})
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, FACT_KEY
@@ -19,6 +19,11 @@ _GRAIN = ["adsh", "tag", "taxonomy_version", "coregistrant", "segments", "period
 STATUS_NAMES = {"1-LAF": "Large accelerated", "2-ACC": "Accelerated", "4-NON": "Non-accelerated"}
 
 
+def published() -> Column:
+    """Tags of published taxonomies: few entries of the dictionary, most facts. A filer's own ones have the filing as version."""
+    return F.contains("taxonomy_version", F.lit("/"))
+
+
 def sql_key(*names: str) -> str:
     return "md5(concat_ws('-', " + ", ".join(f"coalesce({n}::varchar, '_dbt_utils_surrogate_key_null_')" for n in names) + "))"
 
