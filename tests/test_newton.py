@@ -55,3 +55,15 @@ def test_horizons_of_the_sweep(spark, small):
     model = learning.fit_logistic(train, ranking._FEATURES, "was_restated")
     want = [evaluation.auc(learning.score_logistic(model, side, ranking._FEATURES), "score", "was_restated").first().auc for side in (train, test)] if model else None
     assert want is None or max(abs(a - b) for a, b in zip(got[180, "all"], want)) < 2e-3
+
+
+def test_reports_are_not_multiplied_before_a_shuffle(spark, small):
+    """All horizons count a company's revisions together, sectors and the market are broadcast: one exchange of the reports."""
+    from tidemark.plans import features, ranking
+
+    text = ranking.sweep(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("strategy=broadcast") >= 4
+    once = ranking.sweep(spark, small)._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert "horizon" not in "".join(x for x in once.splitlines() if "Exchange hashpartitioning(cik" in x)
+    resolved = features.t08_pit_recomputed(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert resolved.count("strategy=broadcast") >= 2

@@ -10,7 +10,7 @@ from tidemark.functions.columns import major_group
 from tidemark.operators import bitemporal as ops
 from tidemark.plans import tables as t
 from tidemark.plans.registry import query
-from tidemark.plans.marts import COMPANY, RESTATED, company, restatements
+from tidemark.plans.marts import COMPANY, RESTATED, company, published, restatements
 from tidemark.sources.store import stored
 
 _H = DEFAULT.horizon_days
@@ -41,7 +41,7 @@ def periodic(spark, sf) -> DataFrame:
     at = ops.valid_at(filings, versions.select("cik", major_group(F.col("sic_code")).alias("sic_major_group_at_filing"), "valid_from", "valid_to"), "cik", "filed_date").drop("valid_from", "valid_to")
     now = versions.where("is_current").select("cik", major_group(F.col("sic_code")).alias("sic_major_group_now"))
     seen = restatements(spark, sf).where("segments = '' and coregistrant = ''").groupBy(F.col("first_adsh").alias("adsh")).agg(F.min("first_revision_filed_date").alias("revision_first_seen_date"))
-    known = t.numeric(spark, sf).join(t.tags(spark, sf).select("tag", "taxonomy_version", "is_custom"), ["tag", "taxonomy_version"], "left")
+    known = ops.split_lookup(t.numeric(spark, sf).select("adsh", "tag", "taxonomy_version"), t.tags(spark, sf).select("tag", "taxonomy_version", "is_custom"), ["tag", "taxonomy_version"], published())
     mix = known.groupBy("adsh").agg(F.count("*").alias("n_facts"), F.count_if("is_custom").alias("n_custom_facts"))
     rows = at.join(now, "cik").join(seen, "adsh", "left").join(mix, "adsh", "left")
     status = {k: F.coalesce(F.col("filer_status") == v, F.lit(False)) for k, v in _STATUS.items()}
@@ -90,25 +90,33 @@ def point_in_time(rows: DataFrame, horizon: int = _H) -> DataFrame:
     out = ops.strictly_prior(rows, seen, "cik", "filed_date", {"prior_restatement_count": F.count("*")})
     resolved = rows.select(F.col("sic_major_group_at_filing").alias("sic_major_group"), F.date_add("filed_date", horizon).alias("filed_date"), "was_restated")
     counts = lambda name: {f"{name}_prior_resolved_filings": F.count("*"), f"{name}_hit": F.count_if("was_restated")}
-    out = ops.strictly_prior(out.withColumnRenamed("sic_major_group_at_filing", "sic_major_group"), resolved, "sic_major_group", "filed_date", counts("sector"))
+    out = ops.strictly_prior(out.withColumnRenamed("sic_major_group_at_filing", "sic_major_group"), resolved, "sic_major_group", "filed_date", counts("sector"), few=True)
     # the market's history is one short series of days
-    out = ops.strictly_prior(out.withColumn("market", F.lit("all")), resolved.withColumn("market", F.lit("all")), "market", "filed_date", counts("market"))
+    out = ops.strictly_prior(out.withColumn("market", F.lit("all")), resolved.withColumn("market", F.lit("all")), "market", "filed_date", counts("market"), few=True)
     value = F.coalesce(rate("sector_hit", "sector_prior_resolved_filings"), rate("market_hit", "market_prior_resolved_filings"), F.lit(0.0))
     return out.select(*_FEATURES, "prior_restatement_count", F.round(value, 6).alias("sector_restatement_rate"), "sic_major_group", "sector_prior_resolved_filings", "market_prior_resolved_filings")
 
 
-def point_in_time_by(rows: DataFrame, horizon: str) -> DataFrame:
-    """`point_in_time` for rows of several horizons, named by a column: each horizon counts its own rows by its own days."""
-    keyed = lambda c: F.when(F.col(c).isNotNull(), F.struct(horizon, c))  # noqa: E731  null keys have no history
-    rows = rows.withColumnRenamed("sic_major_group_at_filing", "sic_major_group").withColumns({"company": keyed("cik"), "sector": keyed("sic_major_group"), "market": F.struct(horizon)})
-    seen = rows.where("revision_first_seen_date is not null").select("company", F.col("revision_first_seen_date").alias("filed_date"))
-    resolved = rows.select("sector", "market", F.expr(f"date_add(filed_date, {horizon})").alias("filed_date"), "was_restated")
+def point_in_time_by(reports: DataFrame, last: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """`point_in_time` under several horizons, told by `horizon`: each counts its own reports by its own days. `last` has one row.
+
+    A company's revisions are counted for all horizons at once, so reports are shuffled before they are multiplied; what
+    sectors and the market had resolved is broadcast.
+    """
+    reports = reports.crossJoin(F.broadcast(last))
+    due = lambda h: F.date_add("filed_date", h) <= F.col("last")
+    seen = reports.where("revision_first_seen_date is not null").select("cik", F.col("revision_first_seen_date").alias("filed_date"), *(due(h).alias(f"_due_{h}") for h in horizons))
+    reports = ops.strictly_prior(reports.drop("last"), seen, "cik", "filed_date", {f"_before_{h}": F.count_if(f"_due_{h}") for h in horizons})
+    each = F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"_before_{h}").alias("prior_restatement_count")) for h in horizons))
+    rows = labelled(reports.select("*", F.inline(each)).drop(*(f"_before_{h}" for h in horizons)), last, F.col("horizon"))
+    keyed = lambda c: F.when(F.col(c).isNotNull(), F.struct("horizon", c))  # noqa: E731  null keys have no history
+    out = rows.withColumnRenamed("sic_major_group_at_filing", "sic_major_group").withColumns({"sector": keyed("sic_major_group"), "market": F.struct("horizon")})
+    resolved = out.select("sector", "market", F.expr("date_add(filed_date, horizon)").alias("filed_date"), "was_restated")
     counts = lambda name: {f"{name}_prior_resolved_filings": F.count("*"), f"{name}_hit": F.count_if("was_restated")}
-    out = ops.strictly_prior(rows, seen, "company", "filed_date", {"prior_restatement_count": F.count("*")})
     for name in ("sector", "market"):
-        out = ops.strictly_prior(out, resolved, name, "filed_date", counts(name))
+        out = ops.strictly_prior(out, resolved, name, "filed_date", counts(name), few=True)
     value = F.coalesce(rate("sector_hit", "sector_prior_resolved_filings"), rate("market_hit", "market_prior_resolved_filings"), F.lit(0.0))
-    return out.select(horizon, *_FEATURES, "prior_restatement_count", F.round(value, 6).alias("sector_restatement_rate"), "sic_major_group", "sector_prior_resolved_filings", "market_prior_resolved_filings")
+    return out.select("horizon", *_FEATURES, "prior_restatement_count", F.round(value, 6).alias("sector_restatement_rate"), "sic_major_group", "sector_prior_resolved_filings", "market_prior_resolved_filings")
 
 
 @stored
@@ -164,11 +172,12 @@ def t08_pit_recomputed(spark, sf):
     """The features against a plain recomputation: each sector's resolved reports, and each company's revised ones, counted by range joins."""
     rows = base(spark, sf)
     points = rows.where("sic_major_group_at_filing is not null").select(F.col("sic_major_group_at_filing").alias("sic_major_group"), "filed_date").distinct()
-    past = rows.select(F.col("sic_major_group_at_filing").alias("g"), F.date_add("filed_date", _H).alias("known"), "adsh")
-    expected = points.join(past, (F.col("g") == F.col("sic_major_group")) & (F.col("known") < F.col("filed_date")), "left").groupBy("sic_major_group", "filed_date").agg(F.count("adsh").alias("n"))
-    seen = rows.select(F.col("cik").alias("c"), "revision_first_seen_date", "adsh")
+    # sectors and days are few, whatever the number of reports
+    past = rows.groupBy(F.col("sic_major_group_at_filing").alias("g"), F.date_add("filed_date", _H).alias("known")).agg(F.count("*").alias("resolved"))
+    expected = points.join(F.broadcast(past), (F.col("g") == F.col("sic_major_group")) & (F.col("known") < F.col("filed_date")), "left").groupBy("sic_major_group", "filed_date").agg(F.sum("resolved").alias("n"))
+    seen = rows.where("revision_first_seen_date is not null").select(F.col("cik").alias("c"), "revision_first_seen_date")
     before = rows.select("cik", "filed_date").distinct().join(seen, (F.col("c") == F.col("cik")) & (F.col("revision_first_seen_date") < F.col("filed_date")), "left")
-    before = before.groupBy("cik", "filed_date").agg(F.count("adsh").alias("n_before"))
-    both = pit(spark, sf).join(expected, ["sic_major_group", "filed_date"], "left").join(before, ["cik", "filed_date"], "left")
+    before = before.groupBy("cik", "filed_date").agg(F.count("c").alias("n_before"))
+    both = pit(spark, sf).join(F.broadcast(expected), ["sic_major_group", "filed_date"], "left").join(before, ["cik", "filed_date"], "left")
     different = lambda c, n: F.count_if(~F.col(c).eqNullSafe(n))
     return both.agg(F.count("*").alias("n_filings"), different("sector_prior_resolved_filings", F.coalesce("n", F.lit(0))).alias("n_different"), different("prior_restatement_count", F.col("n_before")).alias("n_different_prior"))

@@ -9,7 +9,7 @@ from tidemark.operators import evaluation, learning, newton
 from tidemark.plans import features
 from tidemark.plans.registry import ORACLES, query
 from tidemark.plans.features import NAIVE, PIT, SOURCES
-from tidemark.sources.store import written
+from tidemark.sources.store import drop, written
 
 _SPLIT = "1997-01-01"
 _FEATURES = ["filing_lag_days", "is_large_accelerated_filer", "is_accelerated_filer", "is_non_accelerated_filer", "custom_tag_share", "prior_restatement_count", "sector_restatement_rate"]
@@ -23,6 +23,13 @@ def _all(spark, sf) -> DataFrame:
     return features.m29_feature_naive(spark, sf).select("adsh", "filed_date", "was_restated", *_FEATURES)
 
 
+def _both(spark, sf) -> DataFrame:
+    """The rows of both kinds of knowledge, by `knowledge`; those that know all have their report's `has_history` beside them."""
+    past = _past(spark, sf)
+    known = _all(spark, sf).join(past.select("adsh", "has_history"), "adsh")
+    return past.withColumn("knowledge", F.lit("past")).unionByName(known.withColumn("knowledge", F.lit("all"))).drop("adsh")
+
+
 @query(f"""with p as ({ORACLES["m28_feature_pit"]}), n as ({ORACLES["m29_feature_naive"]})
     select count(p.adsh) as n_past, count(n.adsh) as n_all, count(*) filter (where n.adsh is null) as n_only_past, count(*) filter (where p.adsh is null) as n_only_all, count(*) filter (where p.was_restated <> n.was_restated) as n_other_label
     from p full outer join n on n.adsh = p.adsh""")
@@ -47,9 +54,7 @@ def ml02_split(spark, sf):
     from u, r where regime = 'all' or has_history or filed_date >= date '{_SPLIT}' group by 1, 2, 3""")
 def ml05_regime_rows(spark, sf):
     """What each model learns from and is tested on: rows, labels and means of the features. `warm` trains without reports whose sector has no history."""
-    past = _past(spark, sf)
-    known = _all(spark, sf).join(past.select("adsh", "has_history"), "adsh")
-    both = past.withColumn("knowledge", F.lit("past")).unionByName(known.withColumn("knowledge", F.lit("all")))
+    both = _both(spark, sf)
     test = F.col("filed_date") >= F.lit(_SPLIT).cast("date")
     rows = both.withColumn("regime", F.explode(F.array(F.lit("all"), F.lit("warm")))).where((F.col("regime") == "all") | F.col("has_history") | test)
     return rows.groupBy("regime", "knowledge", test.alias("is_test")).agg(F.count("*").alias("n"), F.count_if("was_restated").alias("n_restated"), *(F.round(F.avg(F.col(f).cast("double")), 6).alias(f"mean_{f}") for f in _FEATURES))
@@ -75,9 +80,7 @@ def sweep(spark, sf) -> DataFrame:
 
     A horizon is part of the keys of the prior counts: sectors, companies and the market have a history for each.
     """
-    rows = features.periodic(spark, sf).withColumn("horizon", F.explode(F.array(*map(F.lit, features._HORIZONS))))
-    rows = features.labelled(rows, features.last_filed(spark, sf), F.col("horizon"))
-    return features.point_in_time_by(rows, "horizon")
+    return features.point_in_time_by(features.periodic(spark, sf), features.last_filed(spark, sf), features._HORIZONS)
 
 
 _TRAINED = f"filed_date < date '{_SPLIT}'"
@@ -109,13 +112,15 @@ def d21c_horizon_models(spark, sf):
     return areas.groupBy(*groups).pivot("side", ["train", "test"]).agg(F.first("auc")).select(*groups, F.col("train").alias("train_auc"), F.col("test").alias("test_auc"))
 
 
-def _models(spark, sf) -> list[tuple]:
-    """(regime, knowledge, model, training rows, test rows) of all four fits; a model is None where a label is missing."""
-    past = _past(spark, sf)
-    known = _all(spark, sf).join(past.select("adsh", "has_history"), "adsh")
+def _models(both: DataFrame) -> list[tuple]:
+    """(regime, knowledge, model, training rows, test rows) of all four fits; a model is None where a label is missing.
+
+    Each fit and each area reads the rows several times; give them written.
+    """
     is_test, out = F.col("filed_date") >= F.lit(_SPLIT).cast("date"), []
     for regime in ("all", "warm"):
-        for knowledge, rows in (("past", past), ("all", known)):
+        for knowledge in ("past", "all"):
+            rows = both.where(F.col("knowledge") == knowledge)
             train = rows.where(~is_test & (F.col("has_history") if regime == "warm" else F.lit(True)))
             out.append((regime, knowledge, learning.fit_logistic(train, _FEATURES, "was_restated"), train, rows.where(is_test)))
     return out
@@ -128,8 +133,10 @@ def ml03_regimes(spark, sf):
     `gap` is what knowing the future seems to add. Areas are null where a side lacks a label.
     """
     areas: dict[str, list] = {}
-    for regime, _, model, *sides in _models(spark, sf):
+    both = written(_both(spark, sf), "regimes")
+    for regime, _, model, *sides in _models(both):
         areas.setdefault(regime, []).extend(evaluation.auc(learning.score_logistic(model, side, _FEATURES), "score", "was_restated").first()["auc"] if model else None for side in sides)
+    drop(both)
     out = [(regime, *found, None if None in (found[1], found[3]) else round(found[3] - found[1], 6)) for regime, found in areas.items()]
     return spark.createDataFrame(out, "regime string, past_train_auc double, past_test_auc double, all_train_auc double, all_test_auc double, gap double")
 
@@ -137,5 +144,7 @@ def ml03_regimes(spark, sf):
 @query()
 def ml03b_coefficients(spark, sf):
     """What each feature, standardised, adds in each of the models."""
-    rows = [(regime, knowledge, f, round(float(c), 6)) for regime, knowledge, model, *_ in _models(spark, sf) if model for f, c in zip(_FEATURES, model.stages[-1].coefficients, strict=True)]
+    both = written(_both(spark, sf), "regimes")
+    rows = [(regime, knowledge, f, round(float(c), 6)) for regime, knowledge, model, *_ in _models(both) if model for f, c in zip(_FEATURES, model.stages[-1].coefficients, strict=True)]
+    drop(both)
     return spark.createDataFrame(rows, "regime string, knowledge string, feature string, coefficient double")
