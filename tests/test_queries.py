@@ -113,3 +113,13 @@ def test_incremental_facts(spark, small, tmp_path):
 
 def files(path):
     return [(os.path.join(d, f), os.stat(os.path.join(d, f)).st_mtime_ns) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
+
+
+def test_keys_of_facts_are_made_after_the_shuffles(spark, small):
+    """Published tags are looked up by broadcast, and no shuffle or stored copy carries the fact table's md5 keys as text."""
+    from tidemark.plans import suite
+
+    spark.catalog.clearCache()
+    text = catalog.QUERIES["m05_fact"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("strategy=broadcast") >= 2 and text.lstrip().splitlines()[0].count("md5(") == 4
+    assert suite.facts(spark, small).columns == ["fact_sk", "qtrs", "unknown_tag"]

@@ -125,13 +125,14 @@ def fact_table(spark, sf, since: str | None = None, until: str | None = None) ->
     filings = filings.where(F.col("filed_date") >= F.lit(since).cast("date")) if since else filings
     filings = filings.where(F.col("filed_date") <= F.lit(until).cast("date")) if until else filings
     days = calendar(spark, sf).select(F.col("date_day").alias("filed_date"), F.col("date_sk").alias("filed_date_sk"))
-    known = t.tags(spark, sf).select("tag", "taxonomy_version", surrogate_key("tag", "taxonomy_version").alias("tag_sk"))
-    at = ops.valid_at(filings, company(spark, sf).select("company_sk", "cik", "valid_from", "valid_to"), "cik", "filed_date").drop("valid_from", "valid_to")
+    known = t.tags(spark, sf).select("tag", "taxonomy_version", F.lit(True).alias("is_known"))
+    at = ops.valid_at(filings, company(spark, sf).select("cik", "valid_from", "valid_to"), "cik", "filed_date").drop("valid_to")
     at = at.join(F.broadcast(days), "filed_date")  # a row for each day
-    rows = m02_numeric(spark, sf).join(at, "adsh")
-    # tags of published taxonomies are in very many facts, a filer's own ones (their version is the filing) in few
-    joined = ops.salted_lookup(rows, known, ["tag", "taxonomy_version"], F.contains("taxonomy_version", F.lit("/")), F.col("adsh"), DEFAULT.salts)
-    return joined.select(surrogate_key(*_GRAIN).alias("fact_sk"), "company_sk", surrogate_key("adsh").alias("filing_sk"), "tag_sk", "filed_date_sk", "adsh", *FACT_KEY, "taxonomy_version", "filed_date", "value", "footnote", "is_instant", "is_annual", "has_segments")
+    # tags of published taxonomies are in very many facts and have few entries, a filer's own ones (their version is the filing) the reverse
+    joined = ops.split_lookup(m02_numeric(spark, sf), known, ["tag", "taxonomy_version"], published()).join(at, "adsh")
+    # keys are made last, so no shuffle carries them
+    tag_sk = F.when(F.col("is_known"), surrogate_key("tag", "taxonomy_version"))
+    return joined.select(surrogate_key(*_GRAIN).alias("fact_sk"), surrogate_key("cik", "valid_from").alias("company_sk"), surrogate_key("adsh").alias("filing_sk"), tag_sk.alias("tag_sk"), "filed_date_sk", "adsh", *FACT_KEY, "taxonomy_version", "filed_date", "value", "footnote", "is_instant", "is_annual", "has_segments")
 
 
 FACT_TABLE = f"""select {sql_key(*("f." + c for c in _GRAIN))} as fact_sk, company_sk,
