@@ -49,15 +49,14 @@ def timelines(df: DataFrame, key: list[str], at: str, value: str, source: str) -
 def repeated_timelines(df: DataFrame, key: list[str], at: str, value: str, source: str) -> DataFrame:
     """`timelines` of the keys that were reported on several dates.
 
-    Rows are shuffled as they are and sorted once; those without another date beside them go before anything is
-    collected, and most keys have one date only.
+    Rows are shuffled as they are, sorted once and passed once; keys of a single date go before anything is collected,
+    and most keys have one date only.
     """
     line = Window.partitionBy(*key).orderBy(at, source, value)
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = df.where(F.col(value).isNotNull()).select(*key, at, value, source)
     last = F.lead(F.lit(True)).over(line).isNull() | (F.lead(at).over(line) != F.col(at))
-    rows = rows.withColumn("_last", last).where("_last")
-    beside = F.lead(F.lit(True)).over(line).isNotNull() | F.lag(F.lit(True)).over(line).isNotNull()
-    rows = rows.withColumn("_beside", beside).where("_beside")
+    rows = rows.select("*", last.alias("_last"), (F.min(at).over(whole) != F.max(at).over(whole)).alias("_several")).where("_last and _several")
     every = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(source).alias("source"), F.col(value).alias("value"))))
     return rows.groupBy(*key).agg(every.alias("line"))
 

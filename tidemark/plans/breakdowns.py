@@ -152,13 +152,13 @@ def d22_quintile_rates(spark, sf):
 @query(f"""select 'deadline' as kind, deadline_pattern as pattern, count(*) as n_filers, sum(n_filings)::bigint as n_items, sum(n_late_filings)::bigint as n_bad, max(longest_run_filings) as longest_run from {_inner('m26_deadline_filers')} group by 2
     union all select 'restatement', restatement_pattern, count(*), sum(n_reporting_periods)::bigint, sum(n_restated_periods)::bigint, max(longest_run_periods) from {_inner('m23_serial_restaters')} group by 2""")
 def d24_patterns(spark, sf):
-    """Companies by pattern: of filing at the deadline and of restating."""
+    """Companies by pattern: of filing at the deadline and of restating. Neither their names nor their deciles are made for it."""
 
     def per(rows: DataFrame, kind: str, pattern: str, items: str, bad: str, run: str) -> DataFrame:
         return rows.groupBy(F.lit(kind).alias("kind"), F.col(pattern).alias("pattern")).agg(F.count("*").alias("n_filers"), F.sum(items).alias("n_items"), F.sum(bad).alias("n_bad"), F.max(run).alias("longest_run"))
 
-    late = per(filing.m26_deadline_filers(spark, sf), "deadline", "deadline_pattern", "n_filings", "n_late_filings", "longest_run_filings")
-    return late.unionByName(per(restated.m23_serial_restaters(spark, sf), "restatement", "restatement_pattern", "n_reporting_periods", "n_restated_periods", "longest_run_periods"))
+    late = per(filing.punctuality(spark, sf), "deadline", "deadline_pattern", "n_filings", "n_late_filings", "longest_run_filings")
+    return late.unionByName(per(restated.restaters(spark, sf), "restatement", "restatement_pattern", "n_reporting_periods", "n_restated_periods", "longest_run_periods"))
 
 
 @query(f"""select margin_decile as decile, count(*) as n_filers, round(avg(pct_filings_late), 4) as mean_pct_late, round(avg(median_margin_days), 4) as mean_median_margin from {_inner('m26_deadline_filers')} where margin_decile is not null group by 1""")

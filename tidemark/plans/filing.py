@@ -118,9 +118,8 @@ _DEADLINE = f"""{COMPANY}, f as (select *, margin <= 1 as at_deadline, row_numbe
         from c left join r using (cik) left join st using (cik) left join k using (cik) left join (select cik, company_name, sic_code from company where is_current) using (cik))"""
 
 
-@query(f"with {MARGINS}, {_DEADLINE} select * from deadline")
-def m26_deadline_filers(spark, sf):
-    """Companies by how close to their due dates they file, and how steadily."""
+def punctuality(spark, sf) -> DataFrame:
+    """Companies with their filings, those at the deadline, runs of these and spread of margins; `deadline_pattern` tells them apart."""
     rows = margins(spark, sf).withColumn("at_deadline", F.col("margin") <= DEFAULT.deadline_margin)
     best = F.min_by(F.struct("run_length", "run_start", "run_end"), F.struct((-F.col("run_length")).alias("n"), "run_start")).alias("best")
     runs = ops.islands(rows, "cik", ["filed_date", "adsh"], "at_deadline", "period_end_date").groupBy("cik").agg(F.count("*").alias("n_runs"), best)
@@ -130,15 +129,22 @@ def m26_deadline_filers(spark, sf):
         F.count("*").alias("n_filings"), F.count_if(F.col("form_type") == "10-K").alias("n_annual_filings"), F.count_if("at_deadline").alias("n_deadline_filings"), F.count_if(margin < 0).alias("n_late_filings"), F.min("period_end_date").alias("first_period"), F.max("period_end_date").alias("last_period"),
         F.percentile(margin, 0.5).alias("median"), F.min(margin).alias("min_margin_days"), F.max(margin).alias("max_margin_days"), status,
     )
+    per = per.join(runs, "cik", "left").withColumns({"longest_run_filings": F.coalesce("best.run_length", F.lit(0)), "n_deadline_runs": F.coalesce("n_runs", F.lit(0))})
+    n = F.col("n_deadline_filings")
+    pattern = F.when(n == 0, "never_at_deadline").when(n == 1, "isolated").when(F.col("longest_run_filings") >= DEFAULT.run_length, "habitual").when(F.col("n_deadline_runs") >= 3, "episodic").otherwise("intermittent")
+    return per.withColumn("deadline_pattern", pattern)
+
+
+@query(f"with {MARGINS}, {_DEADLINE} select * from deadline")
+def m26_deadline_filers(spark, sf):
+    """Companies by how close to their due dates they file, and how steadily."""
     names = company(spark, sf).where("is_current").select("cik", "company_name", "sic_code")
-    per = per.join(runs, "cik", "left").join(names, "cik", "left").withColumns({"is_rankable": F.col("n_filings") >= DEFAULT.rank_floor, "rate": F.col("n_deadline_filings") / F.col("n_filings"), "longest_run_filings": F.coalesce("best.run_length", F.lit(0)), "n_deadline_runs": F.coalesce("n_runs", F.lit(0))})
+    per = punctuality(spark, sf).join(names, "cik", "left").withColumns({"is_rankable": F.col("n_filings") >= DEFAULT.rank_floor, "rate": F.col("n_deadline_filings") / F.col("n_filings")})
     # ranked companies alone, so that others take no place
     per = ranks.tiles(per, ["is_rankable"], DEFAULT.buckets, "decile", F.col("median"), F.desc("rate"), F.col("cik"))
     decile = F.when(F.col("is_rankable"), F.col("decile"))
-    n = F.col("n_deadline_filings")
-    pattern = F.when(n == 0, "never_at_deadline").when(n == 1, "isolated").when(F.col("longest_run_filings") >= DEFAULT.run_length, "habitual").when(F.col("n_deadline_runs") >= 3, "episodic").otherwise("intermittent")
     return per.select(
         "cik", "company_name", "sic_code", "predominant_filer_status", "n_filings", "n_annual_filings", "first_period", "last_period", F.round("median", 4).alias("median_margin_days"), "min_margin_days", "max_margin_days", "n_deadline_filings", "n_late_filings",
         F.round(F.lit(100.0) * F.col("rate"), 4).alias("pct_filings_at_deadline"), F.round(F.lit(100.0) * F.col("n_late_filings") / F.col("n_filings"), 4).alias("pct_filings_late"), "n_deadline_runs", "longest_run_filings",
-        F.col("best.run_start").alias("longest_run_start_period"), F.col("best.run_end").alias("longest_run_end_period"), decile.alias("margin_decile"), "is_rankable", pattern.alias("deadline_pattern"),
+        F.col("best.run_start").alias("longest_run_start_period"), F.col("best.run_end").alias("longest_run_end_period"), decile.alias("margin_decile"), "is_rankable", "deadline_pattern",
     )

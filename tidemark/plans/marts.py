@@ -174,7 +174,7 @@ def snk03_incremental_fact(spark, sf):
 
 
 def _changes(spark, sf, share: str = DEFAULT.material, key: list[str] = FACT_KEY) -> DataFrame:
-    found = ops.revisable(t.facts(spark, sf), key, "filed_date", "value", "adsh", share)
+    found = ops.revisable(t.dealt(t.facts(spark, sf), sf, "lineitem", *key), key, "filed_date", "value", "adsh", share)
     change = F.col("absolute_revision").cast("double") / F.nullif(F.abs("first_reported_value"), F.lit(0)).cast("double")
     return found.select(
         surrogate_key(*key).alias("restatement_sk"),

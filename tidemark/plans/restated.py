@@ -269,7 +269,7 @@ _STEPS = f"""{REPORTS}, lagged as (select *, lag(value) over w as before, lag(ad
 
 @stored
 def chains(spark, sf) -> DataFrame:
-    return ops.chains(t.facts(spark, sf), FACT_KEY, "filed_date", "value", "adsh", DEFAULT.material)
+    return ops.chains(t.dealt(t.facts(spark, sf), sf, "lineitem", *FACT_KEY), FACT_KEY, "filed_date", "value", "adsh", DEFAULT.material)
 
 
 @query(f"""with recursive {t.FACT}, {_STEPS},
@@ -308,6 +308,22 @@ _RUNS = f"""q as (select distinct cik, date_trunc('quarter', filed_date)::date a
     best as (select cik, count(*) as n_runs, max(run_length) as longest, first(run_start order by run_length desc, run_start) as longest_start, first(run_end order by run_length desc, run_start) as longest_end from runs group by 1)"""
 
 
+def restaters(spark, sf) -> DataFrame:
+    """Companies with their reporting quarters, those that brought revisions, runs of these and totals; `restatement_pattern` tells them apart."""
+    found = restatements(spark, sf)
+    quarters = t.submissions(spark, sf).select("cik", F.trunc("filed_date", "quarter").alias("quarter")).distinct()
+    hits = found.select("cik", F.trunc("first_revision_filed_date", "quarter").alias("quarter"), F.lit(True).alias("hit")).distinct()
+    line = quarters.join(hits, ["cik", "quarter"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    best = F.min_by(F.struct("run_length", "run_start", "run_end"), F.struct((-F.col("run_length")).alias("n"), "run_start")).alias("best")
+    runs = ops.islands(line, "cik", ["quarter"], "hit", "quarter").groupBy("cik").agg(F.count("*").alias("n_runs"), best)
+    spans = line.groupBy("cik").agg(F.count("*").alias("n_reporting_periods"), F.count_if("hit").alias("n_restated_periods"), F.min("quarter").alias("first_reporting_quarter"), F.max("quarter").alias("last_reporting_quarter"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    whole = spans.join(runs, "cik", "left").withColumns({"n_restatement_runs": zero("n_runs"), "longest_run_periods": zero("best.run_length")})
+    n, longest = F.col("n_restated_periods"), F.col("longest_run_periods")
+    pattern = F.when(n == 0, "none").when(n == 1, "isolated").when(longest >= DEFAULT.run_length, "sustained_run").when(F.col("n_restatement_runs") >= 3, "scattered").otherwise("intermittent")
+    return whole.withColumn("restatement_pattern", pattern)
+
+
 @query(f"""with {t.FACT}, {COMPANY}, {RESTATED}, {_RUNS}, s as (select cik, count(*) as n_reporting_periods, count(*) filter (where hit) as n_restated_periods, min(quarter) as first_reporting_quarter, max(quarter) as last_reporting_quarter from tl group by 1),
     x as (select cik, count(*) as total, count(*) filter (where revision_direction = 'decrease') as down, count(distinct tag) as tags, quantile_cont(abs(pct_revision), 0.5) as median from restated group by 1),
     a as (select s.*, company_name, sic_code, coalesce(total, 0) as total_restatements, coalesce(tags, 0) as distinct_tags_restated, down, median, coalesce(n_runs, 0) as n_restatement_runs, coalesce(longest, 0) as longest_run_periods, longest_start, longest_end,
@@ -319,27 +335,18 @@ _RUNS = f"""q as (select distinct cik, date_trunc('quarter', filed_date)::date a
     from a left join r using (cik)""")
 def m23_serial_restaters(spark, sf):
     """Companies by how often and how steadily their reporting quarters bring revisions."""
-    found = restatements(spark, sf)
-    quarters = t.submissions(spark, sf).select("cik", F.trunc("filed_date", "quarter").alias("quarter")).distinct()
-    hits = found.select("cik", F.trunc("first_revision_filed_date", "quarter").alias("quarter"), F.lit(True).alias("hit")).distinct()
-    line = quarters.join(hits, ["cik", "quarter"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    best = F.min_by(F.struct("run_length", "run_start", "run_end"), F.struct((-F.col("run_length")).alias("n"), "run_start")).alias("best")
-    runs = ops.islands(line, "cik", ["quarter"], "hit", "quarter").groupBy("cik").agg(F.count("*").alias("n_runs"), best)
-    spans = line.groupBy("cik").agg(F.count("*").alias("n_reporting_periods"), F.count_if("hit").alias("n_restated_periods"), F.min("quarter").alias("first_reporting_quarter"), F.max("quarter").alias("last_reporting_quarter"))
-    totals = found.groupBy("cik").agg(F.count("*").alias("total"), F.count_if(F.col("revision_direction") == "decrease").alias("down"), F.count_distinct("tag").alias("tags"), F.percentile(F.abs("pct_revision"), 0.5).alias("median"))
+    totals = restatements(spark, sf).groupBy("cik").agg(F.count("*").alias("total"), F.count_if(F.col("revision_direction") == "decrease").alias("down"), F.count_distinct("tag").alias("tags"), F.percentile(F.abs("pct_revision"), 0.5).alias("median"))
     names = company(spark, sf).where("is_current").select("cik", "company_name", "sic_code")
-    whole = spans.join(runs, "cik", "left").join(totals, "cik", "left").join(names, "cik", "left")
+    whole = restaters(spark, sf).join(totals, "cik", "left").join(names, "cik", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    whole = whole.withColumns({"total_restatements": zero("total"), "n_restatement_runs": zero("n_runs"), "longest_run_periods": zero("best.run_length"), "rate": F.col("n_restated_periods") / F.col("n_reporting_periods"), "is_rankable": F.col("n_reporting_periods") >= DEFAULT.rank_floor})
+    whole = whole.withColumns({"total_restatements": zero("total"), "rate": F.col("n_restated_periods") / F.col("n_reporting_periods"), "is_rankable": F.col("n_reporting_periods") >= DEFAULT.rank_floor})
     # ranked companies alone, so that others take no place
     whole = ranks.tiles(whole, ["is_rankable"], DEFAULT.buckets, "decile", F.col("rate"), F.col("total_restatements"), F.col("cik"))
     decile = F.when(F.col("is_rankable"), F.col("decile"))
-    n, longest = F.col("n_restated_periods"), F.col("longest_run_periods")
-    pattern = F.when(n == 0, "none").when(n == 1, "isolated").when(longest >= DEFAULT.run_length, "sustained_run").when(F.col("n_restatement_runs") >= 3, "scattered").otherwise("intermittent")
     return whole.select(
         "cik", "company_name", "sic_code", "n_reporting_periods", "n_restated_periods", "first_reporting_quarter", "last_reporting_quarter", "total_restatements", zero("tags").alias("distinct_tags_restated"),
         pct("n_restated_periods", "n_reporting_periods").alias("pct_periods_restated"), pct("down", "total_restatements").alias("pct_restatements_downward"), F.round("median", 4).alias("median_abs_pct_revision"), "n_restatement_runs", "longest_run_periods",
-        F.col("best.run_start").alias("longest_run_start_quarter"), F.col("best.run_end").alias("longest_run_end_quarter"), decile.alias("restatement_rate_decile"), "is_rankable", pattern.alias("restatement_pattern"),
+        F.col("best.run_start").alias("longest_run_start_quarter"), F.col("best.run_end").alias("longest_run_end_quarter"), decile.alias("restatement_rate_decile"), "is_rankable", "restatement_pattern",
     )
 
 

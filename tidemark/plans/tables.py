@@ -5,17 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.store import source
+from tidemark.sources.store import size, source
 
 _FORMS = {"1": "10-K", "2": "10-Q", "3": "10-K/A", "4": "10-Q/A", "5": "8-K"}
 #: Tags of the mapped facts, by what they stand for.
 ASSETS, LIABILITIES, TOTAL, CUSTOM, EQUITY, EQUITY_WITH_MINORITIES = "T0", "T1", "T2", "T3", "T4", "T5"
+#: Bytes of a table's files, about a million facts, whose rows one task of a shuffle is given.
+SHARE = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return source(spark, f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """Rows of a table by a hash of some columns: as many partitions as the session has, or as the size of its files asks for if that is more.
+
+    So what a task sorts or holds doesn't grow with the table.
+    """
+    n = -(-size(rows.sparkSession, f"{sf_dir}/{name}.parquet") // SHARE)
+    return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+
+
 def case(column: Column, values: dict, other: Column | None = None) -> Column:
     """Codes to labels."""
     out = F.lit(None) if other is None else other
@@ -127,4 +138,6 @@ def statement_name_sql(code: str) -> str:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numeric(spark, sf_dir).join(submissions(spark, sf_dir).select("adsh", "cik", "filed_date", "form_type", "filer_status"), "adsh")
+    """Facts with their filings. A task holds its share of the filings, and the facts pass by unsorted."""
+    filings = submissions(spark, sf_dir).select("adsh", "cik", "filed_date", "form_type", "filer_status")
+    return dealt(numeric(spark, sf_dir), sf_dir, "lineitem", "adsh").join(filings.hint("shuffle_hash"), "adsh")

@@ -91,6 +91,12 @@ def state(spark: SparkSession, path: str) -> str:
     return hashlib.sha256(repr(sorted(files(*file_system(spark, path)))).encode()).hexdigest()
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of the files under `path`."""
+    fs, where = file_system(spark, path)
+    return fs.getContentSummary(where).getLength()
+
+
 def source(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table that models are built from; the stored models that read it notice when it changes."""
     if _READING:
