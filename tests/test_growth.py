@@ -53,3 +53,16 @@ def test_keys_of_one_date_are_told_in_one_window(spark, small):
 
     line = ops.repeated_timelines(t.facts(spark, small), FACT_KEY, "filed_date", "value", "adsh")
     assert len(re.findall(r"\bWindow \[", logical(line))) == 1
+
+
+def test_versions_and_features_are_dealt_by_size(spark, small, large):
+    """Filings go into as many partitions as their size asks for; versions come from one shuffle by company."""
+    from tidemark.plans import features
+
+    n = -(-store.size(spark, f"{small}/orders.parquet") // 5000)
+    versions = plan(marts.company.__wrapped__(spark, small))
+    assert n > 4 and versions.count("Exchange") - versions.count("BroadcastExchange") - versions.count("ReusedExchange") == 1 and f", {n}), REPARTITION_BY_NUM" in versions
+    found = plan(features.periodic.__wrapped__(spark, small))
+    assert re.search(rf"hashpartitioning\(adsh#\d+, {n}\), REPARTITION_BY_NUM", found) and re.search(rf"hashpartitioning\(cik#\d+L?, {n}\), REPARTITION_BY_NUM", found)
+    m = -(-store.size(spark, f"{small}/lineitem.parquet") // 5000)
+    assert re.search(rf"hashpartitioning\(tag#\d+, taxonomy_version#\d+, {m}\), REPARTITION_BY_NUM", found)

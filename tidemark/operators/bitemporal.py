@@ -79,14 +79,15 @@ def is_revised(share: str) -> Column:
     return (F.size("line") > 1) & material(F.col("line")[0]["value"], F.element_at("line", -1)["value"], share)
 
 
-def split_lookup(df: DataFrame, dictionary: DataFrame, keys: list[str], common: Column) -> DataFrame:
+def split_lookup(df: DataFrame, dictionary: DataFrame, keys: list[str], common: Column, parts: int | None = None) -> DataFrame:
     """Left join with a dictionary whose `common` entries (a condition on the keys alone) are few, however many rows have them.
 
     Those are broadcast, so their rows aren't shuffled and no key is one task; only rows of the other keys meet by a
-    shuffle. `df` is read once for each part.
+    shuffle, of `parts` partitions if given. `df` is read once for each part.
     """
     often = F.coalesce(common, F.lit(False))
-    return df.where(often).join(F.broadcast(dictionary.where(often)), keys, "left").unionByName(df.where(~often).join(dictionary.where(~often), keys, "left"))
+    rest = df.where(~often).repartition(parts, *keys) if parts else df.where(~often)
+    return df.where(often).join(F.broadcast(dictionary.where(often)), keys, "left").unionByName(rest.join(dictionary.where(~often), keys, "left"))
 
 
 def salted_lookup(df: DataFrame, dictionary: DataFrame, keys: list[str], frequent: Column, spread: Column, salts: int) -> DataFrame:

@@ -38,12 +38,13 @@ def periodic(spark, sf) -> DataFrame:
     """Every annual and quarterly report with what is known of it: status, custom tags, sector then and now, first revision."""
     filings = t.submissions(spark, sf).where(F.col("form_type").isin("10-K", "10-Q")).select("adsh", "cik", "form_type", "filed_date", "period_end_date", "filing_lag_days", "filer_status")
     versions = company(spark, sf)
+    filings = t.dealt(filings, sf, "orders", "cik")
     at = ops.valid_at(filings, versions.select("cik", major_group(F.col("sic_code")).alias("sic_major_group_at_filing"), "valid_from", "valid_to"), "cik", "filed_date").drop("valid_from", "valid_to")
     now = versions.where("is_current").select("cik", major_group(F.col("sic_code")).alias("sic_major_group_now"))
     seen = restatements(spark, sf).where("segments = '' and coregistrant = ''").groupBy(F.col("first_adsh").alias("adsh")).agg(F.min("first_revision_filed_date").alias("revision_first_seen_date"))
-    known = ops.split_lookup(t.numeric(spark, sf).select("adsh", "tag", "taxonomy_version"), t.tags(spark, sf).select("tag", "taxonomy_version", "is_custom"), ["tag", "taxonomy_version"], published())
+    known = ops.split_lookup(t.numeric(spark, sf).select("adsh", "tag", "taxonomy_version"), t.tags(spark, sf).select("tag", "taxonomy_version", "is_custom"), ["tag", "taxonomy_version"], published(), t.parts(spark, sf, "lineitem"))
     mix = known.groupBy("adsh").agg(F.count("*").alias("n_facts"), F.count_if("is_custom").alias("n_custom_facts"))
-    rows = at.join(now, "cik").join(seen, "adsh", "left").join(mix, "adsh", "left")
+    rows = t.dealt(at.join(now, "cik"), sf, "orders", "adsh").join(seen, "adsh", "left").join(mix, "adsh", "left")
     status = {k: F.coalesce(F.col("filer_status") == v, F.lit(False)) for k, v in _STATUS.items()}
     return rows.withColumns({**status, "custom_tag_share": F.round(F.col("n_custom_facts") / F.col("n_facts"), 6)})
 

@@ -51,7 +51,7 @@ def m04_tags(spark, sf):
 @stored
 def company(spark, sf) -> DataFrame:
     complete = sum((F.col(c).isNotNull().cast("int") for c in ("sic_code", "fiscal_year_end_mmdd", "business_state")), F.lit(0))
-    versions = ops.scd2(t.submissions(spark, sf), "cik", "filed_date", _TRACKED, F.desc_nulls_last("period_end_date"), complete.desc(), F.asc("adsh"))
+    versions = ops.scd2(t.dealt(t.submissions(spark, sf), sf, "orders", "cik"), "cik", "filed_date", _TRACKED, F.desc_nulls_last("period_end_date"), complete.desc(), F.asc("adsh"))
     return versions.select(surrogate_key("cik", "valid_from").alias("company_sk"), "*")
 
 
@@ -129,7 +129,7 @@ def fact_table(spark, sf, since: str | None = None, until: str | None = None) ->
     at = ops.valid_at(filings, company(spark, sf).select("cik", "valid_from", "valid_to"), "cik", "filed_date").drop("valid_to")
     at = at.join(F.broadcast(days), "filed_date")  # a row for each day
     # tags of published taxonomies are in very many facts and have few entries, a filer's own ones (their version is the filing) the reverse
-    joined = ops.split_lookup(m02_numeric(spark, sf), known, ["tag", "taxonomy_version"], published()).join(at, "adsh")
+    joined = ops.split_lookup(m02_numeric(spark, sf), known, ["tag", "taxonomy_version"], published(), t.parts(spark, sf, "lineitem")).join(at, "adsh")
     # keys are made last, so no shuffle carries them
     tag_sk = F.when(F.col("is_known"), surrogate_key("tag", "taxonomy_version"))
     return joined.select(surrogate_key(*_GRAIN).alias("fact_sk"), surrogate_key("cik", "valid_from").alias("company_sk"), surrogate_key("adsh").alias("filing_sk"), tag_sk.alias("tag_sk"), "filed_date_sk", "adsh", *FACT_KEY, "taxonomy_version", "filed_date", "value", "footnote", "is_instant", "is_annual", "has_segments")

@@ -18,13 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return source(spark, f"{sf_dir}/{name}.parquet")
 
 
-def dealt(rows: DataFrame, sf_dir: str, name: str, *keys: str) -> DataFrame:
-    """Rows of a table by a hash of some columns: as many partitions as the session has, or as the size of its files asks for if that is more.
+def parts(spark: SparkSession, sf_dir: str, name: str) -> int | None:
+    """So many partitions as the size of a table's files asks for; none if the session has them anyway."""
+    n = -(-size(spark, f"{sf_dir}/{name}.parquet") // SHARE)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
 
-    So what a task sorts or holds doesn't grow with the table.
-    """
-    n = -(-size(rows.sparkSession, f"{sf_dir}/{name}.parquet") // SHARE)
-    return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+def dealt(rows: DataFrame, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """Rows of a table by a hash of some columns. What a task sorts or holds doesn't grow with the table."""
+    n = parts(rows.sparkSession, sf_dir, name)
+    return rows.repartition(n, *keys) if n else rows.repartition(*keys)
 
 
 def case(column: Column, values: dict, other: Column | None = None) -> Column:
