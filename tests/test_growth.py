@@ -66,3 +66,12 @@ def test_versions_and_features_are_dealt_by_size(spark, small, large):
     assert re.search(rf"hashpartitioning\(adsh#\d+, {n}\), REPARTITION_BY_NUM", found) and re.search(rf"hashpartitioning\(cik#\d+L?, {n}\), REPARTITION_BY_NUM", found)
     m = -(-store.size(spark, f"{small}/lineitem.parquet") // 5000)
     assert re.search(rf"hashpartitioning\(tag#\d+, taxonomy_version#\d+, {m}\), REPARTITION_BY_NUM", found)
+
+
+def test_peers_read_the_facts_once(spark, small):
+    """Both views, revenue, income and the year before come from one pass; the recheck needs none of its own."""
+    from tidemark.plans import peers
+
+    text = plan(peers.metrics.__wrapped__(spark, small))
+    assert text.count("lineitem") == 1 and text.count("orders.parquet") == 1
+    assert "lineitem" not in plan(catalog.QUERIES["d20_peer_rechecks"](spark, small))

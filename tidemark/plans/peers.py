@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,32 +25,40 @@ LEAST = 2
 _VALUES = {"revenue": "revenue", "net_income": "net income", "prior_year_revenue": "revenue of the year before"}
 
 
-def views(spark) -> DataFrame:
-    return spark.createDataFrame([*VIEWS.items()], "view string, as_of string").withColumn("as_of", F.col("as_of").cast("date"))
-
-
 def _consolidated(spark, sf) -> DataFrame:
     return t.facts(spark, sf).where("value is not null and segments = '' and coregistrant = '' and unit_of_measure = 'USD' and qtrs = 4")
 
 
 @stored
 def metrics(spark, sf) -> DataFrame:
-    """Margin and growth of each company's year, once for each view; the year is the last one that the earlier view has."""
-    known = _consolidated(spark, sf).join(F.broadcast(views(spark)), F.col("filed_date") < F.col("as_of"))  # two views
-    known = ops.pick_one(known, ["view", "cik", "tag", "period_end_date"], F.desc("filed_date"), F.desc("adsh"), F.desc("value")).select("view", "cik", "tag", "period_end_date", "value")
-    key = ["view", "cik", "period_end_date"]
+    """Margin and growth of each company's year, once for each view; the year is the last one that the earlier view has.
+
+    Facts are read once and go to their company; all that follows stays there. `seen_revenues` has every revenue of the
+    year that the view could know, picked or not.
+    """
+    known = {view: F.col("filed_date") < F.lit(date).cast("date") for view, date in VIEWS.items()}
+    revenue = F.col("tag").isin(*REVENUE)
+    facts = t.dealt(_consolidated(spark, sf).where(F.col("tag").isin(*REVENUE, INCOME)), sf, "lineitem", "cik")
+    # of each tag, the last report that a view knows
+    last = lambda seen: F.max(F.when(seen, F.struct("filed_date", "adsh", "value")))["value"]
+    picks = facts.groupBy("cik", "period_end_date", "tag").agg(*(c for v, seen in known.items() for c in (last(seen).alias(v), F.collect_set(F.when(seen & revenue, F.col("value"))).alias(f"{v}_seen"))))
     priority = t.case(F.col("tag"), {tag: k for k, tag in enumerate(REVENUE)})
-    revenue = ops.pick_one(known.where(F.col("tag").isin(*REVENUE)), key, priority).where("value > 0").select(*key, F.col("tag").alias("revenue_tag"), F.col("value").alias("revenue"))
-    rows = revenue.join(known.where(F.col("tag") == INCOME).select(*key, F.col("value").alias("net_income")), key)
-    before = revenue.select("view", "cik", F.col("period_end_date").alias("before"), F.col("revenue").alias("prior"))
-    gap = F.datediff("period_end_date", "before")
-    nearest = F.min_by("prior", F.struct(F.abs(gap - 365).alias("off"), "before")).alias("prior_year_revenue")
-    rows = rows.join(before, ["view", "cik"]).where(gap.between(350, 380)).groupBy(*key, "revenue_tag", "revenue", "net_income").agg(nearest)
-    target = rows.where("view = 'point_in_time'").groupBy("cik").agg(F.max("period_end_date").alias("period_end_date"))
+    first = lambda v: F.min_by(F.struct(F.col("tag").alias("revenue_tag"), F.col(v).alias("revenue")), F.when(revenue & F.col(v).isNotNull(), priority))
+    sides = lambda v: (first(v).alias(v), F.max(F.when(F.col("tag") == INCOME, F.col(v))).alias(f"{v}_income"), F.flatten(F.collect_list(f"{v}_seen")).alias(f"{v}_seen"))
+    years = picks.groupBy("cik", "period_end_date").agg(*(c for v in VIEWS for c in sides(v)))
+    each = F.array(*(F.struct(F.lit(v).alias("view"), F.lit(date).cast("date").alias("as_of"), F.col(f"{v}.revenue_tag").alias("revenue_tag"), F.col(f"{v}.revenue").alias("revenue"), F.col(f"{v}_income").alias("net_income"), F.col(f"{v}_seen").alias("seen_revenues")) for v, date in VIEWS.items()))
+    rows = years.select("cik", "period_end_date", F.inline(each)).where("revenue > 0 and period_end_date is not null").withColumn("_day", F.datediff("period_end_date", F.lit("1970-01-01").cast("date")))
+    # years that end 350 to 380 days before; the nearest to a year, then the earliest
+    before = F.collect_list(F.struct(F.col("_day").alias("day"), F.col("revenue").alias("prior"))).over(Window.partitionBy("cik", "view").orderBy("_day").rangeBetween(-380, -350))
+    nearest = F.array_min(F.transform("_before", lambda x: F.struct(F.abs(F.col("_day") - x["day"] - 365).alias("off"), x["day"].alias("day"), x["prior"].alias("prior"))))["prior"]
+    rows = rows.withColumn("_before", before).where("net_income is not null and size(_before) > 0").withColumn("prior_year_revenue", nearest)
+    target = F.max(F.when(F.col("view") == "point_in_time", F.col("period_end_date"))).over(Window.partitionBy("cik"))
+    rows = rows.withColumn("_target", target).where("period_end_date = _target").drop("_day", "_before", "_target")
     # the version that held on the view's own date
-    sic = company(spark, sf).join(F.broadcast(views(spark)), F.col("as_of").between(F.col("valid_from"), F.col("valid_to"))).select("view", "cik", "sic_code", major_group(F.col("sic_code")).alias("sic_major_group"))
+    on = reduce(or_, (F.lit(date).cast("date").between(F.col("valid_from"), F.col("valid_to")) for date in VIEWS.values()))
+    sic = company(spark, sf).where(on).select("cik", "sic_code", major_group(F.col("sic_code")).alias("sic_major_group"), "valid_from", "valid_to").where("sic_major_group is not null")
     d = lambda c: F.col(c).cast("double")
-    rows = rows.join(target, ["cik", "period_end_date"]).join(sic.where("sic_major_group is not null"), ["view", "cik"])
+    rows = ops.valid_at(rows, sic, "cik", "as_of").drop("as_of", "valid_from", "valid_to")
     return rows.withColumns({"net_margin": d("net_income") / d("revenue"), "revenue_growth": d("revenue") / d("prior_year_revenue") - 1})
 
 
@@ -134,8 +145,9 @@ _CLOSE = {n: f"abs(pit_{n} - latest_{n}) <= 0.001 * abs(latest_{n})" for n in _V
 def d20_peer_rechecks(spark, sf):
     """Changed values that agree within 0.1 %, and revenues that an earlier filing already had right when the view picked another."""
     rows = comparables(spark, sf, LEAST)
-    seen = _consolidated(spark, sf).where((F.col("filed_date") < F.lit(VIEWS["point_in_time"]).cast("date")) & F.col("tag").isin(*REVENUE)).select("cik", "period_end_date", "value")
-    right = rows.select("cik", "period_end_date", "latest_revenue").join(seen, ["cik", "period_end_date"]).where("abs(value - latest_revenue) <= 0.01 * abs(latest_revenue)").select("cik").distinct().withColumn("right", F.lit(True))
+    seen = metrics(spark, sf).where("view = 'point_in_time'").select("cik", "seen_revenues")
     close = F.expr(" and ".join(_CLOSE.values()))
     off = F.expr("abs(pit_revenue - latest_revenue) > 0.01 * abs(latest_revenue)")
-    return rows.join(right, "cik", "left").agg(F.count("*").alias("n_companies"), F.count_if("own_values_changed").alias("n_changed"), F.count_if(F.col("own_values_changed") & close).alias("n_within_tolerance"), F.count_if(off & F.col("right").isNotNull()).alias("n_transient_outliers"))
+    right = F.exists("seen_revenues", lambda x: F.abs(x - F.col("latest_revenue")) <= F.lit("0.01").cast("decimal(3,2)") * F.abs("latest_revenue"))
+    counts = (F.count("*").alias("n_companies"), F.count_if("own_values_changed").alias("n_changed"), F.count_if(F.col("own_values_changed") & close).alias("n_within_tolerance"), F.count_if(off & right).alias("n_transient_outliers"))
+    return rows.join(seen, "cik").agg(*counts)
