@@ -75,3 +75,9 @@ def test_peers_read_the_facts_once(spark, small):
     text = plan(peers.metrics.__wrapped__(spark, small))
     assert text.count("lineitem") == 1 and text.count("orders.parquet") == 1
     assert "lineitem" not in plan(catalog.QUERIES["d20_peer_rechecks"](spark, small))
+
+
+def test_samples_move_no_facts(spark, small):
+    """Facts of the sampled keys are found by broadcast; only their own reports are grouped."""
+    text = plan(catalog.QUERIES["d16_sampled_sequences"](spark, small))
+    assert "SortMergeJoin" not in text and "ShuffledHashJoin" not in text and len(re.findall(r"Exchange hashpartitioning", text)) == 1

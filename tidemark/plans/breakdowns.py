@@ -130,10 +130,10 @@ def d15_unit_concentration(spark, sf):
 def d16_sampled_sequences(spark, sf):
     """Twenty revisions drawn by a hash of their key, each with all its reports."""
     pick = restatements(spark, sf).select("restatement_sk", *FACT_KEY).orderBy(F.md5("restatement_sk"), "restatement_sk").limit(20)
-    # the facts of those twenty alone are grouped
-    rows = t.facts(spark, sf).join(F.broadcast(pick.select(*FACT_KEY)), FACT_KEY, "left_semi")
-    line = ops.reports(rows, FACT_KEY, "filed_date", "value", "adsh")
-    return line.join(F.broadcast(pick), FACT_KEY).select("restatement_sk", "filed_date", "adsh", "value")
+    # the filings of at most twenty companies: the facts pass by them where they lie, and those of the twenty keys alone are grouped
+    filings = t.submissions(spark, sf).select("adsh", "cik", "filed_date").join(F.broadcast(pick.select("cik")), "cik", "left_semi")
+    rows = t.numeric(spark, sf).join(F.broadcast(filings), "adsh").join(F.broadcast(pick), FACT_KEY)
+    return ops.reports(rows, ["restatement_sk"], "filed_date", "value", "adsh").select("restatement_sk", "filed_date", "adsh", "value")
 
 
 @query(f"""with f as {_inner("m28_feature_pit")}, r as (select filed_date >= date '1997-01-01' as is_test, was_restated, sector_restatement_rate as rate from f where sector_prior_resolved_filings > 0),
