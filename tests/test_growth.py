@@ -81,3 +81,9 @@ def test_samples_move_no_facts(spark, small):
     """Facts of the sampled keys are found by broadcast; only their own reports are grouped."""
     text = plan(catalog.QUERIES["d16_sampled_sequences"](spark, small))
     assert "SortMergeJoin" not in text and "ShuffledHashJoin" not in text and len(re.findall(r"Exchange hashpartitioning", text)) == 1
+
+
+def test_chart_counts_only_what_it_shows(spark, small):
+    """No distinct companies, no statuses of filings: counts by decile from one grouping."""
+    text = logical(catalog.QUERIES["ch01_decile_rates"](spark, small))
+    assert "Generate" not in text and "Expand" not in text and "orders" not in text and "filer_status" not in text

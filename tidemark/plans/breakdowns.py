@@ -169,7 +169,7 @@ def d24b_margin_deciles(spark, sf):
 @query(f"select size_band, pct_of_revisable_restated, pct_restated_consolidated, pct_restated_segment from {_inner('m19_by_filer_size')} where size_basis = 'assets_decile' and size_band <> 'unclassified'")
 def ch01_decile_rates(spark, sf):
     """What a chart of the rates by decile of assets shows."""
-    return restated.m19_by_filer_size(spark, sf).where("size_basis = 'assets_decile' and size_band <> 'unclassified'").select("size_band", "pct_of_revisable_restated", "pct_restated_consolidated", "pct_restated_segment")
+    return restated.rates_by_decile(spark, sf)
 
 
 @query(f"""with {t.FACT}, {REPORTS} select r.*, (select value from reports x where {' and '.join(f'x.{k} = r.{k}' for k in FACT_KEY)} order by filed_date limit 1) as first_value,

@@ -151,6 +151,27 @@ def sizes(spark, sf) -> DataFrame:
     return ranks.tiles(latest, [], DEFAULT.buckets, "assets_decile", F.col("assets"), F.col("cik"))
 
 
+def placed(spark, sf, rows: DataFrame) -> DataFrame:
+    """Revisable facts beside the version of their company that held at first, with whether they are of a segment or of a financial company."""
+    sic = company(spark, sf).select("cik", "valid_from", "valid_to", F.coalesce(sic_number(F.col("sic_code")).between(*DEFAULT.financial), F.lit(False)).alias("financial"))
+    return ops.valid_at(rows, sic, "cik", "first_filed_date", "left").withColumns({"is_segment": F.col("segments") != "", "has_version": F.col("financial").isNotNull()})
+
+
+def part_counts(parts: dict[str, str]) -> dict[str, Column]:
+    """Revisable and revised facts of some parts of `placed`; only facts whose company has a version count."""
+    own = {n: F.col("has_version") & F.expr(c) for n, c in parts.items()}
+    return {f"revisable_groups_{n}": F.count_if(p) for n, p in own.items()} | {f"restatements_{n}": F.count_if(p & F.col("is_revised")) for n, p in own.items()}
+
+
+def rates_by_decile(spark, sf) -> DataFrame:
+    """Restatement rates by decile of assets alone: of all facts, of consolidated ones and of segments."""
+    rows = placed(spark, sf, changes(spark, sf).join(sizes(spark, sf).select("cik", "assets_decile"), "cik"))
+    parts = {n: _PARTS[n] for n in ("consolidated", "segment")}
+    counts = {"revisable_groups": F.count("*"), "restatements": F.count_if("is_revised")} | part_counts(parts)
+    per = rows.groupBy(F.lpad(F.col("assets_decile").cast("string"), 2, "0").alias("size_band")).agg(*(c.alias(n) for n, c in counts.items()))
+    return per.select("size_band", pct("restatements", "revisable_groups").alias("pct_of_revisable_restated"), *(pct(f"restatements_{n}", f"revisable_groups_{n}").alias(f"pct_restated_{n}") for n in parts))
+
+
 @query(f"""with {t.FACT}, {COMPANY}, {FILING}, {CHANGE}, {_SIZE},
     placed as (select c.*, c.segments <> '' as is_segment, f.filer_status, f.filer_status_name, assets_decile,
         v.cik is not null and coalesce(regexp_full_match(sic_code, '[0-9]{{4}}') and try_cast(sic_code as int) between 6000 and 6799, false) as financial, v.cik is not null as has_version
@@ -167,21 +188,18 @@ def sizes(spark, sf) -> DataFrame:
     {_pct('revisable_groups_segment', 'revisable_groups')} as pct_segment_level, {_pct('revisable_groups_financial', 'revisable_groups')} as pct_financial from per left join bounds on assets_decile = decile""")
 def m19_by_filer_size(spark, sf):
     """Restatement rates by filer status and by decile of assets, with the mix of segments and of financial companies beside them."""
-    sic = company(spark, sf).select("cik", "valid_from", "valid_to", F.coalesce(sic_number(F.col("sic_code")).between(*DEFAULT.financial), F.lit(False)).alias("financial"))
     filings = filing(spark, sf).select(F.col("adsh").alias("first_adsh"), "filer_status", "filer_status_name")
     size = sizes(spark, sf)
-    at = ops.valid_at(changes(spark, sf).join(filings, "first_adsh", "left"), sic, "cik", "first_filed_date", "left").join(size.drop("assets"), "cik", "left")
-    at = at.withColumns({"is_segment": F.col("segments") != "", "has_version": F.col("financial").isNotNull()})
+    at = placed(spark, sf, changes(spark, sf).join(filings, "first_adsh", "left")).join(size.drop("assets"), "cik", "left")
     status, decile = F.col("filer_status"), F.col("assets_decile")
     by_status = F.struct(F.lit("filer_status").alias("size_basis"), F.coalesce(status, F.lit("unknown")).alias("size_band"), F.when(status.isNull(), "filer status not reported").otherwise(F.col("filer_status_name")).alias("size_band_label"), F.coalesce(F.left(status, F.lit(1)).cast("int"), F.lit(99)).alias("band_sort"), F.lit(None).cast("int").alias("decile"))
     label = F.when(decile == 1, "decile 1 (smallest)").when(decile == DEFAULT.buckets, f"decile {DEFAULT.buckets} (largest)").when(decile.isNull(), "no consolidated USD assets reported").otherwise(F.concat(F.lit("decile "), decile))
     by_assets = F.struct(F.lit("assets_decile").alias("size_basis"), F.coalesce(F.lpad(decile.cast("string"), 2, "0"), F.lit("unclassified")).alias("size_band"), label.alias("size_band_label"), F.coalesce(decile, F.lit(99)).alias("band_sort"), decile.alias("decile"))
     banded = at.select("cik", "is_revised", "pct_revision", "is_segment", "financial", "has_version", F.inline(F.array(by_status, by_assets)))
     hit = F.col("is_revised")
-    parts = {n: F.col("has_version") & F.expr(c) for n, c in _PARTS.items()}
     measures = {
         "size_band_label": F.min("size_band_label"), "band_sort": F.min("band_sort"), "decile": F.min("decile"),
-        "revisable_groups": F.count("*"), "restatements": F.count_if(hit), **{f"revisable_groups_{n}": F.count_if(p) for n, p in parts.items()}, **{f"restatements_{n}": F.count_if(p & hit) for n, p in parts.items()},
+        "revisable_groups": F.count("*"), "restatements": F.count_if(hit), **part_counts(_PARTS),
     }
     distinct = {"companies": F.col("cik"), "restating_companies": F.when(hit, F.col("cik"))}
     per = ranks.grouped(banded, [["size_basis", "size_band"]], measures, {"median": (F.when(hit, F.abs("pct_revision")), 0.5)}, restatements(spark, sf), distinct)
