@@ -86,8 +86,9 @@ def split_lookup(df: DataFrame, dictionary: DataFrame, keys: list[str], common:
     shuffle, of `parts` partitions if given. `df` is read once for each part.
     """
     often = F.coalesce(common, F.lit(False))
-    rest = df.where(~often).repartition(parts, *keys) if parts else df.where(~often)
-    return df.where(often).join(F.broadcast(dictionary.where(often)), keys, "left").unionByName(rest.join(dictionary.where(~often), keys, "left"))
+    # both sides, since the planner gives one side's number to the other
+    rest, entries = (x.repartition(parts, *keys) if parts else x for x in (df.where(~often), dictionary.where(~often)))
+    return df.where(often).join(F.broadcast(dictionary.where(often)), keys, "left").unionByName(rest.join(entries, keys, "left"))
 
 
 def salted_lookup(df: DataFrame, dictionary: DataFrame, keys: list[str], frequent: Column, spread: Column, salts: int) -> DataFrame:
