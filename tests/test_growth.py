@@ -87,3 +87,31 @@ def test_chart_counts_only_what_it_shows(spark, small):
     """No distinct companies, no statuses of filings: counts by decile from one grouping."""
     text = logical(catalog.QUERIES["ch01_decile_rates"](spark, small))
     assert "Generate" not in text and "Expand" not in text and "orders" not in text and "filer_status" not in text
+
+
+def moved(spark, run):
+    """Rows that shuffles and writes of a run have moved."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")()))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = {s.stageId() for s in stages()}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    new = [s for s in stages() if s.stageId() not in before]
+    return sum(s.shuffleWriteRecords() for s in new), sum(s.outputRecords() for s in new)
+
+
+def test_an_incremental_fact_table_moves_a_fact_three_times(spark, small):
+    """Once to its filing, once to its month and, in the second merge, its hash to the keys before; it is written once."""
+    facts = t.numeric(spark, small).count()
+    marts.company(spark, small)
+    shuffled, wrote = moved(spark, lambda: catalog.QUERIES["snk03_incremental_fact"](spark, small))
+    assert shuffled < 5 * facts and wrote < 1.2 * facts
+
+
+def test_facts_are_dealt_to_months_before_their_keys_are_made(spark, small):
+    """Shuffles carry no md5 text; facts of filings outside of the dates go before the shuffles."""
+    located = marts._located(spark, small, until="1998-06-30")
+    assert "md5(" not in plan(located).replace("company", "") and "getbit" in plan(located)
+    assert located.select(*marts._fact_columns()).columns == marts.m05_fact(spark, small).columns
+    assert "getbit" not in plan(marts.m05_fact(spark, small))

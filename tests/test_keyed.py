@@ -100,3 +100,51 @@ def test_columns_and_batches(spark, tmp_path):
     for n in range(2, 6):
         merge(spark, path, ("a", n, n), stream="s", number=n)
     assert len(months(path)) <= 5 and len([x for x in os.listdir(f"{path}/manifests") if x.isdigit()]) == 1 + keyed.KEPT
+
+
+def test_a_batch_is_written_once(spark, tmp_path, monkeypatch):
+    """Straight to its months, with what stays of them beside it; no copy and no index."""
+    path, wrote, write = str(tmp_path / "t"), [], keyed._write
+    monkeypatch.setattr(keyed, "_write", lambda rows, *args: wrote.append(rows.count()) or write(rows, *args))
+    merge(spark, path, ("a", 1, 1), ("b", 2, 2), ("c", 3, 3))
+    assert wrote == [3] and sorted(os.listdir(path)) == ["data", "manifests"]
+    merge(spark, path, ("a", 2, 4), ("d", 5, 5))
+    assert wrote == [3, 2, 1]  # b stays in the month that a has come to
+    assert table(spark, path) == [("a", 2, 4), ("b", 2, 2), ("c", 3, 3), ("d", 5, 5)]
+
+
+def test_columns_made_after_dealing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    columns = [F.concat("k", F.lit("!")).alias("key"), "k", "at", "v"]
+    keyed.merge(rows(spark, ("a", 1, 1), ("b", 2, 2)), path, "key", "at", near="k", columns=columns, parts=3)
+    keyed.merge(rows(spark, ("a", 2, 3), ("c", None, 4)), path, "key", "at", near="k", columns=columns)
+    assert sorted((r.key, r.v) for r in keyed.read(spark, path).collect()) == [("a!", 3), ("b!", 2), ("c!", 4)]
+    assert keyed.read(spark, path).columns == ["key", "k", "at", "v"]
+
+
+def test_wider_types_and_fewer_columns(spark, tmp_path):
+    path = str(tmp_path / "t")
+    merge(spark, path, ("a", 1, 1), ("b", 1, 2))
+    keyed.merge(rows(spark, ("c", 1, 3)).withColumn("v", F.lit(1 << 40)), path, "k", "at")
+    keyed.merge(rows(spark, ("d", 1, 3)).drop("v"), path, "k", "at")
+    assert sorted((r.k, r.v) for r in keyed.read(spark, path).collect()) == [("a", 1), ("b", 2), ("c", 1 << 40), ("d", None)]
+
+
+def test_a_table_with_an_index_of_former_merges(spark, tmp_path):
+    path = str(tmp_path / "t")
+    merge(spark, path, ("a", 1, 1), ("b", 2, 2))
+    (tmp_path / "t/keys/x/bucket=1").mkdir(parents=True)
+    (tmp_path / "t/manifests/1").write_text((tmp_path / "t/manifests/1").read_text()[:-1] + ', "buckets": {"1": "keys/x/bucket=1"}}')
+    (tmp_path / "t/manifests/.1.crc").unlink()
+    merge(spark, path, ("a", 3, 3))
+    assert table(spark, path) == [("a", 3, 3), ("b", 2, 2)]
+
+
+def test_a_small_rest_against_a_large_batch(spark, tmp_path):
+    """Few rows stay: the batch's keys are thinned out before they meet them. Null keys and keys that repeat among them."""
+    path = str(tmp_path / "t")
+    merge(spark, path, ("a", 1, 1), ("b", 1, 2), (None, 1, 3), ("e", 7, 4))
+    merge(spark, path, *((f"x{i}", 1, i) for i in range(300)), ("a", 1, 5), ("a", 1, 6), (None, 1, 7))
+    got = [x for x in table(spark, path) if not x[0].startswith("x")]
+    assert got == [("", 1, 7), ("a", 1, 5), ("a", 1, 6), ("b", 1, 2), ("e", 7, 4)]
+    assert keyed.read(spark, path).count() == 305

@@ -152,3 +152,14 @@ def test_split_lookup(spark):
     got = ops.split_lookup(rows, words, ["key"], F.contains("key", F.lit("/")))
     assert {r.id: r.word for r in got.collect()} == {1: 10, 2: 10, 3: 20, 4: None, 5: None, 6: None}
     assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_perhaps_in(spark):
+    """No key is lost, few others stay, at one block of bits and at several; a null is a key."""
+    rows = spark.range(200_000).select(F.when(F.col("id") > 0, F.concat(F.lit("f"), F.col("id"))).alias("k"), "id")
+    for least, expected in ((199_000, 10), (150_000, 50_000)):
+        keys = rows.where(f"id >= {least} or id = 0").select("k")
+        got = ops.perhaps_in(rows, F.col("k"), keys, expected)
+        assert got.columns == rows.columns and got.join(keys, got.k.eqNullSafe(keys.k), "left_semi").count() == 200_001 - least
+        assert got.count() < 1.2 * (200_000 - least) + 4000
+    assert ops.perhaps_in(rows, F.col("k"), rows.where("id < 0").select("k"), 0).count() == 0

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import material
 
 OPEN_END = "9999-12-31"
+#: Places of `perhaps_in`, as a power of two: 32 MB of bits at most.
+PLACES = 28
 
 
 def pick_one(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -91,6 +93,24 @@ def split_lookup(df: DataFrame, dictionary: DataFrame, keys: list[str], common:
     return df.where(often).join(F.broadcast(dictionary.where(often)), keys, "left").unionByName(rest.join(entries, keys, "left"))
 
 
+def perhaps_in(df: DataFrame, column: Column, keys: DataFrame, expected: int) -> DataFrame:
+    """The rows whose `column` is among the keys (of one column, the same type), and few others; for rows that a later join would move for nothing.
+
+    A hash gives each key its bit, eight bits or more for each `expected` one. Blocks of bits are broadcast, 32 MB at most
+    whatever the number of keys; with very many keys more of the others stay. A null is a key.
+    """
+    power = min(max((8 * expected).bit_length(), 16), PLACES)
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << power) - 1))
+    ones = keys.select(place(F.col(keys.columns[0])).alias("at"), F.lit(1).alias("one"))
+    every = df.sparkSession.range(1 << (power - 6)).select(F.shiftleft("id", 6).alias("at"), F.lit(0).alias("one"))  # no word is missing
+    dealt = ones.unionByName(every).withColumn("_block", F.shiftright("at", 16)).repartition("_block")
+    words = dealt.groupBy("_block", F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(cast(one as bigint), cast(at & 63 as int))")).alias("bits"))
+    blocks = words.groupBy("_block").agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("_bits"))
+    met = df.withColumn("_at", place(column)).withColumn("_block", F.shiftright("_at", 16)).join(F.broadcast(blocks), "_block")
+    bit = F.getbit(F.get("_bits", F.shiftright("_at", 6).bitwiseAND(F.lit(1023)).cast("int")), F.col("_at").bitwiseAND(F.lit(63)).cast("int"))
+    return met.where(bit == 1).select(*df.columns)
+
+
 def salted_lookup(df: DataFrame, dictionary: DataFrame, keys: list[str], frequent: Column, spread: Column, salts: int) -> DataFrame:
     """Left join with a dictionary whose `frequent` entries (a condition on the keys alone) stand `salts` times in it.
 

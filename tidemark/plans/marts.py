@@ -33,9 +33,13 @@ def m01_submissions(spark, sf):
     return t.submissions(spark, sf)
 
 
+def _flags() -> dict[str, Column]:
+    return {"is_instant": F.col("qtrs") == 0, "is_annual": F.col("qtrs") == 4, "has_segments": F.col("segments") != ""}
+
+
 @query(f"with {t.NUM} select *, qtrs = 0 as is_instant, qtrs = 4 as is_annual, segments <> '' as has_segments from num")
 def m02_numeric(spark, sf):
-    return t.numeric(spark, sf).withColumns({"is_instant": F.col("qtrs") == 0, "is_annual": F.col("qtrs") == 4, "has_segments": F.col("segments") != ""})
+    return t.numeric(spark, sf).withColumns(_flags())
 
 
 @query(f"with {t.PRE} select *, {t.statement_name_sql('statement_code')} as statement_name from pre")
@@ -115,24 +119,41 @@ def m09_date(spark, sf):
     return calendar(spark, sf).join(filed, "date_day", "left").withColumn("filings", F.coalesce("filings", F.lit(0)))
 
 
-def fact_table(spark, sf, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Facts with the keys of their dimensions, of filings between two dates.
+def _located(spark, sf, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Facts with what the keys of their dimensions are made of, of filings between two dates.
 
     The company's version and the calendar are inner joins: a gap drops facts and an overlap doubles them, which the
     assertion on the grain then finds. Tags that the dictionary lacks keep their facts.
     """
-    filings = t.submissions(spark, sf).select("adsh", "cik", "filed_date")
-    filings = filings.where(F.col("filed_date") >= F.lit(since).cast("date")) if since else filings
-    filings = filings.where(F.col("filed_date") <= F.lit(until).cast("date")) if until else filings
-    days = calendar(spark, sf).select(F.col("date_day").alias("filed_date"), F.col("date_sk").alias("filed_date_sk"))
+
+    def between(rows: DataFrame) -> DataFrame:
+        rows = rows.where(F.col("filed_date") >= F.lit(since).cast("date")) if since else rows
+        return rows.where(F.col("filed_date") <= F.lit(until).cast("date")) if until else rows
+
+    filings = between(t.submissions(spark, sf).select("adsh", "cik", "filed_date"))
+    days = calendar(spark, sf).select(F.col("date_day").alias("filed_date"))
     known = t.tags(spark, sf).select("tag", "taxonomy_version", F.lit(True).alias("is_known"))
     at = ops.valid_at(filings, company(spark, sf).select("cik", "valid_from", "valid_to"), "cik", "filed_date").drop("valid_to")
     at = at.join(F.broadcast(days), "filed_date")  # a row for each day
+    rows = t.numeric(spark, sf)
+    if since or until:  # most facts of other filings go before they are shuffled
+        every = t.filed(spark, sf)
+        rows = ops.perhaps_in(rows, F.col("adsh"), between(every).select("adsh"), every.count())
     # tags of published taxonomies are in very many facts and have few entries, a filer's own ones (their version is the filing) the reverse
-    joined = ops.split_lookup(m02_numeric(spark, sf), known, ["tag", "taxonomy_version"], published(), t.parts(spark, sf, "lineitem")).join(at, "adsh")
-    # keys are made last, so no shuffle carries them
+    rows = ops.split_lookup(rows, known, ["tag", "taxonomy_version"], published(), t.parts(spark, sf, "lineitem"))
+    return t.dealt(rows, sf, "lineitem", "adsh").join(at.hint("shuffle_hash"), "adsh")
+
+
+def _fact_columns() -> list[str | Column]:
+    """The fact table's columns, of located facts. Keys are made last, so no shuffle carries them."""
     tag_sk = F.when(F.col("is_known"), surrogate_key("tag", "taxonomy_version"))
-    return joined.select(surrogate_key(*_GRAIN).alias("fact_sk"), surrogate_key("cik", "valid_from").alias("company_sk"), surrogate_key("adsh").alias("filing_sk"), tag_sk.alias("tag_sk"), "filed_date_sk", "adsh", *FACT_KEY, "taxonomy_version", "filed_date", "value", "footnote", "is_instant", "is_annual", "has_segments")
+    flags = (c.alias(n) for n, c in _flags().items())
+    return [surrogate_key(*_GRAIN).alias("fact_sk"), surrogate_key("cik", "valid_from").alias("company_sk"), surrogate_key("adsh").alias("filing_sk"), tag_sk.alias("tag_sk"), date_key(F.col("filed_date")).alias("filed_date_sk"), "adsh", *FACT_KEY, "taxonomy_version", "filed_date", "value", "footnote", *flags]
+
+
+def fact_table(spark, sf, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Facts with the keys of their dimensions, of filings between two dates."""
+    return _located(spark, sf, since, until).select(*_fact_columns())
 
 
 FACT_TABLE = f"""select {sql_key(*("f." + c for c in _GRAIN))} as fact_sk, company_sk,
@@ -156,19 +177,24 @@ def update_facts(spark, sf: str, path: str) -> None:
     months = [m for m in keyed.current(spark, path).months if m != keyed.UNDATED]
     last = keyed.read(spark, path, since=max(months)).agg(F.max("filed_date")).first()[0] if months else None
     since = None if last is None else str(spark.sql(f"select date_sub(date '{last}', {DEFAULT.look_back_days})").first()[0])
-    merge_facts(fact_table(spark, sf, since=since), path)
+    write_facts(spark, sf, path, since=since)
+
+
+def write_facts(spark, sf: str, path: str, since: str | None = None, until: str | None = None) -> None:
+    """Merge the facts of filings between two dates into a written fact table."""
+    keyed.merge(_located(spark, sf, since, until), path, "fact_sk", "filed_date", near="adsh", columns=_fact_columns(), parts=t.parts(spark, sf, "lineitem"))
 
 
 def merge_facts(batch: DataFrame, path: str, stream: str | None = None, number: int | None = None) -> bool:
     """Replace the facts of the batch's keys in a written fact table, whatever month they were filed in; the first batch makes it."""
-    return keyed.merge(batch, path, "fact_sk", "filed_date", stream, number)
+    return keyed.merge(batch, path, "fact_sk", "filed_date", stream, number, near="adsh")
 
 
 @query(f"with {t.FACT}, {COMPANY}, {t.TAG} {FACT_TABLE}")
 def snk03_incremental_fact(spark, sf):
     """The fact table written up to a date, then brought up to date: as good as a full build."""
     path = f"{folder(spark)}/fact-{spark.sql('select uuid()').first()[0]}"
-    merge_facts(fact_table(spark, sf, until="1998-06-30"), path)
+    write_facts(spark, sf, path, until="1998-06-30")
     update_facts(spark, sf, path)
     return keyed.read(spark, path)
 

@@ -65,6 +65,11 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every filing's number and date, its company unseen."""
+    return table(spark, sf_dir, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("adsh"), F.to_date("o_orderdate").alias("filed_date"))
+
+
 def numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "lineitem")
     adsh = F.lpad(F.col("l_orderkey").cast("string"), 10, "0")
